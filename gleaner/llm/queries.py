@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import mixing, quality, sharding, simhash
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_mixing": mixing.op6_mixing,
     "op9_quality": quality.op9_quality,
 }
 
