@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, simhash
+from . import mixing, packing, quality, sharding, simhash
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op3_sharding": sharding.op3_sharding,
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
