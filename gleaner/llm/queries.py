@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, sharding, simhash
+from . import chat, mixing, packing, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_sharding": sharding.op3_sharding,
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
+    "op8_chat": chat.op8_chat,
     "op9_quality": quality.op9_quality,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
