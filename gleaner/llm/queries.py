@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, sharding, simhash, warc
+from . import chat, html, mixing, packing, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_html": html.op2_html,
     "op3_sharding": sharding.op3_sharding,
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
