@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, packing, quality, sharding, simhash, warc
+from . import ann, chat, html, mixing, packing, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_html": html.op2_html,
     "op3_sharding": sharding.op3_sharding,
+    "op4_ann": ann.op4_ann,
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
     "op8_chat": chat.op8_chat,
