@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, html, mixing, packing, quality, sharding, simhash, warc
+from . import ann, chat, html, mixing, packing, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ann": ann.op4_ann,
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat": chat.op8_chat,
     "op9_quality": quality.op9_quality,
     "op10_warc": warc.op10_warc,
