@@ -156,7 +156,7 @@ def keep_one(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col:
     Rows with a null id stay only in groups without any id, one in each. The columns are those of `docs`.
     """
     numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    found = near_duplicates(numbered.withColumn("_key", F.col("_row")), width, "_key", text_col)
+    found = near_duplicates(numbered, width, id_col="_row", text_col=text_col)
     ids = numbered.select(F.col("_row").alias("doc_id"), F.col(id_col).alias("_id"))
     best = found.join(ids, "doc_id").groupBy("component_id").agg(
         F.min_by("doc_id", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id"))).alias("_row")
