@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let
+
 MAX_TOKENS = 64
 WILDCARD = "{*}"
 #: The classes of a token in the order in which they are tried. Units of sizes are part of the format.
@@ -23,20 +25,26 @@ TRAILING = r"[,:;)\]}.\"'!?]+$"
 
 def token_class(token: Column) -> Column:
     """url, uuid, t, size, ver, hex, n or path; null for a literal. Trailing punctuation does not count."""
-    t = F.regexp_replace(token, TRAILING, "")
+    return let(F.regexp_replace(token, TRAILING, ""), _class_of)
+
+
+def _class_of(t: Column) -> Column:
     p = dict(CLASS_PATTERNS)
     digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
     path = (F.octet_length(t) >= 3) & (t.contains("/") | t.contains("\\") | t.rlike(r"^.*[A-Za-z0-9].*\.[A-Za-z0-9]{1,6}$"))
-    return (
-        F.when(t == "", None)
-        .when(t.rlike(p["url"]), "url")
-        .when(t.rlike(p["uuid"]), "uuid")
+    numeric = (  # all of these hold a digit, so most words skip them
+        F.when(t.rlike(p["uuid"]), "uuid")
         .when((t.rlike(p["t"]) & (digits >= 3)) | t.rlike(DATE_PREFIX), "t")
         .when(t.rlike(p["size"]), "size")
         .when(t.rlike(p["ver"]), "ver")
         .when(t.rlike(p["hex"]) & F.regexp_replace(t, "^0x", "").rlike("[0-9]"), "hex")
         .when(t.rlike(p["n"]), "n")
-        .when(path, "path")
+    )
+    plain_uuid = F.when(t.rlike(p["uuid"]), "uuid")
+    return (
+        F.when(t == "", None)
+        .when(t.rlike(p["url"]), "url")
+        .otherwise(F.coalesce(F.when(t.rlike("[0-9]"), numeric).otherwise(plain_uuid), F.when(path, "path")))
     )
 
 
@@ -49,11 +57,10 @@ def segments(line: Column) -> Column:
 
     A literal keeps its text in `lit`; a class leaves it empty.
     """
-    seg = lambda t: F.struct(
-        F.coalesce(token_class(t), F.lit("")).alias("cls"), F.when(token_class(t).isNull(), t).otherwise("").alias("lit")
-    )
+    one = lambda c, t: F.struct(F.coalesce(c, F.lit("")).alias("cls"), F.when(c.isNull(), t).otherwise("").alias("lit"))
+    seg = lambda t: let(token_class(t), lambda c: one(c, t))
     made = lambda ts: F.when((F.size(ts) > 0) & (F.size(ts) <= MAX_TOKENS), F.transform(ts, seg))
-    return F.element_at(F.transform(F.array(tokens(line)), made), 1)
+    return let(tokens(line), made)
 
 
 def canonical(segs: Column) -> Column:

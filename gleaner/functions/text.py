@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,11 +27,16 @@ CRITICAL = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once inside an expression; a plain reference inside a lambda would be evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines(text: Column) -> Column:
     """The lines of a text: split at LF or CRLF, without the empty piece behind a final line end."""
     pieces = F.split(F.coalesce(text, F.lit("")), "\r?\n", -1)
     cut = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
-    return F.element_at(F.transform(F.array(pieces), cut), 1)
+    return let(pieces, cut)
 
 
 def is_blank(line: Column) -> Column:

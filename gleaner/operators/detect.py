@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import is_blank, lines
+from gleaner.functions.text import is_blank, let, lines
 
 SNIFF = 65_536
 #: Content type by file extension.
@@ -45,8 +45,8 @@ def detect(text: Column, name: Column | None = None) -> Column:
     first = F.substring(trimmed, 1, 1)
     verdict = lambda kind, sure: F.struct(F.lit(kind).alias("content_type"), F.lit(sure).alias("confidence"))
 
-    def sniff(v: Column) -> Column:
-        top, filled = F.slice(v.all, 1, 200), F.slice(F.filter(v.all, lambda x: ~is_blank(x)), 1, 50)
+    def sniff(every: Column) -> Column:
+        top, filled = F.slice(every, 1, 200), F.slice(F.filter(every, lambda x: ~is_blank(x)), 1, 50)
         top_filled = F.filter(top, lambda x: ~is_blank(x))
         logged = _count(top_filled, lambda x: x.rlike(LEVEL_WORD) | x.rlike(STAMP))
         marks = F.aggregate(
@@ -65,7 +65,7 @@ def detect(text: Column, name: Column | None = None) -> Column:
             .otherwise(verdict("plain_text", "low"))
         )
 
-    sniffed = F.element_at(F.transform(F.array(F.struct(lines(head).alias("all"))), sniff), 1)
+    sniffed = let(lines(head), sniff)
     found = (
         F.when(F.coalesce(trimmed, F.lit("")) == "", verdict("plain_text", "high"))
         .when(first.isin("{", "[") & F.try_parse_json(text).isNotNull(), verdict("json", "high"))

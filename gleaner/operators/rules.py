@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import templates as T
 from gleaner.functions.text import is_blank, is_critical
+from gleaner.sources.scratch import materialize
 
 #: Rules up to this number are broadcast (a rule is below 10 kB); more are joined by shuffle on their key.
 BROADCAST_RULES = 5_000
@@ -38,7 +39,7 @@ def matched(lines: DataFrame, rules: DataFrame, scoped: bool = False) -> DataFra
     rules = rules.filter("enabled").select(
         F.col("id").alias("rule_id"), F.col("program").alias("r_program"), F.col("subcommand").alias("r_subcommand"), "pattern", "wild", "action", "summary"
     )
-    rows = lines.withColumn("_segs", T.segments(F.col("line")))
+    rows = materialize(lines.withColumn("_segs", T.segments(F.col("line"))), "rule-lines")  # read by both joins
     side = lambda df: F.broadcast(df) if rules.count() <= BROADCAST_RULES else df
     plain = side(rules.filter(~F.col("wild")).withColumn("_key", T.join_key(F.col("pattern"))).drop("wild"))
     wild = side(rules.filter("wild").withColumn("_size", F.size("pattern")).drop("wild"))
