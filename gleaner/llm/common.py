@@ -1,75 +1,19 @@
-"""Shared pieces of the corpus operators: scratch tables, word patterns, local bindings."""
+"""Shared pieces of the corpus operators: word patterns, tables, and the scratch tables of the core library."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let
+from gleaner.sources.scratch import materialize, remove, scratch_path, shared_dir
+
+__all__ = ["SPACE", "WORD", "let", "materialize", "partitions", "remove", "scratch_path", "shared_dir", "table", "words_of"]
+
 #: White space of the word contract: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_checkpoint: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_checkpoint:
-        _own_checkpoint[app] = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
-        spark.sparkContext.setCheckpointDir(_own_checkpoint[app])
-    return _own_checkpoint[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; it is removed when this process ends."""
-    path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system, wherever it is."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            remove(spark, path)
-    except Exception:  # the session may be gone already
-        pass
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it again: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def dispose(df: DataFrame) -> None:
-    """Delete a materialized table that nothing reads any more."""
-    if path := getattr(df, "_scratch", None):
-        remove(df.sparkSession, path)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value once inside an expression. A plain reference inside a lambda would be evaluated per element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     """The words of a text (null: none), in order, as an array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
