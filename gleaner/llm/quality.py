@@ -106,37 +106,49 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
     A null text counts as empty: all its counts are 0 and it fails the length rule. Repeated rows get equal results,
     an empty table stays empty. Added columns replace input columns of the same name.
     """
-    q = docs.withColumn("_q", features(F.col(text_col).cast("string")))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed_rules", "kept")
+    # One expression for all: a filter on `kept` that the optimizer moves below must not repeat the counting.
+    out = docs.withColumn("_q", let(features(F.col(text_col).cast("string")), lambda q: let(values_of(q), lambda v: verdict(q, v, rules))))
+    return out.withColumns({name: F.col(f"_q.{name}") for name in names}).drop("_q")
+
+
+def values_of(q: Column) -> Column:
+    """The features that rules speak of, as one struct."""
     part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    n = F.col("_q.words.n_words")
-    values = {
-        "n_words": n,
-        "mean_word_chars": part(F.col("_q.word_chars"), n),
-        "symbol_word_ratio": part(F.col("_q.n_symbols"), n),
-        "exclaim_word_ratio": part(F.col("_q.words.n_exclaim_words"), n),
-        "repeat_word_ratio": part(F.col("_q.words.n_repeat_words"), n),
-        "dup_line_ratio": part(F.col("_q.lines.n_dup_lines"), F.col("_q.lines.n_lines")),
-        "stop_word_ratio": part(F.col("_q.words.n_stop_words"), n),
-    }
+    n = q["words"]["n_words"]
+    return F.struct(
+        n.cast("double").alias("n_words"),
+        part(q["word_chars"], n).alias("mean_word_chars"),
+        part(q["n_symbols"], n).alias("symbol_word_ratio"),
+        part(q["words"]["n_exclaim_words"], n).alias("exclaim_word_ratio"),
+        part(q["words"]["n_repeat_words"], n).alias("repeat_word_ratio"),
+        part(q["lines"]["n_dup_lines"], q["lines"]["n_lines"]).alias("dup_line_ratio"),
+        part(q["words"]["n_stop_words"], n).alias("stop_word_ratio"),
+    )
+
 
+def verdict(q: Column, v: Column, rules: tuple[Rule, ...]) -> Column:
     def broken(r: Rule) -> Column:
         bad = F.lit(False)
         if r.low is not None:
-            bad = bad | (values[r.feature] < r.low)
+            bad = bad | (v[r.feature] < r.low)
         if r.high is not None:
-            bad = bad | (values[r.feature] > r.high)
+            bad = bad | (v[r.feature] > r.high)
         return F.when(bad, F.lit(r.name))
 
-    return q.withColumns(
-        {
-            "n_words": n,
-            "word_chars": F.col("_q.word_chars"),
-            "n_symbols": F.col("_q.n_symbols"),
-            "n_dup_lines": F.col("_q.lines.n_dup_lines"),
-            "n_repeat_words": F.col("_q.words.n_repeat_words"),
-            "failed_rules": F.array_compact(F.array(*[broken(r) for r in rules])),
-        }
-    ).withColumn("kept", F.size("failed_rules") == 0).drop("_q")
+    failed = F.array_compact(F.array(*[broken(r) for r in rules]))
+    return let(
+        failed,
+        lambda f: F.struct(
+            q["words"]["n_words"].alias("n_words"),
+            q["word_chars"].alias("word_chars"),
+            q["n_symbols"].alias("n_symbols"),
+            q["lines"]["n_dup_lines"].alias("n_dup_lines"),
+            q["words"]["n_repeat_words"].alias("n_repeat_words"),
+            f.alias("failed_rules"),
+            (F.size(f) == 0).alias("kept"),
+        ),
+    )
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
