@@ -28,8 +28,13 @@ def write_events(events: DataFrame, path: str) -> None:
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with their corrupt rows in `_corrupt`."""
-    return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    """JSON lines with their corrupt rows in `_corrupt`; folder names like `session_id=x` are columns."""
+    rows = spark.read.text(path).filter(F.trim("value") != "")
+    folders = [c for c in rows.columns if c != "value"]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = rows.select(*folders, F.from_json("value", f"{schema}, _corrupt string", options).alias("_r"))
+    inner = [f.name for f in parsed.schema["_r"].dataType.fields if f.name not in folders]
+    return parsed.select(*folders, *[F.col(f"_r.{c}") for c in inner])
 
 
 def read_events(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:

@@ -1,0 +1,285 @@
+"""Operators on small tables."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.functions.text import CRITICAL
+from gleaner.operators import firewall, history, ir, json_summary, ledger, lessons, logs, outline, redact, reduce, reports, rules, shell, store
+from gleaner.sources import logs as files
+from gleaner.sources.tables import exploded_lines
+
+
+def lines(spark, text, doc_id=1):
+    return exploded_lines(spark.createDataFrame([(doc_id, text)], "doc_id bigint, text string"))
+
+
+def test_repeats_collapse(spark):
+    got = [r["shown"] for r in shell.collapse_repeats(lines(spark, "a\na\nb\na")).orderBy("ln").collect()]
+    assert got == ["a (x2)", "b", "a"]
+
+
+def test_head_and_tail(spark):
+    got = shell.head_tail(lines(spark, "\n".join(map(str, range(10)))), limit=5, head=2, tail=1).orderBy("ln").collect()
+    assert [r["line"] for r in got] == ["0", "1", "9"] and got[0]["omitted"] == 7
+
+
+def test_clusters_show_the_worst_first(spark):
+    text = "\n".join([f"INFO step {i}" for i in range(30)] + ["ERROR boom at a.py:3"])
+    found = logs.clusters(lines(spark, text))
+    top = logs.shown(found).orderBy("rank").collect()
+    assert top[0]["level"] == "ERROR" and top[1]["n"] == 30
+    output = logs.render(found).first()["output"]
+    assert ir.valid(output) and "ERROR boom at a.py:3" in output
+
+
+def test_redaction_round_trip_and_numbering(spark):
+    text = "password=hunter2hunter2 é token: hunter2hunter2 mail a@b.io and sk-abcdefghijklmnop1234"
+    row = redact.redacted(spark.createDataFrame([(text,), (None,)], "text string"), pii=True)
+    row = row.withColumn("back", redact.restored(F.col("redaction.text"), F.col("redaction.mapping"))).collect()
+    r = row[0]["redaction"]
+    assert row[0]["back"] == text and row[1]["redaction"]["text"] is None
+    assert r["text"].count("<secret:assigned_secret_1>") == 2 and "<secret:email_1>" in r["text"] and "<secret:openai_key_1>" in r["text"]
+    for h in r["hits"]:
+        assert text.encode()[h["start"] : h["end"]].decode() == r["mapping"][h["placeholder"]]
+
+
+@pytest.mark.parametrize("text", ["token = make_token(ttl=-1)", "password: changeme-example", "secret=<secret:jwt_1>"])
+def test_code_and_placeholders_are_no_secrets(text):
+    assert redact.redact_text(text)[1] == []
+
+
+def test_double_redaction_changes_nothing():
+    once = redact.redact_text("api_key = abcdefgh12345678")[0]
+    assert redact.redact_text(once)[0] == once
+
+
+def test_ir_round_trip(spark):
+    kv = "array<struct<k:string,v:string>>"
+    df = spark.sql(f"""SELECT cast(array(struct('a', 'x y'), struct('b', 'q"\\\\n')) as {kv}) h, cast(array(struct('n', '3')) as {kv}) f,
+      cast(array(struct('one two', array(struct('k', '')), array('body', '', '  deep'))) as array<struct<label:string,attrs:{kv},body:array<string>>>) s""")
+    text = df.select(ir.render(F.lit("log"), F.lit("cluster"), F.col("h"), F.col("f"), F.col("s"), F.lit("c1")).alias("t")).first()["t"]
+    doc = ir.parse(text)
+    assert doc["kind"] == "log" and doc["variant"] == "cluster" and doc["header"][0] == ("a", "x y") and doc["raw"] == "c1"
+    assert doc["sections"] == [{"label": "one two", "attrs": [("k", "")], "body": ["body", "", "  deep"]}]
+
+
+@pytest.mark.parametrize("text", ["", "log", "@section x\n", "@log a=\n", '@log a="x\n', "@log\nfield\n", "@log\n@what\n", "@log\n@section s\nbody\n", "@log\n@raw x\nmore: 1\n"])
+def test_malformed_ir_is_refused(text):
+    assert not ir.valid(text)
+
+
+PYTEST = """============ test session starts ============
+tests/a_test.py .F.
+================= FAILURES =================
+_______________ test_total _______________
+
+    def test_total():
+>       assert 1 == 2
+E       assert 1 == 2
+E        +  where 1 = f()
+
+tests/a_test.py:12: AssertionError
+========= short test summary info =========
+FAILED tests/a_test.py::test_total - assert 1 == 2
+========= 1 failed, 2 passed, 3 warnings in 0.12s ========="""
+
+
+def test_pytest_report(spark):
+    ls = lines(spark, PYTEST)
+    t = reports.pytest_totals(ls).first()
+    assert (t["status"], t["passed"], t["failed"], t["warnings"], t["duration"]) == ("fail", 2, 1, 3, "0.12s")
+    f = reports.pytest_failures(ls).first()
+    assert (f["name"], f["location"], f["error_type"]) == ("tests/a_test.py::test_total", "tests/a_test.py:12", "AssertionError")
+    text = reports.render_tests(reports.pytest_totals(ls), reports.pytest_failures(ls), "pytest").first()["output"]
+    assert ir.valid(text) and "tests/a_test.py:12" in text
+
+
+CARGO = """running 2 tests
+test a ... ok
+test b ... FAILED
+
+failures:
+
+---- b stdout ----
+thread 'b' panicked at src/lib.rs:10:5:
+assertion failed
+  left: 200
+ right: 401
+
+failures:
+    b
+
+test result: FAILED. 1 passed; 1 failed; 0 ignored; 0 measured; 2 filtered out; finished in 0.10s
+test result: ok. 3 passed; 0 failed; 1 ignored; 0 measured; 0 filtered out; finished in 0.25s"""
+
+
+def test_cargo_report(spark):
+    ls = lines(spark, CARGO)
+    t = reports.cargo_totals(ls).first()
+    assert (t["status"], t["passed"], t["failed"], t["ignored"], t["duration"]) == ("fail", 4, 1, 1, "0.35s")
+    f = reports.cargo_failures(ls).first()
+    assert f["name"] == "b" and f["location"] == "src/lib.rs:10:5" and "left: 200" in f["detail"]
+
+
+def test_build_errors(spark):
+    text = "error[E0433]: failed to resolve\n  --> src/a.rs:3:5\n   |\n3  | x\n   = note: expected `u8`\nerror: aborting due to 1 previous error"
+    e = reports.build_errors(lines(spark, text)).collect()
+    assert len(e) == 1 and (e[0]["code"], e[0]["location"]) == ("E0433", "src/a.rs:3:5")
+    assert reports.build_errors(lines(spark, "error: no place")).count() == 0
+
+
+JEST = """PASS src/b.test.ts
+FAIL src/a.test.ts
+  ● adds › numbers
+
+    expect(received).toBe(expected)
+
+    Expected: 3
+    Received: 4
+
+      at Object.<anonymous> (src/a.test.ts:7:20)
+
+Tests:       1 failed, 812 passed, 813 total"""
+
+
+def test_jest_report(spark):
+    ls = lines(spark, JEST)
+    t = reports.jest_totals(ls).first()
+    assert (t["status"], t["passed"], t["failed"]) == ("fail", 812, 1)
+    f = reports.jest_failures(ls).first()
+    assert f["location"] == "src/a.test.ts:7:20" and f["error_type"] == "assertion" and "Received: 4" in f["detail"]
+
+
+def test_git_status_long_and_short(spark):
+    long = "On branch main\nYour branch is ahead of 'origin/main' by 3 commits.\n\nChanges to be committed:\n  (use x)\n\tnew file:   a.py\n\nUntracked files:\n\tb.py\n"
+    got = {(r["state"], r["path"]) for r in reports.git_status(lines(spark, long)).collect()}
+    assert got == {("staged/new file", "a.py"), ("untracked/untracked", "b.py")}
+    head = reports.git_head(lines(spark, long)).first()
+    assert head["branch"] == "main" and head["ahead"] == 3
+    assert ir.valid(reports.render_status(lines(spark, long)).first()["output"])
+    short = {(r["state"], r["path"]) for r in reports.git_status(lines(spark, " M src/a.py\n?? b.py\n")).collect()}
+    assert short == {("M", "src/a.py"), ("??", "b.py")}
+
+
+def test_a_removed_line_of_dashes_counts(spark):
+    text = "diff --git a/q.sql b/q.sql\nindex 1..2\n--- a/q.sql\n+++ b/q.sql\n@@ -1,2 +1,1 @@\n--- comment\n select\n+x"
+    f = reports.git_diff(lines(spark, text)).first()
+    assert (f["added"], f["removed"], f["context"], f["kept"]) == (1, 1, 1, ["@@ -1,2 +1,1 @@", "--- comment", "+x"])
+
+
+def test_json_summary_walks_to_the_longest_array():
+    path, n, schema, samples, depth = json_summary.summary('{"a": [1], "b": {"rows": [' + ",".join('{"x": %d, "y": "s"}' % i for i in range(30)) + "]}}")
+    assert (path, n, schema, len(samples), depth) == ("b.rows", 30, ["x: number", "y: string"], 3, 4)
+    assert json_summary.summary("[1, 2") == (None,) * 5
+
+
+def test_firewall_modes(spark):
+    rows = [(1, "error at a.py:3 " + "x " * 50, "error at a.py:3", True, "none"), (2, "error at a.py:3 " + "x " * 50, "gone", False, "none"), (3, '{"a": 1,   "b": 2}', '{"a":1}', False, "json_equal"), (4, "one two", "one twq", False, "none")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, output string, lossy boolean, reparse string")
+    got = lambda mode: {r["doc_id"]: r["verdict"] for r in firewall.review(df, mode).collect()}
+    assert got("safe") == {1: "policy_disabled", 2: "invariant_lost", 3: "reparse_failed", 4: "insufficient_gain"}
+    assert got("balanced")[1] == "accepted" and set(got("observe").values()) == {"skipped"}
+    assert all(r["final"] == r["text"] for r in firewall.review(df, "safe").collect())
+
+
+def test_rules_fold_drop_and_spare_errors(spark):
+    table = rules.rule_table(spark, [("a", None, None, "npm warn deprecated {*}", "fold", "deprecations"), ("b", None, None, "npm ERR! {*}", "drop", "")])
+    got = rules.filtered(rules.matched(lines(spark, "npm warn deprecated x\nnpm warn deprecated y\n\nnpm ERR! code\nok"), table)).orderBy("ln")
+    assert [r["line"] for r in got.collect()] == ["[folded] deprecations (2 line(s))", "npm ERR! code", "ok"]
+
+
+def test_learned_lines_are_guarded(spark):
+    trash = spark.createDataFrame([(None, None, x) for x in ("npm warn deprecated package", "fatal error in module", "12 13", "kept line of text")], "program string, subcommand string, line string")
+    kept = spark.createDataFrame([("kept line of text",)], "line string")
+    got = {r["example"]: r["reason"] for r in rules.learn_lines(trash, kept).collect()}
+    assert got == {"npm warn deprecated package": None, "fatal error in module": "critical", "12 13": "too_general", "kept line of text": "matches_kept"}
+
+
+def test_block_rules_skip_blanks_and_protect():
+    found = [("b", "drop", "", tuple(lessons.shape(x) for x in ("+-----+", "| hello you |", "+-----+")))]
+    pattern = re.compile("(?i)" + CRITICAL)
+    assert lessons.filter_blocks("a\n+-----+\n\n| hello you |\n+-----+\n\nz\n", found, pattern) == ("a\nz\n", {"b": 3})
+    assert lessons.filter_blocks("+-----+\n| other |\n", found, pattern)[0] == "+-----+\n| other |\n"
+
+
+def test_lesson_markup():
+    got = list(lessons.lesson_lines('keep me\n<trash>\na b\n</trash>\n<filter-fold as="sizes">x 1</filter-fold> tail'))
+    assert [(k, c, t) for _, k, _, c, t in got] == [("plain", None, "keep me"), ("trash", None, "a b"), ("fold", "sizes", "x 1"), ("plain", None, "tail")]
+
+
+def test_generalised_shapes_stay_specific():
+    found = lessons.generalise([lessons.shape(f"downloading package {w} now") for w in ("alpha", "beta", "gamma")])
+    assert len(found) == 1 and found[0][2] == ("*", "")
+
+
+def test_previous_run_and_delta(spark):
+    runs = spark.createDataFrame([(1, "c", 0, "h"), (2, "c", 1000, "h"), (3, "c", 10**9, "h")], "run_id int, command string, ts_millis bigint, hash string")
+    got = history.previous_run(runs).collect()
+    assert [(r["run_id"], r["previous_id"], r["is_repeat"]) for r in got] == [(2, 1, True)]
+    old = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b")], "pair int, line string")
+    new = spark.createDataFrame([(1, "a  "), (1, "a"), (1, "c")], "pair int, line string")
+    r = history.delta_lines(old, new).first()
+    assert (r["unchanged"], r["added"], r["removed"]) == (2, 1, 2)
+
+
+def test_compaction_keeps_totals(spark):
+    rows = spark.createDataFrame([("run", 5, "p", "x", 10, 3, "provider"), ("run", 50, "p", "y", 7, 9, "estimated"), ("run", 6, "q", "x", 4, 4, "unavailable")], "t string, at_millis bigint, project string, program string, tokens_before bigint, tokens_after bigint, method string")
+    sums = lambda df: sorted(map(tuple, ledger.with_runs(df).groupBy("project").agg(*ledger.totals()).collect()))
+    once = ledger.compact(rows, 10)
+    assert sums(rows) == sums(once) == sums(ledger.compact(once, 100))
+
+
+def test_store(spark):
+    blobs = spark.createDataFrame([("ab" + "0" * 62,), ("ac" + "0" * 62,)], "hash string")
+    wanted = spark.createDataFrame([("a",), ("ab",), ("zz",)], "prefix string")
+    got = {r["prefix"]: (r["matches"], r["found"]) for r in store.resolve(blobs, wanted).collect()}
+    assert got["a"] == (2, None) and got["ab"][0] == 1 and got["zz"] == (0, None)
+    caps = spark.createDataFrame([(1, 10, 50), (2, 20, 50), (3, 30, 50)], "id int, created bigint, bytes bigint")
+    assert [r["id"] for r in store.evict(caps, 60).collect()] == [1, 2]
+    assert store.evict(caps, 1000).count() == 0
+
+
+def test_outline(spark):
+    text = "# c\nclass A:\n    def f(x):\n        return 1\n\n\npub(crate) async fn go() {\nint main(void) {\nx = 1\n\n\n\n\n\n"
+    got = [r["signature"] for r in outline.outline(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("ln").collect()]
+    assert got == ["class A", "    def f(x)", "pub(crate) async fn go()", "int main(void)"]
+
+
+ROBUST = ["", "\n", "\0\0", "\ufeffx", "日本語" * 50, "x" * 20_000, "test result:", "diff --git ", "commit 1234567", "{" * 200, ":" * 40, "error[E0433]", "--- FAIL: ", "a:1:\n" * 8, "On branch ", "<secret:x>", "Tests: ", "=== FAILURES === .py"]
+
+
+@pytest.mark.parametrize("mode", ["safe", "balanced", "observe"])
+def test_the_reduction_never_fails_and_keeps_what_it_rejects(spark, mode):
+    texts = ROBUST + [PYTEST, CARGO, JEST, "\n".join(f"2024-01-02 03:04:{i % 60:02d} INFO request {i} ok" for i in range(100)), '{\n "a": [\n 1,\n 2\n ],\n "b": "x"\n}']
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1000, PYTEST)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in reduce.reduce(docs, mode).collect()}
+    assert len(got) == len(texts) + 1
+    for k, text in enumerate(texts):
+        assert got[k]["transformer"] is not None or got[k]["output"] == redact.redact_text(text)[0]
+        assert got[k]["tokens_after"] <= got[k]["tokens_before"]
+    n = len(ROBUST)
+    if mode == "observe":
+        assert all(r["transformer"] is None for r in got.values())
+    else:
+        assert got[n]["transformer"] == got[1000]["transformer"] == "test.pytest" and got[n + 1]["transformer"] == "test.cargo" and got[n + 4]["transformer"] == "json.structural"
+        assert (got[n + 3]["transformer"] == "log.cluster") == (mode == "balanced")
+
+
+def test_event_files(spark, tmp_path):
+    path = str(tmp_path / "events")
+    df = spark.createDataFrame([("e_1", "s1", 5), ("e_2", "s2", 6)], "id string, session_id string, ts_millis bigint")
+    files.write_events(df, path)
+    (tmp_path / "events" / "session_id=s1" / "torn.json").write_text('{"id": "e_3"\n')
+    assert files.read_events(spark, path).count() == 2
+    assert [r["session_id"] for r in files.sessions(files.read_events(spark, path)).collect()] == ["s2", "s1"]
+    assert files.find_event(files.read_events(spark, path), "e_").first()["id"] == "e_2"
+    row = files.corrupt_count(files.read_lines(spark, path, files.EVENT_SCHEMA)).first()
+    assert (row["records"], row["skipped"]) == (2, 1)
+
+
+def test_rules_of_a_newer_version_are_refused(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"version": 9, "id": "x"}\n')
+    with pytest.raises(Exception, match="newer version"):
+        files.read_rules(spark, str(tmp_path)).collect()
