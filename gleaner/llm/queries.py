@@ -17,4 +17,51 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LINE_WORD = r"[^\x20\x09-\x0D]"
+_STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+
+
+def _rules_sql() -> str:
+    """The names of the rules that a row of features breaks."""
+    tests = []
+    for r in quality.RULES:
+        bad = [f"{r.feature} < {r.low}"] * (r.low is not None) + [f"{r.feature} > {r.high}"] * (r.high is not None)
+        tests.append(f"CASE WHEN {' OR '.join(bad)} THEN '{r.name}' END")
+    return f"list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL)"
+
+
+#: The other operators are beyond SQL: tokenizer ids, trained models, 64-bit shingle hashes, keyed rounding, approximate search.
+ORACLE_SQL: dict[str, str] = {
+    "op3_sharding": """
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS tbl),
+b AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], bytes), lambda acc, x: xor(acc // 256, tbl[(xor(acc, x) % 256) + 1]::BIGINT)))::BIGINT AS text_crc32 FROM b, t),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM c),
+g AS (SELECT *, least(15, ((2 * upto - size) * 16) // (2 * total))::INTEGER AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM g""",
+    "op8_chat": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 18 AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
+    "op9_quality": f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_LINE_WORD}+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_LINE_WORD}')) AS ls FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 4]) AS n FROM g) WHERE n > 1),
+k AS (SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n_repeat_words FROM r, range(5) AS o(j) GROUP BY doc_id),
+f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines,
+  len(list_filter(ws, lambda x: x IN ({_STOP}))) AS n_stop, len(list_filter(ws, lambda x: ends_with(x, '!!'))) AS n_loud FROM w LEFT JOIN k USING (doc_id)),
+v AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_word_ratio,
+  CASE WHEN n_words > 0 THEN n_loud / n_words ELSE 0 END AS exclaim_word_ratio, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_word_ratio,
+  CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio, CASE WHEN n_words > 0 THEN n_stop / n_words ELSE 0 END AS stop_word_ratio FROM f),
+d AS (SELECT *, {_rules_sql()} AS failed, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM d""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4 * 5 + 1)::INTEGER, 5))::BIGINT // (32 ** (3 - i % 4))::BIGINT) % 32 + 1)::INTEGER, 1)), '') AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM m""",
+}
