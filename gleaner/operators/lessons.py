@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import templates as T
@@ -146,9 +146,14 @@ def generalise(shapes: list[tuple]) -> list[tuple]:
 
 
 def generalised(lines: DataFrame) -> DataFrame:
-    """Generalised shapes of marked lines by scope: program, subcommand, canonical. A group is one lesson's scope; at most
-    MAX_SHAPES distinct shapes of it take part."""
-    distinct = lines.select("program", "subcommand", "line", T.canonical(T.segments(F.col("line"))).alias("c")).dropDuplicates(["program", "subcommand", "c"])
+    """Generalised shapes of marked lines by scope: program, subcommand, canonical.
+
+    The MAX_SHAPES most frequent shapes of a scope take part, so a group that one task gets is small whatever the input.
+    """
+    shapes = lines.select("program", "subcommand", "line", T.canonical(T.segments(F.col("line"))).alias("c")).filter(F.col("c").isNotNull())
+    counted = shapes.groupBy("program", "subcommand", "c").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    order = Window.partitionBy("program", "subcommand").orderBy(F.desc("n"), "c")
+    distinct = counted.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= MAX_SHAPES)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = generalise([shape(x) for x in rows["line"]])

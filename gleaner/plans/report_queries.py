@@ -77,10 +77,10 @@ def test_report_cargo(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def diff_lines(spark, sf_dir):  # noqa: ANN001, ANN201
-    """The line items of a customer segment and status as a diff: a file per order, R lines come, A lines go."""
-    li = read(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 1")
+    """The line items as diffs, a document for each of 1,000 keys: a file per order, R lines come, A lines go."""
+    li = read(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_returnflag") == "R", "+").when(F.col("l_returnflag") == "A", "-").otherwise(" ")
-    body = li.select((F.col("l_orderkey") % 20).alias("doc_id"), "l_orderkey", (F.col("l_linenumber") + 4).alias("k"), F.concat(kind, F.lit("- item "), F.col("l_partkey").cast("string")).alias("line"), F.col("l_suppkey").alias("s"))
+    body = li.select((F.col("l_orderkey") % 1000).alias("doc_id"), "l_orderkey", (F.col("l_linenumber") + 4).alias("k"), F.concat(kind, F.lit("- item "), F.col("l_partkey").cast("string")).alias("line"), F.col("l_suppkey").alias("s"))
     tops = body.select("doc_id", "l_orderkey").distinct()
     name = F.concat(F.lit("o/"), F.col("l_orderkey").cast("string"))
     heads = F.array(F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name), F.lit("index 1..2 100644"), F.concat(F.lit("--- a/"), name), F.concat(F.lit("+++ b/"), name), F.lit("@@ -1 +1 @@"))
@@ -89,8 +89,8 @@ def diff_lines(spark, sf_dir):  # noqa: ANN001, ANN201
     return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("l_orderkey", "k", "s", "line")).alias("ln"), "line")
 
 
-@query("""SELECT l_orderkey % 20 AS doc_id, concat('o/', l_orderkey::VARCHAR) AS path, count(*) FILTER (l_returnflag = 'R') AS added, count(*) FILTER (l_returnflag = 'A') AS removed, count(*) FILTER (l_returnflag = 'N') AS context,
-    (count(*) FILTER (l_returnflag <> 'N') + 1)::BIGINT AS changed FROM lineitem WHERE l_orderkey % 50 = 1 GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey % 1000 AS doc_id, concat('o/', l_orderkey::VARCHAR) AS path, count(*) FILTER (l_returnflag = 'R') AS added, count(*) FILTER (l_returnflag = 'A') AS removed, count(*) FILTER (l_returnflag = 'N') AS context,
+    (count(*) FILTER (l_returnflag <> 'N') + 1)::BIGINT AS changed FROM lineitem GROUP BY l_orderkey""")
 def git_diff_files(spark, sf_dir):  # noqa: ANN001, ANN201
     return reports.git_diff(diff_lines(spark, sf_dir)).select("doc_id", "path", "added", "removed", "context", "changed")
 
@@ -157,11 +157,11 @@ def outline_declarations(spark, sf_dir):  # noqa: ANN001, ANN201
     return outline.outline(p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
 
 
-@query(f"""WITH {S.LINES}, t AS (SELECT source AS program, array_to_string({S.segments('line')}, ' ') AS canonical, line, ln, len({S.segments('line')}) AS n FROM lines WHERE lang = 'en' AND starts_with(line, 'Licensed'))
+@query(f"""WITH {S.LINES}, t AS (SELECT source AS program, array_to_string({S.segments('line')}, ' ') AS canonical, line, ln, len({S.segments('line')}) AS n FROM lines WHERE starts_with(line, 'Licensed'))
   SELECT program, canonical, count(*) AS examples, min(line) AS example FROM t GROUP BY ALL""")
 def learn_lines(spark, sf_dir):  # noqa: ANN001, ANN201
     """Line rules that license lines teach, by source."""
-    rows = exploded_lines(read(spark, sf_dir, "documents").filter("lang = 'en'"), ("doc_id", "source"))
+    rows = exploded_lines(read(spark, sf_dir, "documents"), ("doc_id", "source"))
     trash = rows.filter(F.col("line").startswith("Licensed")).select(F.col("source").alias("program"), F.lit(None).cast("string").alias("subcommand"), "line")
     kept = rows.filter(F.col("line") == "no such line").select("line")
     return rules.learn_lines(trash, kept).select("program", "canonical", "examples", "example")
@@ -169,9 +169,8 @@ def learn_lines(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def learn_generalised(spark, sf_dir):  # noqa: ANN001, ANN201
     """Generalised shapes of the log lines of each type."""
-    e = applog(spark, sf_dir).withColumn("_n", F.row_number().over(Window.partitionBy("event_type", "doc_id").orderBy("ln")))
-    first = e.filter("_n = 1").select(F.col("event_type").alias("program"), F.lit(None).cast("string").alias("subcommand"), "line")
-    return lessons.generalised(first)
+    rows = applog(spark, sf_dir).select(F.col("event_type").alias("program"), F.lit(None).cast("string").alias("subcommand"), "line")
+    return lessons.generalised(rows)
 
 
 QUERIES["learn_generalised"] = learn_generalised

@@ -220,10 +220,10 @@ def token_class_histogram(spark, sf_dir):  # noqa: ANN001, ANN201
     return w.groupBy(F.coalesce(T.token_class(F.col("w")), F.lit("")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {S.LINES}, w AS (SELECT unnest(string_split_regex(line, '[ ]+')) AS w FROM lines WHERE lang = 'en'), s AS (SELECT regexp_replace(w, '{S.TRAILING}', '') AS t FROM w WHERE w <> '')
+@query(f"""WITH {S.LINES}, w AS (SELECT unnest(string_split_regex(line, '[ ]+')) AS w FROM lines), s AS (SELECT regexp_replace(w, '{S.TRAILING}', '') AS t FROM w WHERE w <> '')
   SELECT coalesce({S.token_class('t')}, '') AS class, count(*) AS n FROM s GROUP BY 1""")
 def token_class_documents(spark, sf_dir):  # noqa: ANN001, ANN201
-    rows = exploded_lines(read(spark, sf_dir, "documents").filter("lang = 'en'"))
+    rows = exploded_lines(read(spark, sf_dir, "documents"))
     w = rows.select(F.explode(T.tokens(F.col("line"))).alias("w"))
     return w.groupBy(F.coalesce(T.token_class(F.col("w")), F.lit("")).alias("class")).agg(F.count("*").alias("n"))
 
