@@ -11,10 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, partitions, table
 
 #: Cells with more fingerprints than this are not paired; their members are linked through one-bit segments instead.
 CELL_PAIRS = 64
+#: Cells that one task makes at most, so that its partial sums stay in memory.
+CELLS_PER_TASK = 1_500_000
 #: Crowded cells are broadcast up to this size, and joined by shuffle beyond it.
 BROADCAST_BYTES = 64 << 20
 
@@ -117,7 +119,7 @@ def components(edges: DataFrame) -> DataFrame:
         if large:
             both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-            out = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b")
+            out = e.join(least, "a").select(F.col("m").alias("a"), "b")  # of a node's neighbours only the larger ones move
         else:
             least = e.groupBy("b").agg(F.min("a").alias("m"))
             out = e.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
@@ -181,21 +183,29 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
 
 
-def similar_links(marks: DataFrame, similarity: float = 0.8, words: int = 6, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+def similar_links(marks: DataFrame, similarity: float = 0.8, words: int = 6, cell_pairs: int = 4) -> DataFrame:
     """Links (a, b) between rows of `marks` (node, sig) whose shingle sets have about the similarity or more.
 
     Every half of a signature's words is a table of 32-bit points. With segments of one bit the grid is the cube itself:
     points at distance 2 or less meet in a cell at distance 1 from both. Two shingle sets of similarity 0.8 differ in
     15 % of their bits, and meet in one of the tables with a probability of 0.77 (0.93 at 0.85, 0.99 at 0.9). Pairs that
-    meet are verified by the exact distance of their whole signatures. Crowded cells link each member to the least one.
+    meet are verified by the exact distance of their whole signatures.
+
+    Nodes of one point are linked to the least of them, which stands for the point in the grid; members of a cell of more
+    than `cell_pairs` points are linked to its least one. So candidates grow with the nodes, not with pairs of a group.
     """
     similarity = min(similarity, 0.999)
     limit = int(64 * words * (math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.02))
     halves = F.flatten(F.transform("sig", lambda w: F.array(w.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(w, 32))))
-    points = marks.select("node", F.posexplode(halves).alias("t", "p"))
-    points = points.select("node", F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("p")).alias("p"))
+    members = marks.select("node", F.posexplode(halves).alias("t", "p"))
+    members = members.select("node", F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("p")).alias("p"))
+    points = materialize(members.groupBy("p").agg(F.min("node").alias("node"), F.count("*").alias("n")), "similar-points")
+    shared = points.filter("n > 1").select("p", F.col("node").alias("a"))
+    equal = members.join(shared, "p").filter(F.col("node") > F.col("a")).select("a", F.col("node").alias("b"))
+
     near = F.array(F.col("p"), *[F.col("p").bitwiseXOR(F.lit(1 << k).cast("long")) for k in range(32)])
-    dealt = points.select("node", F.explode(near).alias("cell"))
+    tasks = max(partitions(marks.sparkSession), -(-points.count() * 33 // CELLS_PER_TASK))
+    dealt = points.select("node", "p").repartition(tasks).select("node", F.explode(near).alias("cell"))
     cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("n > 1")
     cells = materialize(cells, "similar-cells")
     two = cells.filter("n = 2").select("a", "b")
@@ -206,7 +216,7 @@ def similar_links(marks: DataFrame, similarity: float = 0.8, words: int = 6, cel
     left, right = few.withColumnRenamed("node", "a"), few.withColumnRenamed("node", "b")
     pairs = left.join(right, (left.cell == right.cell) & (F.col("a") < F.col("b"))).select("a", "b")
     stars = more.filter((F.col("n") > cell_pairs) & (F.col("node") > F.col("a"))).select("a", F.col("node").alias("b"))
-    found = materialize(two.unionByName(pairs).unionByName(stars).distinct(), "similar-pairs")
+    found = materialize(two.unionByName(pairs).unionByName(stars).unionByName(equal).distinct(), "similar-pairs")
     one, other = marks.select(F.col("node").alias("a"), F.col("sig").alias("_a")), marks.select(F.col("node").alias("b"), F.col("sig").alias("_b"))
     return found.join(one, "a").join(other, "b").filter(distance(F.col("_a"), F.col("_b")) <= limit).select("a", "b")
 
