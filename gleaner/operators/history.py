@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import age_text
+
 WITHIN_MILLIS = 6 * 3600 * 1000
 
 
@@ -40,3 +42,15 @@ def delta_lines(old: DataFrame, new: DataFrame) -> DataFrame:
 def delta_worth(deltas: DataFrame) -> DataFrame:
     """A delta is shown only if something stayed and less was added than stayed."""
     return deltas.withColumn("worth", (F.col("unchanged") > 0) & (F.col("added") < F.col("unchanged")))
+
+
+def repeat_candidates(pairs: DataFrame) -> DataFrame:
+    """The text that replaces a repeated output: a pointer to the run before (rows of `previous_run`)."""
+    text = F.concat(F.lit("@repeat of="), F.col("previous_id").cast("string"), F.lit("\nseen: "), age_text(F.col("age_millis")), F.lit("\n"))
+    return pairs.filter("is_repeat").select("run_id", text.alias("output"))
+
+
+def delta_candidates(deltas: DataFrame) -> DataFrame:
+    """The head of a delta that is worth it (rows of `delta_worth`)."""
+    count = lambda c: F.concat(F.lit(f"{c}: "), F.col(c).cast("string"), F.lit("\n"))
+    return deltas.filter("worth").select("pair", F.concat(F.lit("@delta lines\n"), count("unchanged"), count("added"), count("removed")).alias("output"))

@@ -96,3 +96,17 @@ def transformer_stats(records: DataFrame) -> DataFrame:
         F.sum("tokens_before").cast("bigint").alias("tokens_before"),
         F.sum(after).cast("bigint").alias("tokens_after"),
     )
+
+
+def lifetime(rows: DataFrame) -> DataFrame:
+    """Totals over everything, by program and by method in one pass; `level` tells which grouping a row is."""
+    g = with_runs(rows).groupingSets([[], ["program"], ["method"]], "program", "method")
+    out = g.agg(*totals(), F.min("at_millis").alias("first_millis"), F.max("at_millis").alias("last_millis"), F.grouping_id().cast("bigint").alias("level"))
+    return out.select(F.coalesce("program", F.lit("*")).alias("program"), F.coalesce("method", F.lit("*")).alias("method"), "level", "runs", "tokens_before", "tokens_after", "saved", "first_millis", "last_millis")
+
+
+def replay(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """What was recorded against what the reduction makes of the originals today (doc_id, tokens_before, tokens_after)."""
+    now = recomputed.select("doc_id", F.col("tokens_after").alias("_now"))
+    both = recorded.join(now, "doc_id")
+    return both.agg(F.count("*").alias("events"), F.sum("tokens_before").alias("before"), F.sum("tokens_after").alias("recorded"), F.sum("_now").alias("recomputed"))

@@ -138,3 +138,27 @@ def merge_sets(a: DataFrame, b: DataFrame) -> DataFrame:
 def prune(rules: DataFrame, now_millis: int, days: int) -> DataFrame:
     """The rules that stay: those with hits and those younger than so many days."""
     return rules.filter((F.col("hits") > 0) | (F.col("created_millis") >= now_millis - days * 86_400_000))
+
+
+def set_enabled(rules: DataFrame, ids: list[str], enabled: bool) -> DataFrame:
+    return rules.withColumn("enabled", F.when(F.col("id").isin(*ids), F.lit(enabled)).otherwise(F.col("enabled")))
+
+
+def resolve(rules: DataFrame, prefix: str) -> DataFrame:
+    """The rule whose id is the prefix, or the only one that begins with it; else nothing."""
+    hits = rules.filter(F.col("id").startswith(prefix))
+    exact = F.max((F.col("id") == prefix).cast("int")).over(Window.partitionBy(F.lit(1)))
+    some = hits.withColumn("_exact", exact).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))
+    return some.filter((F.col("id") == prefix) | ((F.col("_exact") == 0) & (F.col("_n") == 1))).drop("_exact", "_n")
+
+
+def retire(rules: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rules without wildcards that match a line which must stay (line) are switched off."""
+    clash = kept.select(T.join_key(T.segments(F.col("line"))).alias("_key")).distinct().withColumn("_hit", F.lit(True))
+    out = rules.withColumn("_key", T.join_key(F.col("pattern"))).join(clash, "_key", "left")
+    return out.withColumn("enabled", F.col("enabled") & ~F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+
+
+def top(rules: DataFrame, limit: int = 30) -> DataFrame:
+    """A report of the rules that saved most."""
+    return rules.orderBy(F.desc("tokens_saved"), "id").limit(limit)

@@ -74,3 +74,21 @@ def evict(capsules: DataFrame, max_bytes: int) -> DataFrame:
     own = Window.partitionBy("_block").orderBy("created", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = blocks.join(sums, "_block").withColumn("_gone", F.col("_before") + F.coalesce(F.sum("bytes").over(own), F.lit(0)))
     return rows.filter(F.lit(total) - F.col("_gone") > max_bytes).select(*capsules.columns)
+
+
+def retrieve(capsules: DataFrame, level: int, raw_allowed: bool = False) -> DataFrame:
+    """The best stored level up to `level` (levels: map of level to text), else the original.
+
+    The original of a secret capsule is withheld unless allowed, also where it would only be the fallback.
+    """
+    keys = F.filter(F.map_keys("levels"), lambda k: k <= level)
+    best = F.array_max(keys)
+    raw = (F.lit(level) >= 4) | best.isNull()
+    withheld = raw & (F.col("sensitivity") == "secret") & F.lit(not raw_allowed)
+    text = F.when(withheld, None).when(raw, F.col("raw")).otherwise(F.element_at("levels", best))
+    return capsules.withColumn("content", text).withColumn("withheld", withheld)
+
+
+def newest(capsules: DataFrame, limit: int = 20) -> DataFrame:
+    """A report of the newest capsules."""
+    return capsules.orderBy(F.desc("created"), "id").limit(limit)

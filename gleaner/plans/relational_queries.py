@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import invariants as I
 from gleaner.functions import text as X
-from gleaner.operators import firewall, history, ledger, redact, rules, store
+from gleaner.operators import firewall, history, ledger, redact, rules, store, suggest
 from gleaner.sources.tables import applog, exploded_lines, read, usage
 
 from . import sql_views as S
@@ -329,3 +329,41 @@ def redact_restore(spark, sf_dir):  # noqa: ANN001, ANN201
     """Restoring gives the original back, for every text."""
     out = redact.redacted(read(spark, sf_dir, "documents").select("doc_id", "text"), pii=True)
     return out.select("doc_id", redact.restored(F.col("redaction.text"), F.col("redaction.mapping")).alias("text"))
+
+
+@query(f"""WITH {S.USAGE} SELECT coalesce(program, '*') AS program, coalesce(method, '*') AS method, grouping(program, method)::BIGINT AS level, {_SUMS}, min(at_millis) AS first_millis, max(at_millis) AS last_millis
+  FROM usage GROUP BY GROUPING SETS ((), (program), (method))""")
+def usage_lifetime_sets(spark, sf_dir):  # noqa: ANN001, ANN201
+    return ledger.lifetime(usage(spark, sf_dir))
+
+
+@query(f"""WITH {_RUNS}, p AS (SELECT *, lag(run_id) OVER w AS previous_id, lag(hash) OVER w AS previous_hash, ts_millis - lag(ts_millis) OVER w AS age FROM runs WINDOW w AS (PARTITION BY command ORDER BY ts_millis, run_id))
+  SELECT run_id, concat('@repeat of=', previous_id::VARCHAR, chr(10), 'seen: ', CASE WHEN age // 60000 < 1 THEN 'just now' WHEN age // 60000 = 1 THEN 'a minute ago' WHEN age // 60000 < 60 THEN concat((age // 60000)::VARCHAR, 'm ago')
+    ELSE concat((age // 3600000)::VARCHAR, 'h ago') END, chr(10)) AS output FROM p WHERE age <= 21600000 AND hash = previous_hash""")
+def repeat_candidates(spark, sf_dir):  # noqa: ANN001, ANN201
+    return history.repeat_candidates(history.previous_run(_runs(spark, sf_dir)))
+
+
+@query(f"""WITH {S.LINES}, s AS (SELECT source AS scope, doc_id AS run, ln, line, array_to_string({S.segments('line')}, ' ') AS shape, {S.tokens('line')} AS tok, len({S.segments('line')}) AS n FROM lines WHERE trim(line) <> '' AND NOT {S.critical('line')}),
+    o AS (SELECT source AS scope, count(*) AS of_runs FROM documents GROUP BY source),
+    g AS (SELECT scope, shape, count(DISTINCT run) AS runs, count(*) AS lines, sum(tok)::BIGINT AS tokens, min_by(line, {{'a': run, 'b': ln}}) AS example FROM s WHERE n BETWEEN 1 AND 64 GROUP BY scope, shape)
+  SELECT scope, shape, runs, lines, tokens, example, of_runs FROM g JOIN o USING (scope) WHERE runs >= 2""")
+def suggest_shapes(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = exploded_lines(read(spark, sf_dir, "documents"), ("doc_id", "source"))
+    return suggest.suggestions(rows.withColumnsRenamed({"source": "scope", "doc_id": "run"}))
+
+
+def suggest_drafts(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A draft lesson for each source."""
+    return suggest.draft(suggest_shapes(spark, sf_dir))
+
+
+QUERIES["suggest_drafts"] = suggest_drafts
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN NULL WHEN doc_id % 3 = 0 THEN substr(text, 1, 20) ELSE text END AS content, doc_id % 5 = 0 AND doc_id % 3 <> 0 AS withheld FROM documents""")
+def capsule_retrieve(spark, sf_dir):  # noqa: ANN001, ANN201
+    d = read(spark, sf_dir, "documents")
+    levels = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit(1), F.substring("text", 1, 20))).otherwise(F.create_map().cast("map<int,string>"))
+    capsules = d.select("doc_id", F.col("text").alias("raw"), levels.alias("levels"), F.when(F.col("doc_id") % 5 == 0, "secret").otherwise("public").alias("sensitivity"))
+    return store.retrieve(capsules, 2).select("doc_id", "content", "withheld")

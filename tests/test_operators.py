@@ -283,3 +283,12 @@ def test_rules_of_a_newer_version_are_refused(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"version": 9, "id": "x"}\n')
     with pytest.raises(Exception, match="newer version"):
         files.read_rules(spark, str(tmp_path)).collect()
+
+
+def test_rule_tables_change(spark):
+    table = rules.rule_table(spark, [("flt_a", None, None, "npm warn deprecated package", "drop", ""), ("flt_ab", None, None, "added lots of packages", "drop", "")])
+    kept = spark.createDataFrame([("npm warn deprecated package",)], "line string")
+    assert {r["id"]: r["enabled"] for r in rules.retire(table, kept).collect()} == {"flt_a": False, "flt_ab": True}
+    assert [r["id"] for r in rules.resolve(table, "flt_a").collect()] == ["flt_a"]
+    assert rules.resolve(table, "flt_").count() == 0 and rules.resolve(table, "flt_ab").count() == 1
+    assert not any(r["enabled"] for r in rules.set_enabled(table, ["flt_a", "flt_ab"], False).collect())
