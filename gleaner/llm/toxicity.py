@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: Character classes: 0 is the border of a word, 1 to 26 a to z, then accented letters and all other letters.
 CLASSES = 40
@@ -248,12 +248,18 @@ def fold(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, octets: int = SAMPLE_BYTES) -> DataFrame:
     """(text, toxic): a bounded sample of the labelled rows outside the held-out fold, in the order of a hash."""
     known = labels.filter(F.col("toxic").isin(0, 1) & (F.coalesce(fold(F.col("doc_id")), F.lit(1)) != 1)).select("doc_id", "toxic")
-    known = known.dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.filter(F.octet_length("text") <= octets).select("doc_id", "text")
+    ids = texts.select("doc_id").join(known, "doc_id").select("doc_id", "toxic").distinct()
+    ids = materialize(ids.withColumn("_h", F.xxhash64("doc_id", F.lit(17))), "toxicity-labelled")
+    # of many rows only those with a small hash, four times as many as wanted, are ranked
+    some = F.lit(False)
+    for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect():  # two rows
+        share = min(1.0, 4 * rows / r["n"])
+        some = some | ((F.col("toxic") == r["toxic"]) & (F.pmod("_h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))))
+    by = Window.partitionBy("toxic").orderBy("_h", "doc_id")
+    ids = ids.filter(some).withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= rows).select("doc_id", "toxic")
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text")
-    ids = texts.select("doc_id", F.octet_length("text").alias("_n")).join(known, "doc_id").select("doc_id", "toxic").distinct()
-    by = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
-    ids = ids.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= rows).drop("_n")
     picked = texts.join(F.broadcast(ids), "doc_id").withColumn("_n", F.row_number().over(order))
     return picked.filter(F.col("_n") <= rows).select("text", "toxic").orderBy("_n", "toxic")
 
