@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from gleaner.llm import mixing, quality, sharding, simhash
 
