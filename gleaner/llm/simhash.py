@@ -184,18 +184,20 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def similar_links(marks: DataFrame, similarity: float = 0.8, words: int = 6, cell_pairs: int = 4) -> DataFrame:
-    """Links (a, b) between rows of `marks` (node, sig) whose shingle sets have about the similarity or more.
+    """Candidate links (a, b) between rows of `marks` (node, sig) whose shingle sets may have the similarity.
 
     Every half of a signature's words is a table of 32-bit points. With segments of one bit the grid is the cube itself:
     points at distance 2 or less meet in a cell at distance 1 from both. Two shingle sets of similarity 0.8 differ in
     15 % of their bits, and meet in one of the tables with a probability of 0.77 (0.93 at 0.85, 0.99 at 0.9). Pairs that
-    meet are verified by the exact distance of their whole signatures.
+    meet are candidates if the distance of their whole signatures is at most four standard deviations above the mean at
+    this similarity; `verified` decides on the sets themselves.
 
     Nodes of one point are linked to the least of them, which stands for the point in the grid; members of a cell of more
     than `cell_pairs` points are linked to its least one. So candidates grow with the nodes, not with pairs of a group.
     """
     similarity = min(similarity, 0.999)
-    limit = int(64 * words * (math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.02))
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    limit = int(64 * words * share + 4 * math.sqrt(64 * words * share * (1 - share)))
     halves = F.flatten(F.transform("sig", lambda w: F.array(w.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(w, 32))))
     members = marks.select("node", F.posexplode(halves).alias("t", "p"))
     members = members.select("node", F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("p")).alias("p"))
@@ -221,17 +223,41 @@ def similar_links(marks: DataFrame, similarity: float = 0.8, words: int = 6, cel
     return found.join(one, "a").join(other, "b").filter(distance(F.col("_a"), F.col("_b")) <= limit).select("a", "b")
 
 
+def shingle_sets(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the distinct shingle hashes of every row, as an array of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                cut = batch.slice(at, 64)
+                out = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in cut.column(1)]
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of ids of `docs` whose exact Jaccard similarity of shingle sets is `similarity` or more."""
+    pairs = materialize(pairs.distinct(), "similar-candidates")
+    named = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
+    sets = materialize(shingle_sets(docs.join(named, id_col, "left_semi"), width, id_col, text_col), "similar-sets")
+    one, other = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_b"))
+    both = pairs.join(one, "a").join(other, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
+    return both.filter(F.col("_n") >= similarity * (F.size("_a") + F.size("_b") - F.col("_n")) - 1e-9).select("a", "b")
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id; of repeated rows, one.
 
-    Groups are the components of `similar_links` over word shingles; rows of one signature are one node. Null, empty and
-    wordless texts are one group. Rows with a null id stay only in groups without any id, one in each. An empty table
+    Groups are the components of the links of exact Jaccard similarity `similarity` or more between sets of word shingles,
+    among the candidates of `similar_links`; rows of one signature are one node. Null, empty and wordless texts are one group. Rows with a null id stay only in groups without any id, one in each. An empty table
     stays empty. The columns are those of `docs`; `_row` must not be among them.
     """
     numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
     rows = materialize(signatures(numbered, width, id_col="_row", text_col=text_col), "simhash-signatures")
     marks = materialize(rows.groupBy("sig").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    roots = components(similar_links(marks, similarity))
+    roots = components(verified(similar_links(marks, similarity), numbered, width, similarity, "_row", text_col))
     nodes = marks.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
     ids = numbered.select(F.col("_row").alias("doc_id"), F.col(id_col).alias("_id"))
     best = rows.join(nodes, "sig").select("doc_id", "root").join(ids, "doc_id").groupBy("root").agg(

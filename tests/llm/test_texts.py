@@ -192,3 +192,14 @@ def test_one_of_each_group_stays(spark):
     rows += [(None, None, "s"), (900, "", "s"), (None, " ".join(base[0]), "s"), (0, rows[1][1], "s")]
     kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).toPandas()
     assert sorted(kept.doc_id) == [*range(12), 900]
+
+
+def test_documents_below_the_similarity_stay(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(40):  # 171 of 221 shingles are common: 0.77
+        words = [word() for _ in range(200)]
+        rows += [(k, " ".join(words), "s"), (100 + k, " ".join(word() if i in (30, 60, 90, 120, 150) else w for i, w in enumerate(words)), "s")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    assert sorted(kept.doc_id) == sorted(d for d, _, _ in rows)
