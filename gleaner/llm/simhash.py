@@ -11,14 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table
+from .common import materialize, table
 
 #: Cells with more fingerprints than this are not paired; their members are linked through one-bit segments instead.
 CELL_PAIRS = 64
-#: Cells that one task makes at most, so that its partial sums stay in memory.
-CELLS_PER_TASK = 1_500_000
-#: Crowded cells are broadcast up to this size, and joined by shuffle beyond it.
-BROADCAST_BYTES = 64 << 20
+#: Shingles sorted by count are those that so many of a task's rows have, and the most frequent of them. The rest are sorted
+#: by hash: these bounds decide on the cost of the search for similar sets, and on no result. Hashes that a task holds to count.
+OFTEN, ORDERED, HELD = 3, 1 << 19, 4_000_000
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -155,74 +154,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 4, id_col: str
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another hash of the same shingles: a bijective mix of the first one with the number k."""
-    with np.errstate(over="ignore"):
-        x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def signatures(docs: DataFrame, width: int = 5, words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and `words` independent 64-bit fingerprints of the distinct shingles of every row, as an array of longs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t in batch.column(1):
-                hashes = np.unique(shingle_hashes(t.as_py(), width))
-                out.append(np.array([majority(mixed(hashes, k)) for k in range(words)], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "sig"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, sig array<long>")
-
-
-def distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-
-
-def similar_links(marks: DataFrame, similarity: float = 0.8, words: int = 6, cell_pairs: int = 4) -> DataFrame:
-    """Candidate links (a, b) between rows of `marks` (node, sig) whose shingle sets may have the similarity.
-
-    Every half of a signature's words is a table of 32-bit points. With segments of one bit the grid is the cube itself:
-    points at distance 2 or less meet in a cell at distance 1 from both. Two shingle sets of similarity 0.8 differ in
-    15 % of their bits, and meet in one of the tables with a probability of 0.77 (0.93 at 0.85, 0.99 at 0.9). Pairs that
-    meet are candidates if the distance of their whole signatures is at most four standard deviations above the mean at
-    this similarity; `verified` decides on the sets themselves.
-
-    Nodes of one point are linked to the least of them, which stands for the point in the grid; members of a cell of more
-    than `cell_pairs` points are linked to its least one. So candidates grow with the nodes, not with pairs of a group.
-    """
-    similarity = min(similarity, 0.999)
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    limit = int(64 * words * share + 4 * math.sqrt(64 * words * share * (1 - share)))
-    halves = F.flatten(F.transform("sig", lambda w: F.array(w.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(w, 32))))
-    members = marks.select("node", F.posexplode(halves).alias("t", "p"))
-    members = members.select("node", F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("p")).alias("p"))
-    points = materialize(members.groupBy("p").agg(F.min("node").alias("node"), F.count("*").alias("n")), "similar-points")
-    shared = points.filter("n > 1").select("p", F.col("node").alias("a"))
-    equal = members.join(shared, "p").filter(F.col("node") > F.col("a")).select("a", F.col("node").alias("b"))
-
-    near = F.array(F.col("p"), *[F.col("p").bitwiseXOR(F.lit(1 << k).cast("long")) for k in range(32)])
-    tasks = max(partitions(marks.sparkSession), -(-points.count() * 33 // CELLS_PER_TASK))
-    dealt = points.select("node", "p").repartition(tasks).select("node", F.explode(near).alias("cell"))
-    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("n > 1")
-    cells = materialize(cells, "similar-cells")
-    two = cells.filter("n = 2").select("a", "b")
-    crowd = cells.filter("n > 2").select("cell", "n", "a")
-    small = crowd.count() * 24 <= BROADCAST_BYTES
-    more = materialize(dealt.join(F.broadcast(crowd) if small else crowd, "cell"), "similar-crowd")
-    few = more.filter(F.col("n") <= cell_pairs).select("cell", "node")
-    left, right = few.withColumnRenamed("node", "a"), few.withColumnRenamed("node", "b")
-    pairs = left.join(right, (left.cell == right.cell) & (F.col("a") < F.col("b"))).select("a", "b")
-    stars = more.filter((F.col("n") > cell_pairs) & (F.col("node") > F.col("a"))).select("a", F.col("node").alias("b"))
-    found = materialize(two.unionByName(pairs).unionByName(stars).unionByName(equal).distinct(), "similar-pairs")
-    one, other = marks.select(F.col("node").alias("a"), F.col("sig").alias("_a")), marks.select(F.col("node").alias("b"), F.col("sig").alias("_b"))
-    return found.join(one, "a").join(other, "b").filter(distance(F.col("_a"), F.col("_b")) <= limit).select("a", "b")
-
-
 def shingle_sets(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the distinct shingle hashes of every row, as an array of longs."""
 
@@ -247,17 +178,117 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, i
     return both.filter(F.col("_n") >= similarity * (F.size("_a") + F.size("_b") - F.col("_n")) - 1e-9).select("a", "b")
 
 
+def frequencies(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of two kinds: doc_id, the digest `sig` of the shingle set and its size `n`; and a shingle `h` that many rows
+    have, with the count `n` (doc_id and sig are null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+            found, n = found[n >= OFTEN].view(np.int64), n[n >= OFTEN]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), pa.array(found), pa.array(n, pa.int64())], names)
+
+        names, held, size = ["doc_id", "sig", "h", "n"], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                cut = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in cut.column(1)]
+                sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                lengths = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(sigs, pa.binary()), pa.nulls(len(sets), pa.int64()), lengths], names)
+                held += sets
+                size += sum(map(len, sets))
+                if size >= HELD:
+                    yield often(held)
+                    held, size = [], 0
+        yield often(held)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, sig binary, h long, n long")
+
+
+def prefixes(docs: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The first shingles of every row's set, rare ones first: node, its size, the place and hash of the shingle.
+
+    All sets are sorted by one order, the counts in `often` (0: not there) and then the hash. Two sets of size n with the
+    similarity have a common shingle among the first n - ceil(similarity n) + 1 of each, whatever the order is; rare ones
+    first only make that a sign that few other sets share.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value["h"], shared.value["n"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                cut = batch.slice(at, 256)
+                out = []
+                for node, t in zip(cut.column(0).to_pylist(), cut.column(1), strict=True):
+                    h = np.unique(shingle_hashes(t.as_py(), width)).view(np.int64)
+                    if not (n := len(h)):
+                        continue
+                    if len(known):
+                        k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        h = h[np.lexsort((h, np.where(known[k] == h, counts[k], 0)))]
+                    h = h[: n - math.ceil(similarity * n - 1e-9) + 1]
+                    out.append((np.full(len(h), node), np.full(len(h), n, np.int32), np.arange(len(h), dtype=np.int32), h))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "size", "place", "h"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "node long, size int, place int, h long")
+
+
+def similar_roots(nodes: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) for every row of `nodes` with a link: components of all pairs of the similarity or more.
+
+    Sets that share a shingle of their prefixes are in one cell, and every pair of the similarity is in a cell where the
+    rest of both sets is long enough for the common part that it needs: no pair is missed. First the members of a cell
+    are verified against its first one. Pairs inside a component add nothing, so a cell whose members are all in one is
+    done, however large; in the others, all pairs of different components are verified.
+    """
+    first = materialize(prefixes(nodes, often, width, similarity, id_col, text_col), "similar-prefixes")
+    one = F.struct("node", "size", "place")
+    cells = first.groupBy("h").agg(F.count("*").alias("n"), F.min(one).alias("x")).filter("n > 1")
+    members = materialize(first.join(cells, "h"), "similar-members")
+
+    def possible(x: str, y: str) -> Column:
+        size = lambda c: F.col(f"{c}.size")
+        rest = F.least(size(x) - F.col(f"{x}.place"), size(y) - F.col(f"{y}.place"))
+        common = similarity / (1 + similarity) * (size(x) + size(y)) - 1e-9
+        return (rest >= common) & (F.least(size(x), size(y)) >= similarity * F.greatest(size(x), size(y)) - 1e-9)
+
+    pair = lambda x, y: (F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
+    stars = members.withColumn("y", one).filter((F.col("x.node") != F.col("node")) & possible("x", "y")).select(*pair("x", "y"))
+    roots = components(verified(stars, nodes, width, similarity, id_col, text_col))
+
+    labels = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    crowd = members.filter("n > 2").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    crowd = materialize(crowd.select("h", "root", one.alias("x")), "similar-crowd")
+    parts = crowd.groupBy("h", "root").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = materialize(crowd.join(parts.select("h", F.col("most.root").alias("main")), "h"), "similar-mixed")
+    left = mixed.filter("root != main").select("h", F.col("root").alias("_root"), F.col("x").alias("y"))  # main ones are all linked
+    once = (F.col("root") == F.col("main")) | (F.col("y.node") < F.col("x.node"))
+    pairs = mixed.join(left, "h").filter((F.col("root") != F.col("_root")) & once & possible("x", "y")).select(*pair("x", "y"))
+    more = verified(pairs, nodes, width, similarity, id_col, text_col)
+    return components(roots.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more).distinct())
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id; of repeated rows, one.
 
-    Groups are the components of the links of exact Jaccard similarity `similarity` or more between sets of word shingles,
-    among the candidates of `similar_links`; rows of one signature are one node. Null, empty and wordless texts are one group. Rows with a null id stay only in groups without any id, one in each. An empty table
+    Groups are the components of all pairs whose sets of word shingles have a Jaccard similarity of `similarity` or more;
+    rows of one set are one node. Null, empty and wordless texts are one group. Rows with a null id stay only in groups without any id, one in each. An empty table
     stays empty. The columns are those of `docs`; `_row` must not be among them.
     """
     numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    rows = materialize(signatures(numbered, width, id_col="_row", text_col=text_col), "simhash-signatures")
+    found = materialize(frequencies(numbered, width, "_row", text_col), "simhash-sets")
+    rows = found.filter("sig is not null").select("doc_id", "sig")
     marks = materialize(rows.groupBy("sig").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    roots = components(verified(similar_links(marks, similarity), numbered, width, similarity, "_row", text_col))
+    top = found.filter("sig is null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDERED).toPandas().sort_values("h")
+    often = {"h": top["h"].to_numpy(np.int64), "n": top["n"].to_numpy(np.int64)}
+    distinct = numbered.join(marks.select(F.col("node").alias("_row")), "_row", "left_semi")
+    roots = similar_roots(distinct, often, width, similarity, "_row", text_col)
     nodes = marks.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
     ids = numbered.select(F.col("_row").alias("doc_id"), F.col(id_col).alias("_id"))
     best = rows.join(nodes, "sig").select("doc_id", "root").join(ids, "doc_id").groupBy("root").agg(

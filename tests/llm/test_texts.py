@@ -203,3 +203,16 @@ def test_documents_below_the_similarity_stay(spark):
         rows += [(k, " ".join(words), "s"), (100 + k, " ".join(word() if i in (30, 60, 90, 120, 150) else w for i, w in enumerate(words)), "s")]
     kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).toPandas()
     assert sorted(kept.doc_id) == sorted(d for d, _, _ in rows)
+
+
+def test_all_pairs_of_a_shared_passage_are_found(spark):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, rows = [word() for _ in range(60)], []
+    for k in range(150):  # 0.53 across, 0.8 to 0.9 between k and 1000 + k
+        own = [word() for _ in range(28)]
+        rows += [(k, " ".join([*passage, *own]), "s"), (1000 + k, " ".join([*passage, *own[: rng.choice((-8, -4, -2))], word()]), "s")]
+    sets = {d: set(simhash.shingle_hashes(t, 5).tolist()) for d, t, _ in rows}
+    near = {a for a in range(150) if len(sets[a] & sets[1000 + a]) >= 0.8 * len(sets[a] | sets[1000 + a])}
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    assert len(near) > 100 and set(sets) - set(kept.doc_id) == {1000 + a for a in near}
