@@ -53,8 +53,11 @@ class Page:
     flow: list[tuple[int, str]] = field(default_factory=list)
 
 
-def parse(text: str) -> Page:
-    """A tolerant reading of HTML: end tags may miss, a `<` that opens no tag is text, comments and raw elements go."""
+def parse(text: str, labelled: bool = True) -> Page:
+    """A tolerant reading of HTML: end tags may miss, a `<` that opens no tag is text, comments and raw elements go.
+
+    The mark of content of a training page, `data-label` of 0 or 1, is read if `labelled`; other values are none.
+    """
     page = Page([Node("#root", -1)])
     nodes, flow, stack, at, raw = page.nodes, page.flow, [0], 0, ""
 
@@ -115,7 +118,8 @@ def parse(text: str) -> Page:
             attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])}
             named = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower()
             node.words = tuple(sorted(set(re.findall(r"[a-z]+", named))))
-            node.label = int(attributes.get("data-label", -1))
+            if labelled and (mark := attributes.get("data-label")) in ("0", "1"):
+                node.label = int(mark)
         nodes.append(node)
         if not m[3].endswith("/"):
             stack.append(len(nodes) - 1)
@@ -288,7 +292,7 @@ def trained(pages: int = 600, seed: int = 7) -> TreeModel:
 def main_text(text: str | None, model: TreeModel, cut: float = 0.5) -> str:
     if not text:
         return ""
-    page = parse(text)
+    page = parse(text, labelled=False)
     keep = [b >= cut for b in model.marginals(page)]
     blocks, now = [], []
     for k, piece in [*page.flow, (-1, "")]:

@@ -146,3 +146,10 @@ def test_scores_of_a_table(spark):
     assert [0 <= r["score"] <= 1 for r in toxicity.score(df, model).collect()] == [True] * 3
     labels = spark.createDataFrame([(1, 1, None)], "doc_id long, quality int, toxic int")
     assert toxicity.training_rows(df, labels).count() == 0
+
+
+def test_label_attributes_of_real_pages_are_text_like_any_other(model):
+    page = '<article><p data-label="Price">Some text of the page, and more of it.</p><table><tr><td data-label="">Cell.</td></tr></table></article>'
+    assert "Some text of the page" in html.main_text(page, model)
+    assert [n.label for n in html.parse('<p data-label="1"><b data-label="x">').nodes[1:]] == [1, -1]
+    assert all(n.label == -1 for n in html.parse('<p data-label="1">', labelled=False).nodes)
