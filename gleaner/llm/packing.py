@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +33,9 @@ def default_vocabulary() -> str:
 class Encoder:
     """Ids of a byte-level vocabulary, remembered for each chunk between spaces.
 
+    Added tokens, which the tokenizers library's file of the same name beside the vocabulary lists, are matched in the
+    text first and have their own ids; without such a file there are none.
+
     The pre-tokenizer never joins across a space that follows a non-space, but for taking the space along with what
     follows; so texts without double spaces can be cut before each space and encoded chunk by chunk.
     """
@@ -38,11 +43,20 @@ class Encoder:
     def __init__(self, ranks_path: str, pattern: str) -> None:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        listed = os.path.splitext(ranks_path)[0] + ".json"
+        added = {}
+        if os.path.exists(listed):
+            with open(listed, encoding="utf-8") as file:
+                added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        self._added, self._encode = tuple(added), encoding.encode_ordinary
+        self._encode_added = lambda text: encoding.encode(text, allowed_special="all")
         self._known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """The ids as unsigned little-endian 32-bit numbers."""
+        if any(token in text for token in self._added):
+            return np.array(self._encode_added(text), "<u4").tobytes()
         if "  " in text:
             return np.array(self._encode(text), "<u4").tobytes()
         known, encode, out = self._known, self._encode, []

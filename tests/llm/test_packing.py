@@ -18,6 +18,16 @@ def test_the_encoder_agrees_with_the_library():
         assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_in_texts_have_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing.Encoder(packing.default_vocabulary(), public_tokenizers.PATTERN)
+    for text in ["a <|endoftext|>b", "<|endoftext|>", "a<|endoftext|> b  c", "x  <|endoftext|><|endoftext|>\n y", "<|endoftext", " <|endoftext|> "]:
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_place_every_rank_once(seed):
     rng = np.random.default_rng(seed)
