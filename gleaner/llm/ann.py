@@ -15,6 +15,8 @@ BLOCK, QUERY_BLOCK = 16_384, 4_096
 PROJECTIONS, THRESHOLD, VERIFY = 64, 0.62, 0.4
 #: Half widths of the windows, step by step, in units of the largest norm.
 RADII = (0.12, 0.25, 0.5, 0.8, 0.92, 1.05, 1.2, 1.6, 2.4, 4.0, 8.0)
+#: Norms within a range of the index differ by this factor at most; ranges of fewer vectors are verified whole.
+NORM_RANGE, WHOLE = 1.05, 512
 
 
 class CollisionIndex:
@@ -74,6 +76,45 @@ class CollisionIndex:
         return places, (self.exact[places] * exact).sum(axis=1)  # row by row: equal pairs have equal scores anywhere
 
 
+class NormRanges:
+    """A block of vectors in ranges of about equal norm, each with an index of its own, the longest vectors first.
+
+    Within a range the extra coordinate is small, so that projections tell near vectors from far ones. A query meets the
+    ranges until no vector of the next one can reach its k-th score, as an inner product is at most the product of norms.
+    """
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.exact = vectors.astype(np.float64)
+        norms = np.sqrt((self.exact**2).sum(axis=1))
+        order, self.ranges, at = np.argsort(-norms, kind="stable"), [], 0
+        while at < len(order):
+            largest = float(norms[order[at]])
+            end = max(at + 1, int(np.searchsorted(-norms[order], -largest / NORM_RANGE, "right")))
+            places = order[at:end]
+            self.ranges.append((largest, places, CollisionIndex(vectors[places], largest) if len(places) >= WHOLE else None))
+            at = end
+
+    def search(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, scores) for each query, the k best of all ranges among them."""
+        exact = queries.astype(np.float64)
+        lengths = np.sqrt((exact**2).sum(axis=1))
+        out = [(np.empty(0, np.int64), np.empty(0)) for _ in exact]
+        for largest, members, index in self.ranges:
+            bound = lambda j: len(out[j][1]) < k or lengths[j] * largest >= np.partition(out[j][1], -k)[-k] - 1e-9  # noqa: B023, E731
+            open_ = [j for j in range(len(exact)) if bound(j)]
+            scaled = exact[open_] * (largest / lengths[open_])[:, None]  # the order of inner products stays
+            windows = index.windows(scaled) if index and open_ else [None] * len(open_)
+            for j, q, ends in zip(open_, scaled, windows, strict=True):
+                places = members if index is None else members[index.search(q, ends, k)[0]]
+                scores = (self.exact[places] * exact[j]).sum(axis=1)  # row by row: equal pairs have equal scores anywhere
+                places, scores = np.concatenate([out[j][0], places]), np.concatenate([out[j][1], scores])
+                if len(scores) > k:
+                    best = scores >= np.partition(scores, -k)[-k] - 1e-9
+                    places, scores = places[best], scores[best]
+                out[j] = (places, scores)
+        return out
+
+
 def valid(vector: str) -> Column:
     """Neither null nor empty nor all zero, and every component a finite number."""
     v = F.col(vector)
@@ -101,12 +142,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLO
     rows = rows.withColumn("_n", F.dense_rank().over(by_vector)).filter(F.col("_n") <= k + 1)
     rows = rows.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     rows = materialize(rows.withColumn("hash", F.xxhash64("embedding", F.lit(3))), "ann-index")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    lengths = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"), F.max(norm).alias("norm"))
+    lengths = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
     found = lengths.orderBy(F.desc("n"), F.desc("size")).first()
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, largest, blocks = found["size"], found["norm"], -(-found["n"] // block)
+    size, blocks = found["size"], -(-found["n"] // block)
     asked = materialize(good(queries).filter(F.size("embedding") == size).dropDuplicates(["vec_id", "embedding"]), "ann-queries")
     query_blocks = max(1, -(-asked.count() // query_block))
     both = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -124,11 +164,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLO
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             entries, ids = matrix(left.column("embedding")), left.column("ids").to_pylist()
-            hashed = CollisionIndex(entries, largest)
+            hashed = NormRanges(entries)
             asked, vectors = right.column("vec_id").to_pylist(), matrix(right.column("embedding"))
-            ends = [w for at in range(0, len(vectors), 512) for w in hashed.windows(vectors[at : at + 512])]
-            for query, vector, window in zip(asked, vectors, ends, strict=True):
-                places, scores = hashed.search(vector, window, k + 1)
+            found = [f for at in range(0, len(vectors), 512) for f in hashed.search(vectors[at : at + 512], k + 1)]
+            for query, (places, scores) in zip(asked, found, strict=True):
                 pairs = sorted((-s, i) for p, s in zip(places, scores, strict=True) for i in ids[p] if i != query)[:k]
                 out["query_id"] += [query] * len(pairs)
                 out["vec_id"] += [i for _, i in pairs]

@@ -34,3 +34,15 @@ def test_a_hot_vector_yields_its_smallest_ids(spark):
     rows = [(k, [1.0, 1.0] if k % 3 else [1.0, k / 1000], 0) for k in range(300)]
     got = ann.search(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows[:2], SCHEMA), k=5).filter("query_id = 1").orderBy("rank")
     assert [r["vec_id"] for r in got.collect()] == [2, 4, 5, 7, 8]
+
+
+def test_recall_on_uneven_norms():
+    rng = np.random.default_rng(3)
+    unit = rng.standard_normal((4000, 64))
+    unit /= np.sqrt((unit**2).sum(axis=1))[:, None]
+    for scale in (np.r_[3.0, np.ones(3999)], np.exp(0.5 * rng.standard_normal(4000))):
+        x = (unit * scale[:, None]).astype(np.float32)
+        hits = 0
+        for q, (places, _) in zip(x[100:140], ann.NormRanges(x).search(x[100:140], 20), strict=True):
+            hits += len(set(np.argsort(-(x.astype(float) @ q.astype(float)))[:20]) & set(places.tolist()))
+        assert hits / (40 * 20) >= 0.9
