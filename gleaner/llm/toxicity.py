@@ -1,8 +1,8 @@
 """Operator 7: toxicity by a subsequence string kernel, a support vector machine and Nyström landmarks.
 
 Words are compared by their common subsequences of two and three characters, with gaps at a cost, so gapped and padded
-spellings of an insult stay near it. A linear machine over Nyström features of landmark words scores single words; a
-document is scored by its worst words. The kernel has explicit features, so the trained machine folds into one table of
+spellings of an insult stay near it. A linear machine over Nyström features of landmark words is trained on labelled texts,
+each of which is as bad as its worst word; a document is scored by its worst words and by how many are bad. The kernel has explicit features, so the trained machine folds into one table of
 weights by subsequence and texts are scored in a few passes over their characters.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -154,11 +154,14 @@ class ToxicModel:
         return np.concatenate(out)
 
     def features(self, text: str | None) -> np.ndarray:
+        """What the calibration reads of a text: its worst words, how many are bad, and its length."""
         scores = self.word_scores(text or "")
-        if not len(scores):
-            return np.array([1.0, -2.0, -2.0, 0.0])
-        best = np.partition(scores, -2)[-2:] if len(scores) > 1 else np.array([-2.0, scores[0]])
-        return np.array([1.0, np.clip(best[-1], -2, 2), np.clip(best[-2], -2, 2), np.log1p(len(scores)) / 10])
+        n = len(scores)
+        worst = np.full(5, -2.0)
+        worst[: min(5, n)] = np.sort(np.partition(scores, max(0, n - 5))[-5:])[::-1]
+        worst = np.clip(worst, -2, 2)
+        bad = int((scores > 0).sum())
+        return np.array([1.0, worst[0], worst[1], worst.mean(), np.log1p(bad), np.log((bad + 0.2) / (n + 20)) / 4, np.log1p(n) / 10])
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.calibration, -30, 30))))
@@ -193,13 +196,15 @@ def solve_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int
     return w
 
 
-def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> ToxicModel:
-    """Landmarks from words that mark toxic texts and words that do not, then the machine, then its calibration.
+def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 5) -> ToxicModel:
+    """The machine, trained on labelled texts, then its calibration on them.
 
-    A text is toxic if some word of it is, so the machine learns from words: those with many toxic and hardly any clean
-    texts against those of clean texts. It is trained again with the clean words that it scores worst.
+    A text is toxic if some word of it is, so the machine and the toxic texts' witnesses are found in turn: witnesses are
+    the word of a toxic text that the machine scores highest and up to four more that it takes for bad; against them stand
+    the two words of every clean text that it scores highest, and all that stood there before. The first witnesses are the words whose share of the toxic texts is
+    largest against that of the clean ones; these and frequent words are the landmarks, spread out by the kernel.
     """
-    bags = [words_in(t) for t in texts]
+    bags = [sorted(words_in(t)) for t in texts]
     positive, negative, met = Counter(), Counter(), set()
     for bag, label in zip(bags, toxic, strict=True):
         group = min((xxhash.xxh32_intdigest(w) for w in bag), default=0)  # mostly equal for near copies: they count once
@@ -207,35 +212,42 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Tox
         met.update((label, group, w) for w in new)
         (positive if label else negative).update(new)
     n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    least = max(3, 0.01 * n1)
+    nothing = ToxicModel(np.zeros(FEATURES, np.float32), -1.0, np.array([np.log((sum(toxic) + 0.5) / (n0 + 0.5)), 0, 0, 0, 0, 0, 0]))
+    least = max(2, 0.005 * n1)
     odds = {w: np.log((k + 0.1) / n1) - np.log((negative[w] + 0.1) / n0) for w, k in positive.items() if k >= least}
-    marked = sorted((w for w in odds if odds[w] > 2.5), key=lambda w: (-positive[w] * odds[w], w))[:600]
+    marked = sorted((w for w in odds if odds[w] > 1.5), key=lambda w: (-positive[w] * odds[w], w))
     clean = sorted((w for w in negative if odds.get(w, 0) < 1), key=lambda w: (-negative[w], w))
     if not marked or not clean:
-        return ToxicModel(np.zeros(FEATURES, np.float32), -1.0, np.array([np.log((sum(toxic) + 0.5) / (n0 + 0.5)), 0, 0, 0]))
+        return nothing
     chosen: list[str] = []
-    for w in marked:  # spread out: no landmark very near another
+    for w in marked[:600]:  # spread out: no landmark very near another
         if len(chosen) < landmarks // 2 and (not chosen or kernel([w], chosen).max() < 0.8):
             chosen.append(w)
-    step = max(1, len(clean) // 3000)
-    ordinary = list(dict.fromkeys(clean[:1000] + clean[1000::step][:2000]))
-    for round_ in range(3):
-        if round_ == 0:
-            chosen += ordinary[:: max(1, len(ordinary) // (landmarks - len(chosen)))][: landmarks - len(chosen)]
-            kmm = kernel(chosen, chosen)
-            values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
-            root = vectors / np.sqrt(np.maximum(values, 1e-3))
-            basis = basis_of(chosen)
-        words = marked + ordinary
-        x = np.column_stack([apply(words, basis) @ root, np.ones(len(words))])
-        y = np.array([1.0] * len(marked) + [-1.0] * len(ordinary))
-        support = np.array([np.log1p(positive[w]) for w in marked])
-        weight = np.concatenate([support / support.sum(), np.full(len(ordinary), 1 / len(ordinary))]) * 100
+    chosen += clean[:: max(1, len(clean) // (landmarks - len(chosen)))][: landmarks - len(chosen)]
+    kmm = kernel(chosen, chosen)
+    values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
+    root = vectors / np.sqrt(np.maximum(values, 1e-3))
+    basis = basis_of(chosen)
+
+    words = sorted({w for bag in bags for w in bag})
+    number = {w: k for k, w in enumerate(words)}
+    places = [np.array([number[w] for w in bag], np.int64) for bag in bags]
+    scores = np.array([odds.get(w, -9.0) for w in words])
+    against = Counter(number[w] for w in clean[:2000])  # a word counts as often as it was among a clean text's worst
+    bad = 1.5
+    for _ in range(rounds):
+        worst = [p[np.argsort(-scores[p], kind="stable")[:5]] for p in places]
+        witness = Counter(int(k) for p, y in zip(worst, toxic, strict=True) if y for j, k in enumerate(p) if j == 0 or scores[k] > bad)
+        against.update(int(k) for p, y in zip(worst, toxic, strict=True) if not y for k in p[:2])
+        bad = 0.0
+        rows = list(witness) + list(against)
+        y = np.array([1.0] * len(witness) + [-1.0] * len(against))
+        weight = np.array([*witness.values(), *against.values()], float)
+        weight *= np.where(y > 0, 100 / sum(witness.values()), 100 / sum(against.values()))
+        x = np.column_stack([apply([words[k] for k in rows], basis) @ root, np.ones(len(rows))])
         w = solve_svm(x, y, weight)
-        model = ToxicModel((basis @ (root @ w[:-1])).astype(np.float32), float(w[-1]), np.zeros(4))
-        if round_ < 2:
-            margins = apply(clean, model.weights[:, None])[:, 0]
-            ordinary = list(dict.fromkeys(ordinary + [clean[k] for k in np.argsort(-margins, kind="stable")[:1000]]))
+        model = ToxicModel((basis @ (root @ w[:-1])).astype(np.float32), float(w[-1]), np.zeros(7))
+        scores = apply(words, model.weights[:, None])[:, 0]
     x = np.stack([model.features(t) for t in texts])
     model.calibration = solve_logistic(x, np.array(toxic, float))
     return model
@@ -246,26 +258,28 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, octets: int = SAMPLE_BYTES) -> DataFrame:
-    """(text, toxic): a bounded sample of the labelled rows outside the held-out fold, in the order of a hash."""
+    """(text, toxic): a bounded sample of the labelled rows outside the held-out fold, in the order of a hash.
+
+    The `rows` ids of each label with the least hashes are taken; every task keeps that many at most, and so does the
+    merge. Ids with several labels count as toxic; null ids, null labels, labels other than 0 and 1 and null texts are
+    left out. Without labelled rows the sample is empty.
+    """
     known = labels.filter(F.col("toxic").isin(0, 1) & (F.coalesce(fold(F.col("doc_id")), F.lit(1)) != 1)).select("doc_id", "toxic")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.filter(F.octet_length("text") <= octets).select("doc_id", "text")
     ids = texts.select("doc_id").join(known, "doc_id").select("doc_id", "toxic").distinct()
     ids = materialize(ids.withColumn("_h", F.xxhash64("doc_id", F.lit(17))), "toxicity-labelled")
-    # of many rows only those with a small hash, four times as many as wanted, are ranked
-    some = F.lit(False)
-    for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect():  # two rows
-        share = min(1.0, 4 * rows / r["n"])
-        some = some | ((F.col("toxic") == r["toxic"]) & (F.pmod("_h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))))
-    by = Window.partitionBy("toxic").orderBy("_h", "doc_id")
-    ids = ids.filter(some).withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= rows).select("doc_id", "toxic")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text")
-    picked = texts.join(F.broadcast(ids), "doc_id").withColumn("_n", F.row_number().over(order))
-    return picked.filter(F.col("_n") <= rows).select("text", "toxic").orderBy("_n", "toxic")
+    least = [ids.filter(F.col("toxic") == y).orderBy("_h", "doc_id").limit(rows) for y in (0, 1)]
+    picked = texts.join(F.broadcast(materialize(least[0].unionByName(least[1]), "toxicity-sample")), "doc_id")
+    once = picked.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"), F.min("_h").alias("_h"))  # repeated ids: one text
+    return once.orderBy("_h", "doc_id").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
-    """Train on the sample of `training_rows`, which is collected: at most 2 * SAMPLE_ROWS texts of SAMPLE_BYTES."""
+    """Train on the sample of `training_rows`, which is collected: at most 2 * SAMPLE_ROWS texts of SAMPLE_BYTES.
+
+    Empty tables, or labels of one kind only, give a model that scores every text by the share of the toxic label.
+    """
     found = training_rows(docs, labels).collect()
     return train([r["text"] for r in found], [int(r["toxic"]) for r in found])
 
