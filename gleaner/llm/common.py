@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import let
 from gleaner.sources.scratch import materialize, remove, scratch_path, shared_dir
 
-__all__ = ["SPACE", "WORD", "let", "materialize", "partitions", "remove", "scratch_path", "shared_dir", "table", "words_of"]
+__all__ = ["SPACE", "WORD", "free_names", "let", "materialize", "partitions", "remove", "scratch_path", "shared_dir", "table", "words_of"]
 
 #: White space of the word contract: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,6 +19,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores in front as it takes that the table has none of them, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

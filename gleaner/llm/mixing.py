@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, free_names, materialize, table
 
 #: Documents that one task of the reduction tree pairs at a time.
 FAN_IN = 32
@@ -70,7 +72,7 @@ def _meet(done: Column, r: Column, x: Column, seed: int) -> Column:
         F.struct(
             F.least(1 - r["p"], x["p"] * ratio).alias("up"),
             F.least(r["p"], (1 - x["p"]) * ratio).alias("down"),
-            uniform(seed, r["h"], x["h"], r["row"], x["row"]).alias("u"),
+            uniform(seed, r["h"], x["h"]).alias("u"),
         )
     )
 
@@ -90,15 +92,18 @@ def _meet(done: Column, r: Column, x: Column, seed: int) -> Column:
     return F.transform(moves, outcome)[0]
 
 
-def round_by_pairs(items: DataFrame, seed: int = 0, fan_in: int = FAN_IN, reserve: int = RESERVE) -> DataFrame:
+def round_by_pairs(items: DataFrame, seed: int = 0, fan_in: int = FAN_IN, reserve: int = RESERVE, broadcast: int = BROADCAST_SOURCES) -> DataFrame:
     """Round the probabilities of `items` (group, h, row, size, p) to (row, copies): 0 or 1, near each group's mass.
 
+    Every draw and every order comes from `h`, which no two items share, so the result does not depend on how the items
+    lie in files or partitions; `row` is only carried along.
+
     A level deals every group into blocks of about `fan_in` items by hash, whatever the group's size, and leaves one
     open item in each; the open items are the next level's items, until a group is down to one. A few items of every
     power of two of size stay out of the levels and meet that one in falling order of size, so that what stays open in
     the end is small; it is drawn by its probability. So no task holds more than a block or a reserve.
     """
-    few = items.select("group").distinct().count() <= BROADCAST_SOURCES
+    few = items.select("group").distinct().count() <= broadcast
     octave = Window.partitionBy("group", F.floor(F.log2("size"))).orderBy("h", "row")
     last = materialize(items.withColumn("_n", F.row_number().over(octave)).filter(F.col("_n") <= reserve).drop("_n"), "mix-reserve")
     rows = last.select("row")
@@ -110,7 +115,7 @@ def round_by_pairs(items: DataFrame, seed: int = 0, fan_in: int = FAN_IN, reserv
         most = blocks.agg(F.max("blocks")).first()[0]
         if most is None:
             break
-        block = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("h"), F.col("row")), F.col("blocks"))
+        block = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("h")), F.col("blocks"))
         dealt = items.join(F.broadcast(blocks) if few else blocks, "group").select("group", block.alias("block"), item.alias("item"))
         done = dealt.groupBy("group", "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
         done = materialize(done.select("group", "block", pivot(F.col("items"), seed + level).alias("r")), f"mix-level-{level}")
@@ -123,63 +128,87 @@ def round_by_pairs(items: DataFrame, seed: int = 0, fan_in: int = FAN_IN, reserv
     chain = chain.groupBy("group").agg(F.sort_array(F.collect_list(falling), asc=False).alias("items"))
     chain = materialize(chain.select("group", pivot(F.transform("items", lambda x: x["item"]), seed + level).alias("r")), "mix-last")
     found.append(chain.select(F.explode("r.done").alias("d")).select("d.row", "d.copies"))
-    drawn = F.when(uniform(seed, F.col("r.open.h"), F.col("r.open.row")) < F.col("r.open.p"), 1).otherwise(0)
+    drawn = F.when(uniform(seed, F.col("r.open.h")) < F.col("r.open.p"), 1).otherwise(0)
     out = chain.select("r.open.row", drawn.alias("copies"))
     for df in found:
         out = out.unionByName(df)
     return out
 
 
-def mix_rows(sized: DataFrame, cap: float = 3.0, seed: int = 20240521) -> DataFrame:
-    """Copies of every row of `sized` (row, key, source, size), which is read several times: pass a written table.
+def mix_rows(sized: DataFrame, cap: float = 3.0, seed: int = 20240521, broadcast: int = BROADCAST_SOURCES) -> DataFrame:
+    """Copies of every row of `sized` (row, key, source, size, h), which is read several times: pass a written table.
 
     A source with target t and size s repeats its documents t / s times on average: floor(t / s) copies for each, and
     one more for those that the rounding picks, so that its words come near t. Rows of size 0 get the floor.
     """
     targets = source_targets(sized, cap)
-    few = targets.count() <= BROADCAST_SOURCES
+    few = targets.count() <= broadcast
     side = F.broadcast(targets) if few else targets
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sized.join(side.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("_rate", F.least(rate, F.lit(cap))).withColumn("_floor", F.floor("_rate").cast("int"))
     items = rows.filter((F.col("size") > 0) & (F.col("_rate") > F.col("_floor"))).select(
         F.col("rank").alias("group"),
-        F.xxhash64(F.lit(seed), "key", "size").alias("h"),
+        F.xxhash64(F.lit(seed), "h").alias("h"),
         "row",
         F.col("size").cast("double").alias("size"),
         (F.col("_rate") - F.col("_floor")).alias("p"),
     )
-    extra = round_by_pairs(items, seed)
+    extra = round_by_pairs(items, seed, broadcast=broadcast)
     return rows.join(extra, "row", "left").select(
-        *sized.columns, "source_size", "target", (F.col("_floor") + F.coalesce("copies", F.lit(0))).alias("copies")
+        "row", "key", "source", "size", "source_size", "target", (F.col("_floor") + F.coalesce("copies", F.lit(0))).alias("copies")
     )
 
 
-def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """row, key, source, size (words of the text; null: 0) of every document, written once; `_row` numbers if there."""
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+def told_apart(rows: DataFrame) -> DataFrame:
+    """Rows (.., row, h) with an `h` that no two share: the numbers among equal ones, 0, 1, .., are hashed in.
+
+    `row` is numbered by partition, so the number within a partition and the counts of the partitions before it give the
+    place, and a value that most rows have is still dealt over all partitions.
+    """
+    many = materialize(rows.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1").select("h"), "mix-repeated")
+    part = rows.join(many, "h", "left_semi").withColumn("_part", F.shiftright("row", 33))
+    here = Window.partitionBy("h", "_part").orderBy("row")
+    counts = part.groupBy("h", "_part").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    counts = counts.select("h", "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    placed = part.withColumn("_k", F.row_number().over(here) - 1).join(counts, ["h", "_part"])
+    placed = placed.withColumn("h", F.xxhash64("h", F.col("_before") + F.col("_k"))).select(*rows.columns)
+    return rows.join(many, "h", "left_anti").select(*rows.columns).unionByName(placed)
+
+
+def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """row, key, source, size (words of the text; null: 0) and a hash `h` of its own for every document, written twice.
+
+    `row` is the column `row_col`, numbered by partition, or such a number given here. `h` comes from all columns that can
+    be hashed, so it is the same wherever the row lies; equal rows are told apart by their number among each other.
+    """
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    return materialize(
-        docs.select(row.alias("row"), F.col(id_col).alias("key"), F.col(source_col).alias("source"), size.alias("size")), "mix-rows"
-    )
+    simple = [f.name for f in docs.schema.fields if f.name != row_col and not re.search("map<|variant", f.dataType.simpleString())]
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(simple)])
+    rows = docs.select(row.alias("row"), F.col(id_col).alias("key"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h"))
+    return materialize(told_apart(materialize(rows, "mix-read")), "mix-rows")
 
 
-def mix(docs: DataFrame, cap: float = 3.0, seed: int = 20240521) -> DataFrame:
+def mix(docs: DataFrame, cap: float = 3.0, seed: int = 20240521, broadcast: int = BROADCAST_SOURCES) -> DataFrame:
     """The mix itself: every document as often as it was taken, in the columns of `docs`.
 
     Null texts and empty texts have size 0 and are taken as often as their source's rate rounds down to. A null source
-    is a source of its own. Repeated rows are rounded one by one. An empty table gives an empty mix. Equal input files
-    give equal results. Further columns stay as they are; `_row` and `copies` must not be among them.
+    is a source of its own. Repeated rows are rounded one by one. An empty table gives an empty mix. Equal rows give equal
+    results, however they lie in files and partitions. Further columns stay as they are, whatever their names.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    copies = mix_rows(sized_rows(numbered), cap, seed).select(F.col("row").alias("_row"), "copies").filter("copies > 0")
-    out = numbered.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*docs.columns)
+    row, copy, times = free_names(docs, "_row", "_copy", "copies")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    copies = mix_rows(sized_rows(numbered, row_col=row), cap, seed, broadcast)
+    copies = copies.select(F.col("row").alias(row), F.col("copies").alias(times)).filter(F.col(times) > 0)
+    out = numbered.join(copies, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
-    out = mix_rows(sized_rows(table(spark, sf_dir, "documents")))
+    out = mix_rows(sized_rows(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
     return out.select(
         F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
     )

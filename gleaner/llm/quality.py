@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, table, words_of
+from .common import SPACE, free_names, let, table, words_of
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -108,8 +108,9 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed_rules", "kept")
     # One expression for all: a filter on `kept` that the optimizer moves below must not repeat the counting.
-    out = docs.withColumn("_q", let(features(F.col(text_col).cast("string")), lambda q: let(values_of(q), lambda v: verdict(q, v, rules))))
-    return out.withColumns({name: F.col(f"_q.{name}") for name in names}).drop("_q")
+    q = free_names(docs, "_q")[0]
+    out = docs.withColumn(q, let(features(F.col(text_col).cast("string")), lambda q: let(values_of(q), lambda v: verdict(q, v, rules))))
+    return out.withColumns({name: F.col(f"{q}.{name}") for name in names}).drop(q)
 
 
 def values_of(q: Column) -> Column:
