@@ -11,26 +11,30 @@ import html as entities
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_names, table
 
 TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)|[!?][^>]*(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 #: Fixed values of HTML: elements without an end, with raw text, that break lines, and that end an open element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea select svg object canvas math title".split())
+#: Elements that an open paragraph does not reach into.
+BORDER = frozenset("td th button article section div li".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+ENDING = frozenset(t for pairs in (ENDS, HOLDS) for group in pairs.values() for t in group)
 
 
 @dataclass
@@ -59,7 +63,15 @@ def parse(text: str, labelled: bool = True) -> Page:
     The mark of content of a training page, `data-label` of 0 or 1, is read if `labelled`; other values are none.
     """
     page = Page([Node("#root", -1)])
-    nodes, flow, stack, at, raw = page.nodes, page.flow, [0], 0, ""
+    nodes, flow, stack, at = page.nodes, page.flow, [0], 0
+    # For every open element: the depth of the paragraph, and of the elements of ENDS, that a child would end (0: none).
+    # Both are looked up and never searched for, so that tags that never end cost no more than others.
+    paragraph, ended, count = [0], [dict.fromkeys(ENDS, 0)], Counter()
+
+    def close(depth: int) -> None:
+        for k in stack[depth:]:
+            count[nodes[k].tag] -= 1
+        del stack[depth:], paragraph[depth:], ended[depth:]
 
     def add(piece: str) -> None:
         if "&" in piece:
@@ -81,35 +93,27 @@ def parse(text: str, labelled: bool = True) -> Page:
         if m[1]:
             if tag == "br":
                 flow.append((stack[-1], " "))
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+            if count[tag] > 0:  # what is passed over is closed, so each element is met once
+                depth = len(stack) - 1
+                while nodes[stack[depth]].tag != tag:
+                    depth -= 1
+                close(depth)
             if tag in BLOCK:
                 flow.append((-1, ""))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
             if not m[3].endswith("/"):
+                end = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
                 at = end.end() if end else len(text)
             if tag in BLOCK:
                 flow.append((-1, ""))
             continue
         if tag in BLOCK:
             flow.append((-1, ""))
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if nodes[stack[k]].tag == "p":
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in ("td", "th", "button", "article", "section", "div", "li"):
-                    break
-        if tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in HOLDS.get(tag, ()):
-                    break
-                if nodes[stack[k]].tag in ENDS[tag]:
-                    del stack[k:]
-                    break
+            if paragraph[-1]:
+                close(paragraph[-1])
+        if depth := ended[-1].get(tag, 0):
+            close(depth)
         if tag in VOID:
             flow.append((stack[-1], " ") if tag not in BLOCK else (-1, ""))
             continue
@@ -122,7 +126,14 @@ def parse(text: str, labelled: bool = True) -> Page:
                 node.label = int(mark)
         nodes.append(node)
         if not m[3].endswith("/"):
+            depth = len(stack)
             stack.append(len(nodes) - 1)
+            count[tag] += 1
+            paragraph.append(depth if tag == "p" else 0 if tag in BORDER else paragraph[-1])
+            now = ended[-1]
+            if tag in ENDING:
+                now = {t: depth if tag in ENDS[t] else 0 if tag in HOLDS.get(t, ()) else d for t, d in now.items()}
+            ended.append(now)
     for k, piece in flow:
         if k >= 0 and (length := len(piece.strip())):
             nodes[k].own += length
@@ -312,25 +323,24 @@ def extract(pages: DataFrame, html_col: str = "html", model: TreeModel | None =
     Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
     one line end; the whole html is read. Null or empty html and pages without content give an empty text. Tags that
     never end, unknown tags and broken references are taken as browsers take them, roughly, and never fail. Repeated
-    rows get equal results; columns of the names `text` and `n_chars` are replaced. There is no shuffle.
+    rows get equal results; columns of the names `text` and `n_chars`, in any case, are replaced. There is no shuffle.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
-    names = [c for c in pages.columns if c not in ("text", "n_chars")]
-    rows = pages.select(*names)
-    if html_col not in names:
-        rows = rows.withColumn(html_col, pages[html_col])
-    place = rows.columns.index(html_col)
+    names = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
+    source = free_names(pages, "_html")[0]
+    rows = pages.select(*[F.col(f"`{c}`") for c in names], F.col(html_col).cast("string").alias(source))
+    place = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 cut = batch.slice(at, 128)
                 texts = [main_text(h.as_py(), shared.value) for h in cut.column(place)]
-                columns = [*cut.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*cut.schema.names, "text", "n_chars"])
+                columns = [*cut.columns[:place], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "text", "n_chars"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, text string, n_chars long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:place])
+    return rows.mapInArrow(run, f"{schema}{', ' if names else ''}text string, n_chars long")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
