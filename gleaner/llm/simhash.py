@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free_names, materialize, table
 
 #: Cells with more fingerprints than this are not paired; their members are linked through one-bit segments instead.
 CELL_PAIRS = 64
@@ -208,7 +208,7 @@ def frequencies(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
 
 
 def prefixes(docs: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The first shingles of every row's set, rare ones first: node, its size, the place and hash of the shingle.
+    """The first shingles of every row's set, rare ones first: node, size and place in one number `sp`, and the hash `h`.
 
     All sets are sorted by one order, the counts in `often` (0: not there) and then the hash. Two sets of size n with the
     similarity have a common shingle among the first n - ceil(similarity n) + 1 of each, whatever the order is; rare ones
@@ -230,12 +230,12 @@ def prefixes(docs: DataFrame, often: dict[str, np.ndarray], width: int, similari
                         k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                         h = h[np.lexsort((h, np.where(known[k] == h, counts[k], 0)))]
                     h = h[: n - math.ceil(similarity * n - 1e-9) + 1]
-                    out.append((np.full(len(h), node), np.full(len(h), n, np.int32), np.arange(len(h), dtype=np.int32), h))
+                    out.append((np.full(len(h), node), (n << 31) + np.arange(len(h), dtype=np.int64), h))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "size", "place", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "sp", "h"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "node long, size int, place int, h long")
+    return rows.mapInArrow(run, "node long, sp long, h long")
 
 
 def similar_roots(nodes: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
@@ -247,29 +247,29 @@ def similar_roots(nodes: DataFrame, often: dict[str, np.ndarray], width: int, si
     done, however large; in the others, all pairs of different components are verified.
     """
     first = materialize(prefixes(nodes, often, width, similarity, id_col, text_col), "similar-prefixes")
-    one = F.struct("node", "size", "place")
-    cells = first.groupBy("h").agg(F.count("*").alias("n"), F.min(one).alias("x")).filter("n > 1")
+    cells = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(first.join(cells, "h"), "similar-members")
 
     def possible(x: str, y: str) -> Column:
-        size = lambda c: F.col(f"{c}.size")
-        rest = F.least(size(x) - F.col(f"{x}.place"), size(y) - F.col(f"{y}.place"))
+        size = lambda c: F.shiftright(c, 31)
+        rest = F.least(size(x) - F.col(x).bitwiseAND((1 << 31) - 1), size(y) - F.col(y).bitwiseAND((1 << 31) - 1))
         common = similarity / (1 + similarity) * (size(x) + size(y)) - 1e-9
         return (rest >= common) & (F.least(size(x), size(y)) >= similarity * F.greatest(size(x), size(y)) - 1e-9)
 
-    pair = lambda x, y: (F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
-    stars = members.withColumn("y", one).filter((F.col("x.node") != F.col("node")) & possible("x", "y")).select(*pair("x", "y"))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    heads = members.groupBy("h").agg(F.min("node").alias("x"), F.min_by("sp", "node").alias("xs"))
+    stars = members.join(heads, "h").filter((F.col("x") != F.col("node")) & possible("xs", "sp")).select(*pair("x", "node"))
     roots = components(verified(stars, nodes, width, similarity, id_col, text_col))
 
     labels = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     crowd = members.filter("n > 2").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    crowd = materialize(crowd.select("h", "root", one.alias("x")), "similar-crowd")
+    crowd = materialize(crowd.select("h", "root", F.col("node").alias("x"), F.col("sp").alias("xs")), "similar-crowd")
     parts = crowd.groupBy("h", "root").agg(F.count("*").alias("n"))
     parts = parts.groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = materialize(crowd.join(parts.select("h", F.col("most.root").alias("main")), "h"), "similar-mixed")
-    left = mixed.filter("root != main").select("h", F.col("root").alias("_root"), F.col("x").alias("y"))  # main ones are all linked
-    once = (F.col("root") == F.col("main")) | (F.col("y.node") < F.col("x.node"))
-    pairs = mixed.join(left, "h").filter((F.col("root") != F.col("_root")) & once & possible("x", "y")).select(*pair("x", "y"))
+    left = mixed.filter("root != main").select("h", F.col("root").alias("_root"), F.col("x").alias("y"), F.col("xs").alias("ys"))  # main ones are all linked
+    once = (F.col("root") == F.col("main")) | (F.col("y") < F.col("x"))
+    pairs = mixed.join(left, "h").filter((F.col("root") != F.col("_root")) & once & possible("xs", "ys")).select(*pair("x", "y"))
     more = verified(pairs, nodes, width, similarity, id_col, text_col)
     return components(roots.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more).distinct())
 
@@ -278,23 +278,24 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
     """One document of each group of near-duplicates stays: the one with the smallest id; of repeated rows, one.
 
     Groups are the components of all pairs whose sets of word shingles have a Jaccard similarity of `similarity` or more;
-    rows of one set are one node. Null, empty and wordless texts are one group. Rows with a null id stay only in groups without any id, one in each. An empty table
-    stays empty. The columns are those of `docs`; `_row` must not be among them.
+    rows of one set are one node. Null, empty and wordless texts are one group. Rows with a null id stay only in groups
+    without any id, one in each. An empty table stays empty. The columns are those of `docs`, whatever their names.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    found = materialize(frequencies(numbered, width, "_row", text_col), "simhash-sets")
+    row = free_names(docs, "_row")[0]
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    found = materialize(frequencies(numbered, width, row, text_col), "simhash-sets")
     rows = found.filter("sig is not null").select("doc_id", "sig")
     marks = materialize(rows.groupBy("sig").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     top = found.filter("sig is null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDERED).toPandas().sort_values("h")
     often = {"h": top["h"].to_numpy(np.int64), "n": top["n"].to_numpy(np.int64)}
-    distinct = numbered.join(marks.select(F.col("node").alias("_row")), "_row", "left_semi")
-    roots = similar_roots(distinct, often, width, similarity, "_row", text_col)
+    distinct = numbered.join(marks.select(F.col("node").alias(row)), row, "left_semi")
+    roots = similar_roots(distinct, often, width, similarity, row, text_col)
     nodes = marks.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
-    ids = numbered.select(F.col("_row").alias("doc_id"), F.col(id_col).alias("_id"))
+    ids = numbered.select(F.col(row).alias("doc_id"), F.col(id_col).alias("_id"))
     best = rows.join(nodes, "sig").select("doc_id", "root").join(ids, "doc_id").groupBy("root").agg(
-        F.min_by("doc_id", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id"))).alias("_row")
+        F.min_by("doc_id", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id"))).alias(row)
     )
-    return numbered.join(best.select("_row"), "_row", "left_semi").select(*docs.columns)
+    return numbered.join(best.select(row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
