@@ -23,6 +23,8 @@ from .common import table
 OPEN, CLOSE, TAIL = "<|turn:", "|>\n", b"<|end|>\n"
 #: Bytes of text that are assembled at a time.
 PIECE_BYTES = 4 << 20
+#: Segments from this length on are copied without indices.
+LONG = 1 << 16
 LOSS_ROLES = ("assistant",)
 
 
@@ -39,7 +41,12 @@ def header(role: str | None) -> bytes:
 
 
 def scatter(out: np.ndarray, to: np.ndarray, source: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-    """Copy the segments source[start : start + length] to out[to : to + length], all at once."""
+    """Copy the segments source[start : start + length] to out[to : to + length]: long ones as slices, all others at once,
+    so that the indices take a few times PIECE_BYTES, however long a segment is."""
+    long = length >= LONG
+    for t, s, n in zip(to[long].tolist(), start[long].tolist(), length[long].tolist(), strict=True):
+        out[t : t + n] = source[s : s + n]
+    to, start, length = to[~long], start[~long], length[~long]
     within = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(np.cumsum(length) - length, length)
     out[np.repeat(to, length) + within] = source[np.repeat(start, length) + within]
 

@@ -7,6 +7,7 @@ import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ WINDOW = 1024
 END = 0
 #: Chunks whose ids a worker remembers at most (about 100 bytes each).
 MEMORY = 400_000
-#: Offsets of partitions are broadcast up to this size, and joined by shuffle beyond it.
+#: Offsets of partitions are broadcast up to this size; more partitions are placed in several passes.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -247,7 +248,19 @@ def pieces_of(n: int, rest: int, rank: int, first_window: int, p: Plan, whole_ba
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
+def spans(offsets: DataFrame, limit: int) -> list[tuple[int, int]]:
+    """First and last numbers of runs of partitions whose offsets take `limit` bytes at most, or one partition each."""
+    out, size = [], 0
+    for r in offsets.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").toLocalIterator():  # a row for each partition
+        size += 32 * r["n"]
+        if not out or size > limit:
+            out.append((r["part"], r["part"]))
+            size = 32 * r["n"]
+        out[-1] = (out[-1][0], r["part"])
+    return out
+
+
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end: int = END, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Pack documents into sequences of at most `window` ids. One row per piece, with its ids.
 
     Documents are encoded once, with the id `end` behind them, and cut into whole windows and a remainder below one
@@ -256,6 +269,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     counts are rounded, and what is left is packed by best fit with at most 16 ids of padding. Remainders that fit
     nowhere follow one another in a stream that is cut at each window, so that only the last sequence is short.
 
+    The ids themselves are never shuffled. What the partitions before each one hold is broadcast; where that takes more
+    than `broadcast_bytes`, runs of partitions are placed one after the other, each with its own part of it, and written.
+
     A null text counts as empty: it has the end id only. Repeated rows are packed one by one; a null id is kept. An empty
     table gives no pieces. Only doc_id and text are read. Returns doc_id, start, length, ids (binary, unsigned
     little-endian 32-bit), doc_tokens, sequence_id, offset.
@@ -276,8 +292,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     whole = counts.groupBy("part").agg(F.sum("w").alias("w"))
     whole = whole.select("part", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("windows_before"))
     offsets = materialize(ranks.join(whole, "part"), "pack-offsets")
-    small = offsets.count() * 32 <= BROADCAST_BYTES
-    joined = rows.join(F.broadcast(offsets) if small else offsets, ["part", "rest"])
     whole_base = fitted.sequences + -(-fitted.streamed // window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,10 +308,18 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
                 types = {"ids": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in cols.items()], list(cols))
 
-    shifted = joined.select(
-        "doc_id", "ids", "rest", (F.col("rank") + F.col("ranks_before")).alias("rank"), (F.col("windows") + F.col("windows_before")).alias("windows")
-    )
-    return shifted.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    def placed(first: int, last: int) -> DataFrame:
+        near = F.col("part").between(first, last)  # a file holds one partition, so others are skipped by their statistics
+        joined = rows.filter(near).join(F.broadcast(offsets.filter(near)), ["part", "rest"])
+        shifted = joined.select(
+            "doc_id", "ids", "rest", (F.col("rank") + F.col("ranks_before")).alias("rank"), (F.col("windows") + F.col("windows_before")).alias("windows")
+        )
+        return shifted.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+    runs = spans(offsets, broadcast_bytes) or [(0, 0)]
+    if len(runs) == 1:
+        return placed(*runs[0])
+    return reduce(DataFrame.unionByName, [materialize(placed(*r), "pack-pieces") for r in runs])
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

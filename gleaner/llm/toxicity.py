@@ -185,7 +185,7 @@ def solve_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0,
     return w
 
 
-def solve_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+def solve_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

@@ -71,25 +71,40 @@ def arc_line(version: int, url: str, date: str, offset: int, name: str, block: b
     return " ".join(values[f] for f in FIELDS[version].split())
 
 
+def file_row(members: list[bytes], level: int = 4) -> pa.RecordBatch:
+    """One file as a row: each part a gzip member of its own, so that a reader can seek to it."""
+    packed = []
+    for m in members:
+        z = zlib.compressobj(level, zlib.DEFLATED, 31)
+        packed.append(z.compress(m) + z.flush())
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(packed)], pa.binary())], ["value"])
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Write every row as a file of its bytes. The text writer ends each with a zero byte, which gzip readers take as padding."""
+    out = files.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none")
+    out.option("lineSep", "\u0000").text(path)
+
+
 def write_arcs(pages: DataFrame, path: str, date: str = "20240102030405", archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write pages (page_id, url, html) as gzipped ARC archives, versions 1 and 2 in turn."""
+    """Write pages (page_id, url, html: text or bytes) as gzipped ARC archives, versions 1 and 2 in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, parts, size = TaskContext.get().partitionId(), 0, [], 0
 
         def archive() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(["\n".join(parts)], pa.string())], ["value"])
+            return file_row([b"".join(parts)])
 
         for batch in batches:
             for page, url, html in zip(*[batch.column(k) for k in range(3)], strict=True):
                 version, name = 1 + (part + number) % 2, f"gleaner-{part}-{number}.arc"
-                payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
+                payload = html.as_py() or b""
                 key = "" if page.as_py() is None else page.as_py()
                 top = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}X-Page-Id: {key}{CRLF}Content-Length: {len(payload)}{CRLF}{CRLF}"
                 block = top.encode() + payload
                 if not parts:
-                    parts.append(arc_head(name, version, date))
-                parts.append(f"{arc_line(version, url.as_py() or '-', date, size, name, block)}\n{block.decode('utf-8', 'surrogatepass')}")
+                    parts.append(arc_head(name, version, date).encode())
+                parts.append(f"{arc_line(version, url.as_py() or '-', date, size, name, block)}\n".encode() + block + b"\n")
                 size += len(block)
                 if size >= archive_bytes:
                     yield archive()
@@ -97,18 +112,22 @@ def write_arcs(pages: DataFrame, path: str, date: str = "20240102030405", archiv
         if parts:
             yield archive()
 
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("lineSep", "\n").text(path)
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("binary"))
+    write_files(rows.mapInArrow(run, "value binary"), path)
 
 
-def inflate(data: bytes) -> bytes:
-    """The bytes of a file that may be gzipped, in one or several members."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
+def inflate(data: bytes, step: int = 1 << 14) -> bytes:
+    """The bytes of a file that may be gzipped, in one or several members; zeros behind the last are padding."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at = [], 0
+    while data[at : at + 2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        data = z.unused_data
-    return b"".join(out) or data
+        while not z.eof and at < len(data):
+            out.append(z.decompress(data[at : at + step]))
+            at += step
+        at = min(at, len(data)) - len(z.unused_data)
+    return b"".join(out)
 
 
 def read_arc(data: bytes) -> Iterator[Capture]:
@@ -155,7 +174,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     payloads move once for each archive and not once for each record.
     """
     names = ["file", "at", "url", "ip", "date", "mime", "key", "top", "payload_bytes", "digest", "payload"]
-    types = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,10 +191,10 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name.as_py(), at, c.url, c.ip, c.date, c.mime, key, top, len(payload), digest, payload))
                 keep = {at for _, at in best.values()}
                 for k in range(0, len(rows), 256):
-                    cut = [(*r[:7], r[7].decode(), *r[8:10], r[10].decode("utf-8", "replace") if r[1] in keep else None) for r in rows[k : k + 256]]
+                    cut = [(*r[:10], r[10] if r[1] in keep else None) for r in rows[k : k + 256]]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*cut, strict=True), types, strict=True)], names)
 
-    schema = "file string, at long, url string, ip string, date string, mime string, key long, top string, payload_bytes long, digest string, payload string"
+    schema = "file string, at long, url string, ip string, date string, mime string, key long, top binary, payload_bytes long, digest string, payload binary"
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
@@ -189,12 +208,11 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
 
 
-def warc_record(r: dict) -> str:
-    """The WARC record of a joined capture, without the two line ends that close it."""
+def warc_record(r: dict) -> bytes:
+    """The WARC record of a joined capture, with the two line ends that close it."""
     revisit = r["winner"] is not None and (r["winner"]["file"], r["winner"]["at"]) != (r["file"], r["at"])
     http = bool(r["top"])
-    block = r["top"] if revisit else r["top"] + (r["payload"] or "")
-    size = len(block.encode("utf-8", "surrogatepass"))
+    block = r["top"] if revisit else r["top"] + (r["payload"] or b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response' if http else 'resource'}",
@@ -203,7 +221,7 @@ def warc_record(r: dict) -> str:
         f"WARC-Target-URI: {r['url']}",
         f"WARC-IP-Address: {r['ip']}",
         f"WARC-Payload-Digest: sha1:{r['digest']}",
-        f"WARC-Block-Digest: sha1:{sha1_32(block.encode('utf-8', 'surrogatepass'))}",
+        f"WARC-Block-Digest: sha1:{sha1_32(block)}",
         f"X-Payload-Length: {r['payload_bytes']}",
         *([f"X-Record-Key: {r['key']}"] if r["key"] is not None else []),
     ]
@@ -216,11 +234,18 @@ def warc_record(r: dict) -> str:
             f"WARC-Refers-To-Date: {warc_date(w['date'])}",
             *([f"X-Refers-To-Key: {w['key']}"] if w["key"] is not None else []),
         ]
-    head += [f"Content-Type: {'application/http; msgtype=response' if http else r['mime']}", f"Content-Length: {size}", "", ""]
-    return CRLF.join(head) + block
+    head += [f"Content-Type: {'application/http; msgtype=response' if http else r['mime']}", f"Content-Length: {len(block)}", "", ""]
+    return CRLF.join(head).encode() + block + b"\r\n\r\n"
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def warcinfo(*parts: object) -> bytes:
+    """The record that opens an archive; the parts make its identifier."""
+    info = f"format: WARC File Format 1.1{CRLF}software: gleaner{CRLF}"
+    top = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id('warcinfo', *parts)}", "WARC-Date: 2024-01-01T00:00:00Z"]
+    return CRLF.join([*top, "Content-Type: application/warc-fields", f"Content-Length: {len(info)}", "", info, CRLF]).encode()
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> None:
     """Convert the ARC files under a path to gzipped WARC files under another.
 
     Of captures with equal payloads of at least `min_bytes` bytes, that with the largest key (the page number of the HTTP
@@ -231,7 +256,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     place = F.struct("key", "file", "at", "url", "date")
     repeated = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max(place).alias("winner"))
     repeated = materialize(repeated.filter("n > 1").select("digest", "winner"), "arc-repeated")
-    small = repeated.count() * 512 <= BROADCAST_BYTES
+    small = repeated.count() * 512 <= broadcast_bytes
     joined = rows.join(F.broadcast(repeated) if small else repeated, "digest", "left")
     joined = joined.withColumn("winner", F.when(F.col("payload_bytes") >= min_bytes, F.col("winner")))
     if min_bytes > 0:  # short ones keep their payload in every record: take it from the archive's own copy
@@ -239,23 +264,20 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
         joined = joined.join(texts, "digest", "left").withColumn("payload", F.coalesce("payload", "_p")).drop("_p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        info = f"format: WARC File Format 1.1{CRLF}software: gleaner{CRLF}"
-        top = CRLF.join(["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id('warcinfo', TaskContext.get().partitionId())}", "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: application/warc-fields", f"Content-Length: {len(info)}", "", info])
+        part, number, parts, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 for r in batch.slice(k, 256).to_pylist():
-                    parts = parts or [top]
+                    parts = parts or [warcinfo(warc_path, part, number)]
                     parts.append(warc_record(r))
                     size += len(parts[-1])
                     if size >= archive_bytes:
-                        yield pa.RecordBatch.from_arrays([pa.array(["\r\n\r\n".join(parts)], pa.string())], ["value"])
-                        parts, size = [], 0
+                        yield file_row(parts)
+                        number, parts, size = number + 1, [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(["\r\n\r\n".join(parts)], pa.string())], ["value"])
+            yield file_row(parts)
 
-    out = joined.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).option("compression", "gzip")
-    out.option("lineSep", "\r\n\r\n").text(warc_path)
+    write_files(joined.mapInArrow(run, "value binary"), warc_path)
     remove(spark, rows._scratch)
 
 
@@ -278,9 +300,9 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all WARC files under a path: key, url, date, record_id, record_type, payload_bytes, payload_digest,
-    refers_to (the key), html. Digests are computed from the payload where the record has it, and must be those declared."""
-    names = ["key", "url", "date", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "html"]
-    types = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.int64(), pa.string()]
+    refers_to (the key), payload (binary). Digests are computed from the payload where the record has it, and must be those declared."""
+    names = ["key", "url", "date", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+    types = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,13 +316,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                         payload = split_http(block)[1]
                         if sha1_32(payload) != digest or len(payload) != size:
                             raise ValueError(f"payload of {f['WARC-Record-ID']} does not match its digest")
-                        html = payload.decode("utf-8", "replace")
+                        html = payload
                     key, to = f.get("X-Record-Key"), f.get("X-Refers-To-Key")
                     rows.append((key and int(key), f["WARC-Target-URI"], f["WARC-Date"], f["WARC-Record-ID"], f["WARC-Type"], size, digest, to and int(to), html))
                 for k in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows[k : k + 256], strict=True), types, strict=True)], names)
 
-    schema = "key long, url string, date string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string"
+    schema = "key long, url string, date string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
