@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, table
+from .common import free_names, materialize, remove, table
 
 #: Cells with more fingerprints than this are not paired; their members are linked through one-bit segments instead.
 CELL_PAIRS = 64
@@ -168,34 +168,73 @@ def shingle_sets(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ids of `docs` whose exact Jaccard similarity of shingle sets is `similarity` or more."""
-    pairs = materialize(pairs.distinct(), "similar-candidates")
+def parities(hashes: np.ndarray) -> bytes:
+    """The fingerprint of a set: a bit for each residue of the hashes, 1 if an odd number of them has it.
+
+    The Hamming distance of two fingerprints is a lower bound of how many members the sets do not share. The number of
+    bits is a power of two, 128 or more and twice the members at least; longer ones fold into shorter ones by exclusive or.
+    """
+    bits = max(128, 1 << (2 * max(1, len(hashes)) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """The Hamming distance of two fingerprints of `parities`."""
+    x, y = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def not_too_far(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes that the fingerprints of `marks` (node, bits, size) leave a chance of the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            most = (1 - similarity) / (1 + similarity) * sizes + 1e-9  # members not shared, at the similarity
+            far = [differing(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(np.array(far, np.int64) <= most))
+
+    side = lambda name: marks.select(F.col("node").alias(name), F.col("bits").alias(f"bits_{name}"), F.col("size").alias(f"n_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bits_a", "bits_b", "n_a", "n_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of ids of `docs` whose exact Jaccard similarity of shingle sets is `similarity` or more.
+
+    The lower bound of the fingerprints comes first; only for what it leaves are the sets made again and compared.
+    """
+    pairs = materialize(not_too_far(pairs.distinct(), marks, similarity), "similar-candidates")
     named = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
     sets = materialize(shingle_sets(docs.join(named, id_col, "left_semi"), width, id_col, text_col), "similar-sets")
     one, other = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_b"))
     both = pairs.join(one, "a").join(other, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
-    return both.filter(F.col("_n") >= similarity * (F.size("_a") + F.size("_b") - F.col("_n")) - 1e-9).select("a", "b")
+    same = both.filter(F.col("_n") >= similarity * (F.size("_a") + F.size("_b") - F.col("_n")) - 1e-9).select("a", "b")
+    same = materialize(same, "similar-pairs")
+    remove(docs.sparkSession, sets._scratch)
+    return same
 
 
 def frequencies(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: doc_id, the digest `sig` of the shingle set and its size `n`; and a shingle `h` that many rows
-    have, with the count `n` (doc_id and sig are null)."""
+    """Rows of two kinds: doc_id, the digest `sig` of the shingle set, its fingerprint `bits` and its size `n`; and a shingle
+    `h` that many rows have, with the count `n` (the others are null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def often(sets: list[np.ndarray]) -> pa.RecordBatch:
             found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
             found, n = found[n >= OFTEN].view(np.int64), n[n >= OFTEN]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), pa.array(found), pa.array(n, pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), *[pa.nulls(len(n), pa.binary())] * 2, pa.array(found), pa.array(n, pa.int64())], names)
 
-        names, held, size = ["doc_id", "sig", "h", "n"], [], 0
+        names, held, size = ["doc_id", "sig", "bits", "h", "n"], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 cut = batch.slice(at, 256)
                 sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in cut.column(1)]
                 sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 lengths = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(sigs, pa.binary()), pa.nulls(len(sets), pa.int64()), lengths], names)
+                bits = pa.array([parities(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(sigs, pa.binary()), bits, pa.nulls(len(sets), pa.int64()), lengths], names)
                 held += sets
                 size += sum(map(len, sets))
                 if size >= HELD:
@@ -204,7 +243,7 @@ def frequencies(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
         yield often(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, sig binary, h long, n long")
+    return rows.mapInArrow(run, "doc_id long, sig binary, bits binary, h long, n long")
 
 
 def prefixes(docs: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
@@ -238,9 +277,11 @@ def prefixes(docs: DataFrame, often: dict[str, np.ndarray], width: int, similari
     return rows.mapInArrow(run, "node long, sp long, h long")
 
 
-def similar_roots(nodes: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def similar_roots(nodes: DataFrame, marks: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """(node, root) for every row of `nodes` with a link: components of all pairs of the similarity or more.
 
+    `marks` has the fingerprint and the size of every node's set (node, bits, size).
+
     Sets that share a shingle of their prefixes are in one cell, and every pair of the similarity is in a cell where the
     rest of both sets is long enough for the common part that it needs: no pair is missed. First the members of a cell
     are verified against its first one. Pairs inside a component add nothing, so a cell whose members are all in one is
@@ -249,6 +290,7 @@ def similar_roots(nodes: DataFrame, often: dict[str, np.ndarray], width: int, si
     first = materialize(prefixes(nodes, often, width, similarity, id_col, text_col), "similar-prefixes")
     cells = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(first.join(cells, "h"), "similar-members")
+    remove(nodes.sparkSession, first._scratch)
 
     def possible(x: str, y: str) -> Column:
         size = lambda c: F.shiftright(c, 31)
@@ -259,7 +301,7 @@ def similar_roots(nodes: DataFrame, often: dict[str, np.ndarray], width: int, si
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     heads = members.groupBy("h").agg(F.min("node").alias("x"), F.min_by("sp", "node").alias("xs"))
     stars = members.join(heads, "h").filter((F.col("x") != F.col("node")) & possible("xs", "sp")).select(*pair("x", "node"))
-    roots = components(verified(stars, nodes, width, similarity, id_col, text_col))
+    roots = components(verified(stars, marks, nodes, width, similarity, id_col, text_col))
 
     labels = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     crowd = members.filter("n > 2").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -270,7 +312,7 @@ def similar_roots(nodes: DataFrame, often: dict[str, np.ndarray], width: int, si
     left = mixed.filter("root != main").select("h", F.col("root").alias("_root"), F.col("x").alias("y"), F.col("xs").alias("ys"))  # main ones are all linked
     once = (F.col("root") == F.col("main")) | (F.col("y") < F.col("x"))
     pairs = mixed.join(left, "h").filter((F.col("root") != F.col("_root")) & once & possible("xs", "ys")).select(*pair("x", "y"))
-    more = verified(pairs, nodes, width, similarity, id_col, text_col)
+    more = verified(pairs, marks, nodes, width, similarity, id_col, text_col)
     return components(roots.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more).distinct())
 
 
@@ -286,10 +328,11 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
     found = materialize(frequencies(numbered, width, row, text_col), "simhash-sets")
     rows = found.filter("sig is not null").select("doc_id", "sig")
     marks = materialize(rows.groupBy("sig").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    prints = found.filter("sig is not null").select(F.col("doc_id").alias("node"), "bits", F.col("n").alias("size"))
     top = found.filter("sig is null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDERED).toPandas().sort_values("h")
     often = {"h": top["h"].to_numpy(np.int64), "n": top["n"].to_numpy(np.int64)}
     distinct = numbered.join(marks.select(F.col("node").alias(row)), row, "left_semi")
-    roots = similar_roots(distinct, often, width, similarity, row, text_col)
+    roots = similar_roots(distinct, prints, often, width, similarity, row, text_col)
     nodes = marks.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
     ids = numbered.select(F.col(row).alias("doc_id"), F.col(id_col).alias("_id"))
     best = rows.join(nodes, "sig").select("doc_id", "root").join(ids, "doc_id").groupBy("root").agg(
