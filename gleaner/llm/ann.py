@@ -28,9 +28,9 @@ class CollisionIndex:
     when k verified ones lie within the radius that the windows stand for, or when a fixed share has been verified.
     """
 
-    def __init__(self, vectors: np.ndarray, norm: float, seed: int = 11, projections: int = PROJECTIONS) -> None:
+    def __init__(self, vectors: np.ndarray, norm: float, verify: float = VERIFY, seed: int = 11, projections: int = PROJECTIONS) -> None:
         self.exact = vectors.astype(np.float64)
-        self.norm = norm
+        self.norm, self.verify = norm, verify
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections)).astype(np.float32)
         more = np.sqrt(np.maximum(norm * norm - (self.exact**2).sum(axis=1), 0.0))
         values = np.column_stack([self.exact, more]).astype(np.float32) @ self.axes
@@ -51,7 +51,7 @@ class CollisionIndex:
     def search(self, query: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, scores) of verified vectors, the k best and ties with the last among them."""
         n, exact = len(self.exact), query.astype(np.float64)
-        enough, need = min(n, k + int(VERIFY * n)), max(1, int(THRESHOLD * len(self.order)))
+        enough, need = min(n, k + int(self.verify * n)), max(1, int(THRESHOLD * len(self.order)))
         counts, known, square = np.zeros(n, np.int64), np.zeros(n, bool), self.norm**2 + float(exact @ exact)
         places, scores = np.empty(0, np.int64), np.empty(0)
         for step, radius in enumerate(RADII):
@@ -83,7 +83,7 @@ class NormRanges:
     ranges until no vector of the next one can reach its k-th score, as an inner product is at most the product of norms.
     """
 
-    def __init__(self, vectors: np.ndarray) -> None:
+    def __init__(self, vectors: np.ndarray, verify: float = VERIFY) -> None:
         self.exact = vectors.astype(np.float64)
         norms = np.sqrt((self.exact**2).sum(axis=1))
         order, self.ranges, at = np.argsort(-norms, kind="stable"), [], 0
@@ -91,7 +91,7 @@ class NormRanges:
             largest = float(norms[order[at]])
             end = max(at + 1, int(np.searchsorted(-norms[order], -largest / NORM_RANGE, "right")))
             places = order[at:end]
-            self.ranges.append((largest, places, CollisionIndex(vectors[places], largest) if len(places) >= WHOLE else None))
+            self.ranges.append((largest, places, CollisionIndex(vectors[places], largest, verify) if len(places) >= WHOLE and verify < 1 else None))
             at = end
 
     def search(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -122,17 +122,19 @@ def valid(vector: str) -> Column:
     return v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, query_block: int = QUERY_BLOCK, verify: float = VERIFY) -> DataFrame:
     """The k nearest rows of `vectors` (vec_id, embedding) for each of `queries` (the same columns), by inner product.
 
     Equal vectors are one entry of the index, with their k + 1 smallest ids, so a hot vector costs one place and loses
     nothing. The entries are dealt into blocks by hash; every block of the index meets every block of queries once, and
     the best of all blocks are ranked: nearest first, ties to the smaller id, rows of the query's own id left out. All
-    rows are indexed; the search is approximate with a measured recall above 0.9, and exact where there are few rows.
+    rows are indexed; the search is approximate with a measured recall above 0.9, and exact where there are few rows. `verify`
+    is the share of a block that is verified unless the search is over before; 1 verifies all, so that nothing is missed.
 
     Vectors that are null, zero or hold null or non-finite components take no part, as queries or as candidates. Rows of
     a null id are left out. Vectors of another length than most have are left out, as no inner product is defined.
-    Repeated rows count once. An empty table gives no rows. Returns query_id, rank, vec_id, score (double precision, on
+    Repeated rows count once, and so does a query's own id however often it is there; an id with several vectors is a
+    candidate by each of them, and as a query it has the best of all of them in one ranking. An empty table gives no rows. Returns query_id, rank, vec_id, score (double precision, on
     the original vectors).
     """
     spark = vectors.sparkSession
@@ -164,7 +166,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLO
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             entries, ids = matrix(left.column("embedding")), left.column("ids").to_pylist()
-            hashed = NormRanges(entries)
+            hashed = NormRanges(entries, verify)
             asked, vectors = right.column("vec_id").to_pylist(), matrix(right.column("embedding"))
             found = [f for at in range(0, len(vectors), 512) for f in hashed.search(vectors[at : at + 512], k + 1)]
             for query, (places, scores) in zip(asked, found, strict=True):

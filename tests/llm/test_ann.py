@@ -46,3 +46,16 @@ def test_recall_on_uneven_norms():
         for q, (places, _) in zip(x[100:140], ann.NormRanges(x).search(x[100:140], 20), strict=True):
             hits += len(set(np.argsort(-(x.astype(float) @ q.astype(float)))[:20]) & set(places.tolist()))
         assert hits / (40 * 20) >= 0.9
+
+
+def test_recall_holds_as_a_block_grows_and_is_one_if_all_is_verified():
+    rng = np.random.default_rng(9)
+    for n in (2_000, 16_000):
+        x = rng.standard_normal((n, 64)).astype(np.float32)
+        x /= np.sqrt((x**2).sum(axis=1))[:, None]
+        queries = x[:25]
+        for verify, least in ((ann.VERIFY, 0.9), (1.0, 1.0)):
+            hits = 0
+            for q, (places, _) in zip(queries, ann.NormRanges(x, verify).search(queries, 20), strict=True):
+                hits += len(set(np.argsort(-(x.astype(float) @ q.astype(float)))[:20]) & set(places.tolist()))
+            assert hits / (25 * 20) >= least
