@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ CELL_PAIRS = 64
 #: Shingles sorted by count are those that so many of a task's rows have, and the most frequent of them. The rest are sorted
 #: by hash: these bounds decide on the cost of the search for similar sets, and on no result. Hashes that a task holds to count.
 OFTEN, ORDERED, HELD = 3, 1 << 19, 4_000_000
+#: Rounds of drawn members at most, draws in each, the pairs for each member from which on they pay, and the members for each
+#: link found below which they no longer do. They decide on the cost, and on no result.
+TURNS, DRAWS, CROWDED, RARE = 4, 3, 8, 2000
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -285,7 +289,8 @@ def similar_roots(nodes: DataFrame, marks: DataFrame, often: dict[str, np.ndarra
     Sets that share a shingle of their prefixes are in one cell, and every pair of the similarity is in a cell where the
     rest of both sets is long enough for the common part that it needs: no pair is missed. First the members of a cell
     are verified against its first one. Pairs inside a component add nothing, so a cell whose members are all in one is
-    done, however large; in the others, all pairs of different components are verified.
+    done, however large. While the pairs of different components are many, the members are verified against a few drawn
+    anew in each round, which soon joins what belongs together; of the components that are left, all pairs are verified.
     """
     first = materialize(prefixes(nodes, often, width, similarity, id_col, text_col), "similar-prefixes")
     cells = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
@@ -303,17 +308,34 @@ def similar_roots(nodes: DataFrame, marks: DataFrame, often: dict[str, np.ndarra
     stars = members.join(heads, "h").filter((F.col("x") != F.col("node")) & possible("xs", "sp")).select(*pair("x", "node"))
     roots = components(verified(stars, marks, nodes, width, similarity, id_col, text_col))
 
-    labels = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-    crowd = members.filter("n > 2").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    crowd = materialize(crowd.select("h", "root", F.col("node").alias("x"), F.col("sp").alias("xs")), "similar-crowd")
-    parts = crowd.groupBy("h", "root").agg(F.count("*").alias("n"))
-    parts = parts.groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = materialize(crowd.join(parts.select("h", F.col("most.root").alias("main")), "h"), "similar-mixed")
-    left = mixed.filter("root != main").select("h", F.col("root").alias("_root"), F.col("x").alias("y"), F.col("xs").alias("ys"))  # main ones are all linked
-    once = (F.col("root") == F.col("main")) | (F.col("y") < F.col("x"))
-    pairs = mixed.join(left, "h").filter((F.col("root") != F.col("_root")) & once & possible("xs", "ys")).select(*pair("x", "y"))
-    more = verified(pairs, marks, nodes, width, similarity, id_col, text_col)
-    return components(roots.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more).distinct())
+    links = None
+    for turn in range(TURNS + 1):
+        labels = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+        crowd = members.filter("n > 2").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        crowd = materialize(crowd.select("h", "root", F.col("node").alias("x"), F.col("sp").alias("xs")), "similar-crowd")
+        parts = crowd.groupBy("h", "root").agg(F.count("*").alias("n"))
+        parts = parts.groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+        parts = materialize(parts.filter("parts > 1").select("h", "n", "most"), "similar-parts")
+        todo = parts.agg(F.sum("n").alias("rows"), F.sum((F.col("n") - F.col("most.n")) * F.col("n")).alias("pairs")).first()
+        if not todo["rows"]:
+            return roots
+        mixed = materialize(crowd.join(parts.select("h", F.col("most.root").alias("main")), "h"), "similar-mixed")
+        last = turn == TURNS or todo["pairs"] <= CROWDED * todo["rows"] or (links is not None and links * RARE < todo["rows"])
+        if last:
+            left = mixed.filter("root != main").select("h", F.col("root").alias("_root"), F.col("x").alias("y"), F.col("xs").alias("ys"))  # main ones are all linked
+            once = (F.col("root") == F.col("main")) | (F.col("y") < F.col("x"))
+        else:
+            draw = lambda by: mixed.groupBy("h").agg(F.min_by("root", by).alias("_root"), F.min_by("x", by).alias("y"), F.min_by("xs", by).alias("ys"))  # noqa: B023, E731
+            left = reduce(DataFrame.unionByName, [draw(F.xxhash64("x", F.lit(turn), F.lit(k))) for k in range(DRAWS)])
+            once = F.lit(True)
+        pairs = mixed.join(left, "h").filter((F.col("root") != F.col("_root")) & once & possible("xs", "ys")).select(*pair("x", "y"))
+        more = verified(pairs, marks, nodes, width, similarity, id_col, text_col)
+        links = more.count()
+        roots = components(roots.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more).distinct())
+        for used in (crowd, parts, mixed):
+            remove(nodes.sparkSession, used._scratch)
+        if last:
+            return roots
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
