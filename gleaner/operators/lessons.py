@@ -122,8 +122,11 @@ def filtered(docs: DataFrame, rules: list[tuple[str, str, str, list[str]]], crit
     return docs.withColumn("_f", run(F.col("text"))).withColumns({"filtered": F.col("_f.text"), "removed": F.col("_f.removed")}).drop("_f")
 
 
-def generalise(shapes: list[tuple]) -> list[tuple]:
-    """Merge shapes of one length that differ in one place (or in places that are wild already), until none merge."""
+def generalise(shapes: list[tuple], kept: list[tuple] = ()) -> list[tuple]:
+    """Merge shapes of one length that differ in one place (or in places that are wild already), until none merge.
+
+    A merged shape that a kept one would match is not made.
+    """
     found = sorted(set(shapes))[:MAX_SHAPES]
     changed = True
     while changed:
@@ -136,7 +139,7 @@ def generalise(shapes: list[tuple]) -> list[tuple]:
                 new = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y and "*" not in (x[0], y[0])]
                 joined = tuple(x if x == y else ("*", "") for x, y in zip(a, b, strict=True))
                 literal = [s for s in joined if not s[0]]
-                if len(new) <= 1 and len(literal) >= 2 and sum(len(s[1]) for s in literal) >= 8 and (len(joined) - len(literal)) / len(joined) <= 0.5:
+                if len(new) <= 1 and len(literal) >= 2 and sum(len(s[1]) for s in literal) >= 8 and (len(joined) - len(literal)) / len(joined) <= 0.5 and not any(same(joined, k) for k in kept):
                     found = sorted({*(s for k, s in enumerate(found) if k not in (i, j)), joined})
                     changed = True
                     break

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import content_hash, json_minify, lines, token_estimate
 from gleaner.operators import detect, firewall, json_summary, logs, redact, reports, shell
+from gleaner.operators import rules as R
 from gleaner.sources.scratch import materialize
 from gleaner.sources.tables import exploded_lines
 
@@ -60,10 +61,24 @@ def _summary(docs: DataFrame) -> DataFrame:
 
 def _collapsed(docs: DataFrame) -> DataFrame:
     rows = shell.collapse_repeats(_lines(docs))
+    rows = shell.head_tail(rows.withColumn("_at", F.col("ln")).withColumn("ln", F.row_number().over(Window.partitionBy("doc_id").orderBy("_at"))).withColumnRenamed("shown", "line"))
+    note = F.concat(F.col("line"), F.lit("\n["), F.col("omitted").cast("string"), F.lit(" line(s) left out]"))
+    rows = rows.withColumn("shown", F.when((F.col("omitted") > 0) & (F.col("ln") == 60), note).otherwise(F.col("line")))
     out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ln", "shown"))).alias("s"))
     return out.select("doc_id", F.array_join(F.transform("s", lambda x: x.shown), "\n").alias("output"))
 
 
+def learned(rules: DataFrame, protect_errors: bool = True) -> Compiler:
+    """The filter of learned line rules (`rules.rule_table`) as a compiler: put it behind the others to offer it too."""
+
+    def run(docs: DataFrame) -> DataFrame:
+        rows = R.filtered(R.matched(_lines(docs), rules), protect_errors)
+        out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("s"))
+        return out.select("doc_id", F.concat(F.array_join(F.transform("s", lambda x: x.line), "\n"), F.lit("\n")).alias("output"))
+
+    return Compiler("learn.filter", lambda: F.col("text").isNotNull(), run)
+
+
 #: Specific ones first; of accepted outputs the one with the fewest bytes wins, and of equals the first.
 COMPILERS = (
     Compiler("test.pytest", lambda: _has("test session starts", "short test summary info"), _tests(reports.pytest_totals, reports.pytest_failures, "pytest")),
@@ -77,6 +92,7 @@ COMPILERS = (
     Compiler("json.structural", lambda: F.col("content_type") == "json", _minified, reparse="json_equal"),
     Compiler("json.summary", lambda: F.col("content_type") == "json", _summary, lossy=True),
     Compiler("log.cluster", lambda: F.col("content_type").isin("application_log", "plain_text", "unknown"), lambda d: logs.render(logs.clusters(_lines(d))), lossy=True),
+    Compiler("shell.grep", lambda: F.col("text").rlike(r"(?m)^[^:\n]+:[0-9]+:"), lambda d: shell.render_grep(_lines(d))),
     Compiler("shell.generic", lambda: F.size(lines(F.col("text"))) > 1, _collapsed),
 )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import templates as T
-from gleaner.functions.text import is_blank, is_critical
+from gleaner.functions.text import is_blank, is_critical, token_estimate
 from gleaner.sources.scratch import materialize
 
 #: Rules up to this number are broadcast (a rule is below 10 kB); more are joined by shuffle on their key.
@@ -30,25 +30,39 @@ def applies(program: Column, subcommand: Column) -> Column:
     return one(F.col("r_program"), program) & one(F.col("r_subcommand"), subcommand)
 
 
-def matched(lines: DataFrame, rules: DataFrame, scoped: bool = False) -> DataFrame:
-    """Lines with the first rule that covers them (id order): doc_id, ln, line, rule_id, action, summary, critical.
+def covering(rows: DataFrame, rules: DataFrame, names: list[str], scoped: bool = False) -> DataFrame:
+    """All pairs of a line (`_segs` its template) and a rule that matches it, as the columns `names` of both.
 
-    Rules without wildcards meet lines by a hash join on the template's key; those with wildcards by the number of
-    tokens and the first literal where there is one. Blank lines match nothing. Lines without a rule keep nulls.
+    Rules without wildcards meet lines by a hash join on the template's key. Those with wildcards meet them by the number
+    of tokens and the place and text of their longest literal: a line is looked up once for each place that rules of its
+    length use, so a common length alone brings no pair together. Blank lines match nothing.
     """
-    rules = rules.filter("enabled").select(
+    few = rules.count() <= BROADCAST_RULES
+    side = lambda df: F.broadcast(df) if few else df
+    rules = rules.select(
         F.col("id").alias("rule_id"), F.col("program").alias("r_program"), F.col("subcommand").alias("r_subcommand"), "pattern", "wild", "action", "summary"
     )
-    rows = materialize(lines.withColumn("_segs", T.segments(F.col("line"))), "rule-lines")  # read by both joins
-    side = lambda df: F.broadcast(df) if rules.count() <= BROADCAST_RULES else df
-    plain = side(rules.filter(~F.col("wild")).withColumn("_key", T.join_key(F.col("pattern"))).drop("wild"))
-    wild = side(rules.filter("wild").withColumn("_size", F.size("pattern")).drop("wild"))
     scope = applies(F.col("program"), F.col("subcommand")) if scoped else F.lit(True)
-    keyed = rows.withColumn("_key", T.join_key(F.col("_segs"))).withColumn("_size", F.size("_segs"))
-    names = ["doc_id", "ln", "rule_id", "action", "summary"]
-    hits = keyed.join(plain, "_key").filter(scope).select(*names)
-    more = keyed.join(wild, "_size").filter(T.matches(F.col("pattern"), F.col("_segs")) & scope).select(*names)
-    first = hits.unionByName(more).groupBy("doc_id", "ln").agg(F.min(F.struct("rule_id", "action", "summary")).alias("r"))
+    plain = rules.filter(~F.col("wild")).withColumn("_key", T.join_key(F.col("pattern"))).drop("wild")
+    hits = rows.withColumn("_key", T.join_key(F.col("_segs"))).join(side(plain), "_key").filter(scope).select(*names)
+    places = F.array_max(F.transform("pattern", lambda s, i: F.struct(F.when(s.cls == "", F.char_length(s.lit)).otherwise(-1).alias("n"), (-i).alias("i"))))
+    wild = rules.filter("wild").withColumn("_size", F.size("pattern")).withColumn("_at", F.when(places.n >= 0, -places.i).otherwise(-1))
+    literal = lambda segs: F.when(F.col("_at") >= 0, F.get(segs, F.col("_at")).getField("lit")).otherwise("")
+    wild = wild.withColumn("_lit", literal(F.col("pattern"))).drop("wild")
+    spots = wild.select("_size", "_at").distinct()  # lengths and places: 64 * 65 rows at most
+    near = rows.withColumn("_size", F.size("_segs")).join(F.broadcast(spots), "_size").withColumn("_lit", literal(F.col("_segs")))
+    more = near.join(side(wild), ["_size", "_at", "_lit"]).filter(T.matches(F.col("pattern"), F.col("_segs")) & scope).select(*names)
+    return hits.unionByName(more)
+
+
+def matched(lines: DataFrame, rules: DataFrame, scoped: bool = False) -> DataFrame:
+    """Lines with the first rule that covers them (id order): doc_id, ln, line, rule_id, action, summary, critical.
+
+    Lines without a rule keep nulls. Null lines and rules of a null pattern match nothing.
+    """
+    rows = materialize(lines.withColumn("_segs", T.segments(F.col("line"))), "rule-lines")  # read by both joins
+    hits = covering(rows, rules.filter("enabled"), ["doc_id", "ln", "rule_id", "action", "summary"], scoped)
+    first = hits.groupBy("doc_id", "ln").agg(F.min(F.struct("rule_id", "action", "summary")).alias("r"))
     out = rows.drop("_segs").join(first, ["doc_id", "ln"], "left")
     return out.select(*lines.columns, "r.rule_id", "r.action", "r.summary", is_critical(F.col("line")).alias("critical"))
 
@@ -85,10 +99,29 @@ def filtered(hits: DataFrame, protect_errors: bool = True) -> DataFrame:
 
 
 def accounting(hits: DataFrame) -> DataFrame:
-    """Per rule: documents it fired in, lines it covers, critical lines it had to leave."""
+    """Per rule: documents it fired in, lines it covers, critical lines it had to leave, tokens of the lines it removes."""
     on = hits.filter(F.col("rule_id").isNotNull())
-    per = on.groupBy("rule_id", "doc_id").agg(F.count("*").alias("n"), F.count_if("critical").alias("c"))
-    return per.groupBy("rule_id").agg(F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("lines"), F.sum("c").cast("bigint").alias("protected"))
+    per = on.groupBy("rule_id", "doc_id").agg(
+        F.count("*").alias("n"), F.count_if("critical").alias("c"), F.sum(F.when(~F.col("critical"), token_estimate(F.col("line"))).otherwise(0)).alias("t")
+    )
+    return per.groupBy("rule_id").agg(
+        F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("lines"), F.sum("c").cast("bigint").alias("protected"), F.sum("t").cast("bigint").alias("tokens")
+    )
+
+
+def accounted(rules: DataFrame, used: DataFrame, now_millis: int) -> DataFrame:
+    """Rules (id, hits, lines_removed, tokens_saved, last_hit_millis, ..) with the counters of `accounting` added."""
+    used = used.select(F.col("rule_id").alias("id"), "docs", (F.col("lines") - F.col("protected")).alias("_lines"), "tokens")
+    out = rules.join(used, "id", "left")
+    more = lambda c, by: (F.coalesce(c, F.lit(0)) + F.coalesce(by, F.lit(0))).cast("bigint").alias(c)
+    hit = F.when(F.col("docs").isNotNull(), F.lit(now_millis)).otherwise(F.col("last_hit_millis")).cast("bigint").alias("last_hit_millis")
+    new = {"hits": more("hits", "docs"), "lines_removed": more("lines_removed", "_lines"), "tokens_saved": more("tokens_saved", "tokens"), "last_hit_millis": hit}
+    return out.select(*[new.get(c, F.col(c)) for c in rules.columns])
+
+
+def hit_order(used: DataFrame, limit: int = 30) -> DataFrame:
+    """A report of the rules of `accounting` that saved most tokens."""
+    return used.orderBy(F.desc("tokens"), "rule_id").limit(limit)
 
 
 def rule_id(program: Column, subcommand: Column, canonical: Column, action: Column) -> Column:
@@ -147,16 +180,16 @@ def set_enabled(rules: DataFrame, ids: list[str], enabled: bool) -> DataFrame:
 def resolve(rules: DataFrame, prefix: str) -> DataFrame:
     """The rule whose id is the prefix, or the only one that begins with it; else nothing."""
     hits = rules.filter(F.col("id").startswith(prefix))
-    exact = F.max((F.col("id") == prefix).cast("int")).over(Window.partitionBy(F.lit(1)))
-    some = hits.withColumn("_exact", exact).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    return some.filter((F.col("id") == prefix) | ((F.col("_exact") == 0) & (F.col("_n") == 1))).drop("_exact", "_n")
+    n = hits.agg(F.count("*").alias("_n"), F.count_if(F.col("id") == prefix).alias("_exact"))  # one row
+    some = hits.crossJoin(F.broadcast(n)).filter((F.col("id") == prefix) | ((F.col("_exact") == 0) & (F.col("_n") == 1)))
+    return some.select(*rules.columns)
 
 
 def retire(rules: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rules without wildcards that match a line which must stay (line) are switched off."""
-    clash = kept.select(T.join_key(T.segments(F.col("line"))).alias("_key")).distinct().withColumn("_hit", F.lit(True))
-    out = rules.withColumn("_key", T.join_key(F.col("pattern"))).join(clash, "_key", "left")
-    return out.withColumn("enabled", F.col("enabled") & ~F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+    """Rules, with wildcards or without, that match a line which must stay (line) are switched off."""
+    hit = covering(kept.select("line", T.segments(F.col("line")).alias("_segs")), rules, ["rule_id"]).distinct()
+    out = rules.join(hit.select(F.col("rule_id").alias("id"), F.lit(True).alias("_hit")), "id", "left")
+    return out.withColumn("enabled", F.col("enabled") & F.col("_hit").isNull()).select(*rules.columns)
 
 
 def top(rules: DataFrame, limit: int = 30) -> DataFrame:

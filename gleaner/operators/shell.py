@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import is_blank
+
 MAX_PER_FILE, MAX_FILES = 20, 200
-GREP = r"^((?:[A-Za-z]:)?[^:\n]+):([0-9]+):(.*)$"
+GREP = r"^((?:[A-Za-z]:)?[^:\n]+):([0-9]+):(?:([0-9]+):)?(.*)$"
 
 
 def collapse_repeats(lines: DataFrame) -> DataFrame:
@@ -42,15 +44,41 @@ def search(lines: DataFrame, needle: str, limit: int = 20) -> DataFrame:
 
 
 def grep_rows(lines: DataFrame) -> DataFrame:
-    """`path:line:text` rows; others are dropped."""
+    """`path:line:text` and `path:line:column:text` rows (col: null without one); others are dropped."""
     part = lambda k: F.regexp_extract("line", GREP, k)
     rows = lines.filter(F.col("line").rlike(GREP))
-    return rows.select(*[c for c in lines.columns if c != "line"], part(1).alias("path"), part(2).cast("bigint").alias("at"), part(3).alias("text"))
+    return rows.select(*[c for c in lines.columns if c != "line"], part(1).alias("path"), part(2).cast("bigint").alias("at"), part(3).try_cast("bigint").alias("col"), part(4).alias("text"))
 
 
 def grep_by_file(rows: DataFrame, order: str = "ln", per_file: int = MAX_PER_FILE, files: int = MAX_FILES) -> DataFrame:
     """Matches of each file, files in the order of appearance: path, total, shown, dropped."""
     by = rows.groupBy("path").agg(F.count("*").alias("total"), F.min(order).alias("first"))
-    ranked = by.withColumn("rank", F.row_number().over(Window.orderBy("first", "path")))  # a row per file
-    kept = ranked.filter(F.col("rank") <= files)
+    kept = by.orderBy("first", "path").limit(files)  # every task keeps that many at most
     return kept.select("path", "total", F.least("total", F.lit(per_file)).alias("shown"), F.greatest(F.col("total") - per_file, F.lit(0)).alias("dropped"))
+
+
+def render_grep(lines: DataFrame, per_file: int = MAX_PER_FILE, files: int = MAX_FILES) -> DataFrame:
+    """Search results of each document by file: doc_id, output. Others than search results give none.
+
+    A document is a search result if three quarters of its first 40 filled lines, five at least, name a file and a line;
+    it needs three matches, and two for each file on average.
+    """
+    filled = lines.filter(~is_blank(F.col("line")))
+    hit = F.col("line").rlike(GREP)
+    top = filled.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ln"))).filter("_n <= 40")
+    told = top.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits")).filter("n >= 5 and 4 * hits >= 3 * n").select("doc_id")
+    rows = grep_rows(filled.select("doc_id", "ln", "line")).join(told, "doc_id", "left_semi")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "path").orderBy("ln")))
+    line = F.concat(F.col("at").cast("string"), F.lit(": "), F.trim("text"))
+    by = rows.groupBy("doc_id", "path").agg(
+        F.count("*").alias("total"), F.min("ln").alias("first"), F.array_sort(F.collect_list(F.when(F.col("_r") <= per_file, F.struct("_r", line.alias("line"))))).alias("shown")
+    )
+    order = Window.partitionBy("doc_id").orderBy("first", "path")
+    by = by.withColumn("_f", F.row_number().over(order)).withColumn("more", F.greatest(F.col("total") - per_file, F.lit(0)))
+    text = F.concat("path", F.lit("\n"), F.array_join(F.transform("shown", lambda x: F.concat(F.lit("  "), x.line)), "\n"))
+    text = F.concat(text, F.when(F.col("more") > 0, F.concat(F.lit("\n  (+"), F.col("more").cast("string"), F.lit(" more)"))).otherwise(""))
+    docs = by.groupBy("doc_id").agg(
+        F.sum("total").alias("total"), F.count("*").alias("files"), F.array_sort(F.collect_list(F.when(F.col("_f") <= files, F.struct("_f", text.alias("text"))))).alias("parts")
+    ).filter("total >= 3 and total >= 2 * files")
+    head = F.concat(F.lit("@shell grep matches="), F.col("total").cast("string"), F.lit(" files="), F.col("files").cast("string"), F.lit("\n"))
+    return docs.select("doc_id", F.concat(head, F.array_join(F.transform("parts", lambda p: p.text), "\n"), F.lit("\n")).alias("output"))

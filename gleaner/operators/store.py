@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.sources.scratch import materialize
+
 HANDLE_LENGTHS = (5, 7, 9, 11)
 
 
@@ -38,17 +40,17 @@ def short_handles(hashes: DataFrame) -> DataFrame:
 
 
 def resolve(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Look prefixes up: `found` is the hash if exactly one begins with the prefix (wanted: prefix)."""
+    """Look prefixes up: `found` is the hash if exactly one begins with the prefix (wanted: prefix; longer than any hash: none)."""
     n = F.char_length("prefix")
-    lengths = [r[0] for r in wanted.select(n).distinct().limit(64).collect()]  # lengths of a hash prefix: 64 at most
-    out = None
+    longest = blobs.agg(F.max(F.char_length("hash"))).first()[0] or 0
+    fits = n <= longest  # so there are no more lengths than a hash has characters
+    lengths = [r[0] for r in wanted.filter(fits).select(n).distinct().collect()]
+    out = wanted.filter(~fits).select("prefix", F.lit(0).cast("bigint").alias("matches"), F.lit(None).cast("string").alias("hash"))
     for length in lengths:
         some = wanted.filter(n == length)
         part = some.join(blobs.select(F.substring("hash", 1, length).alias("prefix"), "hash"), "prefix", "left")
         part = part.groupBy("prefix").agg(F.count("hash").alias("matches"), F.min("hash").alias("hash"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = wanted.withColumn("matches", F.lit(0).cast("bigint")).withColumn("hash", F.lit(None).cast("string"))
+        out = out.unionByName(part)
     return out.select("prefix", "matches", F.when(F.col("matches") == 1, F.col("hash")).alias("found"))
 
 
@@ -63,17 +65,19 @@ def expired(capsules: DataFrame, now_millis: int) -> DataFrame:
 def evict(capsules: DataFrame, max_bytes: int) -> DataFrame:
     """The oldest capsules that go until the rest fits the budget (id, created, bytes; ties by id).
 
-    A capsule goes while what is left before it goes is still above the budget. The running sum is taken by blocks of
-    the creation order: sums of the blocks first, so no task sees more than a block.
+    A capsule goes while what is left before it goes is still above the budget. The running sum is taken by range
+    partitions of the creation order: their sums first, so no task sees more than a partition.
     """
-    total = capsules.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    blocks = capsules.withColumn("_block", F.floor(F.col("created") / 4096))
-    sums = blocks.groupBy("_block").agg(F.sum("bytes").alias("_sum"))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    parts = max(1, int(capsules.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = capsules.repartitionByRange(parts, "created", "id").withColumn("_block", F.spark_partition_id())
+    rows = materialize(rows, "store-order")  # the blocks stay as they are between the passes
+    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    sums = rows.groupBy("_block").agg(F.sum("bytes").alias("_sum"))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     sums = sums.select("_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     own = Window.partitionBy("_block").orderBy("created", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = blocks.join(sums, "_block").withColumn("_gone", F.col("_before") + F.coalesce(F.sum("bytes").over(own), F.lit(0)))
-    return rows.filter(F.lit(total) - F.col("_gone") > max_bytes).select(*capsules.columns)
+    gone = rows.join(F.broadcast(sums), "_block").withColumn("_gone", F.col("_before") + F.coalesce(F.sum("bytes").over(own), F.lit(0)))
+    return gone.filter(F.lit(total) - F.col("_gone") > max_bytes).select(*capsules.columns)
 
 
 def retrieve(capsules: DataFrame, level: int, raw_allowed: bool = False) -> DataFrame:

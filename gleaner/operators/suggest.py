@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import templates as T
 from gleaner.functions.text import is_blank, is_critical, token_estimate
+from gleaner.operators.rules import covering
 
 
 def suggestions(lines: DataFrame, min_runs: int = 2, rules: DataFrame | None = None) -> DataFrame:
     """Shapes of uncritical lines (scope, run, ln, line) that at least `min_runs` runs of a scope share.
 
-    Adds how many runs the scope has (`of_runs`), lines, tokens and the first example. Shapes of a line rule (pattern,
-    wild) are left out, whatever its scope. First by run, then by shape, so no key is hot.
+    Adds how many runs the scope has (`of_runs`), lines, tokens and the first example. Shapes that a line rule
+    matches, wildcards or not, are left out, whatever its scope. First by run, then by shape, so no key is hot.
     """
     rows = lines.filter(~is_blank(F.col("line")) & ~is_critical(F.col("line")))
     rows = rows.select("scope", "run", "ln", "line", T.segments(F.col("line")).alias("segs")).filter("segs is not null")
-    rows = rows.withColumn("shape", T.canonical(F.col("segs"))).withColumn("_key", T.join_key(F.col("segs")))
+    rows = rows.withColumn("shape", T.canonical(F.col("segs")))
     if rules is not None:
-        rows = rows.join(rules.filter("not wild").select(T.join_key(F.col("pattern")).alias("_key")).distinct(), "_key", "left_anti")
+        shapes = rows.groupBy("shape").agg(F.first("segs").alias("_segs"))
+        rows = rows.join(covering(shapes, rules, ["shape"]).distinct(), "shape", "left_anti")
     by_run = rows.groupBy("scope", "shape", "run").agg(
         F.count("*").alias("n"), F.sum(token_estimate(F.col("line"))).alias("tok"), F.min(F.struct("ln", "line")).alias("first")
     )

@@ -282,8 +282,8 @@ def blank_collapse(spark, sf_dir):  # noqa: ANN001, ANN201
     return rules.filtered(rules.matched(both, _rules(spark, ("drop",))))
 
 
-@query(f"""{_STATE} SELECT CASE event_type WHEN 'click' THEN 'r1' WHEN 'purchase' THEN 'r2' WHEN 'error' THEN 'r3' WHEN 'signup' THEN 'r4' END AS rule_id, count(DISTINCT doc_id) AS docs, count(*) AS lines, count(*) FILTER (critical) AS protected
-  FROM m WHERE event_type <> 'view' GROUP BY 1""")
+@query(f"""{_STATE} SELECT CASE event_type WHEN 'click' THEN 'r1' WHEN 'purchase' THEN 'r2' WHEN 'error' THEN 'r3' WHEN 'signup' THEN 'r4' END AS rule_id, count(DISTINCT doc_id) AS docs, count(*) AS lines, count(*) FILTER (critical) AS protected,
+    coalesce(sum({S.tokens('line')}) FILTER (NOT critical), 0)::BIGINT AS tokens FROM m WHERE event_type <> 'view' GROUP BY 1""")
 def rule_accounting(spark, sf_dir):  # noqa: ANN001, ANN201
     return rules.accounting(rules.matched(applog(spark, sf_dir).select("doc_id", "ln", "line"), _rules(spark)))
 

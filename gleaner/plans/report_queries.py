@@ -177,10 +177,12 @@ QUERIES["learn_generalised"] = learn_generalised
 
 
 def filter_blocks(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Documents without a two-line block that many of them begin with, and without license lines."""
-    first = ["Der eingeä erer.", "Des achlichä erberber das. Von."]
-    found = [("b1", "drop", "", first), ("l1", "fold", "license", ["Licensed under the MIT License."])]
-    return lessons.filtered(read(spark, sf_dir, "documents").select("doc_id", "text"), found, CRITICAL).select("doc_id", "filtered", F.map_keys("removed").alias("rules"))
+    """Documents without the first two lines that most of them begin with, and without license lines."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    top = docs.select(F.slice(F.split("text", "\n", 3), 1, 2).alias("l")).filter("size(l) = 2 and trim(l[0]) <> '' and trim(l[1]) <> ''")
+    first = top.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").first()
+    found = [("l1", "fold", "license", ["Licensed under the MIT License."])] + ([("b1", "drop", "", list(first["l"]))] if first else [])
+    return lessons.filtered(docs, found, CRITICAL).select("doc_id", "filtered", F.map_keys("removed").alias("rules"))
 
 
 QUERIES["filter_blocks"] = filter_blocks
@@ -212,14 +214,13 @@ QUERIES["pipeline_reduce"] = pipeline_reduce
   SELECT strftime(day, '%Y-%m-%d') AS day, event_type, events FROM d WHERE day + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)""")
 def stream_daily_counts(spark, sf_dir):  # noqa: ANN001, ANN201
     """Daily totals by a stream over the event log: the days whose late data can no longer come."""
-    import tempfile
     import uuid
 
+    from gleaner.sources.scratch import scratch_path
     from gleaner.streaming import events as E
 
     name = f"gleaner_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    rows = E.run_once(E.daily_counts(E.event_stream(spark, sf_dir)), name, f"{base}/{name}")
+    rows = E.run_once(E.daily_counts(E.event_stream(spark, sf_dir)), name, scratch_path(spark, "stream"))
     return rows.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "events")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = (
@@ -57,8 +57,7 @@ def sessions(events: DataFrame) -> DataFrame:
 def find_event(events: DataFrame, prefix: str) -> DataFrame:
     """The event whose id begins with a prefix, of the newest session that has one."""
     hits = events.filter(F.col("id").startswith(prefix))
-    newest = Window.orderBy(F.desc("session_id"), "ts_millis", "id")
-    return hits.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+    return hits.orderBy(F.desc("session_id"), "ts_millis", "id").limit(1)
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -69,8 +68,16 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def layered(project: DataFrame, user: DataFrame) -> DataFrame:
-    """The project's rules, and the user's that have no rule of the same id there."""
-    return project.withColumn("origin", F.lit("project")).unionByName(user.join(project.select("id"), "id", "left_anti").withColumn("origin", F.lit("user")))
+    """The rules of both: an id of both layers is the project's rule, which takes in the user's counters.
+
+    Numbers named hits, examples, lines_removed or tokens_saved add up, created_millis is the earliest, last_hit_millis
+    the latest; all else is the project's. `origin` tells whose rule it is.
+    """
+    both = project.withColumn("_l", F.lit(0)).unionByName(user.withColumn("_l", F.lit(1)), allowMissingColumns=True)
+    first = lambda c: F.min_by(c, "_l")
+    how = {"hits": F.sum, "examples": F.sum, "lines_removed": F.sum, "tokens_saved": F.sum, "created_millis": F.min, "last_hit_millis": F.max}
+    named = [how.get(c, first)(c).alias(c) for c in both.columns if c not in ("id", "_l")]
+    return both.groupBy("id").agg(*named, F.when(F.min("_l") == 0, "project").otherwise("user").alias("origin"))
 
 
 def as_json(df: DataFrame) -> DataFrame:

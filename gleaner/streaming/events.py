@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources.scratch import scratch_path
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -26,7 +28,8 @@ def without_repeats(events: DataFrame, keys: tuple[str, ...] = ("user_id", "even
 
 
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process all that is there into an in-memory table and return it (for tests and backfills)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process all that is there into a table in the shared folder and return it (for tests and backfills)."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    q = df.writeStream.outputMode(mode).format("parquet").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(path)

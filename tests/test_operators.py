@@ -292,3 +292,41 @@ def test_rule_tables_change(spark):
     assert [r["id"] for r in rules.resolve(table, "flt_a").collect()] == ["flt_a"]
     assert rules.resolve(table, "flt_").count() == 0 and rules.resolve(table, "flt_ab").count() == 1
     assert not any(r["enabled"] for r in rules.set_enabled(table, ["flt_a", "flt_ab"], False).collect())
+
+
+def test_search_results_are_shown_by_file(spark):
+    text = "\n".join([f"src/a.py:{k}:    hit {k}" for k in range(1, 26)] + ["C:\\b.py:3:7:other", "C:\\b.py:9: last", "-- 2 files"])
+    both = spark.createDataFrame([(1, text), (2, "no search\nresult at all\nhere"), (3, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["output"] for r in shell.render_grep(exploded_lines(both)).collect()}
+    assert list(got) == [1] and got[1].startswith("@shell grep matches=27 files=2\nsrc/a.py\n  1: hit 1\n")
+    assert "(+5 more)" in got[1] and "C:\\b.py\n  3: other\n  9: last" in got[1]
+    out = reduce.reduce(both.filter("doc_id < 3")).collect()
+    assert {r["doc_id"]: r["transformer"] for r in out}[1] == "shell.grep"
+
+
+def test_learned_rules_are_a_candidate(spark):
+    text = "\n".join([f"notice the package p{k}/x.js was skipped" for k in range(30)] + ["done here", ""])
+    lesson = "<trash>notice the package p1/x.js was skipped</trash>\nother\n<keep>warning of a thing</keep>"
+    from gleaner.operators import learning
+
+    old = spark.createDataFrame([("flt_x", "make", None, "drop", None, ["warning of a {*}"], 1, "", False, True, 5)], learning.RULES)
+    lessons_ = spark.createDataFrame([(1, "make", None, False, lesson), (2, "make", None, False, None)], "lesson_id bigint, program string, subcommand string, forced boolean, text string")
+    found = learning.learn(lessons_, old, 9)[0]
+    state = {r["id"]: (r["state"], r["enabled"]) for r in found.collect()}
+    assert state.pop("flt_x") == ("unchanged", False) and list(state.values()) == [("created", True)]
+    made = reduce.learned(learning.compiled(found).withColumn("program", F.lit(None).cast("string")))
+    got = reduce.reduce(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), compilers=(made,)).first()
+    assert got["transformer"] == "learn.filter" and got["output"] == "done here\n"
+
+
+def test_wildcard_rules_meet_lines_by_their_longest_literal(spark):
+    rows = [("a", None, None, "{*} finished {*}", "drop", ""), ("b", None, None, "{*} {*} {*}", "drop", ""), ("c", None, None, "x finished y", "drop", "")]
+    table = rules.rule_table(spark, rows)
+    got = {r["ln"]: r["rule_id"] for r in rules.matched(lines(spark, "x finished y\nthis finished too\nany three words\nmore than three words"), table).collect()}
+    assert got == {1: "a", 2: "a", 3: "b", 4: None}
+
+
+def test_eviction_goes_by_age_whatever_the_numbers(spark):
+    rows = [(k, 10**12 + k * 977, 10) for k in range(50)]
+    df = spark.createDataFrame(rows, "id bigint, created bigint, bytes bigint").repartition(5)
+    assert sorted(r["id"] for r in store.evict(df, 95).collect()) == list(range(41))
