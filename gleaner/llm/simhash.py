@@ -19,6 +19,8 @@ CELL_PAIRS = 64
 #: Shingles sorted by count are those that so many of a task's rows have, and the most frequent of them. The rest are sorted
 #: by hash: these bounds decide on the cost of the search for similar sets, and on no result. Hashes that a task holds to count.
 OFTEN, ORDERED, HELD = 3, 1 << 19, 4_000_000
+#: Bits of the fingerprints that joins compare. They decide on the cost, and on no result.
+FOLDED = 512
 #: Rounds of drawn members at most, draws in each, the pairs for each member from which on they pay, and the members for each
 #: link found below which they no longer do. They decide on the cost, and on no result.
 TURNS, DRAWS, CROWDED, RARE = 4, 3, 8, 2000
@@ -183,6 +185,12 @@ def parities(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of `parities` at FOLDED bits for every set, as longs: a weaker bound that a join can test by itself."""
+    odd = np.bincount((hashes & np.uint64(FOLDED - 1)).astype(np.int64), minlength=FOLDED) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def differing(a: bytes, b: bytes) -> int:
     """The Hamming distance of two fingerprints of `parities`."""
     x, y = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
@@ -221,16 +229,16 @@ def verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, width: int, si
 
 
 def frequencies(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: doc_id, the digest `sig` of the shingle set, its fingerprint `bits` and its size `n`; and a shingle
-    `h` that many rows have, with the count `n` (the others are null)."""
+    """Rows of two kinds: doc_id, the digest `sig` of the shingle set, its fingerprints `bits` and `fold` and its size `n`; and a
+    shingle `h` that many rows have, with the count `n` (the others are null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def often(sets: list[np.ndarray]) -> pa.RecordBatch:
             found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
             found, n = found[n >= OFTEN].view(np.int64), n[n >= OFTEN]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), *[pa.nulls(len(n), pa.binary())] * 2, pa.array(found), pa.array(n, pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), *[pa.nulls(len(n), pa.binary())] * 2, pa.nulls(len(n), pa.list_(pa.int64())), pa.array(found), pa.array(n, pa.int64())], names)
 
-        names, held, size = ["doc_id", "sig", "bits", "h", "n"], [], 0
+        names, held, size = ["doc_id", "sig", "bits", "fold", "h", "n"], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 cut = batch.slice(at, 256)
@@ -238,7 +246,8 @@ def frequencies(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
                 sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 lengths = pa.array([len(s) for s in sets], pa.int64())
                 bits = pa.array([parities(s) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(sigs, pa.binary()), bits, pa.nulls(len(sets), pa.int64()), lengths], names)
+                fold = pa.array([folded(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(sigs, pa.binary()), bits, fold, pa.nulls(len(sets), pa.int64()), lengths], names)
                 held += sets
                 size += sum(map(len, sets))
                 if size >= HELD:
@@ -247,7 +256,7 @@ def frequencies(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
         yield often(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, sig binary, bits binary, h long, n long")
+    return rows.mapInArrow(run, "doc_id long, sig binary, bits binary, fold array<long>, h long, n long")
 
 
 def prefixes(docs: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
@@ -284,13 +293,14 @@ def prefixes(docs: DataFrame, often: dict[str, np.ndarray], width: int, similari
 def similar_roots(nodes: DataFrame, marks: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """(node, root) for every row of `nodes` with a link: components of all pairs of the similarity or more.
 
-    `marks` has the fingerprint and the size of every node's set (node, bits, size).
+    `marks` has the fingerprints and the size of every node's set (node, bits, fold, size).
 
     Sets that share a shingle of their prefixes are in one cell, and every pair of the similarity is in a cell where the
     rest of both sets is long enough for the common part that it needs: no pair is missed. First the members of a cell
     are verified against its first one. Pairs inside a component add nothing, so a cell whose members are all in one is
     done, however large. While the pairs of different components are many, the members are verified against a few drawn
     anew in each round, which soon joins what belongs together; of the components that are left, all pairs are verified.
+    The joins make only pairs that the folded fingerprints, a lower bound, leave a chance of the similarity.
     """
     first = materialize(prefixes(nodes, often, width, similarity, id_col, text_col), "similar-prefixes")
     cells = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
@@ -303,16 +313,21 @@ def similar_roots(nodes: DataFrame, marks: DataFrame, often: dict[str, np.ndarra
         common = similarity / (1 + similarity) * (size(x) + size(y)) - 1e-9
         return (rest >= common) & (F.least(size(x), size(y)) >= similarity * F.greatest(size(x), size(y)) - 1e-9)
 
+    def near(x: str, y: str, xs: str, ys: str) -> Column:
+        apart = reduce(Column.__add__, [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(FOLDED // 64)])
+        return apart <= (1 - similarity) / (1 + similarity) * (F.shiftright(xs, 31) + F.shiftright(ys, 31)) + 1e-9
+
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     heads = members.groupBy("h").agg(F.min("node").alias("x"), F.min_by("sp", "node").alias("xs"))
     stars = members.join(heads, "h").filter((F.col("x") != F.col("node")) & possible("xs", "sp")).select(*pair("x", "node"))
     roots = components(verified(stars, marks, nodes, width, similarity, id_col, text_col))
 
     links = None
+    crowded = materialize(members.filter("n > 2").join(marks.select("node", "fold"), "node"), "similar-crowded")
     for turn in range(TURNS + 1):
         labels = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-        crowd = members.filter("n > 2").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        crowd = materialize(crowd.select("h", "root", F.col("node").alias("x"), F.col("sp").alias("xs")), "similar-crowd")
+        crowd = crowded.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        crowd = materialize(crowd.select("h", "root", F.col("node").alias("x"), F.col("sp").alias("xs"), F.col("fold").alias("xf")), "similar-crowd")
         parts = crowd.groupBy("h", "root").agg(F.count("*").alias("n"))
         parts = parts.groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"))
         parts = materialize(parts.filter("parts > 1").select("h", "n", "most"), "similar-parts")
@@ -322,13 +337,13 @@ def similar_roots(nodes: DataFrame, marks: DataFrame, often: dict[str, np.ndarra
         mixed = materialize(crowd.join(parts.select("h", F.col("most.root").alias("main")), "h"), "similar-mixed")
         last = turn == TURNS or todo["pairs"] <= CROWDED * todo["rows"] or (links is not None and links * RARE < todo["rows"])
         if last:
-            left = mixed.filter("root != main").select("h", F.col("root").alias("_root"), F.col("x").alias("y"), F.col("xs").alias("ys"))  # main ones are all linked
+            left = mixed.filter("root != main").select("h", F.col("root").alias("_root"), F.col("x").alias("y"), F.col("xs").alias("ys"), F.col("xf").alias("yf"))  # main ones are all linked
             once = (F.col("root") == F.col("main")) | (F.col("y") < F.col("x"))
         else:
-            draw = lambda by: mixed.groupBy("h").agg(F.min_by("root", by).alias("_root"), F.min_by("x", by).alias("y"), F.min_by("xs", by).alias("ys"))  # noqa: B023, E731
-            left = reduce(DataFrame.unionByName, [draw(F.xxhash64("x", F.lit(turn), F.lit(k))) for k in range(DRAWS)])
+            draw = lambda by: mixed.groupBy("h").agg(F.min_by("root", by).alias("_root"), F.min_by("x", by).alias("y"), F.min_by("xs", by).alias("ys"), F.min_by("xf", by).alias("yf"))  # noqa: B023, E731
+            left = reduce(DataFrame.unionByName, [draw(F.xxhash64("h", "x", F.lit(turn), F.lit(k))) for k in range(DRAWS)])
             once = F.lit(True)
-        pairs = mixed.join(left, "h").filter((F.col("root") != F.col("_root")) & once & possible("xs", "ys")).select(*pair("x", "y"))
+        pairs = mixed.join(left, "h").filter((F.col("root") != F.col("_root")) & once & possible("xs", "ys") & near("xf", "yf", "xs", "ys")).select(*pair("x", "y"))
         more = verified(pairs, marks, nodes, width, similarity, id_col, text_col)
         links = more.count()
         roots = components(roots.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more).distinct())
@@ -350,7 +365,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
     found = materialize(frequencies(numbered, width, row, text_col), "simhash-sets")
     rows = found.filter("sig is not null").select("doc_id", "sig")
     marks = materialize(rows.groupBy("sig").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    prints = found.filter("sig is not null").select(F.col("doc_id").alias("node"), "bits", F.col("n").alias("size"))
+    prints = found.filter("sig is not null").select(F.col("doc_id").alias("node"), "bits", "fold", F.col("n").alias("size"))
     top = found.filter("sig is null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDERED).toPandas().sort_values("h")
     often = {"h": top["h"].to_numpy(np.int64), "n": top["n"].to_numpy(np.int64)}
     distinct = numbered.join(marks.select(F.col("node").alias(row)), row, "left_semi")
