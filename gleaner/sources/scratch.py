@@ -53,3 +53,25 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
+
+
+def materialize_by(df: DataFrame, name: str, key: str, codec: str = "zstd") -> DataFrame:
+    """As `materialize`, but dealt into one bucket of `key` for each shuffle partition: joins on `key` leave the rows where they are."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    entry = "gleaner_" + path.rpartition("-")[2]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartition(parts, f"`{key}`").write.format("parquet").option("compression", codec).option("path", path)
+    dealt.bucketBy(parts, key).saveAsTable(entry)
+    atexit.register(_unlist, spark, entry)
+    out = spark.table(entry)
+    out._scratch = path
+    return out
+
+
+def _unlist(spark: SparkSession, entry: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {entry}")
+    except Exception:  # the session may be gone already
+        pass
