@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, remove, table
+from .common import free_names, materialize, materialize_by, remove, table
 
 #: Cells with more fingerprints than this are not paired; their members are linked through one-bit segments instead.
 CELL_PAIRS = 64
@@ -219,7 +219,7 @@ def verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, width: int, si
     """
     pairs = materialize(not_too_far(pairs.distinct(), marks, similarity), "similar-candidates")
     named = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-    sets = materialize(shingle_sets(docs.join(named, id_col, "left_semi"), width, id_col, text_col), "similar-sets")
+    sets = materialize(shingle_sets(docs.join(named.hint("shuffle_hash"), id_col, "left_semi"), width, id_col, text_col), "similar-sets")
     one, other = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_b"))
     both = pairs.join(one, "a").join(other, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
     same = both.filter(F.col("_n") >= similarity * (F.size("_a") + F.size("_b") - F.col("_n")) - 1e-9).select("a", "b")
@@ -361,21 +361,22 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
     without any id, one in each. An empty table stays empty. The columns are those of `docs`, whatever their names.
     """
     row = free_names(docs, "_row")[0]
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    # The texts move once, into buckets of the row number; the joins that choose rows below move numbers only.
+    numbered = materialize_by(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs", row)
     found = materialize(frequencies(numbered, width, row, text_col), "simhash-sets")
     rows = found.filter("sig is not null").select("doc_id", "sig")
     marks = materialize(rows.groupBy("sig").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     prints = found.filter("sig is not null").select(F.col("doc_id").alias("node"), "bits", "fold", F.col("n").alias("size"))
     top = found.filter("sig is null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDERED).toPandas().sort_values("h")
     often = {"h": top["h"].to_numpy(np.int64), "n": top["n"].to_numpy(np.int64)}
-    distinct = numbered.join(marks.select(F.col("node").alias(row)), row, "left_semi")
+    distinct = numbered.join(marks.select(F.col("node").alias(row)).hint("shuffle_hash"), row, "left_semi")
     roots = similar_roots(distinct, prints, often, width, similarity, row, text_col)
     nodes = marks.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
     ids = numbered.select(F.col(row).alias("doc_id"), F.col(id_col).alias("_id"))
     best = rows.join(nodes, "sig").select("doc_id", "root").join(ids, "doc_id").groupBy("root").agg(
         F.min_by("doc_id", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id"))).alias(row)
     )
-    return numbered.join(best.select(row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return numbered.join(best.select(row).hint("shuffle_hash"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
