@@ -330,3 +330,14 @@ def test_eviction_goes_by_age_whatever_the_numbers(spark):
     rows = [(k, 10**12 + k * 977, 10) for k in range(50)]
     df = spark.createDataFrame(rows, "id bigint, created bigint, bytes bigint").repartition(5)
     assert sorted(r["id"] for r in store.evict(df, 95).collect()) == list(range(41))
+
+
+def test_tables_in_buckets_join_without_moving(spark):
+    from gleaner.sources.scratch import materialize_by
+
+    df = spark.range(50).selectExpr("id as `_row`", "if(id % 7 = 0, null, cast(id as string)) as `a b`")
+    kept = materialize_by(df, "buckets", "_row")
+    few = kept.join(spark.range(0, 50, 5).selectExpr("id as `_row`").hint("shuffle_hash"), "_row", "left_semi")
+    assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+    assert few.count() == 10 and few._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert materialize_by(df.limit(0), "buckets", "_row").count() == 0
