@@ -21,7 +21,7 @@ SMOOTHING = 5
 UNIT = 1_000_000_000
 TOP_TERMS = 50
 #: Counters that a task holds before it hands its counts on (about 300 bytes each).
-ENTRIES = 600_000
+ENTRIES = 200_000
 #: Bytes of a text that are cut into terms at a time.
 CHUNK = 1 << 20
 #: Numbers of a dense block of terms by sources, or of sources by sources, that a task holds.
@@ -43,9 +43,10 @@ def chunks(text: bytes) -> Iterator[list[bytes]]:
 def counted(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """Partial counts: key, source, document, documents, n; the key is the language, a zero byte and the term.
 
-    A document is in one task, so a task adds its documents up by (lang, source, term) before anything is shuffled and
-    hands a block on whenever it holds `entries` counters; `document` numbers the first document of a block. The term ''
-    stands for the group itself, so groups without terms are kept. No term holds a zero byte, so a key has one reading, and
+    Documents are dealt in ranges of (lang, source), a large group over many tasks, so that a task sees few groups and its
+    counts by (lang, source, term) are far fewer than the terms of its documents. A document is in one task, so these are
+    counts of documents too; a block is handed on whenever it holds `entries` counters, and `document` numbers its first
+    document. The term '' stands for the group itself, so groups without terms are kept. No term holds a zero byte, so a key has one reading, and
     one column that differs in its first bytes sorts much faster than two.
     """
 
@@ -78,7 +79,8 @@ def counted(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
         yield from block()
 
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text")]
-    rows = docs.select(named[0].alias("lang"), named[1].alias("source"), named[2].cast("binary").alias("text"))
+    rows = docs.select(named[0].alias("lang"), named[1].alias("source"), named[2].cast("binary").alias("text"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.repartitionByRange("lang", "source", "at").drop("at")
     return rows.mapInArrow(run, "key binary, source string, document long, documents long, n long")
 
 
