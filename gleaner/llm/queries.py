@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, divergence, html, mixing, packing, quality, sharding, simhash, toxicity, warc
+from . import ann, bestfit, chat, divergence, html, mixing, packing, quality, sharding, simhash, toxicity, trie, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_warc": warc.op10_warc,
     "op11_divergence": divergence.op11_divergence,
+    "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_bestfit": bestfit.op13_bestfit,
 }
 
 _LINE_WORD = r"[^\x20\x09-\x0D]"
@@ -83,4 +85,18 @@ u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.valu
   UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM u)
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
+    "op12_prefix_trie": r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+tbl AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS x),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda p: ('0x' || p)::BIGINT)),
+  lambda acc, b: xor(acc // 256, x[(xor(acc, b) % 256) + 1]::BIGINT))) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), tbl),
+r AS (SELECT c.conv_id, role, text, 0 AS own, n FROM c JOIN t ON t.conv_id = c.base WHERE n <= h UNION ALL SELECT c.conv_id, role, text, 1, n FROM c JOIN t ON t.conv_id = c.conv_id WHERE n > h),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, n) AS d, sha256(concat(length(role), ':', role, text)) AS turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+p AS (SELECT conv_id, d, words, list(turn) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM o UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+m AS (SELECT conv_id, max(d) AS last FROM p GROUP BY conv_id),
+n AS (SELECT path, any_value(d) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = last) AS ends FROM p JOIN m USING (conv_id) GROUP BY path),
+k AS (SELECT a.conv_id AS up, b.*, (SELECT count(*) FROM n x WHERE x.depth = b.depth + 1 AND x.path[:b.depth] = b.path) AS n_children FROM n b LEFT JOIN n a ON a.depth = b.depth - 1 AND a.path = b.path[:b.depth - 1])
+SELECT a.conv_id, a.depth::BIGINT AS depth, a.up AS parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.words)::BIGINT AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM k a JOIN k b ON b.depth >= a.depth AND b.path[:a.depth] = a.path GROUP BY a.path, a.conv_id, a.depth, a.up, a.n_convs, a.n_children, a.ends""",
 }
