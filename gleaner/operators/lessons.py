@@ -1,4 +1,4 @@
-"""Lessons: marked-up texts that teach rules, block rules, and generalised shapes. Ordered state, so Python per text."""
+"""Lessons: marked-up texts that teach rules, and generalised shapes. Ordered state, so Python per text."""
 
 from __future__ import annotations
 
@@ -73,55 +73,6 @@ def same(rule: tuple, line: tuple) -> bool:
     return len(rule) == len(line) and all(r[0] == "*" or r == x for r, x in zip(rule, line, strict=True))
 
 
-def filter_blocks(text: str, rules: list[tuple[str, str, str, tuple]], critical: re.Pattern, protect: bool = True) -> tuple[str, dict[str, int]]:
-    """The text without what block and line rules (id, action, caption, shapes) cover, and lines removed by rule.
-
-    Taller rules come first, then smaller ids. From each filled line on, the first rule whose shapes are the next filled
-    lines takes them, unless one of them is critical; a fold leaves its caption. A blank behind a removed line goes too.
-    """
-    rows = text.splitlines()
-    shapes = [shape(r) for r in rows]
-    order = sorted(rules, key=lambda r: (-len(r[3]), r[0]))
-    out, removed, at, gone = [], {}, 0, False
-    while at < len(rows):
-        if not rows[at].strip():
-            if not gone:
-                out.append(rows[at])
-            at += 1
-            continue
-        for ident, action, caption, wanted in order:
-            k, used = at, []
-            for want in wanted:
-                while k < len(rows) and not rows[k].strip() and used:
-                    k += 1
-                if k >= len(rows) or not same(want, shapes[k]):
-                    break
-                used.append(k)
-                k += 1
-            if len(used) == len(wanted) and not (protect and any(critical.search(rows[u]) for u in used)):
-                removed[ident] = removed.get(ident, 0) + len(used)
-                if action == "fold":
-                    out.append(f"[folded] {caption} ({len(used)} line(s))")
-                at, gone = k, True
-                break
-        else:
-            out.append(rows[at])
-            at, gone = at + 1, False
-    return "\n".join(out) + ("\n" if text.endswith("\n") and out else ""), removed
-
-
-def filtered(docs: DataFrame, rules: list[tuple[str, str, str, list[str]]], critical: str, protect: bool = True) -> DataFrame:
-    """Add `filtered` and `removed` by rules (id, action, caption, example lines of the block)."""
-    compiled = [(i, a, c, tuple(tuple(("*", "") if s[1] == T.WILDCARD else s for s in shape(x)) for x in block)) for i, a, c, block in rules]
-    pattern = re.compile("(?i)" + critical)
-
-    @F.pandas_udf("text string, removed map<string,int>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([filter_blocks(t or "", compiled, pattern, protect) for t in texts], columns=["text", "removed"])
-
-    return docs.withColumn("_f", run(F.col("text"))).withColumns({"filtered": F.col("_f.text"), "removed": F.col("_f.removed")}).drop("_f")
-
-
 def generalise(shapes: list[tuple], kept: list[tuple] = ()) -> list[tuple]:
     """Merge shapes of one length that differ in one place (or in places that are wild already), until none merge.
 

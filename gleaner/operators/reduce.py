@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import content_hash, json_minify, lines, token_estimate
-from gleaner.operators import detect, firewall, json_summary, logs, redact, reports, shell
-from gleaner.operators import rules as R
+from gleaner.operators import detect, filtering, firewall, json_summary, logs, redact, reports, shell
 from gleaner.sources.scratch import materialize
 from gleaner.sources.tables import exploded_lines
 
@@ -69,14 +68,8 @@ def _collapsed(docs: DataFrame) -> DataFrame:
 
 
 def learned(rules: DataFrame, protect_errors: bool = True) -> Compiler:
-    """The filter of learned line rules (`rules.rule_table`) as a compiler: put it behind the others to offer it too."""
-
-    def run(docs: DataFrame) -> DataFrame:
-        rows = R.filtered(R.matched(_lines(docs), rules), protect_errors)
-        out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("s"))
-        return out.select("doc_id", F.concat(F.array_join(F.transform("s", lambda x: x.line), "\n"), F.lit("\n")).alias("output"))
-
-    return Compiler("learn.filter", lambda: F.col("text").isNotNull(), run)
+    """The filter of learned rules of all kinds as a compiler: put it behind the others to offer it too."""
+    return Compiler("learn.filter", lambda: F.col("text").isNotNull(), lambda docs: filtering.filter_texts(docs, rules, False, protect_errors))
 
 
 #: Specific ones first; of accepted outputs the one with the fewest bytes wins, and of equals the first.

@@ -1,12 +1,12 @@
-"""Learned rules: matching, filtering by line rules, scopes, merging, pruning. Block rules are in `blocks`."""
+"""Learned rules: matching of lines, scopes, counters, merging, pruning. `filtering` applies them to texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import templates as T
-from gleaner.functions.text import is_blank, is_critical, token_estimate
+from gleaner.functions.text import is_critical
 from gleaner.sources.scratch import materialize
 
 #: Rules up to this number are broadcast (a rule is below 10 kB); more are joined by shuffle on their key.
@@ -67,60 +67,21 @@ def matched(lines: DataFrame, rules: DataFrame, scoped: bool = False) -> DataFra
     return out.select(*lines.columns, "r.rule_id", "r.action", "r.summary", is_critical(F.col("line")).alias("critical"))
 
 
-def filtered(hits: DataFrame, protect_errors: bool = True) -> DataFrame:
-    """What stays of the documents: kept lines and one line per folded run, without the blanks a removal strands.
+def accounted(rules: DataFrame, used: DataFrame, now_millis: int) -> DataFrame:
+    """Rules (id, hits, lines_removed, tokens_saved, last_hit_millis, ..) with the counters of `filtering.accounting` added.
 
-    Critical lines stay if errors are protected. Where a document has keep rules, lines that none names go, unless
-    they are critical. A run of neighbouring lines of one fold rule becomes `[folded] summary (n line(s))`.
+    A rule that took or named something has a hit for each run of it, which is at least one.
     """
-    safe = F.col("critical") if protect_errors else F.lit(False)
-    doc = Window.partitionBy("doc_id")
-    order = doc.orderBy("ln")
-    rows = hits.withColumn("_whitelist", F.max(F.coalesce(F.col("action") == "keep", F.lit(False))).over(doc)).withColumn("_blank", is_blank(F.col("line")))
-    act = F.coalesce("action", F.lit(""))
-    state = (
-        F.when(F.col("_blank"), "blank")
-        .when(act.isin("drop", "fold") & ~safe, act)
-        .when(F.col("_whitelist") & (act != "keep") & ~safe, "drop")
-        .otherwise("stay")
-    )
-    rows = rows.withColumn("_state", state)
-    # a blank whose last filled line was removed goes with it
-    last = F.last(F.when(F.col("_state") != "blank", F.col("_state")), ignorenulls=True).over(order)
-    rows = rows.withColumn("_state", F.when(F.col("_state") == "blank", F.when(last.isin("drop", "fold"), "gone").otherwise("stay")).otherwise(F.col("_state")))
-    fold_id = F.when(F.col("_state") == "fold", F.col("rule_id"))
-    before = F.lag(fold_id).over(order)
-    rows = rows.withColumn("_new", F.when(fold_id.isNotNull() & ~fold_id.eqNullSafe(before), 1).otherwise(0))
-    rows = rows.withColumn("_run", F.sum("_new").over(order)).filter(F.col("_state").isin("stay", "fold"))
-    group = F.when(F.col("_state") == "fold", F.col("_run")).otherwise(-F.col("ln").cast("bigint"))
-    out = rows.groupBy("doc_id", group.alias("_g"), "_state").agg(F.min("ln").alias("ln"), F.min("line").alias("line"), F.min("summary").alias("summary"), F.count("*").alias("n"))
-    folded = F.concat(F.lit("[folded] "), F.col("summary"), F.lit(" ("), F.col("n").cast("string"), F.lit(" line(s))"))
-    return out.select("doc_id", "ln", F.when(F.col("_state") == "fold", folded).otherwise(F.col("line")).alias("line"))
-
-
-def accounting(hits: DataFrame) -> DataFrame:
-    """Per rule: documents it fired in, lines it covers, critical lines it had to leave, tokens of the lines it removes."""
-    on = hits.filter(F.col("rule_id").isNotNull())
-    per = on.groupBy("rule_id", "doc_id").agg(
-        F.count("*").alias("n"), F.count_if("critical").alias("c"), F.sum(F.when(~F.col("critical"), token_estimate(F.col("line"))).otherwise(0)).alias("t")
-    )
-    return per.groupBy("rule_id").agg(
-        F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("lines"), F.sum("c").cast("bigint").alias("protected"), F.sum("t").cast("bigint").alias("tokens")
-    )
-
-
-def accounted(rules: DataFrame, used: DataFrame, now_millis: int) -> DataFrame:
-    """Rules (id, hits, lines_removed, tokens_saved, last_hit_millis, ..) with the counters of `accounting` added."""
-    used = used.select(F.col("rule_id").alias("id"), "docs", (F.col("lines") - F.col("protected")).alias("_lines"), "tokens")
+    used = used.filter("runs > 0").select(F.col("rule_id").alias("id"), F.greatest("runs", F.lit(1)).alias("_runs"), F.col("lines").alias("_lines"), "tokens")
     out = rules.join(used, "id", "left")
     more = lambda c, by: (F.coalesce(c, F.lit(0)) + F.coalesce(by, F.lit(0))).cast("bigint").alias(c)
-    hit = F.when(F.col("docs").isNotNull(), F.lit(now_millis)).otherwise(F.col("last_hit_millis")).cast("bigint").alias("last_hit_millis")
-    new = {"hits": more("hits", "docs"), "lines_removed": more("lines_removed", "_lines"), "tokens_saved": more("tokens_saved", "tokens"), "last_hit_millis": hit}
+    hit = F.when(F.col("_runs").isNotNull(), F.lit(now_millis)).otherwise(F.col("last_hit_millis")).cast("bigint").alias("last_hit_millis")
+    new = {"hits": more("hits", "_runs"), "lines_removed": more("lines_removed", "_lines"), "tokens_saved": more("tokens_saved", "tokens"), "last_hit_millis": hit}
     return out.select(*[new.get(c, F.col(c)) for c in rules.columns])
 
 
 def hit_order(used: DataFrame, limit: int = 30) -> DataFrame:
-    """A report of the rules of `accounting` that saved most tokens."""
+    """A report of the rules of `filtering.accounting` that saved most tokens."""
     return used.orderBy(F.desc("tokens"), "rule_id").limit(limit)
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import learning, rules, store
+from gleaner.operators import filtering, learning, rules, store
 from gleaner.sources import logs as files
 from gleaner.sources.tables import applog, read
 
 from . import sql_views as S
-from .relational_queries import NOW, _rules
+from .relational_queries import _TAKEN, NOW, _rules
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -97,13 +97,12 @@ def rule_retire(spark, sf_dir):  # noqa: ANN001, ANN201
     return rules.retire(_rules(spark), applog(spark, sf_dir).filter("event_type = 'click'").select("line")).select("id", "enabled")
 
 
-@query(f"""WITH {S.APPLOG}, m AS (SELECT doc_id, CASE event_type WHEN 'click' THEN 'r1' WHEN 'purchase' THEN 'r2' WHEN 'error' THEN 'r3' WHEN 'signup' THEN 'r4' END AS id, {S.critical('line')} AS critical, {S.tokens('line')} AS tok FROM applog),
-    u AS (SELECT id, count(DISTINCT doc_id) AS docs, count(*) FILTER (NOT critical) AS lines, coalesce(sum(tok) FILTER (NOT critical), 0) AS tokens FROM m WHERE id IS NOT NULL GROUP BY id)
-  SELECT id, (5 + docs)::BIGINT AS hits, (7 + lines)::BIGINT AS lines_removed, tokens::BIGINT AS tokens_saved, {NOW}::BIGINT AS last_hit_millis FROM u UNION ALL SELECT 'r9', 5, 7, 0, 0""")
+@query(f"""{_TAKEN} SELECT rule_id AS id, (5 + greatest(runs, CASE WHEN runs > 0 THEN 1 ELSE 0 END))::BIGINT AS hits, (7 + CASE WHEN runs > 0 THEN lines ELSE 0 END)::BIGINT AS lines_removed, tokens AS tokens_saved,
+    CASE WHEN runs > 0 THEN {NOW} ELSE 0 END::BIGINT AS last_hit_millis FROM g UNION ALL SELECT 'r9', 5, 7, 0, 0""")
 def rule_update(spark, sf_dir):  # noqa: ANN001, ANN201
     """The counters of rules after a pass over the logs; a rule that met nothing stays as it was."""
     table = _rules(spark)
-    used = rules.accounting(rules.matched(applog(spark, sf_dir).select("doc_id", "ln", "line"), table))
+    used = filtering.accounting(*filtering.decided(applog(spark, sf_dir).select("doc_id", "ln", "line"), table))
     before = table.select("id").unionByName(spark.createDataFrame([("r9",)], "id string"))
     before = before.select("id", F.lit(5).cast("bigint").alias("hits"), F.lit(7).cast("bigint").alias("lines_removed"), F.lit(0).cast("bigint").alias("tokens_saved"), F.lit(None).cast("bigint").alias("last_hit_millis"))
     return rules.accounted(before, used, NOW).withColumn("last_hit_millis", F.coalesce("last_hit_millis", F.lit(0)))
@@ -131,3 +130,60 @@ def store_verify(spark, sf_dir):  # noqa: ANN001, ANN201
     """Blobs that no longer are what their hash says: every tenth is spoilt."""
     d = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("hash"), F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
     return store.verify(d).select("hash")
+
+
+_N = "replace(upper(n_name), ' ', '_')"
+_TEXT = f"""n AS (SELECT n_nationkey AS k, {_N} AS w FROM nation), t AS (SELECT c_custkey AS doc_id, w, c_custkey % 4 AS warnings, c_custkey % 3 = 0 AS banner, c_custkey % 5 = 0 AS broken FROM customer JOIN n ON k = c_nationkey)"""
+
+
+def _nations(spark, sf_dir):  # noqa: ANN001, ANN202
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.translate(F.upper("n_name"), " ", "_").alias("w"))
+
+
+def _taught(spark, sf_dir):  # noqa: ANN001, ANN202
+    """Rules from a lesson for each nation: a banner of three lines, old packages to fold, and a failure that is forced."""
+    w = F.col("w")
+    lesson = F.concat(
+        F.lit("<filter-trash>\n==========\n== banner"), w, F.lit(" ==\n----------\n</filter-trash>\nrest\n<filter-fold as=\"old packages of "), w, F.lit("\">\nwarning package "), w,
+        F.lit(" 12 is old\nwarning package "), w, F.lit(" 13 is old\n</filter-fold>\n"),
+    )
+    forced = F.concat(F.lit("<trash>fatal error in package "), w, F.lit("</trash>\nrest"))
+    n = _nations(spark, sf_dir)
+    make = lambda df, key, text, force: df.select(key.cast("bigint").alias("lesson_id"), F.lit(None).cast("string").alias("program"), F.lit(None).cast("string").alias("subcommand"), F.lit(force).alias("forced"), text.alias("text"))
+    return learning.learn(make(n, F.col("k"), lesson, False).unionByName(make(n, F.col("k") + 1000, forced, True)), _none(spark), NOW)[0].drop("state")
+
+
+def _nation_texts(spark, sf_dir):  # noqa: ANN001, ANN202
+    """A text for each customer: a banner with a blank line in it or its middle alone, some old packages, maybe a failure."""
+    c = read(spark, sf_dir, "customer").join(_nations(spark, sf_dir), F.col("c_nationkey") == F.col("k"))
+    key, w = F.col("c_custkey"), F.col("w")
+    middle = F.concat(F.lit("== banner"), w, F.lit(" ==\n"))
+    banner = F.when(key % 3 == 0, F.concat(F.lit("==========\n"), middle, F.lit("\n----------\n"))).otherwise(F.concat(F.lit("----------\n"), middle))
+    old = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i < key % 4, F.concat(F.lit("warning package "), w, F.lit(" "), i.cast("string"), F.lit(" is old\n"))).otherwise(""))
+    broken = F.when(key % 5 == 0, F.concat(F.lit("fatal error in package "), w, F.lit("\n"))).otherwise("")
+    text = F.concat(F.lit("start\n"), banner, F.lit("\n"), F.array_join(old, ""), F.lit("\n"), broken, F.lit("end\n"))
+    return c.select(key.alias("doc_id"), text.alias("text"))
+
+
+@query(f"""WITH {_TEXT} SELECT doc_id, concat('start', chr(10), CASE WHEN banner THEN '' ELSE concat('----------', chr(10)) END,
+    CASE WHEN warnings > 0 THEN concat('[folded] old packages of ', w, ' (', warnings::VARCHAR, ' line(s))', chr(10)) ELSE '' END, CASE WHEN broken THEN concat('fatal error in package ', w, chr(10)) ELSE '' END, 'end', chr(10)) AS output FROM t""")
+def learn_then_filter(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Texts after the rules that lessons of the same tables teach: lines, blocks and folds of one rule table in one pass."""
+    return filtering.filter_texts(_nation_texts(spark, sf_dir), _taught(spark, sf_dir))
+
+
+@query(f"""WITH {_TEXT}, a AS (SELECT w, 'block' AS kind, count(*) FILTER (banner) AS docs, 3 * count(*) FILTER (banner) AS lines, count(*) FILTER (banner) AS runs, 0 AS protected FROM t GROUP BY w
+    UNION ALL SELECT w, 'line', count(*) FILTER (NOT banner), count(*) FILTER (NOT banner), count(*) FILTER (NOT banner), 0 FROM t GROUP BY w
+    UNION ALL SELECT w, 'fold', count(*) FILTER (warnings > 0), sum(warnings), count(*) FILTER (warnings > 0), 0 FROM t GROUP BY w
+    UNION ALL SELECT w, 'failure', 0, 0, 0, count(*) FILTER (broken) FROM t GROUP BY w)
+  SELECT w, kind, docs::BIGINT AS docs, lines::BIGINT AS lines, runs::BIGINT AS runs, protected::BIGINT AS protected FROM a WHERE docs + protected > 0""")
+def learned_accounting(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What each learned rule took of those texts, and how often a failure was kept from one that was forced."""
+    from gleaner.sources.tables import exploded_lines
+
+    table = _taught(spark, sf_dir)
+    used = filtering.accounting(*filtering.decided(exploded_lines(_nation_texts(spark, sf_dir)), table))
+    kind = F.when(F.size("lines") > 1, "block").when(F.col("action") == "fold", "fold").when(F.col("source").startswith("fatal"), "failure").otherwise("line")
+    word = F.regexp_extract(F.array_join("lines", " "), r"(?:banner|package )([A-Z_0-9]+)", 1)
+    named = table.select(F.col("id").alias("rule_id"), kind.alias("kind"), word.alias("w"))
+    return used.join(named, "rule_id").select("w", "kind", "docs", used["lines"], "runs", "protected")

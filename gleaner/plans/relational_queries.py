@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import invariants as I
 from gleaner.functions import text as X
-from gleaner.operators import firewall, history, ledger, redact, rules, store, suggest
+from gleaner.operators import filtering, firewall, history, ledger, redact, rules, store, suggest
 from gleaner.sources.tables import applog, exploded_lines, read, usage
 
 from . import sql_views as S
@@ -258,20 +258,20 @@ def scope_applicability(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query(f"{_STATE} SELECT doc_id, ln::INTEGER AS ln, line FROM m WHERE event_type <> 'click' OR critical")
 def filter_drop(spark, sf_dir):  # noqa: ANN001, ANN201
-    return rules.filtered(rules.matched(applog(spark, sf_dir).select("doc_id", "ln", "line"), _rules(spark, ("drop",))))
+    return filtering.filtered(applog(spark, sf_dir).select("doc_id", "ln", "line"), _rules(spark, ("drop",)))
 
 
 @query(f"""{_STATE}, f AS (SELECT *, event_type = 'purchase' AND NOT critical AS fold FROM m), g AS (SELECT *, CASE WHEN fold AND lag(fold) OVER w THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY ln)),
     r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ln) AS run FROM g)
   SELECT doc_id, min(ln)::INTEGER AS ln, CASE WHEN fold THEN concat('[folded] purchases (', count(*)::VARCHAR, ' line(s))') ELSE min(line) END AS line FROM r GROUP BY doc_id, run, fold""")
 def filter_fold(spark, sf_dir):  # noqa: ANN001, ANN201
-    return rules.filtered(rules.matched(applog(spark, sf_dir).select("doc_id", "ln", "line"), _rules(spark, ("fold",))))
+    return filtering.filtered(applog(spark, sf_dir).select("doc_id", "ln", "line"), _rules(spark, ("fold",)))
 
 
-@query(f"""{_STATE}, w AS (SELECT *, max((event_type = 'signup')::INTEGER) OVER (PARTITION BY doc_id) AS listed FROM m)
-  SELECT doc_id, ln::INTEGER AS ln, line FROM w WHERE listed = 0 OR event_type = 'signup' OR critical""")
+@query(f"{_STATE} SELECT doc_id, ln::INTEGER AS ln, line FROM m WHERE event_type = 'signup' OR critical")
 def filter_keep(spark, sf_dir):  # noqa: ANN001, ANN201
-    return rules.filtered(rules.matched(applog(spark, sf_dir).select("doc_id", "ln", "line"), _rules(spark, ("keep",))))
+    """A whitelist without a scope holds for every text, also for one of which it names no line."""
+    return filtering.filtered(applog(spark, sf_dir).select("doc_id", "ln", "line"), _rules(spark, ("keep",)))
 
 
 @query(f"""{_STATE}, b AS (SELECT doc_id, ln * 2 AS ln, line, event_type, critical FROM m UNION ALL SELECT doc_id, ln * 2 + 1, '', NULL, false FROM m)
@@ -279,13 +279,20 @@ def filter_keep(spark, sf_dir):  # noqa: ANN001, ANN201
 def blank_collapse(spark, sf_dir):  # noqa: ANN001, ANN201
     rows = applog(spark, sf_dir).select("doc_id", "ln", "line")
     both = rows.withColumn("ln", F.col("ln") * 2).unionByName(rows.select("doc_id", (F.col("ln") * 2 + 1).alias("ln"), F.lit("").alias("line")))
-    return rules.filtered(rules.matched(both, _rules(spark, ("drop",))))
+    return filtering.filtered(both, _rules(spark, ("drop",)))
 
 
-@query(f"""{_STATE} SELECT CASE event_type WHEN 'click' THEN 'r1' WHEN 'purchase' THEN 'r2' WHEN 'error' THEN 'r3' WHEN 'signup' THEN 'r4' END AS rule_id, count(DISTINCT doc_id) AS docs, count(*) AS lines, count(*) FILTER (critical) AS protected,
-    coalesce(sum({S.tokens('line')}) FILTER (NOT critical), 0)::BIGINT AS tokens FROM m WHERE event_type <> 'view' GROUP BY 1""")
+_TAKEN = f"""{_STATE}, u AS (SELECT *, CASE event_type WHEN 'click' THEN 'r1' WHEN 'purchase' THEN 'r2' WHEN 'error' THEN 'r3' WHEN 'signup' THEN 'r4' END AS id FROM m),
+    t AS (SELECT *, CASE WHEN id IN ('r1', 'r2', 'r3') AND NOT critical THEN id END AS rule FROM u), n AS (SELECT *, rule IS DISTINCT FROM lag(rule) OVER (PARTITION BY doc_id ORDER BY ln) AS new FROM t),
+    a AS (SELECT rule AS rule_id, count(DISTINCT doc_id) AS docs, count(*) AS lines, sum({S.tokens('line')})::BIGINT AS tokens, count(*) FILTER (new) AS runs, 0 AS protected FROM n WHERE rule IS NOT NULL GROUP BY rule
+      UNION ALL SELECT 'r4', count(DISTINCT doc_id), 0, 0, count(*), 0 FROM n WHERE id = 'r4' HAVING count(*) > 0
+      UNION ALL SELECT id, 0, 0, 0, 0, count(*) FROM u WHERE critical AND id <> 'r4' GROUP BY id),
+    g AS (SELECT rule_id, sum(docs)::BIGINT AS docs, sum(lines)::BIGINT AS lines, sum(tokens)::BIGINT AS tokens, sum(runs)::BIGINT AS runs, sum(protected)::BIGINT AS protected FROM a GROUP BY rule_id)"""
+
+
+@query(f"{_TAKEN} SELECT * FROM g")
 def rule_accounting(spark, sf_dir):  # noqa: ANN001, ANN201
-    return rules.accounting(rules.matched(applog(spark, sf_dir).select("doc_id", "ln", "line"), _rules(spark)))
+    return filtering.accounting(*filtering.decided(applog(spark, sf_dir).select("doc_id", "ln", "line"), _rules(spark)))
 
 
 @query("""WITH r AS (SELECT concat('f', (o_custkey % 50)::VARCHAR) AS id, o_orderkey % 7 AS hits, o_orderkey % 11 AS lines_removed, o_orderkey * 1000 AS created_millis, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS last_hit_millis, o_orderkey % 97 <> 0 AS enabled, o_orderkey % 101 = 0 AS forced FROM orders)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import CRITICAL
-from gleaner.operators import json_summary, lessons, outline, reduce, reports, rules
+from gleaner.functions import templates as T
+from gleaner.operators import filtering, json_summary, lessons, outline, reduce, reports, rules
+from gleaner.sources.scratch import materialize
 from gleaner.sources.tables import applog, exploded_lines, read
 
 from . import sql_views as S
@@ -176,13 +177,28 @@ def learn_generalised(spark, sf_dir):  # noqa: ANN001, ANN201
 QUERIES["learn_generalised"] = learn_generalised
 
 
+@query(f"""WITH {S.LINES} SELECT doc_id, count(*) AS lines FROM lines WHERE line IN ('Released under the MIT License.', 'Licensed under the Apache License, Version 2.0.') GROUP BY doc_id""")
+def filter_licenses(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Documents in which fold rules found lines, and how many."""
+    table = rules.rule_table(spark, [(f"l{k}", None, None, x, "fold", "license") for k, x in enumerate(("Released under the MIT License.", "Licensed under the Apache License, Version 2.0."))])
+    fates = filtering.decided(exploded_lines(read(spark, sf_dir, "documents")), table)[0]
+    return fates.filter("action = 'fold'").groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
 def filter_blocks(spark, sf_dir):  # noqa: ANN001, ANN201
     """Documents without the first two lines that most of them begin with, and without license lines."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     top = docs.select(F.slice(F.split("text", "\n", 3), 1, 2).alias("l")).filter("size(l) = 2 and trim(l[0]) <> '' and trim(l[1]) <> ''")
-    first = top.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").first()
-    found = [("l1", "fold", "license", ["Licensed under the MIT License."])] + ([("b1", "drop", "", list(first["l"]))] if first else [])
-    return lessons.filtered(docs, found, CRITICAL).select("doc_id", "filtered", F.map_keys("removed").alias("rules"))
+    first = top.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(1)
+    shape = lambda c: F.transform(c, lambda x: T.canonical(T.segments(x)))
+    rule = lambda name, action, caption, lines: [F.lit(name).alias("id"), F.lit(None).cast("string").alias("program"), F.lit(None).cast("string").alias("subcommand"), F.lit(action).alias("action"), F.lit(caption).alias("caption"), shape(lines).alias("lines"), F.lit(True).alias("enabled")]
+    license_ = spark.range(1).select(*rule("l1", "fold", "license", F.array(F.lit("Licensed under the MIT License."))))
+    table = materialize(first.select(*rule("b1", "drop", "", F.col("l"))).unionByName(license_), "rules")
+    fates = materialize(filtering.decided(exploded_lines(docs), table)[0], "fates")
+    left = filtering.remaining(fates).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("l"))
+    used = fates.filter("rule is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
+    text = F.coalesce(F.array_join(F.transform("l", lambda x: x.line), "\n"), F.lit(""))
+    return docs.select("doc_id").join(left, "doc_id", "left").join(used, "doc_id", "left").select("doc_id", text.alias("filtered"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
 
 
 QUERIES["filter_blocks"] = filter_blocks

@@ -5,8 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import CRITICAL
-from gleaner.operators import firewall, history, ir, json_summary, ledger, lessons, logs, outline, redact, reduce, reports, rules, shell, store
+from gleaner.operators import filtering, firewall, history, ir, json_summary, ledger, lessons, logs, outline, redact, reduce, reports, rules, shell, store
 from gleaner.sources import logs as files
 from gleaner.sources.tables import exploded_lines
 
@@ -186,7 +185,7 @@ def test_firewall_modes(spark):
 
 def test_rules_fold_drop_and_spare_errors(spark):
     table = rules.rule_table(spark, [("a", None, None, "npm warn deprecated {*}", "fold", "deprecations"), ("b", None, None, "npm ERR! {*}", "drop", "")])
-    got = rules.filtered(rules.matched(lines(spark, "npm warn deprecated x\nnpm warn deprecated y\n\nnpm ERR! code\nok"), table)).orderBy("ln")
+    got = filtering.filtered(lines(spark, "npm warn deprecated x\nnpm warn deprecated y\n\nnpm ERR! code\nok"), table).orderBy("ln")
     assert [r["line"] for r in got.collect()] == ["[folded] deprecations (2 line(s))", "npm ERR! code", "ok"]
 
 
@@ -197,13 +196,6 @@ def test_learned_lines_are_guarded(spark):
     assert got == {"npm warn deprecated package": None, "fatal error in module": "critical", "12 13": "too_general", "kept line of text": "matches_kept"}
 
 
-def test_block_rules_skip_blanks_and_protect():
-    found = [("b", "drop", "", tuple(lessons.shape(x) for x in ("+-----+", "| hello you |", "+-----+")))]
-    pattern = re.compile("(?i)" + CRITICAL)
-    assert lessons.filter_blocks("a\n+-----+\n\n| hello you |\n+-----+\n\nz\n", found, pattern) == ("a\nz\n", {"b": 3})
-    assert lessons.filter_blocks("+-----+\n| other |\n", found, pattern)[0] == "+-----+\n| other |\n"
-
-
 def test_lesson_markup():
     got = list(lessons.lesson_lines('keep me\n<trash>\na b\n</trash>\n<filter-fold as="sizes">x 1</filter-fold> tail'))
     assert [(k, c, t) for _, k, _, c, t in got] == [("plain", None, "keep me"), ("trash", None, "a b"), ("fold", "sizes", "x 1"), ("plain", None, "tail")]
