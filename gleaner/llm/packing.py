@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import json
 import os
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,6 @@ from .common import materialize, table
 
 WINDOW = 1024
 END = 0
-#: Chunks whose ids a worker remembers at most (about 100 bytes each).
-MEMORY = 400_000
 #: Offsets of partitions are broadcast up to this size; more partitions are placed in several passes.
 BROADCAST_BYTES = 64 << 20
 
@@ -32,13 +32,10 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of a byte-level vocabulary, remembered for each chunk between spaces.
+    """Ids of a byte-level vocabulary.
 
     Added tokens, which the tokenizers library's file of the same name beside the vocabulary lists, are matched in the
     text first and have their own ids; without such a file there are none.
-
-    The pre-tokenizer never joins across a space that follows a non-space, but for taking the space along with what
-    follows; so texts without double spaces can be cut before each space and encoded chunk by chunk.
     """
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
@@ -52,28 +49,19 @@ class Encoder:
         encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
         self._added, self._encode = tuple(added), encoding.encode_ordinary
         self._encode_added = lambda text: encoding.encode(text, allowed_special="all")
-        self._known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """The ids as unsigned little-endian 32-bit numbers."""
-        if any(token in text for token in self._added):
-            return np.array(self._encode_added(text), "<u4").tobytes()
-        if "  " in text:
-            return np.array(self._encode(text), "<u4").tobytes()
-        known, encode, out = self._known, self._encode, []
-        if len(known) > MEMORY:
-            known.clear()
-        first, *rest = text.split(" ")
-        if first:
-            out.append(np.array(encode(first), "<u4").tobytes())
-        for chunk in rest:
-            found = known.get(chunk)
-            if found is None:
-                found = np.array(encode(" " + chunk), "<u4").tobytes()
-                if len(chunk) < 64:
-                    known[chunk] = found
-            out.append(found)
-        return b"".join(out)
+        found = array("I", (self._encode_added if any(token in text for token in self._added) else self._encode)(text))
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
+
+
+@cache
+def encoder(ranks_path: str, pattern: str) -> Encoder:
+    """One encoder for a worker, which its tasks share."""
+    return Encoder(ranks_path, pattern)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, end: int = END, window: int = WINDOW) -> DataFrame:
@@ -85,14 +73,14 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, end: int =
     path, pattern = vocabulary or default_vocabulary(), public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path, pattern), TaskContext.get().partitionId()
+        ids_of, part = encoder(path, pattern).ids, TaskContext.get().partitionId()
         seen, windows, tail = np.zeros(window, np.int64), 0, np.array([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 cut = batch.slice(at, 64)
                 ids, rest, rank, whole = [], [], [], []
                 for text in cut.column(1):
-                    own = encoder.ids(text.as_py() or "") + tail
+                    own = ids_of(text.as_py() or "") + tail
                     k, r = divmod(len(own) // 4, window)
                     ids.append(own), rest.append(r), rank.append(int(seen[r])), whole.append(windows)
                     seen[r] += 1
