@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import critical_region
+from .text import critical_region, is_critical, let
 
 #: The kinds in rank order, with the pattern of each.
 PATTERNS = {
@@ -53,8 +53,9 @@ def extract(text: Column, kinds: tuple[str, ...] = DEFAULT_KINDS, cap: int = 512
 
 
 def mandatory(text: Column, cap: int = 128) -> Column:
-    """What the critical lines of a text oblige a shorter form to keep."""
-    return extract(critical_region(text), MANDATORY_KINDS, cap)
+    """What the critical lines of a text oblige a shorter form to keep; a text without any is looked at once."""
+    none = F.array().cast("array<struct<rank:tinyint,kind:string,value:string>>")
+    return F.when(is_critical(text), let(critical_region(text), lambda r: extract(r, MANDATORY_KINDS, cap))).otherwise(none)
 
 
 def violations(declared: Column, text: Column) -> Column:

@@ -111,12 +111,13 @@ def duration_text(ms: Column) -> Column:
 
 
 def age_text(ms: Column) -> Column:
-    minutes = F.floor(ms / 60000)
+    """Up to 30 s are now, up to 90 s a minute; then whole minutes, from an hour on whole hours."""
+    seconds = F.floor(ms / 1000)
     return (
-        F.when(minutes < 1, "just now")
-        .when(minutes == 1, "a minute ago")
-        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago")))
-        .otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit("h ago")))
+        F.when(seconds <= 30, "just now")
+        .when(seconds <= 90, "a minute ago")
+        .when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit("m ago")))
+        .otherwise(F.concat(F.floor(seconds / 3600).cast("string"), F.lit("h ago")))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import is_blank, let, lines
 
-SNIFF = 65_536
+SNIFF, TOP = 65_536, 200
 #: Content type by file extension.
 EXTENSIONS = {
     "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml", "html": "xml", "htm": "xml", "svg": "xml", "csv": "csv",
@@ -35,7 +35,7 @@ def _count(ls: Column, test) -> Column:  # noqa: ANN001
 
 def _delimited(filled: Column, mark: str) -> Column:
     counts = F.transform(filled, lambda x: F.char_length(x) - F.char_length(F.translate(x, mark, "")))
-    return (F.size(filled) >= 2) & (F.array_min(counts) == F.array_max(counts)) & (F.array_min(counts) > 0)
+    return (F.size(filled) >= 2) & F.get(filled, F.lit(0)).contains(mark) & (F.array_min(counts) == F.array_max(counts)) & (F.array_min(counts) > 0)
 
 
 def detect(text: Column, name: Column | None = None) -> Column:
@@ -45,18 +45,23 @@ def detect(text: Column, name: Column | None = None) -> Column:
     first = F.substring(trimmed, 1, 1)
     verdict = lambda kind, sure: F.struct(F.lit(kind).alias("content_type"), F.lit(sure).alias("confidence"))
 
-    def sniff(every: Column) -> Column:
-        top, filled = F.slice(every, 1, 200), F.slice(F.filter(every, lambda x: ~is_blank(x)), 1, 50)
-        top_filled = F.filter(top, lambda x: ~is_blank(x))
-        logged = _count(top_filled, lambda x: x.rlike(LEVEL_WORD) | x.rlike(STAMP))
-        marks = F.aggregate(
-            top,
-            F.lit(0),
-            lambda n, x: n + F.when(x.rlike("^(#{1,3} |```)"), 2).when(x.rlike(r"^[-*] "), 1).otherwise(0),
-        )
+    # A text that matches nowhere matches in no line, so most texts are looked at once and not line by line.
+    anywhere = lambda pattern: head.rlike("(?m)" + pattern)
+    first_lines = F.split(head, "\r?\n", TOP + 1)
+
+    def sniff(top: Column) -> Column:
+        return let(F.filter(top, lambda x: ~is_blank(x)), lambda top_filled: by_lines(top, top_filled))
+
+    def by_lines(top: Column, top_filled: Column) -> Column:
+        return let(F.slice(F.when((F.size(top_filled) >= 50) | (F.size(first_lines) <= TOP), top_filled).otherwise(F.filter(lines(head), lambda x: ~is_blank(x))), 1, 50), lambda filled: verdicts(top, top_filled, filled))
+
+    def verdicts(top: Column, top_filled: Column, filled: Column) -> Column:
+        logged = F.when(head.rlike(LEVEL_WORD) | anywhere(STAMP), _count(top_filled, lambda x: x.rlike(LEVEL_WORD) | x.rlike(STAMP))).otherwise(0)
+        mark = lambda n, x: n + F.when(x.rlike("^(#{1,3} |```)"), 2).when(x.rlike(r"^[-*] "), 1).otherwise(0)
+        marks = F.when(anywhere("^(#{1,3} |```|[-*] )"), F.aggregate(top, F.lit(0), mark)).otherwise(0)
         table = (F.size(filled) >= 2) & F.get(filled, F.lit(0)).startswith("|") & F.get(filled, F.lit(1)).rlike(r"^[-|: ]*$")
         return (
-            F.when(_count(top, lambda x: x.rlike(FRAME)) >= 2, verdict("stack_trace", "high"))
+            F.when(anywhere(FRAME) & (_count(top, lambda x: x.rlike(FRAME)) >= 2), verdict("stack_trace", "high"))
             .when((F.size(top_filled) >= 3) & (logged * 2 >= F.size(top_filled)), verdict("application_log", "medium"))
             .when(_delimited(filled, ","), verdict("csv", "medium"))
             .when(_delimited(filled, "\t"), verdict("tabular_data", "medium"))
@@ -65,7 +70,8 @@ def detect(text: Column, name: Column | None = None) -> Column:
             .otherwise(verdict("plain_text", "low"))
         )
 
-    sniffed = let(lines(head), sniff)
+    last_whole = F.when((F.size(first_lines) <= TOP) & (F.element_at(first_lines, -1) == ""), F.size(first_lines) - 1).otherwise(F.least(F.size(first_lines), F.lit(TOP)))
+    sniffed = let(F.slice(first_lines, 1, last_whole), sniff)
     found = (
         F.when(F.coalesce(trimmed, F.lit("")) == "", verdict("plain_text", "high"))
         .when(first.isin("{", "[") & F.try_parse_json(text).isNotNull(), verdict("json", "high"))

@@ -8,25 +8,33 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import content_hash, json_minify, lines, token_estimate
-from gleaner.operators import detect, filtering, firewall, json_summary, logs, redact, reports, shell
+from gleaner.functions.text import content_hash, json_minify, token_estimate
+from gleaner.operators import detect, filtering, firewall, history, ir, json_summary, logs, redact, reports, shell
 from gleaner.sources.scratch import materialize
 from gleaner.sources.tables import exploded_lines
 
 
+@dataclass(frozen=True)
+class Source:
+    """What a compiler works on: the documents it applies to (doc_id, text, content_type), and their lines (doc_id, ln, line)."""
+
+    docs: DataFrame
+    lines: DataFrame
+
+
 @dataclass(frozen=True)
 class Compiler:
-    """A reducer: where it may try, what it makes (doc_id, output), whether it loses text, how its output is checked."""
+    """A reducer: where it may try, what it makes (doc_id, output), whether it loses text, how its output is checked.
+
+    It may also return a column `error`: a document with one keeps its text, and the others do not suffer.
+    """
 
     name: str
     applies: Callable[[], Column]
-    compile: Callable[[DataFrame], DataFrame]
+    compile: Callable[[Source], DataFrame]
     lossy: bool = False
     reparse: str = "none"
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    return exploded_lines(docs)
+    min_gain: float | None = None
 
 
 def _has(*needles: str) -> Column:
@@ -36,30 +44,29 @@ def _has(*needles: str) -> Column:
     return out
 
 
-def _tests(totals: Callable, failures: Callable, framework: str) -> Callable[[DataFrame], DataFrame]:
-    def run(docs: DataFrame) -> DataFrame:
-        rows = _lines(docs)
-        return reports.render_tests(totals(rows), failures(rows), framework)
+def _tests(totals: Callable, failures: Callable, framework: str) -> Callable[[Source], DataFrame]:
+    def run(source: Source) -> DataFrame:
+        return reports.render_tests(totals(source.lines), failures(source.lines), framework)
 
     return run
 
 
-def _minified(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", json_minify(F.col("text")).alias("output"))
+def _minified(source: Source) -> DataFrame:
+    return source.docs.select("doc_id", json_minify(F.col("text")).alias("output"))
 
 
-def _summary(docs: DataFrame) -> DataFrame:
-    s = json_summary.summarized(docs.select("doc_id", "text")).filter("summary.path is not null")
+def _summary(source: Source) -> DataFrame:
+    s = json_summary.summarized(source.docs.select("doc_id", "text")).filter("summary.path is not null")
     body = F.concat(
-        F.lit("@json summary array="), F.col("summary.path"), F.lit("\nelements: "), F.col("summary.elements").cast("string"), F.lit("\n@section schema\n"),
+        F.lit("@json summary array="), ir.quoted(F.col("summary.path")), F.lit("\nelements: "), F.col("summary.elements").cast("string"), F.lit("\n@section schema\n"),
         F.array_join(F.transform("summary.schema", lambda x: F.concat(F.lit("  "), x, F.lit("\n"))), ""), F.lit("@section sample\n"),
         F.array_join(F.transform("summary.samples", lambda x: F.concat(F.lit("  "), x, F.lit("\n"))), ""),
     )
     return s.select("doc_id", body.alias("output"))
 
 
-def _collapsed(docs: DataFrame) -> DataFrame:
-    rows = shell.collapse_repeats(_lines(docs))
+def _collapsed(source: Source) -> DataFrame:
+    rows = shell.collapse_repeats(source.lines)
     rows = shell.head_tail(rows.withColumn("_at", F.col("ln")).withColumn("ln", F.row_number().over(Window.partitionBy("doc_id").orderBy("_at"))).withColumnRenamed("shown", "line"))
     note = F.concat(F.col("line"), F.lit("\n["), F.col("omitted").cast("string"), F.lit(" line(s) left out]"))
     rows = rows.withColumn("shown", F.when((F.col("omitted") > 0) & (F.col("ln") == 60), note).otherwise(F.col("line")))
@@ -69,38 +76,49 @@ def _collapsed(docs: DataFrame) -> DataFrame:
 
 def learned(rules: DataFrame, protect_errors: bool = True) -> Compiler:
     """The filter of learned rules of all kinds as a compiler: put it behind the others to offer it too."""
-    return Compiler("learn.filter", lambda: F.col("text").isNotNull(), lambda docs: filtering.filter_texts(docs, rules, False, protect_errors))
+    return Compiler("learn.filter", lambda: F.col("text").isNotNull(), lambda s: filtering.filter_texts(s.docs, rules, False, protect_errors), min_gain=0.0)
 
 
+IR = "token_ir"
 #: Specific ones first; of accepted outputs the one with the fewest bytes wins, and of equals the first.
 COMPILERS = (
-    Compiler("test.pytest", lambda: _has("test session starts", "short test summary info"), _tests(reports.pytest_totals, reports.pytest_failures, "pytest")),
-    Compiler("test.cargo", lambda: _has("test result:"), _tests(reports.cargo_totals, reports.cargo_failures, "cargo")),
-    Compiler("build.cargo", lambda: F.col("text").rlike(r"(?m)^error(\[E[0-9]{4}\])?: ") & ~_has("test result:"), lambda d: reports.render_build(reports.build_errors(_lines(d)))),
-    Compiler("test.jest", lambda: _has("Tests:", "Test Files", "Test Suites:"), _tests(reports.jest_totals, reports.jest_failures, "jest")),
-    Compiler("test.go", lambda: _has("--- FAIL:", "--- PASS:", "=== RUN"), _tests(reports.go_totals, reports.go_failures, "go")),
-    Compiler("git.status", lambda: F.col("text").startswith("On branch "), lambda d: reports.render_status(_lines(d))),
-    Compiler("git.diff", lambda: _has("diff --git "), lambda d: reports.render_diff(reports.git_diff(_lines(d)))),
-    Compiler("git.log", lambda: F.col("text").rlike("(?m)^commit [0-9a-f]{7,40}"), lambda d: reports.render_log(reports.git_log(_lines(d)))),
+    Compiler("test.pytest", lambda: _has("test session starts", "short test summary info"), _tests(reports.pytest_totals, reports.pytest_failures, "pytest"), reparse=IR),
+    Compiler("test.cargo", lambda: _has("test result:"), _tests(reports.cargo_totals, reports.cargo_failures, "cargo"), reparse=IR),
+    Compiler("build.cargo", lambda: F.col("text").rlike(r"(?m)^error(\[E[0-9]{4}\])?: ") & ~_has("test result:"), lambda s: reports.render_build(reports.build_errors(s.lines)), reparse=IR),
+    Compiler("test.jest", lambda: _has("Tests:", "Test Files", "Test Suites:"), _tests(reports.jest_totals, reports.jest_failures, "jest"), reparse=IR),
+    Compiler("test.go", lambda: _has("--- FAIL:", "--- PASS:", "=== RUN"), _tests(reports.go_totals, reports.go_failures, "go"), reparse=IR),
+    Compiler("git.status", lambda: F.col("text").startswith("On branch "), lambda s: reports.render_status(s.lines), reparse=IR),
+    Compiler("git.diff", lambda: _has("diff --git "), lambda s: reports.render_diff(reports.git_diff(s.lines)), reparse=IR),
+    Compiler("git.log", lambda: F.col("text").rlike("(?m)^commit [0-9a-f]{7,40}"), lambda s: reports.render_log(reports.git_log(s.lines)), reparse=IR),
     Compiler("json.structural", lambda: F.col("content_type") == "json", _minified, reparse="json_equal"),
-    Compiler("json.summary", lambda: F.col("content_type") == "json", _summary, lossy=True),
-    Compiler("log.cluster", lambda: F.col("content_type").isin("application_log", "plain_text", "unknown"), lambda d: logs.render(logs.clusters(_lines(d))), lossy=True),
-    Compiler("shell.grep", lambda: F.col("text").rlike(r"(?m)^[^:\n]+:[0-9]+:"), lambda d: shell.render_grep(_lines(d))),
-    Compiler("shell.generic", lambda: F.size(lines(F.col("text"))) > 1, _collapsed),
+    Compiler("json.summary", lambda: F.col("content_type") == "json", _summary, lossy=True, reparse=IR),
+    Compiler("log.cluster", lambda: F.col("content_type").isin("application_log", "plain_text", "unknown"), lambda s: logs.render(logs.clusters(s.lines)), lossy=True, reparse=IR),
+    Compiler("shell.grep", lambda: F.col("text").rlike(r"(?m)^[^:\n]+:[0-9]+:"), lambda s: shell.render_grep(s.lines)),
+    Compiler("shell.generic", lambda: F.expr("instr(text, '\n') between 1 and char_length(text) - 1"), _collapsed),
 )
 
 
 def candidates(docs: DataFrame, compilers: tuple[Compiler, ...] = COMPILERS) -> DataFrame:
-    """All proposals for documents (doc_id, text, content_type): each compiler sees only what it applies to."""
+    """All proposals for documents (doc_id, text, content_type): each compiler sees only what it applies to.
+
+    Where compilers apply is found in one pass, and lines are made once, for all of them. Outputs come together before
+    they meet the texts and their facts, so these are moved once.
+    """
+    wants = sum((F.when(c.applies(), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, c in enumerate(compilers)), F.lit(0).cast("long"))
+    docs = materialize(firewall.facts(docs).withColumn("_wants", wants), "reduce-facts")
+    rows = materialize(exploded_lines(docs.filter("_wants <> 0"), ("doc_id", "_wants")), "reduce-lines")
     out = None
     for k, c in enumerate(compilers):
-        some = docs.filter(c.applies())
-        made = c.compile(some).join(some.select("doc_id", "text"), "doc_id")
-        made = made.filter(F.col("output") != F.col("text")).select(
-            "doc_id", "text", F.lit(k).alias("ord"), F.lit(c.name).alias("transformer"), "output", F.lit(c.lossy).alias("lossy"), F.lit(c.reparse).alias("reparse")
-        )
+        mine = F.col("_wants").bitwiseAND(F.lit(1 << k).cast("long")) != 0
+        made = c.compile(Source(docs.filter(mine).drop("_wants"), rows.filter(mine).drop("_wants")))
+        error = F.col("error").cast("string") if "error" in made.columns else F.lit(None).cast("string")
+        made = made.select(
+            "doc_id", F.lit(k).alias("ord"), F.lit(c.name).alias("transformer"), "output", F.lit(c.lossy).alias("lossy"), F.lit(c.reparse).alias("reparse"),
+            F.lit(c.min_gain).cast("double").alias("min_gain"), error.alias("error"),
+        )
         out = made if out is None else out.unionByName(made)
-    return out
+    texts = docs.select("doc_id", "text", "tokens_before", "must_stay")
+    return out.join(texts, "doc_id").filter(F.col("output").isNull() | (F.col("output") != F.col("text")))
 
 
 def reduce(docs: DataFrame, mode: str = "safe", pii: bool = False, compilers: tuple[Compiler, ...] = COMPILERS) -> DataFrame:
@@ -110,19 +128,67 @@ def reduce(docs: DataFrame, mode: str = "safe", pii: bool = False, compilers: tu
     Equal texts are reduced once and joined back, so copies cost a row each.
     """
     own = docs.select("doc_id", F.col("text")).withColumn("hash", content_hash(F.col("text")))
+    return own.select("doc_id", "hash").join(_reduced(own, mode, pii, compilers).drop("clean"), "hash")
+
+
+def _reduced(own: DataFrame, mode: str, pii: bool, compilers: tuple[Compiler, ...]) -> DataFrame:
+    """The reduction of each content (hash, text, doc_id): its redacted text is `clean`."""
     once = own.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     clean = redact.redacted(once, pii).select("doc_id", "hash", F.col("redaction.text").alias("text"), F.size("redaction.hits").alias("secrets"))
     clean = clean.withColumn("content_type", detect.detect(F.col("text")).getField("content_type"))
     clean = materialize(clean, "reduce-clean")  # every compiler reads it
-    best = firewall.smallest(firewall.review(candidates(clean, compilers), mode)) if mode != "observe" else None
-    names = F.array(*[F.lit(c.name) for c in compilers])
+    best = firewall.smallest(firewall.review(candidates(clean, compilers), mode, token_ir=True)) if compilers and mode != "observe" else None
+    names = F.array(*[F.lit(c.name) for c in compilers]).cast("array<string>")
     if best is None:
         out = clean.withColumn("ord", F.lit(None).cast("int")).withColumn("output", F.lit(None).cast("string"))
     else:
         out = clean.join(best, "doc_id", "left")
     final = F.coalesce("output", "text")
-    out = out.select(
+    return out.select(
         "hash", "content_type", "secrets", F.when(F.col("ord").isNotNull(), F.get(names, F.col("ord"))).alias("transformer"), final.alias("output"),
-        token_estimate(F.col("text")).alias("tokens_before"), token_estimate(final).alias("tokens_after"),
+        token_estimate(F.col("text")).alias("tokens_before"), token_estimate(final).alias("tokens_after"), F.col("text").alias("clean"),
     )
-    return own.select("doc_id", "hash").join(out, "hash")
+
+
+def reduce_runs(
+    runs: DataFrame, mode: str = "safe", pii: bool = False, compilers: tuple[Compiler, ...] = COMPILERS, within: int = history.WITHIN_MILLIS, fired: DataFrame | None = None
+) -> DataFrame:
+    """The reduction of runs of commands (run_id, session_id, command, ts_millis, text): also against their past.
+
+    A run whose last one within the time gave the same redacted text is answered by a pointer to it (`repeat.suppress`); one
+    that gave mostly the same lines by the lines that are new (`delta.lines`). Both carry the critical lines, pass the
+    firewall like any other candidate, and win where they are shortest; of equals they come first. Texts of past runs are
+    met by their hash, and only the texts of deltas are taken apart. `fired` (run_id, key) names the learned rules that
+    took part in a run: only runs with the same ones are compared.
+
+    A null command has no past; a null text is empty. Returns run_id, hash, content_type, transformer, output,
+    tokens_before, tokens_after.
+    """
+    own = runs.select("run_id", "session_id", "command", "ts_millis", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", content_hash(F.col("text")))
+    texts = materialize(_reduced(own.withColumn("doc_id", F.col("run_id")), mode, pii, compilers), "reduce-texts")
+    named = own.drop("text").join(texts.select("hash", content_hash(F.col("clean")).alias("source_hash")), "hash")
+    out = own.select("run_id", "hash").join(texts.drop("clean", "secrets"), "hash")
+    if mode == "observe":
+        return out
+    named = named.withColumnRenamed("hash", "raw_hash").withColumnRenamed("source_hash", "hash")
+    named = materialize(named, "reduce-runs")
+    past = history.previous_run(named.filter("command is not null"), within)
+    if fired is not None:
+        key = lambda c: fired.select(F.col("run_id").alias(c), F.col("key").alias(f"_{c}"))
+        past = past.join(key("run_id"), "run_id", "left").join(key("previous_id"), "previous_id", "left")
+        past = past.filter(F.coalesce("_run_id", F.lit("")) == F.coalesce("_previous_id", F.lit(""))).drop("_run_id", "_previous_id")
+    past = materialize(past, "reduce-past")
+    clean = texts.select(F.col("hash").alias("raw_hash"), "clean")
+    again = past.filter("is_repeat").join(clean, "raw_hash")
+    repeats = history.repeat_candidates(again.withColumnRenamed("clean", "text"))
+    before = named.select(F.col("run_id").alias("previous_id"), F.col("raw_hash").alias("_old")).join(clean.withColumnsRenamed({"raw_hash": "_old", "clean": "old"}), "_old").drop("_old")
+    changed = past.filter("not is_repeat").join(clean.withColumnRenamed("clean", "text"), "raw_hash").join(before, "previous_id")
+    deltas = history.delta_candidates(materialize(changed.select("run_id", "previous_id", "age_millis", "text", "old"), "reduce-deltas"))
+    both = repeats.select("run_id", F.lit("repeat.suppress").alias("transformer"), "output").unionByName(deltas.select("run_id", F.lit("delta.lines").alias("transformer"), "output"))
+    full = past.select("run_id", "raw_hash").join(clean.withColumnRenamed("clean", "text"), "raw_hash").drop("raw_hash")
+    both = both.join(firewall.facts(full), "run_id").withColumns({"lossy": F.lit(False), "reparse": F.lit("none"), "min_gain": F.lit(0.0)})
+    won = firewall.review(both, mode).filter("verdict = 'accepted'").select("run_id", F.col("transformer").alias("_name"), F.col("output").alias("_text"), F.col("tokens_after").alias("_tokens"))
+    out = out.join(won, "run_id", "left")
+    better = F.col("_text").isNotNull() & (F.col("transformer").isNull() | (F.octet_length("_text") <= F.octet_length("output")))
+    pick = lambda new, c: F.when(better, F.col(new)).otherwise(F.col(c)).alias(c)
+    return out.select("run_id", "hash", "content_type", pick("_name", "transformer"), pick("_text", "output"), "tokens_before", pick("_tokens", "tokens_after"))

@@ -208,10 +208,9 @@ def firewall_review(spark, sf_dir):  # noqa: ANN001, ANN201
 @query("""WITH c AS (SELECT doc_id, text, 0 AS ord, substr(text, 1, 300) AS output FROM documents UNION ALL SELECT doc_id, text, 1, substr(text, 1, 200 + (doc_id % 2)::INTEGER * 200) FROM documents), k AS (SELECT *, """ + _BEFORE + " AS b, " + _AFTER + """ AS a FROM c), v AS (SELECT * FROM k WHERE NOT (b > 0 AND a > floor(b * (1 - 0.05))))
   SELECT doc_id, min_by(ord, struct_pack(n := strlen(output), o := ord))::INTEGER AS ord, min_by(output, struct_pack(n := strlen(output), o := ord)) AS output FROM v GROUP BY doc_id""")
 def smallest_candidate(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    first = d.withColumn("ord", F.lit(0)).withColumn("output", F.substring("text", 1, 300))
-    second = d.withColumn("ord", F.lit(1)).withColumn("output", F.expr("substring(text, 1, 200 + cast(doc_id % 2 as int) * 200)"))
-    both = first.unionByName(second).withColumn("lossy", F.lit(True)).withColumn("reparse", F.lit("none"))
+    d = firewall.facts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    forms = F.array(F.substring("text", 1, 300), F.expr("substring(text, 1, 200 + cast(doc_id % 2 as int) * 200)"))
+    both = d.select("*", F.posexplode(forms).alias("ord", "output")).withColumn("lossy", F.lit(True)).withColumn("reparse", F.lit("none"))
     return firewall.smallest(firewall.review(both, mode="balanced"))
 
 
@@ -344,9 +343,11 @@ def usage_lifetime_sets(spark, sf_dir):  # noqa: ANN001, ANN201
     return ledger.lifetime(usage(spark, sf_dir))
 
 
+AGO = "CASE WHEN {0} // 1000 <= 30 THEN 'just now' WHEN {0} // 1000 <= 90 THEN 'a minute ago' WHEN {0} // 1000 < 3600 THEN concat(({0} // 60000)::VARCHAR, 'm ago') ELSE concat(({0} // 3600000)::VARCHAR, 'h ago') END"
+
+
 @query(f"""WITH {_RUNS}, p AS (SELECT *, lag(run_id) OVER w AS previous_id, lag(hash) OVER w AS previous_hash, ts_millis - lag(ts_millis) OVER w AS age FROM runs WINDOW w AS (PARTITION BY command ORDER BY ts_millis, run_id))
-  SELECT run_id, concat('@repeat of=', previous_id::VARCHAR, chr(10), 'seen: ', CASE WHEN age // 60000 < 1 THEN 'just now' WHEN age // 60000 = 1 THEN 'a minute ago' WHEN age // 60000 < 60 THEN concat((age // 60000)::VARCHAR, 'm ago')
-    ELSE concat((age // 3600000)::VARCHAR, 'h ago') END, chr(10)) AS output FROM p WHERE age <= 21600000 AND hash = previous_hash""")
+  SELECT run_id, concat('[repeat] identical to cap://', previous_id::VARCHAR, ' (', {AGO.format('age')}, ')', chr(10)) AS output FROM p WHERE age <= 21600000 AND hash = previous_hash""")
 def repeat_candidates(spark, sf_dir):  # noqa: ANN001, ANN201
     return history.repeat_candidates(history.previous_run(_runs(spark, sf_dir)))
 

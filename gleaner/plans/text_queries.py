@@ -262,7 +262,7 @@ def json_schema(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("""WITH x AS (SELECT n_chars * 37 AS ms, doc_id FROM documents)
   SELECT doc_id, CASE WHEN ms < 1000 THEN ms::VARCHAR || 'ms' WHEN ms < 60000 THEN (round(ms / 100.0)::BIGINT // 10)::VARCHAR || '.' || (round(ms / 100.0)::BIGINT % 10)::VARCHAR || 's' ELSE (ms // 60000)::VARCHAR || 'm' || (ms % 60000 // 1000)::VARCHAR || 's' END AS duration,
-    CASE WHEN ms // 60000 < 1 THEN 'just now' WHEN ms // 60000 = 1 THEN 'a minute ago' WHEN ms // 60000 < 60 THEN (ms // 60000)::VARCHAR || 'm ago' ELSE (ms // 3600000)::VARCHAR || 'h ago' END AS age,
+    CASE WHEN ms // 1000 <= 30 THEN 'just now' WHEN ms // 1000 <= 90 THEN 'a minute ago' WHEN ms // 1000 < 3600 THEN (ms // 60000)::VARCHAR || 'm ago' ELSE (ms // 3600000)::VARCHAR || 'h ago' END AS age,
     CASE WHEN ms // 1000 < 60 THEN (ms // 1000)::VARCHAR || 's' WHEN ms // 1000 < 3600 THEN (ms // 60000)::VARCHAR || 'm' WHEN ms // 1000 < 86400 THEN (ms // 3600000)::VARCHAR || 'h' ELSE (ms // 86400000)::VARCHAR || 'd' END AS span,
     (ms // 86400000)::BIGINT AS day FROM x""")
 def scalar_texts(spark, sf_dir):  # noqa: ANN001, ANN201

@@ -100,7 +100,7 @@ def test_json_minify_keeps_order_and_spelling(spark):
 def test_texts_of_numbers(spark):
     ms = F.col("c0")
     assert [one(spark, X.duration_text(ms), v) for v in (12, 1500, 125_000)] == ["12ms", "1.5s", "2m5s"]
-    assert [one(spark, X.age_text(ms), v) for v in (59_000, 60_000, 600_000, 7_200_000)] == ["just now", "a minute ago", "10m ago", "2h ago"]
+    assert [one(spark, X.age_text(ms), v) for v in (30_999, 31_000, 90_000, 91_000, 600_000, 7_200_000)] == ["just now", "a minute ago", "a minute ago", "1m ago", "10m ago", "2h ago"]
     assert one(spark, X.day_number(ms), -1) == -1
 
 
