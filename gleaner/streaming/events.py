@@ -1,10 +1,15 @@
-"""Streaming forms of the event log: daily totals with late data, and repeats within a time."""
+"""Streaming forms of the event log: daily totals with late data, repeats within a time, previous runs by command."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
+from gleaner.operators.history import WITHIN_MILLIS
 from gleaner.sources.scratch import scratch_path
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -27,6 +32,47 @@ def without_repeats(events: DataFrame, keys: tuple[str, ...] = ("user_id", "even
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(list(keys))
 
 
+PAIRS = "run_id long, command string, ts_millis long, hash string, previous_id long, previous_hash string, age_millis long, is_repeat boolean"
+_WAITING = "ids array<long>, times array<long>, hashes array<string>, last_id long, last_time long, last_hash string"
+
+
+def previous_runs(runs: DataFrame, late: str = "1 hour", within_millis: int = WITHIN_MILLIS) -> DataFrame:
+    """The stream form of `history.previous_run`: each run (ts, run_id, command, hash) with the newest earlier one of its command.
+
+    A command's runs wait until the watermark has passed them, so late ones take their place in the order of (ts, run_id);
+    runs later than `late` are dropped. State is what waits, and the last run that was paired, for as long as it may still
+    be the previous one of another: a timer ends it. A run without a previous one within the time gives no row.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, times, hashes, last_id, last_time, last_hash = state.get if state.exists else ([], [], [], None, None, None)
+        waiting = list(zip(times or [], ids or [], hashes or [], strict=True))
+        for rows in batches:
+            millis = rows["ts"].astype("datetime64[ms]").astype("int64")
+            waiting += zip(millis.tolist(), rows["run_id"].tolist(), rows["hash"].tolist(), strict=True)
+        now, out = state.getCurrentWatermarkMs(), []
+        waiting.sort(key=lambda r: r[:2])
+        done = [r for r in waiting if r[0] < now]
+        waiting = waiting[len(done) :]
+        for time, ident, digest in done:
+            if last_id is not None and 0 <= time - last_time <= within_millis:
+                out.append((ident, key[0], time, digest, last_id, last_hash, time - last_time, digest == last_hash))
+            last_id, last_time, last_hash = ident, time, digest
+        if last_id is not None and last_time + within_millis < now:  # no run to come can have it as its previous one
+            last_id = last_time = last_hash = None
+        if waiting or last_id is not None:
+            ids, times, hashes = [r[1] for r in waiting], [r[0] for r in waiting], [r[2] for r in waiting]
+            state.update((ids, times, hashes, last_id, last_time, last_hash))
+            state.setTimeoutTimestamp(max(now + 1, waiting[0][0] if waiting else last_time + within_millis))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
+
+    some = runs.select("ts", "run_id", "command", "hash").filter("command is not null").withWatermark("ts", late)
+    return some.groupBy("command").applyInPandasWithState(step, PAIRS, _WAITING, "append", "EventTimeTimeout")
+
+
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process all that is there into a table in the shared folder and return it (for tests and backfills)."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
