@@ -142,13 +142,36 @@ def day_date(day: Column) -> Column:
     return F.date_add(F.to_date(F.lit("1970-01-01")), day.cast("int"))
 
 
+#: Fixed value: the digits of an id in base 32, in rising order.
+DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def base32(number: Column, digits: int) -> Column:
+    """The last `digits` digits of a number of up to 60 bits."""
+    digit = lambda i: F.substring(F.lit(DIGITS), (F.shiftright(number, 5 * i).bitwiseAND(31) + 1).cast("int"), F.lit(1))
+    return F.concat(*[digit(i) for i in reversed(range(digits))])
+
+
+def from_base32(text: Column, digits: int) -> Column:
+    """The number of that many digits; null if one is none."""
+    place = lambda i: F.nullif(F.instr(F.lit(DIGITS), F.substring(text, i + 1, 1)), F.lit(0)).cast("bigint") - 1
+    number = sum((F.shiftleft(place(i), 5 * (digits - 1 - i)) for i in range(digits)), F.lit(0).cast("bigint"))
+    return F.when(F.char_length(text) == digits, number)
+
+
 def sortable_id(prefix: str, millis: Column, key: Column) -> Column:
-    """An id whose order is that of its time; the rest comes from a hash of the key, so reruns agree."""
-    return F.concat(F.lit(prefix), F.lpad(F.lower(F.hex(millis)), 12, "0"), F.substring(F.sha2(key, 256), 1, 20))
+    """An id of 128 bits in 26 digits: 48 bits of its time, so that ids sort by time, and 80 of a hash of the key, so that a
+    rerun makes the same one."""
+    digest = F.sha2(key, 256)
+    part = lambda at: F.conv(F.substring(digest, at, 10), 16, 10).cast("bigint")
+    return F.concat(F.lit(prefix), base32(millis.cast("bigint").bitwiseAND((1 << 48) - 1), 10), base32(part(1), 8), base32(part(11), 8))
 
 
 def id_millis(ident: Column, prefix: str) -> Column:
-    return F.conv(F.substring(ident, len(prefix) + 1, 12), 16, 10).cast("bigint")
+    """The time of an id; null if it is not well formed."""
+    body = F.substr(ident, F.lit(len(prefix) + 1))
+    formed = F.startswith(ident, F.lit(prefix)) & body.rlike(f"^[{DIGITS}]{{26}}$")
+    return F.when(formed, from_base32(F.substring(body, 1, 10), 10))
 
 
 def program_of(command: Column) -> Column:

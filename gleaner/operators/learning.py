@@ -166,15 +166,21 @@ def install(rules: DataFrame, made: DataFrame, now_millis: int) -> DataFrame:
     )
 
 
-def learn(lessons: DataFrame, rules: DataFrame, now_millis: int) -> tuple[DataFrame, DataFrame]:
+def learn(lessons: DataFrame, rules: DataFrame, now_millis: int, counter: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rules, proposals) after the lessons (lesson_id, program, subcommand, forced, text).
 
+    `counter` has more lines (lesson_id, ln, line) that what a lesson teaches may not match, as the critical ones of its source.
+
     Lines marked to stay retire the rules that match them. Lines that a rule removes already teach nothing. Of the others,
     shapes become line rules, runs that line rules do not do for become blocks, captioned runs become folds, and lines
     that alone shall stay become a whitelist. Rules get their id from scope, action and lines, so lessons that teach the
     same meet in one rule. All lessons are read against the rules as they were; a lesson without text teaches nothing.
     """
     rows = parsed(lessons)
+    if counter is not None:
+        lesson = lessons.select("lesson_id", "program", "subcommand", "forced")
+        more = counter.select("lesson_id", (-F.col("ln")).cast("int").alias("ln"), F.lit("plain").alias("kind"), F.lit(0).alias("run"), F.lit(None).cast("string").alias("caption"), "line")
+        rows = rows.unionByName(lesson.join(more, "lesson_id").select(rows.columns))
     active = retired(rules, rows.filter("kind = 'keep'").select("program", "subcommand", "line"))
     made = proposals(rows, active)
     return install(active, made, now_millis), made

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +107,29 @@ def lifetime(rows: DataFrame) -> DataFrame:
     return out.select(F.coalesce("program", F.lit("*")).alias("program"), F.coalesce("method", F.lit("*")).alias("method"), "level", "runs", "tokens_before", "tokens_after", "saved", "first_millis", "last_millis")
 
 
+def replayed(events: DataFrame, capsules: DataFrame, reduced: Callable[[DataFrame], DataFrame], session: str | None = None) -> DataFrame:
+    """Recorded runs put through today's reduction again: event_id, transformer, now_transformer, before, recorded, recomputed.
+
+    Events (id, session_id, capsule_id, transformer, tokens_before, tokens_after) meet their stored originals (id, raw); one
+    without an original, as after expiry, is left out. `reduced` is the reduction, of doc_id and text. Nothing is written.
+    """
+    rows = events if session is None else events.filter(F.col("session_id") == session)
+    rows = rows.filter("capsule_id is not null").join(capsules.select(F.col("id").alias("capsule_id"), "raw"), "capsule_id")
+    now = reduced(rows.select(F.col("id").alias("doc_id"), F.col("raw").alias("text")))
+    now = now.select(F.col("doc_id").alias("id"), F.col("transformer").alias("now_transformer"), F.col("tokens_after").alias("recomputed"))
+    return rows.drop("raw").join(now, "id").select(
+        F.col("id").alias("event_id"), "transformer", "now_transformer", F.col("tokens_before").alias("before"), F.col("tokens_after").alias("recorded"), "recomputed"
+    )
+
+
+def replay_totals(rows: DataFrame) -> DataFrame:
+    """By today's transformer (null: none) and in all (`level` 1): events, before, recorded, recomputed, difference."""
+    out = rows.rollup("now_transformer").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("events"), *[F.sum(c).cast("bigint").alias(c) for c in ("before", "recorded", "recomputed")]
+    )
+    return out.withColumn("difference", F.col("recomputed") - F.col("recorded"))
+
+
 def replay(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
     """What was recorded against what the reduction makes of the originals today (doc_id, tokens_before, tokens_after)."""
     now = recomputed.select("doc_id", F.col("tokens_after").alias("_now"))

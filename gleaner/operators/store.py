@@ -39,19 +39,62 @@ def short_handles(hashes: DataFrame) -> DataFrame:
     return out.select("hash", handle.alias("handle"))
 
 
+def prefix_ranges(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each prefix (wanted: prefix) how many keys (key, distinct) begin with it, and the key if it is the only one.
+
+    A prefix is an interval of the sorted keys. Keys and the ends of all intervals are sorted together, once, whatever
+    lengths prefixes have; running counts by range partition number them, and a single key is found by its number. Every
+    key begins with the empty prefix; a null prefix has none.
+    """
+    spark = keys.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = wanted.select("prefix").filter("prefix is not null").distinct()
+    rows = keys.select(F.col("key"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("prefix"))
+    for kind, end in ((0, F.col("prefix")), (2, F.concat("prefix", F.lit("\U0010ffff")))):
+        rows = rows.unionByName(asked.select(end.alias("key"), F.lit(kind).alias("kind"), "prefix"))
+    rows = materialize(rows.repartitionByRange(parts, "key", "kind").withColumn("_block", F.spark_partition_id()), "lookup-order")
+    one = F.when(F.col("kind") == 1, 1).otherwise(0)
+    sums = rows.groupBy("_block").agg(F.sum(one).alias("_n"))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sums = sums.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.sum(one).over(Window.partitionBy("_block").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    placed = materialize(rows.withColumn("_own", own).join(sums, "_block").select("key", "kind", "prefix", (F.col("_before") + F.col("_own")).alias("place")), "lookup-places")
+    ends = placed.filter("kind <> 1").groupBy("prefix").agg(F.min("place").alias("first"), (F.max("place") - F.min("place")).alias("matches"))
+    single = ends.filter("matches = 1").select("prefix", (F.col("first") + 1).alias("place"))
+    found = single.join(placed.filter("kind = 1").select("place", "key"), "place").select("prefix", F.col("key").alias("found"))
+    return ends.select("prefix", "matches").join(found, "prefix", "left")
+
+
 def resolve(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Look prefixes up: `found` is the hash if exactly one begins with the prefix (wanted: prefix; longer than any hash: none)."""
-    n = F.char_length("prefix")
-    longest = blobs.agg(F.max(F.char_length("hash"))).first()[0] or 0
-    fits = n <= longest  # so there are no more lengths than a hash has characters
-    lengths = [r[0] for r in wanted.filter(fits).select(n).distinct().collect()]
-    out = wanted.filter(~fits).select("prefix", F.lit(0).cast("bigint").alias("matches"), F.lit(None).cast("string").alias("hash"))
-    for length in lengths:
-        some = wanted.filter(n == length)
-        part = some.join(blobs.select(F.substring("hash", 1, length).alias("prefix"), "hash"), "prefix", "left")
-        part = part.groupBy("prefix").agg(F.count("hash").alias("matches"), F.min("hash").alias("hash"))
-        out = out.unionByName(part)
-    return out.select("prefix", "matches", F.when(F.col("matches") == 1, F.col("hash")).alias("found"))
+    out = prefix_ranges(blobs.select(F.col("hash").alias("key")).distinct(), wanted)
+    return wanted.select("prefix").join(out, "prefix", "left").select("prefix", F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"), "found")
+
+
+def reference(handle: Column, ident: Column) -> Column:
+    """How a stored original is named in texts: by its short handle, or by its id where there is none."""
+    return F.concat(F.lit("cap://"), F.coalesce(F.nullif(handle, F.lit("")), ident))
+
+
+def lookup(capsules: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Find capsules (id, hash) by what a text names (wanted: name): an id, else a short handle, else a prefix of one id only.
+
+    `cap://` in front is ignored. Returns name, id and `how`: id, short, prefix, ambiguous or missing. Of capsules of one
+    content, a handle names the one with the smallest id.
+    """
+    names = wanted.select("name").distinct().withColumn("prefix", F.regexp_replace(F.trim("name"), "^(cap://)+", ""))
+    exact = capsules.select(F.col("id").alias("prefix"), F.col("id").alias("_exact")).distinct()
+    first = capsules.groupBy("hash").agg(F.min("id").alias("_short"))
+    handles = short_handles(capsules).filter("handle <> ''").join(first, "hash").select(F.col("handle").alias("prefix"), "_short")
+    near = names.join(exact, "prefix", "left").join(handles, "prefix", "left")
+    near = materialize(near, "lookup-names")
+    open_ = near.filter("_exact is null and _short is null")
+    ranges = prefix_ranges(capsules.select(F.col("id").alias("key")).distinct(), open_)
+    out = near.join(ranges, "prefix", "left")
+    how = (
+        F.when(F.col("_exact").isNotNull(), "id").when(F.col("_short").isNotNull(), "short").when(F.col("matches") == 1, "prefix").when(F.col("matches") > 1, "ambiguous").otherwise("missing")
+    )
+    return out.select("name", F.coalesce("_exact", "_short", "found").alias("id"), how.alias("how"))
 
 
 def unreferenced(blobs: DataFrame, capsules: DataFrame) -> DataFrame:
