@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import free_names, table
 
 TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)|[!?][^>]*(?:>|\Z))", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: A name is taken whole, so a long run of letters without a value is read once.
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""")
 #: Fixed values of HTML: elements without an end, with raw text, that break lines, and that end an open element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea select svg object canvas math title".split())
