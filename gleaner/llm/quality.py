@@ -16,7 +16,11 @@ STOP_WORDS = (
     "sind und von war wie zu zum "
     "au aux avec ce dans de des du elle en est et il la le les mais ne on ou par pas pour que qui se sur un une "
     "al como con de del el en entre es esta la las lo los más no para pero por que se sin su sus un una y"
-).split()  # compared as they stand in the text, in lower case
+).split()  # compared without case and without the marks around a word
+#: Fixed value: marks that may stand around a word.
+MARKS = ".,;:!?\"'()[]{}…«»“”„‘’¿¡"
+#: Words from which on a text without stop words is telling; shorter ones are not held against that rule.
+TELLING_WORDS = 100
 
 
 @dataclass(frozen=True)
@@ -86,7 +90,7 @@ def features(text: Column) -> Column:
     of_words = lambda ws: F.struct(
         F.size(ws).cast("long").alias("n_words"),
         repeat_words(ws).alias("n_repeat_words"),
-        F.size(F.filter(ws, lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(ws, lambda w: F.lower(F.btrim(w, F.lit(MARKS))).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size(F.filter(ws, lambda w: w.endswith("!!"))).cast("long").alias("n_exclaim_words"),
     )
     return let(
@@ -124,7 +128,7 @@ def values_of(q: Column) -> Column:
         part(q["words"]["n_exclaim_words"], n).alias("exclaim_word_ratio"),
         part(q["words"]["n_repeat_words"], n).alias("repeat_word_ratio"),
         part(q["lines"]["n_dup_lines"], q["lines"]["n_lines"]).alias("dup_line_ratio"),
-        part(q["words"]["n_stop_words"], n).alias("stop_word_ratio"),
+        F.when(n >= TELLING_WORDS, part(q["words"]["n_stop_words"], n)).otherwise(F.lit(1.0)).alias("stop_word_ratio"),
     )
 
 

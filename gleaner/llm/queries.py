@@ -21,6 +21,7 @@ QUERIES = {
 }
 
 _LINE_WORD = r"[^\x20\x09-\x0D]"
+_MARKS = quality.MARKS.replace("'", "''")
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
 
@@ -56,10 +57,10 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 k AS (SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n_repeat_words FROM r, range(5) AS o(j) GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines,
-  len(list_filter(ws, lambda x: x IN ({_STOP}))) AS n_stop, len(list_filter(ws, lambda x: ends_with(x, '!!'))) AS n_loud FROM w LEFT JOIN k USING (doc_id)),
+  len(list_filter(ws, lambda x: lower(trim(x, '{_MARKS}')) IN ({_STOP}))) AS n_stop, len(list_filter(ws, lambda x: ends_with(x, '!!'))) AS n_loud FROM w LEFT JOIN k USING (doc_id)),
 v AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_word_ratio,
   CASE WHEN n_words > 0 THEN n_loud / n_words ELSE 0 END AS exclaim_word_ratio, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_word_ratio,
-  CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio, CASE WHEN n_words > 0 THEN n_stop / n_words ELSE 0 END AS stop_word_ratio FROM f),
+  CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio, CASE WHEN n_words >= {quality.TELLING_WORDS} THEN n_stop / n_words ELSE 1 END AS stop_word_ratio FROM f),
 d AS (SELECT *, {_rules_sql()} AS failed, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM d""",
     "op10_warc": """
