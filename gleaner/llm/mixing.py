@@ -92,6 +92,39 @@ def _meet(done: Column, r: Column, x: Column, seed: int) -> Column:
     return F.transform(moves, outcome)[0]
 
 
+def settle(items: Column, seed: int) -> Column:
+    """Decide the items of an array in the order given, largest first: array of (row, copies).
+
+    Each item is made integral in turn, by its share of the mass that is open, and what that leaves goes to the next one. A
+    choice that the smaller items together could not make good is not taken, so in the end no more is open than the
+    smallest items can leave; where one item outweighs all smaller ones, the nearer choice is taken.
+    """
+    total = lambda value: F.aggregate(items, F.lit(0.0), lambda n, x: n + value(x))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = F.struct(
+            (acc["open"] + x["p"] * x["size"]).alias("w"), (acc["take"] - (1 - x["p"]) * x["size"]).alias("take"), (acc["give"] - x["p"] * x["size"]).alias("give"),
+        )
+        return F.transform(F.array(at), lambda v: decide(acc, x, v))[0]
+
+    def decide(acc: Column, x: Column, v: Column) -> Column:
+        up, down = v["w"] - x["size"] >= -v["give"] - 1e-9, v["w"] <= v["take"] + 1e-9
+        drawn = uniform(seed, x["h"]) * x["size"] < v["w"]
+        copies = F.when(F.when(up & down, drawn).when(up != down, up).otherwise(2 * v["w"] > x["size"]), 1).otherwise(0)
+        return F.transform(
+            F.array(copies),
+            lambda k: F.struct(
+                (v["w"] - k * x["size"]).alias("open"), v["take"].alias("take"), v["give"].alias("give"), F.concat(acc["done"], F.array(F.struct(x["row"].alias("row"), k.alias("copies")))).alias("done")
+            ),
+        )[0]
+
+    first = F.struct(
+        F.lit(0.0).alias("open"), total(lambda x: (1 - x["p"]) * x["size"]).alias("take"), total(lambda x: x["p"] * x["size"]).alias("give"),
+        F.array().cast("array<struct<row:bigint,copies:int>>").alias("done"),
+    )
+    return F.aggregate(items, first, step, lambda acc: acc["done"])
+
+
 def round_by_pairs(items: DataFrame, seed: int = 0, fan_in: int = FAN_IN, reserve: int = RESERVE, broadcast: int = BROADCAST_SOURCES) -> DataFrame:
     """Round the probabilities of `items` (group, h, row, size, p) to (row, copies): 0 or 1, near each group's mass.
 
@@ -100,8 +133,8 @@ def round_by_pairs(items: DataFrame, seed: int = 0, fan_in: int = FAN_IN, reserv
 
     A level deals every group into blocks of about `fan_in` items by hash, whatever the group's size, and leaves one
     open item in each; the open items are the next level's items, until a group is down to one. A few items of every
-    power of two of size stay out of the levels and meet that one in falling order of size, so that what stays open in
-    the end is small; it is drawn by its probability. So no task holds more than a block or a reserve.
+    power of two of size stay out of the levels; with that one they are settled in falling order of size, each handing on
+    what it leaves open, so that what stays open in the end is small. So no task holds more than a block or a reserve.
     """
     few = items.select("group").distinct().count() <= broadcast
     octave = Window.partitionBy("group", F.floor(F.log2("size"))).orderBy("h", "row")
@@ -123,13 +156,10 @@ def round_by_pairs(items: DataFrame, seed: int = 0, fan_in: int = FAN_IN, reserv
         items, level = done.select("group", "r.open.*"), level + 1
         if most == 1:
             break
-    falling = F.struct(F.col("_first"), F.col("size").alias("by_size"), item.alias("item"))
-    chain = items.withColumn("_first", F.lit(1)).unionByName(last.withColumn("_first", F.lit(0)))
-    chain = chain.groupBy("group").agg(F.sort_array(F.collect_list(falling), asc=False).alias("items"))
-    chain = materialize(chain.select("group", pivot(F.transform("items", lambda x: x["item"]), seed + level).alias("r")), "mix-last")
-    found.append(chain.select(F.explode("r.done").alias("d")).select("d.row", "d.copies"))
-    drawn = F.when(uniform(seed, F.col("r.open.h")) < F.col("r.open.p"), 1).otherwise(0)
-    out = chain.select("r.open.row", drawn.alias("copies"))
+    falling = F.struct(F.col("size").alias("by_size"), item.alias("item"))
+    chain = items.unionByName(last.select(items.columns)).groupBy("group").agg(F.sort_array(F.collect_list(falling), asc=False).alias("items"))
+    chain = chain.select(F.explode(settle(F.transform("items", lambda x: x["item"]), seed + level)).alias("d"))
+    out = materialize(chain.select("d.row", "d.copies"), "mix-last")
     for df in found:
         out = out.unionByName(df)
     return out
