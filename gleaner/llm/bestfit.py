@@ -116,7 +116,7 @@ def greedy(histogram: list[int], window: int, rng: random.Random, noise: float)
 
 def fitness(bins: Bins, window: int) -> tuple[int, float]:
     """Fewer bins are better; of as many, those whose fill is least even."""
-    return sum(bins.values()), -sum(times * (fill(p) / window) ** 2 for p, times in bins.items())
+    return sum(bins.values()), -sum((times * (fill(p) / window) ** 2 for p, times in bins.items()), 0.0)
 
 
 def crossover(a: Bins, b: Bins, histogram: list[int], window: int, rng: random.Random) -> Bins:

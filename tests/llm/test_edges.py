@@ -52,6 +52,13 @@ def test_empty_tables(spark):
     assert quality.assess(docs).count() == 0
 
 
+def test_long_names_in_tags_take_linear_time():
+    html.parse("<p " + "a" * 200_000 + ">x")
+    began = time.process_time()
+    page = html.parse("<p " + "a" * 1_000_000 + ">x</p><p " + "b c " * 200_000 + "class=x id='y'>z</p>")
+    assert time.process_time() - began < 5 and page.nodes[2].words == ("x", "y")
+
+
 @pytest.mark.parametrize("piece", ["<h2>", "<span>", "<li><b>", "<p><div>", "<td>", "<dt>x<dd>y", "</p>", "<a \"", "<svg/>"])
 def test_tags_that_never_end_take_linear_time(piece):
     model = html.TreeModel([html.parse('<div class="a"><p data-label="1">x</p></div>')])
