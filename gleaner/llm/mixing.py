@@ -97,7 +97,7 @@ def settle(items: Column, seed: int) -> Column:
 
     Each item is made integral in turn, by its share of the mass that is open, and what that leaves goes to the next one. A
     choice that the smaller items together could not make good is not taken, so in the end no more is open than the
-    smallest items can leave; where one item outweighs all smaller ones, the nearer choice is taken.
+    smallest items can leave; where one item outweighs all smaller ones, the choice that misses by less is taken.
     """
     total = lambda value: F.aggregate(items, F.lit(0.0), lambda n, x: n + value(x))
 
@@ -110,7 +110,7 @@ def settle(items: Column, seed: int) -> Column:
     def decide(acc: Column, x: Column, v: Column) -> Column:
         up, down = v["w"] - x["size"] >= -v["give"] - 1e-9, v["w"] <= v["take"] + 1e-9
         drawn = uniform(seed, x["h"]) * x["size"] < v["w"]
-        copies = F.when(F.when(up & down, drawn).when(up != down, up).otherwise(2 * v["w"] > x["size"]), 1).otherwise(0)
+        copies = F.when(F.when(up & down, drawn).when(up != down, up).otherwise(x["size"] - v["w"] - v["give"] < v["w"] - v["take"]), 1).otherwise(0)
         return F.transform(
             F.array(copies),
             lambda k: F.struct(
