@@ -1,15 +1,13 @@
-"""Redaction of secrets and personal data: sequential numbering in text order, so an Arrow function per text."""
+"""Redaction of secrets and personal data, as one expression over a text: places of all rules, choice, numbers, pieces."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kind, pattern, group of the secret.
+from gleaner.functions.text import let
+
+#: Kind, pattern, group of the secret. Digits are written as [0-9], so that only those of ASCII count.
 SECRET_RULES = (
     ("auth_header", r"(?i)(authorization\s*[:=]\s*(?:bearer|basic|token)\s+)([A-Za-z0-9._~+/=-]{8,})", 2),
     ("aws_access_key", r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", 1),
@@ -26,71 +24,101 @@ PII_RULES = (
     ("email", r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24})\b", 1),
     ("ipv4", r"\b((?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3})\b", 1),
 )
+#: Bytes of a match behind its secret; a match of any other rule ends with the secret.
+BEHIND = {"connection_string": 1}
 #: Words of values that are known placeholders, and characters of code.
 PLACEHOLDERS = ("example", "changeme", "redacted", "xxxx")
-CODE = "(){}[]<>$`"
-
-RESULT = "text string, hits array<struct<kind:string,placeholder:string,start:int,end:int>>, mapping map<string,string>"
-_SECRETS = [(kind, re.compile(p), g) for kind, p, g in SECRET_RULES]
-_ALL = [*_SECRETS, *((kind, re.compile(p), g) for kind, p, g in PII_RULES)]
-
-
-@dataclass(frozen=True)
-class Span:
-    start: int
-    end: int
-    kind: str
-
-
-def _harmless(kind: str, value: str) -> bool:
-    core = re.sub(r"^[\W_]+|[\W_]+$", "", value).lower()
-    if "<secret:" in value or not core or any(p in core for p in PLACEHOLDERS):
-        return True
-    return kind == "assigned_secret" and any(c in CODE for c in value)
-
-
-def secret_spans(text: str, pii: bool) -> list[Span]:
-    """Spans in text order without overlaps: of those that begin first, the longest."""
-    found = [
-        Span(*m.span(group), kind)
-        for kind, pattern, group in (_ALL if pii else _SECRETS)
-        for m in pattern.finditer(text)
-        if m.group(group) is not None and not _harmless(kind, m.group(group))
-    ]
-    out: list[Span] = []
-    for s in sorted(found, key=lambda s: (s.start, s.start - s.end)):
-        if not out or s.start >= out[-1].end:
-            out.append(s)
-    return out
-
-
-def redact_text(text: str, pii: bool = False) -> tuple[str, list[dict], dict[str, str]]:
-    """The text with numbered placeholders, the hits with byte offsets, and what each placeholder stands for."""
-    names: dict[str, str] = {}
-    numbers: dict[str, int] = {}
-    out, hits, at, at_bytes = [], [], 0, 0
-    for s in secret_spans(text, pii):
-        value = text[s.start : s.end]
-        if value not in names:
-            numbers[s.kind] = numbers.get(s.kind, 0) + 1
-            names[value] = f"<secret:{s.kind}_{numbers[s.kind]}>"
-        start = at_bytes + len(text[at : s.start].encode())
-        at_bytes = start + len(value.encode())
-        hits.append({"kind": s.kind, "placeholder": names[value], "start": start, "end": at_bytes})
-        out += [text[at : s.start], names[value]]
-        at = s.end
-    return "".join([*out, text[at:]]), hits, {p: v for v, p in names.items()}
+CODE = r"[(){}\[\]<>$`]"
 
+#: Places sort by their start, then the longest first, then the rule; `back` is the end with its sign turned.
+PLACE = "struct<start:int,back:int,rule:int,kind:string,value:string>"
+HITS = "array<struct<kind:string,placeholder:string,start:int,end:int>>"
 
-def redacted(docs: DataFrame, pii: bool = False, text_col: str = "text") -> DataFrame:
-    """Add `redaction`: the redacted text, the hits and the mapping. Null texts stay null. Keep the mapping apart."""
 
-    @F.pandas_udf(RESULT)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [redact_text(t, pii) if t is not None else (None, [], {}) for t in texts]
-        return pd.DataFrame(rows, columns=["text", "hits", "mapping"])
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _harmless(kind: str, value: Column) -> Column:
+    core = F.lower(F.regexp_replace(value, r"(?U)^[\W_]+|[\W_]+$", ""))
+    out = value.contains("<secret:") | (core == "")
+    for word in PLACEHOLDERS:
+        out = out | core.contains(word)
+    return out | value.rlike(CODE) if kind == "assigned_secret" else out
+
+
+def _places(text: Column, number: int, kind: str, pattern: str, group: int) -> Column:
+    """The places of one rule, in bytes: matches and the pieces between them alternate, so running lengths give the ends."""
+    p = F.lit("(?U)" + pattern)
+    matched = lambda g: F.regexp_extract_all(text, p, F.lit(g))
+    both = F.struct(F.split(text, p, -1).alias("between"), matched(0).alias("whole"), matched(group).alias("value"))
+
+    def placed(m: Column) -> Column:
+        steps = F.slice(F.zip_with(m["between"], m["whole"], lambda a, b: F.octet_length(a) + F.octet_length(b)), 1, F.size(m["whole"]))
+        ends = F.aggregate(steps, _none("int"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+        one = lambda v, i, e: F.struct(
+            (F.get(e, i) - BEHIND.get(kind, 0) - F.octet_length(v)).alias("start"), (BEHIND.get(kind, 0) - F.get(e, i)).alias("back"), F.lit(number).alias("rule"), F.lit(kind).alias("kind"), v.alias("value"),
+        )
+        return let(ends, lambda e: F.transform(m["value"], lambda v, i: one(v, i, e)))
+
+    found = let(both, placed)
+    return F.when(text.rlike("(?U)" + pattern), F.filter(found, lambda s: ~_harmless(kind, s["value"]))).otherwise(_none(PLACE))
+
+
+def places(text: Column, pii: bool = False) -> Column:
+    """What is secret in a text, in its order and without overlaps: of places that begin first, the longest."""
+    rules = SECRET_RULES + (PII_RULES if pii else ())
+    every = F.concat(*[_places(text, n, *rule) for n, rule in enumerate(rules)])
+    first = F.struct(F.lit(0).alias("until"), _none(PLACE).alias("kept"))
+    free = lambda acc, s: s["start"] >= acc["until"]
+    take = lambda acc, s: F.struct((-s["back"]).alias("until"), F.concat(acc["kept"], F.array(s)).alias("kept"))
+    return F.when(
+        F.size(every) > 0, F.aggregate(F.sort_array(every), first, lambda acc, s: F.when(free(acc, s), take(acc, s)).otherwise(acc), lambda acc: acc["kept"])
+    ).otherwise(_none(PLACE))
+
 
-    return docs.withColumn("redaction", run(F.col(text_col)))
+def _names(kept: Column) -> Column:
+    """Placeholder by value: the values of a kind are numbered by where they come first, over all kinds of a value."""
+    values = F.transform(kept, lambda s: s["value"])
+    firsts = F.filter(kept, lambda s, i: F.array_position(values, s["value"]) == i + 1)
+
+    def numbered(fs: Column) -> Column:
+        entry = lambda kind: lambda f, i: F.struct(f["value"].alias("key"), F.concat(F.lit(f"<secret:{kind}_"), (i + 1).cast("string"), F.lit(">")).alias("value"))
+        of = lambda kind: F.transform(F.filter(fs, lambda f: f["kind"] == kind), entry(kind))
+        return F.map_from_entries(F.concat(*[of(kind) for kind, *_ in SECRET_RULES + PII_RULES]))
+
+    return let(firsts, numbered)
+
+
+def _replaced(text: Column, kept: Column) -> Column:
+    """The struct of the redacted text, the hits with byte offsets, and what each placeholder stands for."""
+    data = text.cast("binary")
+    cut = lambda start, stop: F.substring(data, start + 1, stop - start).cast("string")
+    end_before = lambda i: F.when(i == 0, 0).otherwise(-F.get(kept, i - 1)["back"])
+
+    def made(names: Column) -> Column:
+        of = lambda s: F.element_at(names, s["value"])
+        pieces = F.transform(kept, lambda s, i: F.concat(cut(end_before(i), s["start"]), of(s)))
+        rest = cut(-F.element_at(kept, -1)["back"], F.octet_length(text))
+        hits = F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), of(s).alias("placeholder"), s["start"].alias("start"), (-s["back"]).alias("end")))
+        mapping = F.map_from_entries(F.transform(F.map_entries(names), lambda e: F.struct(e["value"].alias("key"), e["key"].alias("value"))))
+        return F.struct(F.concat(F.array_join(pieces, ""), rest).alias("text"), hits.cast(HITS).alias("hits"), mapping.alias("mapping"))
+
+    return let(_names(kept), made)
+
+
+def redaction(text: Column, pii: bool = False) -> Column:
+    """A text's redaction: text, hits and mapping. A null text stays null; one without secrets stays as it is.
+
+    A text costs a scan for each rule; what is done with hits takes time by the square of their number in a text.
+    """
+    plain = lambda t: F.struct(t.alias("text"), F.array().cast(HITS).alias("hits"), F.create_map().cast("map<string,string>").alias("mapping"))
+    return let(text, lambda t: let(places(t, pii), lambda kept: F.when(F.size(kept) > 0, _replaced(t, kept)).otherwise(plain(t))))
+
+
+def redacted(docs: DataFrame, pii: bool = False, text_col: str = "text") -> DataFrame:
+    """Add `redaction`: the redacted text, the hits and the mapping. Null texts stay null. Keep the mapping apart."""
+    return docs.withColumn("redaction", redaction(F.col(text_col), pii))
 
 
 def restored(text: Column, mapping: Column) -> Column:
@@ -99,8 +127,5 @@ def restored(text: Column, mapping: Column) -> Column:
 
 
 def has_secret(text: Column) -> Column:
-    """A quick native test: may the text hold a secret (placeholders and code still count)."""
-    out = F.lit(False)
-    for _, pattern, _ in SECRET_RULES:
-        out = out | text.rlike(pattern)
-    return out
+    """Whether a text holds a secret, known placeholders and code aside."""
+    return F.coalesce(let(text, lambda t: F.size(places(t)) > 0), F.lit(False))
