@@ -189,6 +189,32 @@ def subcommand_of(command: Column) -> Column:
     return F.get(F.filter(later, lambda a: ~a.startswith("-")), F.lit(0))
 
 
+def _ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def scope_of(text: Column) -> Column:
+    """The scope that `npm install` or `npm` names, as program and subcommand; nothing, `*` and `global` name none.
+
+    A program loses its folders, `.exe` and its case, a subcommand its case only. A null text names no scope.
+    """
+    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    none = (clean == "") | (clean == "*") | (_ascii_lower(clean) == "global")
+    word = lambda n: F.when(~none, F.get(F.split(clean, " "), F.lit(n)))
+    program = F.regexp_replace(_ascii_lower(F.regexp_extract(word(0), r"([^/\\]*)$", 1)), r"\.exe$", "")
+    return F.struct(program.alias("program"), _ascii_lower(word(1)).alias("subcommand"))
+
+
+def scope_text(program: Column, subcommand: Column) -> Column:
+    """How reports name a scope."""
+    return F.when(program.isNull(), "(any command)").otherwise(F.concat_ws(" ", program, subcommand))
+
+
+def has_markup(text: Column) -> Column:
+    """Whether a text holds any mark of a lesson."""
+    return F.coalesce(text.rlike("<(filter-)?(trash|fold|only|keep)"), F.lit(False))
+
+
 def command_line(argv: Column) -> Column:
     quoted = lambda a: F.when(a.contains(" "), F.concat(F.lit('"'), a, F.lit('"'))).otherwise(a)
     return F.array_join(F.transform(argv, quoted), " ")

@@ -85,7 +85,7 @@ def by_shape(rows: list[str], kept: list[tuple]) -> list[tuple[tuple, str, int]]
 
 
 def taught(rows: pd.DataFrame) -> list[tuple]:
-    """(action, caption, lines, examples, source, reason) that one lesson teaches; a reason marks what it may not."""
+    """(action, caption, lines, examples, source, reason, detail) that one lesson teaches; a reason marks what it may not."""
     rows, forced, found = rows.sort_values("ln", kind="stable"), bool(rows["forced"].iloc[0]), []
     kept = [L.shape(x) for x in rows.loc[rows["kind"].isin(["plain", "keep"]), "line"]]
     trash = rows[rows["kind"] == "trash"]
@@ -118,7 +118,36 @@ def taught(rows: pd.DataFrame) -> list[tuple]:
             found.append(("fold", caption, list(map(text_of, shapes)), 1, lines[0], refusal(shapes, lines, kept, forced)))
     for shape, source, n in by_shape(list(rows.loc[rows["kind"] == "only", "line"]), []):
         found.append(("keep", None, [text_of(shape)] if shape else [], n, source, refusal([shape], [source], [], True)))
-    return found
+    lines = [text_of(k) for k in kept]
+    first = [x for x in rows.loc[rows["kind"].isin(["plain", "keep"]), "line"]]
+    return [(*f, met(f[2], lines, first) if f[5] == "matches_kept" else None) for f in found]
+
+
+def met(rule: list[str], kept: list[str], lines: list[str]) -> str | None:
+    """The first kept line that a rule of these canonical lines would take."""
+    same = lambda a, b: len(x := a.split()) == len(y := b.split()) and all(p in ("{*}", q) for p, q in zip(x, y, strict=True))
+    for at in range(len(kept) - len(rule) + 1):
+        if all(map(same, rule, kept[at : at + len(rule)])):
+            return lines[at]
+    return None
+
+
+def explained(made: DataFrame) -> DataFrame:
+    """Add `explanation` to proposals: what a refused one is told, null for the others."""
+    segs = F.flatten(F.transform("lines", pattern_of))
+    literal = F.filter(segs, lambda s: s.cls == "")
+    chars = F.aggregate(literal, F.lit(0), lambda n, s: n + F.char_length(s.lit))
+    share = F.when(F.size(segs) > 0, F.floor((F.size(segs) - F.size(literal)) * 100 / F.size(segs)))
+    text = (
+        F.when(F.col("reason") == "unusable", "nothing to match on")
+        .when(F.col("reason") == "too_general", F.format_string("too general (%d literal token(s), %d char(s))", F.size(literal), chars))
+        .when(F.col("reason") == "mostly_placeholders", F.format_string("%d%% of the pattern is placeholders", share))
+        .when(F.col("reason") == "critical", "looks like an error, and errors are never filtered (use --force)")
+        .when(F.col("reason") == "matches_kept", F.concat(F.lit("would also remove a line you kept: "), F.coalesce("detail", F.lit(""))))
+        .when(F.col("reason") == "too_tall", F.format_string(f"%d lines is taller than a block rule may be ({L.MAX_HEIGHT})", F.size("lines")))
+        .when(F.col("reason") == "fold_without_caption", 'a fold needs a caption: <filter-fold as="what this run amounts to">')
+    )
+    return made.withColumn("explanation", text)
 
 
 def retired(rules: DataFrame, kept: DataFrame) -> DataFrame:
@@ -130,19 +159,19 @@ def retired(rules: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def proposals(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """What the lessons teach (rows of `parsed`): lesson_id, id, program, subcommand, action, caption, lines, examples, source, forced, reason."""
+    """What the lessons teach (rows of `parsed`): lesson_id, id, program, subcommand, action, caption, lines, examples, source, forced, reason, detail."""
     trash = rows.filter("kind = 'trash'").withColumn("_segs", T.segments(F.col("line")))
     covered = R.covering(trash, compiled(rules.filter("enabled and action = 'drop'")), ["lesson_id", "ln"], scoped=True).distinct()
     known = rows.join(covered.withColumn("covered", F.lit(True)), ["lesson_id", "ln"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
     def run(lesson: pd.DataFrame) -> pd.DataFrame:
         first, found = lesson.iloc[0], taught(lesson)
-        out = pd.DataFrame(found, columns=["action", "caption", "lines", "examples", "source", "reason"])
+        out = pd.DataFrame(found, columns=["action", "caption", "lines", "examples", "source", "reason", "detail"])
         for c in ("lesson_id", "program", "subcommand", "forced"):
             out[c] = first[c]
-        return out[["lesson_id", "program", "subcommand", "action", "caption", "lines", "examples", "source", "forced", "reason"]]
+        return out[["lesson_id", "program", "subcommand", "action", "caption", "lines", "examples", "source", "forced", "reason", "detail"]]
 
-    schema = "lesson_id string, program string, subcommand string, action string, caption string, lines array<string>, examples bigint, source string, forced boolean, reason string"
+    schema = "lesson_id string, program string, subcommand string, action string, caption string, lines array<string>, examples bigint, source string, forced boolean, reason string, detail string"
     made = known.withColumn("lesson_id", F.col("lesson_id").cast("string")).groupBy("lesson_id").applyInPandas(run, schema)
     ident = R.rule_id(F.col("program"), F.col("subcommand"), F.array_join("lines", "\n"), F.concat_ws("\u0001", "action", "caption"))
     return made.withColumn("id", ident)

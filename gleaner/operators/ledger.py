@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import day_number, method_rank
@@ -83,12 +83,27 @@ def forget(rows: DataFrame, project: str) -> DataFrame:
 
 
 def session_gain(events: DataFrame) -> DataFrame:
-    """Totals of each session: events, transformed ones, tokens, saving, secrets, the weakest method."""
+    """Totals of each session: events, transformed ones, tokens, saving, secrets, the weakest method.
+
+    With a capsule_id, how many originals were stored as well.
+    """
+    stored = [F.count("capsule_id").alias("capsules")] if "capsule_id" in events.columns else []
     return with_runs(events).groupBy("session_id").agg(
-        *totals(), F.count_if(F.col("transformed")).alias("transformed"), F.coalesce(F.sum("secrets"), F.lit(0)).cast("bigint").alias("secrets"), weakest()
+        *stored, *totals(), F.count_if(F.col("transformed")).alias("transformed"), F.coalesce(F.sum("secrets"), F.lit(0)).cast("bigint").alias("secrets"), weakest()
     )
 
 
+def ranked(sums: DataFrame, name: str, limit: int | None = None, by: str = "saved") -> DataFrame:
+    """A report of sums (a row for each name): the most first, ties by name, with their rank from 1; a limit of 0 is none."""
+    rows = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), F.col(name).asc_nulls_first())))  # a row for each name
+    return rows.filter(F.col("rank") <= limit) if limit else rows
+
+
+def forgotten(rows: DataFrame, project: str | None = None) -> DataFrame:
+    """One row: how many rows `forget` drops, of a project or, without one, of all."""
+    return rows.agg((F.count("*") if project is None else F.count_if(F.col("project").eqNullSafe(F.lit(project)))).alias("dropped"))
+
+
 def transformer_stats(records: DataFrame) -> DataFrame:
     """By transformer: accepted, rejected, tokens; a rejected one counts its input on both sides, so it saves nothing."""
     after = F.when(F.col("validation") == "accepted", F.col("tokens_after")).otherwise(F.col("tokens_before"))

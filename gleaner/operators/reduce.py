@@ -26,7 +26,8 @@ class Source:
 class Compiler:
     """A reducer: where it may try, what it makes (doc_id, output), whether it loses text, how its output is checked.
 
-    It may also return a column `error`: a document with one keeps its text, and the others do not suffer.
+    It may also return a column `error`: a document with one keeps its text, and the others do not suffer; and a column
+    `lossy`, where that depends on the document.
     """
 
     name: str
@@ -70,8 +71,8 @@ def _collapsed(source: Source) -> DataFrame:
     rows = shell.head_tail(rows.withColumn("_at", F.col("ln")).withColumn("ln", F.row_number().over(Window.partitionBy("doc_id").orderBy("_at"))).withColumnRenamed("shown", "line"))
     note = F.concat(F.col("line"), F.lit("\n["), F.col("omitted").cast("string"), F.lit(" line(s) left out]"))
     rows = rows.withColumn("shown", F.when((F.col("omitted") > 0) & (F.col("ln") == 60), note).otherwise(F.col("line")))
-    out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ln", "shown"))).alias("s"))
-    return out.select("doc_id", F.array_join(F.transform("s", lambda x: x.shown), "\n").alias("output"))
+    out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ln", "shown"))).alias("s"), F.max(F.col("omitted") > 0).alias("lossy"))
+    return out.select("doc_id", F.array_join(F.transform("s", lambda x: x.shown), "\n").alias("output"), "lossy")
 
 
 def learned(rules: DataFrame, protect_errors: bool = True) -> Compiler:
@@ -94,12 +95,12 @@ COMPILERS = (
     Compiler("json.summary", lambda: F.col("content_type") == "json", _summary, lossy=True, reparse=IR),
     Compiler("log.cluster", lambda: F.col("content_type").isin("application_log", "plain_text", "unknown"), lambda s: logs.render(logs.clusters(s.lines)), lossy=True, reparse=IR),
     Compiler("shell.grep", lambda: F.col("text").rlike(r"(?m)^[^:\n]+:[0-9]+:"), lambda s: shell.render_grep(s.lines)),
-    Compiler("shell.generic", lambda: F.expr("instr(text, '\n') between 1 and char_length(text) - 1"), _collapsed),
+    Compiler("shell.generic", lambda: F.expr("of_command and instr(text, '\n') between 1 and char_length(text) - 1"), _collapsed),
 )
 
 
 def candidates(docs: DataFrame, compilers: tuple[Compiler, ...] = COMPILERS) -> DataFrame:
-    """All proposals for documents (doc_id, text, content_type): each compiler sees only what it applies to.
+    """All proposals for documents (doc_id, text, content_type, of_command): each compiler sees only what it applies to.
 
     Where compilers apply is found in one pass, and lines are made once, for all of them. Outputs come together before
     they meet the texts and their facts, so these are moved once.
@@ -112,8 +113,9 @@ def candidates(docs: DataFrame, compilers: tuple[Compiler, ...] = COMPILERS) ->
         mine = F.col("_wants").bitwiseAND(F.lit(1 << k).cast("long")) != 0
         made = c.compile(Source(docs.filter(mine).drop("_wants"), rows.filter(mine).drop("_wants")))
         error = F.col("error").cast("string") if "error" in made.columns else F.lit(None).cast("string")
+        lossy = F.col("lossy") if "lossy" in made.columns else F.lit(c.lossy)
         made = made.select(
-            "doc_id", F.lit(k).alias("ord"), F.lit(c.name).alias("transformer"), "output", F.lit(c.lossy).alias("lossy"), F.lit(c.reparse).alias("reparse"),
+            "doc_id", F.lit(k).alias("ord"), F.lit(c.name).alias("transformer"), "output", lossy.alias("lossy"), F.lit(c.reparse).alias("reparse"),
             F.lit(c.min_gain).cast("double").alias("min_gain"), error.alias("error"),
         )
         out = made if out is None else out.unionByName(made)
@@ -125,16 +127,18 @@ def reduce(docs: DataFrame, mode: str = "safe", pii: bool = False, compilers: tu
     """doc_id, content_type, hash, transformer, output, tokens_before, tokens_after for every document.
 
     Texts are redacted first; proposals come from the redacted text and a document without an accepted one keeps it.
-    Equal texts are reduced once and joined back, so copies cost a row each.
+    Equal texts are reduced once and joined back, so copies cost a row each. With a column `command`, a document that has
+    one is the output of a command, where repeated lines fold and the middle of long outputs may go.
     """
-    own = docs.select("doc_id", F.col("text")).withColumn("hash", content_hash(F.col("text")))
-    return own.select("doc_id", "hash").join(_reduced(own, mode, pii, compilers).drop("clean"), "hash")
+    of_command = F.col("command").isNotNull() if "command" in docs.columns else F.lit(False)
+    own = docs.select("doc_id", F.col("text"), of_command.alias("of_command")).withColumn("hash", content_hash(F.col("text")))
+    return own.select("doc_id", "hash", "of_command").join(_reduced(own, mode, pii, compilers).drop("clean"), ["hash", "of_command"]).drop("of_command")
 
 
 def _reduced(own: DataFrame, mode: str, pii: bool, compilers: tuple[Compiler, ...]) -> DataFrame:
-    """The reduction of each content (hash, text, doc_id): its redacted text is `clean`."""
-    once = own.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    clean = redact.redacted(once, pii).select("doc_id", "hash", F.col("redaction.text").alias("text"), F.size("redaction.hits").alias("secrets"))
+    """The reduction of each content (hash, of_command, text, doc_id): its redacted text is `clean`."""
+    once = own.groupBy("hash", "of_command").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    clean = redact.redacted(once, pii).select("doc_id", "hash", "of_command", F.col("redaction.text").alias("text"), F.size("redaction.hits").alias("secrets"))
     clean = clean.withColumn("content_type", detect.detect(F.col("text")).getField("content_type"))
     clean = materialize(clean, "reduce-clean")  # every compiler reads it
     best = firewall.smallest(firewall.review(candidates(clean, compilers), mode, token_ir=True)) if compilers and mode != "observe" else None
@@ -145,7 +149,7 @@ def _reduced(own: DataFrame, mode: str, pii: bool, compilers: tuple[Compiler, ..
         out = clean.join(best, "doc_id", "left")
     final = F.coalesce("output", "text")
     return out.select(
-        "hash", "content_type", "secrets", F.when(F.col("ord").isNotNull(), F.get(names, F.col("ord"))).alias("transformer"), final.alias("output"),
+        "hash", "of_command", "content_type", "secrets", F.when(F.col("ord").isNotNull(), F.get(names, F.col("ord"))).alias("transformer"), final.alias("output"),
         token_estimate(F.col("text")).alias("tokens_before"), token_estimate(final).alias("tokens_after"), F.col("text").alias("clean"),
     )
 
@@ -164,10 +168,11 @@ def reduce_runs(
     A null command has no past; a null text is empty. Returns run_id, hash, content_type, transformer, output,
     tokens_before, tokens_after.
     """
-    own = runs.select("run_id", "session_id", "command", "ts_millis", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", content_hash(F.col("text")))
+    own = runs.select("run_id", "session_id", "command", "ts_millis", F.coalesce("text", F.lit("")).alias("text")).withColumns({"hash": content_hash(F.col("text")), "of_command": F.col("command").isNotNull()})
     texts = materialize(_reduced(own.withColumn("doc_id", F.col("run_id")), mode, pii, compilers), "reduce-texts")
-    named = own.drop("text").join(texts.select("hash", content_hash(F.col("clean")).alias("source_hash")), "hash")
-    out = own.select("run_id", "hash").join(texts.drop("clean", "secrets"), "hash")
+    clean = materialize(texts.select("hash", "clean").dropDuplicates(["hash"]), "reduce-contents")
+    named = own.drop("text", "of_command").join(clean.select("hash", content_hash(F.col("clean")).alias("source_hash")), "hash")
+    out = own.select("run_id", "hash", "of_command").join(texts.drop("clean", "secrets"), ["hash", "of_command"]).drop("of_command")
     if mode == "observe":
         return out
     named = named.withColumnRenamed("hash", "raw_hash").withColumnRenamed("source_hash", "hash")
@@ -178,7 +183,7 @@ def reduce_runs(
         past = past.join(key("run_id"), "run_id", "left").join(key("previous_id"), "previous_id", "left")
         past = past.filter(F.coalesce("_run_id", F.lit("")) == F.coalesce("_previous_id", F.lit(""))).drop("_run_id", "_previous_id")
     past = materialize(past, "reduce-past")
-    clean = texts.select(F.col("hash").alias("raw_hash"), "clean")
+    clean = clean.withColumnRenamed("hash", "raw_hash")
     again = past.filter("is_repeat").join(clean, "raw_hash")
     repeats = history.repeat_candidates(again.withColumnRenamed("clean", "text"))
     before = named.select(F.col("run_id").alias("previous_id"), F.col("raw_hash").alias("_old")).join(clean.withColumnsRenamed({"raw_hash": "_old", "clean": "old"}), "_old").drop("_old")

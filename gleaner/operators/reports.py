@@ -138,7 +138,8 @@ def pytest_failures(lines: DataFrame) -> DataFrame:
 
 def jest_totals(lines: DataFrame) -> DataFrame:
     words = {w: w for w in ("passed", "failed", "skipped", "todo", "pending")}
-    return last_counts(lines, F.ltrim("line").rlike("^Tests[: ]"), words).drop("line")
+    named = lines.groupBy("doc_id").agg(F.when(F.max(F.col("line").contains("Test Files")), "vitest").otherwise("jest").alias("framework"))
+    return last_counts(lines, F.ltrim("line").rlike("^Tests[: ]"), words).drop("line").join(named, "doc_id")
 
 
 def jest_failures(lines: DataFrame) -> DataFrame:
@@ -248,16 +249,17 @@ def _sections(rows: DataFrame, section: Column, limit: int) -> DataFrame:
 
 
 def render_tests(totals: DataFrame, failures: DataFrame, framework: str) -> DataFrame:
-    """Test totals and failures as text of the intermediate form."""
+    """Test totals and failures as text of the intermediate form; a column `framework` of the totals goes before the name given."""
     section = F.struct(
         F.concat(F.lit("failure "), F.col("name")).alias("label"), _kv(at=F.col("location"), error=F.col("error_type")).alias("attrs"),
         F.transform("detail", lambda d: clip(d, 400)).alias("body"),
     )
     parts = totals.join(_sections(failures, section, MAX_FAILURES), "doc_id", "left")
-    counts = [c for c in totals.columns if c not in ("doc_id", "status", "duration")]
+    counts = [c for c in totals.columns if c not in ("doc_id", "status", "duration", "framework")]
     fields = _kv(**{c: F.when((F.col(c) > 0) | F.lit(c in ("passed", "failed")), F.col(c)) for c in counts}, failures_not_shown=F.when(F.col("found") > MAX_FAILURES, F.col("found") - MAX_FAILURES))
     header = _kv(status=F.col("status"), duration=F.col("duration") if "duration" in totals.columns else _none())
-    text = ir.render(F.lit("test"), F.lit(framework), header, fields, F.coalesce("sections", F.array().cast(parts.schema["sections"].dataType)), _none())
+    named = F.col("framework") if "framework" in totals.columns else F.lit(framework)
+    text = ir.render(F.lit("test"), named, header, fields, F.coalesce("sections", F.array().cast(parts.schema["sections"].dataType)), _none())
     return parts.select("doc_id", text.alias("output"))
 
 

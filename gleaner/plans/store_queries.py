@@ -191,3 +191,37 @@ def replay_session(spark, sf_dir):  # noqa: ANN001, ANN201
     rows = rows.withColumns({"capsule_id": F.col("id"), "session_id": F.lit("s"), "transformer": F.lit("old"), "tokens_before": X.token_estimate(F.col("raw")), "tokens_after": F.col("id") % 100})
     again = lambda docs: reduce.reduce(docs, compilers=tuple(c for c in reduce.COMPILERS if c.name == "json.structural"))
     return ledger.replay_totals(ledger.replayed(rows.drop("raw"), rows.filter("id % 3 > 0").select("id", "raw"), again))
+
+
+@query("""WITH n AS (SELECT p_partkey AS k, ['npm install', '/usr/bin/Git.EXE  Log -1', ' * ', 'GLOBAL', '', 'C:\\\\bin\\\\NPM.exe', 'go /C'][p_partkey % 7 + 1] AS name, concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN '<filter-keep>' WHEN p_partkey % 3 = 1 THEN '<trash' ELSE '<keeper' END) AS text FROM part)
+  SELECT k, ['npm', 'git', NULL, NULL, NULL, 'npm', 'go'][k % 7 + 1] AS program, ['install', 'log', NULL, NULL, NULL, NULL, '/c'][k % 7 + 1] AS subcommand, ['npm install', 'git log', '(any command)', '(any command)', '(any command)', 'npm', 'go /c'][k % 7 + 1] AS scope, k % 3 < 3 AS marked FROM n""")
+def scopes_and_marks(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Scopes by name, how they are shown, and whether texts hold marks of lessons."""
+    k = F.col("p_partkey")
+    names = F.array(*[F.lit(x) for x in ("npm install", "/usr/bin/Git.EXE  Log -1", " * ", "GLOBAL", "", "C:\\bin\\NPM.exe", "go /C")])
+    mark = F.when(k % 3 == 0, "<filter-keep>").when(k % 3 == 1, "<trash").otherwise("<keeper")
+    rows = read(spark, sf_dir, "part").select(k.alias("k"), X.scope_of(F.get(names, (k % 7).cast("int"))).alias("s"), F.concat("p_name", mark).alias("text"))
+    return rows.select("k", "s.program", "s.subcommand", X.scope_text(F.col("s.program"), F.col("s.subcommand")).alias("scope"), X.has_markup(F.col("text")).alias("marked"))
+
+
+@query(f"""WITH {S.USAGE}, s AS (SELECT program, {_SUMS} FROM usage GROUP BY program) SELECT *, row_number() OVER (ORDER BY saved DESC, program)::INTEGER AS rank FROM s QUALIFY rank <= 3""")
+def usage_ranked(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The three programs that saved most."""
+    return ledger.ranked(ledger.by_program(usage(spark, sf_dir)), "program", limit=3)
+
+
+@query(f"WITH {S.USAGE} SELECT count(*) FILTER (project = 'p3') AS dropped FROM usage")
+def usage_forgotten(spark, sf_dir):  # noqa: ANN001, ANN201
+    return ledger.forgotten(usage(spark, sf_dir), "p3")
+
+
+@query("""SELECT p_partkey::VARCHAR AS lesson_id, CASE p_partkey % 4 WHEN 0 THEN 'too general (1 literal token(s), 3 char(s))' WHEN 1 THEN 'would also remove a line you kept: one notice of the thing' WHEN 2 THEN '60% of the pattern is placeholders'
+    ELSE 'looks like an error, and errors are never filtered (use --force)' END AS explanation FROM part""")
+def learn_refusals(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Why lessons teach nothing, in words."""
+    k = F.col("p_partkey")
+    line = F.when(k % 4 == 0, "abc").when(k % 4 == 1, "one notice of the thing").when(k % 4 == 2, "notices number 1 2 3").otherwise("an error in this line")
+    text = F.concat(F.lit("<trash>"), line, F.lit("</trash>\nother\n"), F.when(k % 4 == 1, line).otherwise(""))
+    lessons = read(spark, sf_dir, "part").select(k.alias("lesson_id"), F.lit(None).cast("string").alias("program"), F.lit(None).cast("string").alias("subcommand"), F.lit(False).alias("forced"), text.alias("text"))
+    made = learning.learn(lessons, spark.createDataFrame([], learning.RULES), NOW)[1]
+    return learning.explained(made).select("lesson_id", "explanation")

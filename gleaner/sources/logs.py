@@ -16,9 +16,15 @@ RULE_SCHEMA = "version int, id string, program string, subcommand string, exampl
 RULES_VERSION = 1
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One document per file: name, text; empty files are left out. The command is made up, so reading again repeats."""
+def read_texts(spark: SparkSession, path: str, empty: str = "skip") -> DataFrame:
+    """One document per file: name, text. The command is made up, so reading again repeats.
+
+    Empty files are left out, or with `empty="error"` end the reading, as there is nothing in them to reduce.
+    """
     df = spark.read.text(path, wholetext=True).withColumn("name", F.input_file_name())
+    if empty == "error":
+        message = F.concat(F.lit("nothing to reduce (empty input): "), "name")
+        df = df.withColumn("value", F.when(F.length("value") > 0, F.col("value")).otherwise(F.raise_error(message).cast("string")))
     return df.filter(F.length("value") > 0).select("name", F.col("value").alias("text"), F.concat(F.lit("read "), "name").alias("command"))
 
 
