@@ -352,23 +352,25 @@ def repeat_candidates(spark, sf_dir):  # noqa: ANN001, ANN201
     return history.repeat_candidates(history.previous_run(_runs(spark, sf_dir)))
 
 
-@query(f"""WITH {S.LINES}, s AS (SELECT source AS scope, doc_id AS run, ln, line, array_to_string({S.segments('line')}, ' ') AS shape, {S.tokens('line')} AS tok, len({S.segments('line')}) AS n FROM lines WHERE trim(line) <> '' AND NOT {S.critical('line')}),
+_SHAPES = f"""WITH {S.LINES}, s AS (SELECT source AS scope, doc_id AS run, ln, line, array_to_string({S.segments('line')}, ' ') AS shape, {S.tokens('line')} AS tok, len({S.segments('line')}) AS n FROM lines WHERE trim(line) <> '' AND NOT {S.critical('line')}),
     o AS (SELECT source AS scope, count(*) AS of_runs FROM documents GROUP BY source),
-    g AS (SELECT scope, shape, count(DISTINCT run) AS runs, count(*) AS lines, sum(tok)::BIGINT AS tokens, min_by(line, {{'a': run, 'b': ln}}) AS example FROM s WHERE n BETWEEN 1 AND 64 GROUP BY scope, shape)
+    g AS (SELECT scope, shape, count(DISTINCT run) AS runs, count(*) AS lines, sum(tok)::BIGINT AS tokens, min_by(line, {{'a': run, 'b': ln}}) AS example FROM s WHERE n BETWEEN 1 AND 64 GROUP BY scope, shape)"""
+
+
+@query(f"""{_SHAPES}
   SELECT scope, shape, runs, lines, tokens, example, of_runs FROM g JOIN o USING (scope) WHERE runs >= 2""")
 def suggest_shapes(spark, sf_dir):  # noqa: ANN001, ANN201
     rows = exploded_lines(read(spark, sf_dir, "documents"), ("doc_id", "source"))
     return suggest.suggestions(rows.withColumnsRenamed({"source": "scope", "doc_id": "run"}))
 
 
+@query(f"""{_SHAPES}, r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY tokens DESC, encode(shape)) AS k FROM g WHERE runs >= 2)
+  SELECT scope, concat('<filter-trash>', chr(10), string_agg(example, chr(10) ORDER BY k), chr(10), '</filter-trash>', chr(10)) AS lesson FROM r WHERE k <= 20 GROUP BY scope""")
 def suggest_drafts(spark, sf_dir):  # noqa: ANN001, ANN201
     """A draft lesson for each source."""
     return suggest.draft(suggest_shapes(spark, sf_dir))
 
 
-QUERIES["suggest_drafts"] = suggest_drafts
-
-
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN NULL WHEN doc_id % 3 = 0 THEN substr(text, 1, 20) ELSE text END AS content, doc_id % 5 = 0 AND doc_id % 3 <> 0 AS withheld FROM documents""")
 def capsule_retrieve(spark, sf_dir):  # noqa: ANN001, ANN201
     d = read(spark, sf_dir, "documents")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import history, reduce
-from gleaner.sources.tables import read
+from gleaner.functions import text as X
+from gleaner.operators import filtering, history, redact, reduce, reports, rules
+from gleaner.sources import logs as files
+from gleaner.sources.scratch import scratch_path
+from gleaner.sources.tables import applog, exploded_lines, read
 
-from .relational_queries import AGO
+from .relational_queries import _TAKEN, AGO, _rules
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,3 +75,78 @@ def reduce_runs(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 QUERIES["reduce_runs"] = reduce_runs
+
+
+def _texts(spark, sf_dir, *parts):  # noqa: ANN001, ANN002, ANN202
+    text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return exploded_lines(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+
+
+_K = F.col("p_partkey")
+
+
+@query("""SELECT p_partkey AS doc_id, p_partkey % 90 AS passed, p_partkey % 4 AS failed, (p_partkey % 3)::BIGINT AS warnings, CASE WHEN p_partkey % 4 > 0 THEN 'fail' ELSE 'pass' END AS status, concat((p_partkey % 60)::VARCHAR, '.25s') AS duration FROM part""")
+def test_report_pytest(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Totals of test sessions: the last summary line counts, whatever earlier ones say."""
+    rows = _texts(spark, sf_dir, "==== test session starts ====\n==== 9 failed, 9 passed in 1.00s ====\n==== ", _K % 4, " failed, ", _K % 90, " passed, ", _K % 3, " warnings in ", _K % 60, ".25s ====\n")
+    return reports.pytest_totals(rows).select("doc_id", "passed", "failed", "warnings", "status", "duration")
+
+
+@query("""SELECT p_partkey AS doc_id, p_partkey % 90 AS passed, p_partkey % 4 AS failed, CASE WHEN p_partkey % 4 > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN p_partkey % 2 = 0 THEN 'vitest' ELSE 'jest' END AS framework FROM part""")
+def test_report_jest(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Totals of script tests, and which of two tools printed them."""
+    rows = _texts(spark, sf_dir, "PASS src/a.test.ts\n", F.when(_K % 2 == 0, " Test Files  1 passed\n").otherwise("Test Suites: 1 passed\n"), "Tests:       ", _K % 4, " failed, ", _K % 90, " passed, 100 total\n")
+    return reports.jest_totals(rows).select("doc_id", "passed", "failed", "status", "framework")
+
+
+@query("""SELECT p_partkey AS doc_id, concat('E', (1000 + p_partkey % 9000)::VARCHAR) AS code, concat('cannot find value `', p_brand, '`') AS message, concat('src/main.rs:', p_partkey::VARCHAR, ':5') AS location FROM part""")
+def test_report_build(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Errors of builds: their code, message and place."""
+    rows = _texts(spark, sf_dir, "   Compiling a v0.1.0\nerror[E", 1000 + _K % 9000, "]: cannot find value `", F.col("p_brand"), "`\n  --> src/main.rs:", _K, ":5\n   |\nerror: aborting due to 1 previous error\n")
+    return reports.build_errors(rows).filter("location is not null").select("doc_id", "code", "message", "location")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 OR event_id % 3 = 2 THEN 'unavailable' WHEN event_id % 4 < 2 AND event_id % 3 = 0 THEN 'tokenizer' ELSE 'estimated' END AS method, greatest(event_id % 50 - event_id % 70, 0) AS saved FROM events""")
+def saved_tokens(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What was saved, and by which method that is known."""
+    k = F.col("event_id")
+    methods = F.array(*[F.lit(m) for m in ("provider", "tokenizer", "estimated", "unavailable")])
+    before, after = F.get(methods, (k % 4).cast("int")), F.get(F.array(F.lit("tokenizer"), F.lit("estimated"), F.lit("unavailable")), (k % 3).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", X.saved_method(before, after).alias("method"), X.saved(k % 50, k % 70).alias("saved"))
+
+
+@query("""SELECT p_partkey, concat('tool --name ', CASE WHEN contains(p_name, ' ') THEN concat('"', p_name, '"') ELSE p_name END, ' ', p_brand) AS line FROM part""")
+def command_lines(spark, sf_dir):  # noqa: ANN001, ANN201
+    return read(spark, sf_dir, "part").select("p_partkey", X.command_line(F.array(F.lit("tool"), F.lit("--name"), "p_name", "p_brand")).alias("line"))
+
+
+@query("""SELECT event_id, event_id % 5 IN (0, 2) AS secret FROM events""")
+def secrets_found(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Texts that hold a secret; known placeholders and code are none."""
+    k = F.col("event_id")
+    text = F.when(k % 5 == 0, F.concat(F.lit("password=hunter"), F.md5(k.cast("string")))).when(k % 5 == 1, "password=changeme-example").when(k % 5 == 2, F.concat(F.lit("https://me:"), F.md5(k.cast("string")), F.lit("@host/x")))
+    text = text.when(k % 5 == 3, "token = make_token(ttl=-1)").otherwise("no such thing")
+    return read(spark, sf_dir, "events").select("event_id", redact.has_secret(text).alias("secret"))
+
+
+@query(f"{_TAKEN} SELECT rule_id, tokens FROM g WHERE lines > 0 ORDER BY tokens DESC, rule_id LIMIT 30")
+def rule_hits(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The rules that took lines, those that saved most first."""
+    used = filtering.accounting(*filtering.decided(applog(spark, sf_dir).select("doc_id", "ln", "line"), _rules(spark)))
+    return rules.hit_order(used.filter("lines > 0")).select("rule_id", "tokens")
+
+
+@query("""WITH s AS (SELECT strftime(ts, '%Y%m%d') AS session_id, concat('e', (event_id % 1000)::VARCHAR, 'x', event_id::VARCHAR) AS id, epoch_us(ts) // 1000 AS ms FROM events),
+    f AS (SELECT * FROM s WHERE starts_with(id, 'e7') ORDER BY session_id DESC, ms, id LIMIT 1)
+  SELECT session_id, count(*) AS events, (SELECT id FROM f) AS found FROM s GROUP BY session_id""")
+def event_log(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Events written by session and read again, and the one that a prefix finds in the newest session."""
+    e = read(spark, sf_dir, "events")
+    ident = F.concat(F.lit("e"), (F.col("event_id") % 1000).cast("string"), F.lit("x"), F.col("event_id").cast("string"))
+    rows = e.select(ident.alias("id"), F.date_format("ts", "yyyyMMdd").alias("session_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_millis"))
+    path = scratch_path(spark, "events")
+    files.write_events(rows, path)
+    back = files.read_events(spark, path)
+    found = files.find_event(back, "e7").select(F.col("id").alias("found"))
+    named = files.sessions(back).join(back.groupBy("session_id").agg(F.count("*").alias("events")), "session_id")
+    return named.join(found, how="left").select(F.col("session_id").cast("string").alias("session_id"), "events", "found")  # one row is found
