@@ -82,27 +82,27 @@ def _texts(spark, sf_dir, *parts):  # noqa: ANN001, ANN002, ANN202
     return exploded_lines(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
 
 
-_K = F.col("p_partkey")
-
-
 @query("""SELECT p_partkey AS doc_id, p_partkey % 90 AS passed, p_partkey % 4 AS failed, (p_partkey % 3)::BIGINT AS warnings, CASE WHEN p_partkey % 4 > 0 THEN 'fail' ELSE 'pass' END AS status, concat((p_partkey % 60)::VARCHAR, '.25s') AS duration FROM part""")
 def test_report_pytest(spark, sf_dir):  # noqa: ANN001, ANN201
     """Totals of test sessions: the last summary line counts, whatever earlier ones say."""
-    rows = _texts(spark, sf_dir, "==== test session starts ====\n==== 9 failed, 9 passed in 1.00s ====\n==== ", _K % 4, " failed, ", _K % 90, " passed, ", _K % 3, " warnings in ", _K % 60, ".25s ====\n")
+    k = F.col("p_partkey")
+    rows = _texts(spark, sf_dir, "==== test session starts ====\n==== 9 failed, 9 passed in 1.00s ====\n==== ", k % 4, " failed, ", k % 90, " passed, ", k % 3, " warnings in ", k % 60, ".25s ====\n")
     return reports.pytest_totals(rows).select("doc_id", "passed", "failed", "warnings", "status", "duration")
 
 
 @query("""SELECT p_partkey AS doc_id, p_partkey % 90 AS passed, p_partkey % 4 AS failed, CASE WHEN p_partkey % 4 > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN p_partkey % 2 = 0 THEN 'vitest' ELSE 'jest' END AS framework FROM part""")
 def test_report_jest(spark, sf_dir):  # noqa: ANN001, ANN201
     """Totals of script tests, and which of two tools printed them."""
-    rows = _texts(spark, sf_dir, "PASS src/a.test.ts\n", F.when(_K % 2 == 0, " Test Files  1 passed\n").otherwise("Test Suites: 1 passed\n"), "Tests:       ", _K % 4, " failed, ", _K % 90, " passed, 100 total\n")
+    k = F.col("p_partkey")
+    rows = _texts(spark, sf_dir, "PASS src/a.test.ts\n", F.when(k % 2 == 0, " Test Files  1 passed\n").otherwise("Test Suites: 1 passed\n"), "Tests:       ", k % 4, " failed, ", k % 90, " passed, 100 total\n")
     return reports.jest_totals(rows).select("doc_id", "passed", "failed", "status", "framework")
 
 
 @query("""SELECT p_partkey AS doc_id, concat('E', (1000 + p_partkey % 9000)::VARCHAR) AS code, concat('cannot find value `', p_brand, '`') AS message, concat('src/main.rs:', p_partkey::VARCHAR, ':5') AS location FROM part""")
 def test_report_build(spark, sf_dir):  # noqa: ANN001, ANN201
     """Errors of builds: their code, message and place."""
-    rows = _texts(spark, sf_dir, "   Compiling a v0.1.0\nerror[E", 1000 + _K % 9000, "]: cannot find value `", F.col("p_brand"), "`\n  --> src/main.rs:", _K, ":5\n   |\nerror: aborting due to 1 previous error\n")
+    k = F.col("p_partkey")
+    rows = _texts(spark, sf_dir, "   Compiling a v0.1.0\nerror[E", 1000 + k % 9000, "]: cannot find value `", F.col("p_brand"), "`\n  --> src/main.rs:", k, ":5\n   |\nerror: aborting due to 1 previous error\n")
     return reports.build_errors(rows).filter("location is not null").select("doc_id", "code", "message", "location")
 
 
