@@ -91,6 +91,9 @@ def taught(rows: pd.DataFrame) -> list[tuple]:
     trash = rows[rows["kind"] == "trash"]
     covered = set(trash.loc[trash["covered"], "ln"])
     new = []
+    more = len({L.shape(x) for x in trash.loc[~trash["covered"], "line"]}) - L.MAX_SHAPES
+    if more > 0:
+        found.append(("drop", None, [], more, "", "left_out"))
     for shape, source, n in by_shape(list(trash.loc[~trash["covered"], "line"]), kept):
         reason = refusal([shape], [source], kept, forced)
         found.append(("drop", None, [text_of(shape)] if shape else [], n, source, reason))
@@ -145,6 +148,7 @@ def explained(made: DataFrame) -> DataFrame:
         .when(F.col("reason") == "critical", "looks like an error, and errors are never filtered (use --force)")
         .when(F.col("reason") == "matches_kept", F.concat(F.lit("would also remove a line you kept: "), F.coalesce("detail", F.lit(""))))
         .when(F.col("reason") == "too_tall", F.format_string(f"%d lines is taller than a block rule may be ({L.MAX_HEIGHT})", F.size("lines")))
+        .when(F.col("reason") == "left_out", F.format_string(f"%d shape(s) beyond the {L.MAX_SHAPES} that a lesson may teach", F.col("examples")))
         .when(F.col("reason") == "fold_without_caption", 'a fold needs a caption: <filter-fold as="what this run amounts to">')
     )
     return made.withColumn("explanation", text)

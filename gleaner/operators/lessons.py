@@ -100,13 +100,15 @@ def generalise(shapes: list[tuple], kept: list[tuple] = ()) -> list[tuple]:
 
 
 def generalised(lines: DataFrame) -> DataFrame:
-    """Generalised shapes of marked lines by scope: program, subcommand, canonical.
+    """Generalised shapes of marked lines by scope: program, subcommand, canonical, left_out.
 
-    The MAX_SHAPES most frequent shapes of a scope take part, so a group that one task gets is small whatever the input.
+    The MAX_SHAPES most frequent shapes of a scope take part, so a group that one task gets is small whatever the input;
+    `left_out` counts those of the scope that do not.
     """
     shapes = lines.select("program", "subcommand", "line", T.canonical(T.segments(F.col("line"))).alias("c")).filter(F.col("c").isNotNull())
     counted = shapes.groupBy("program", "subcommand", "c").agg(F.count("*").alias("n"), F.min("line").alias("line"))
     order = Window.partitionBy("program", "subcommand").orderBy(F.desc("n"), "c")
+    sizes = counted.groupBy("program", "subcommand").agg(F.greatest(F.count("*") - MAX_SHAPES, F.lit(0)).alias("left_out"))
     distinct = counted.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= MAX_SHAPES)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -115,4 +117,6 @@ def generalised(lines: DataFrame) -> DataFrame:
         first = rows.iloc[0]
         return pd.DataFrame({"program": first["program"], "subcommand": first["subcommand"], "canonical": texts})
 
-    return distinct.groupBy("program", "subcommand").applyInPandas(run, "program string, subcommand string, canonical string")
+    made = distinct.groupBy("program", "subcommand").applyInPandas(run, "program string, subcommand string, canonical string")
+    same = lambda c: made[c].eqNullSafe(sizes[c])
+    return made.join(sizes, same("program") & same("subcommand")).select(made["program"], made["subcommand"], "canonical", "left_out")

@@ -352,3 +352,15 @@ def test_tables_in_buckets_join_without_moving(spark):
     assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
     assert few.count() == 10 and few._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert materialize_by(df.limit(0), "buckets", "_row").count() == 0
+
+
+def test_shapes_that_a_lesson_leaves_out_are_counted(spark):
+    from gleaner.operators import learning
+
+    word = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:03}")
+    text = "<trash>\n" + "".join(f"{word(k)} line number {word(k * 7 % 1000)} of {word(k * 13 % 1000)}\n" for k in range(260)) + "</trash>\nrest"
+    lessons_ = spark.createDataFrame([(1, None, None, False, text)], "lesson_id bigint, program string, subcommand string, forced boolean, text string")
+    made = learning.explained(learning.learn(lessons_, spark.createDataFrame([], learning.RULES), 1)[1])
+    assert [r["explanation"] for r in made.filter("reason = 'left_out'").collect()] == ["4 shape(s) beyond the 256 that a lesson may teach"]
+    rows = spark.createDataFrame([("p", None, f"{word(k)} line of {word(k)} here") for k in range(258)] + [("q", None, "a line")], "program string, subcommand string, line string")
+    assert {(r["program"], r["left_out"]) for r in lessons.generalised(rows).collect()} == {("p", 2), ("q", 0)}
