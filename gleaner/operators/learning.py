@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
+from itertools import groupby, islice
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +20,15 @@ from gleaner.functions import templates as T
 from gleaner.functions.text import CRITICAL
 from gleaner.operators import lessons as L
 from gleaner.operators import rules as R
+from gleaner.sources.scratch import materialize
 
 #: Least characters of the literals of a line and of a block, most placeholders by tokens.
 LINE_CHARS, BLOCK_CHARS, MOST_PLACEHOLDERS = 8, 24, 0.5
 RULES = "id string, program string, subcommand string, action string, caption string, lines array<string>, examples bigint, source string, forced boolean, enabled boolean, created_millis bigint"
+#: Proposals that a task hands on at a time.
+BATCH = 4096
+_TEXT = ("lesson_id", "program", "subcommand", "action", "caption")
+PROPOSALS = pa.schema([*((c, pa.string()) for c in _TEXT), ("lines", pa.list_(pa.string())), ("examples", pa.int64()), ("source", pa.string()), ("forced", pa.bool_()), ("reason", pa.string()), ("detail", pa.string())])
 _CRITICAL = re.compile("(?i)" + CRITICAL)
 _CLASSES = [*dict(T.CLASS_PATTERNS), "path", "t"]
 
@@ -84,32 +92,47 @@ def by_shape(rows: list[str], kept: list[tuple]) -> list[tuple[tuple, str, int]]
     return [*out, *(((), first[()], n) for s, n in most.items() if not s)]
 
 
-def taught(rows: pd.DataFrame) -> list[tuple]:
+class Row(NamedTuple):
+    """A line of a lesson as `parsed` gives it, with the lesson's own columns; of the kind `covered`: a line that a rule removes already."""
+
+    lesson_id: str
+    program: str | None
+    subcommand: str | None
+    forced: bool
+    ln: int
+    kind: str
+    run: int
+    caption: str | None
+    line: str
+
+
+def taught(rows: list[Row]) -> list[tuple]:
     """(action, caption, lines, examples, source, reason, detail) that one lesson teaches; a reason marks what it may not."""
-    rows, forced, found = rows.sort_values("ln", kind="stable"), bool(rows["forced"].iloc[0]), []
-    kept = [L.shape(x) for x in rows.loc[rows["kind"].isin(["plain", "keep"]), "line"]]
-    trash = rows[rows["kind"] == "trash"]
-    covered = set(trash.loc[trash["covered"], "ln"])
+    forced, found = bool(rows[0].forced), []
+    first = [r.line for r in rows if r.kind in ("plain", "keep")]
+    kept = [L.shape(x) for x in first]
+    covered = {r.ln for r in rows if r.kind == "covered"}
+    open_ = [r.line for r in rows if r.kind == "trash" and r.ln not in covered]
     new = []
-    more = len({L.shape(x) for x in trash.loc[~trash["covered"], "line"]}) - L.MAX_SHAPES
+    more = len({L.shape(x) for x in open_}) - L.MAX_SHAPES
     if more > 0:
         found.append(("drop", None, [], more, "", "left_out"))
-    for shape, source, n in by_shape(list(trash.loc[~trash["covered"], "line"]), kept):
+    for shape, source, n in by_shape(open_, kept):
         reason = refusal([shape], [source], kept, forced)
         found.append(("drop", None, [text_of(shape)] if shape else [], n, source, reason))
         if reason is None:
             new.append(shape)
-    for _, run in trash.groupby("run"):
-        lines, shapes = list(run["line"]), [L.shape(x) for x in run["line"]]
-        open_ = [ln not in covered and not any(L.same(s, x) for s in new) for ln, x in zip(run["ln"], shapes, strict=True)]
-        if len(lines) < 2 or 2 * sum(open_) <= len(lines):  # line rules do for most of it
+    for run in by_run(rows, "trash"):
+        lines, shapes = [r.line for r in run], [L.shape(r.line) for r in run]
+        left = [r.ln not in covered and not any(L.same(s, x) for s in new) for r, x in zip(run, shapes, strict=True)]
+        if len(lines) < 2 or 2 * sum(left) <= len(lines):  # line rules do for most of it
             continue
         reason = refusal(shapes, lines, kept, forced)
         found.append(("drop", None, list(map(text_of, shapes)), 1, lines[0], reason))
         if reason is None:  # the block takes the lines, so they are refused no more
             found = [f for f in found if f[5] is None or f[4] not in lines]
-    for _, run in rows[rows["kind"] == "fold"].groupby("run"):
-        caption, lines = (run["caption"].iloc[0] or "").strip(), list(run["line"])
+    for run in by_run(rows, "fold"):
+        caption, lines = (run[0].caption or "").strip(), [r.line for r in run]
         if not caption:
             found.append(("fold", None, [], 1, lines[0], "fold_without_caption"))
             continue
@@ -119,13 +142,18 @@ def taught(rows: pd.DataFrame) -> list[tuple]:
         else:
             shapes = [L.shape(x) for x in lines]
             found.append(("fold", caption, list(map(text_of, shapes)), 1, lines[0], refusal(shapes, lines, kept, forced)))
-    for shape, source, n in by_shape(list(rows.loc[rows["kind"] == "only", "line"]), []):
+    for shape, source, n in by_shape([r.line for r in rows if r.kind == "only"], []):
         found.append(("keep", None, [text_of(shape)] if shape else [], n, source, refusal([shape], [source], [], True)))
     lines = [text_of(k) for k in kept]
-    first = [x for x in rows.loc[rows["kind"].isin(["plain", "keep"]), "line"]]
     return [(*f, met(f[2], lines, first) if f[5] == "matches_kept" else None) for f in found]
 
 
+def by_run(rows: list[Row], kind: str) -> Iterator[list[Row]]:
+    """The lines of one kind by the mark they stand in, in the order of the marks."""
+    mine = sorted((r for r in rows if r.kind == kind), key=lambda r: r.run)
+    return (list(run) for _, run in groupby(mine, key=lambda r: r.run))
+
+
 def met(rule: list[str], kept: list[str], lines: list[str]) -> str | None:
     """The first kept line that a rule of these canonical lines would take."""
     same = lambda a, b: len(x := a.split()) == len(y := b.split()) and all(p in ("{*}", q) for p, q in zip(x, y, strict=True))
@@ -163,20 +191,31 @@ def retired(rules: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def proposals(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """What the lessons teach (rows of `parsed`): lesson_id, id, program, subcommand, action, caption, lines, examples, source, forced, reason, detail."""
+    """What the lessons teach (rows of `parsed`): lesson_id, id, program, subcommand, action, caption, lines, examples, source, forced, reason, detail.
+
+    Lines are dealt and sorted by lesson, and a task reads one lesson behind the other: a lesson costs its lines, and no call.
+    """
     trash = rows.filter("kind = 'trash'").withColumn("_segs", T.segments(F.col("line")))
     covered = R.covering(trash, compiled(rules.filter("enabled and action = 'drop'")), ["lesson_id", "ln"], scoped=True).distinct()
-    known = rows.join(covered.withColumn("covered", F.lit(True)), ["lesson_id", "ln"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
-
-    def run(lesson: pd.DataFrame) -> pd.DataFrame:
-        first, found = lesson.iloc[0], taught(lesson)
-        out = pd.DataFrame(found, columns=["action", "caption", "lines", "examples", "source", "reason", "detail"])
-        for c in ("lesson_id", "program", "subcommand", "forced"):
-            out[c] = first[c]
-        return out[["lesson_id", "program", "subcommand", "action", "caption", "lines", "examples", "source", "forced", "reason", "detail"]]
+    covered = covered.withColumns({"kind": F.lit("covered"), "line": F.lit(""), "run": F.lit(0)})
+    known = rows.withColumn("_at", F.monotonically_increasing_id()).unionByName(covered, allowMissingColumns=True)
+    known = known.select(F.col("lesson_id").cast("string").alias("lesson_id"), *Row._fields[1:], "_at")
+
+    def lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        read = (Row(*r) for b in batches for r in zip(*[b.column(k).to_pylist() for k in range(len(Row._fields))], strict=True))
+        for _, lesson in groupby(read, key=lambda r: r.lesson_id):
+            lines = list(lesson)
+            scope = next(r for r in lines if r.kind != "covered")  # covered lines are of no scope
+            for action, caption, shapes, n, source, reason, detail in taught(sorted(lines, key=lambda r: r.kind == "covered")):
+                yield scope.lesson_id, scope.program, scope.subcommand, action, caption, shapes, n, source, scope.forced, reason, detail
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lessons(batches)
+        while some := list(islice(made, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), PROPOSALS, strict=True)], schema=PROPOSALS)
 
     schema = "lesson_id string, program string, subcommand string, action string, caption string, lines array<string>, examples bigint, source string, forced boolean, reason string, detail string"
-    made = known.withColumn("lesson_id", F.col("lesson_id").cast("string")).groupBy("lesson_id").applyInPandas(run, schema)
+    made = known.repartition("lesson_id").sortWithinPartitions("lesson_id", "ln", "_at").drop("_at").mapInArrow(run, schema)
     ident = R.rule_id(F.col("program"), F.col("subcommand"), F.array_join("lines", "\n"), F.concat_ws("\u0001", "action", "caption"))
     return made.withColumn("id", ident)
 
@@ -208,12 +247,14 @@ def learn(lessons: DataFrame, rules: DataFrame, now_millis: int, counter: DataFr
     shapes become line rules, runs that line rules do not do for become blocks, captioned runs become folds, and lines
     that alone shall stay become a whitelist. Rules get their id from scope, action and lines, so lessons that teach the
     same meet in one rule. All lessons are read against the rules as they were; a lesson without text teaches nothing.
+    Lines, rules and proposals are written once, as each is read several times.
     """
     rows = parsed(lessons)
     if counter is not None:
         lesson = lessons.select("lesson_id", "program", "subcommand", "forced")
         more = counter.select("lesson_id", (-F.col("ln")).cast("int").alias("ln"), F.lit("plain").alias("kind"), F.lit(0).alias("run"), F.lit(None).cast("string").alias("caption"), "line")
         rows = rows.unionByName(lesson.join(more, "lesson_id").select(rows.columns))
-    active = retired(rules, rows.filter("kind = 'keep'").select("program", "subcommand", "line"))
-    made = proposals(rows, active)
+    rows = materialize(rows, "learn-lines")
+    active = materialize(retired(rules, rows.filter("kind = 'keep'").select("program", "subcommand", "line")), "learn-rules")
+    made = materialize(proposals(rows, active), "learn-proposals")
     return install(active, made, now_millis), made

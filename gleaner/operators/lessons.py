@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,6 +47,7 @@ class ParseLesson:
             yield from lesson_lines(text)
 
 
+@lru_cache(1 << 16)
 def token_class(token: str) -> str:
     """The Python form of `templates.token_class`, from the same patterns; '' for a literal."""
     t = _TRAILING.sub("", token)
@@ -64,6 +66,7 @@ def token_class(token: str) -> str:
     return ""
 
 
+@lru_cache(1 << 12)
 def shape(line: str) -> tuple[tuple[str, str], ...]:
     words = line.split()
     return tuple((c, "" if c else w) for w in words if len(words) <= T.MAX_TOKENS for c in (token_class(w),))

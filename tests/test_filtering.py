@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.functions.text import CRITICAL
 from gleaner.operators import filtering, learning, lessons
@@ -117,3 +118,21 @@ def test_scopes(spark):
     )
     got = {r["doc_id"]: r["output"] for r in filtering.filter_texts(docs, spark.createDataFrame(rows, learning.RULES), scoped=True).collect()}
     assert got == {1: "other line here\n", 2: "third\n", 3: "some line here\nthird\n"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lessons_are_read_one_behind_the_other(spark):
+    """A call for each lesson would cost more than its few lines; lines that a rule removes already teach nothing in any of them."""
+    text = F.concat(F.lit("<trash>notice the package "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" was skipped</trash>\nrest"))
+    none = F.lit(None).cast("string")
+    lessons = spark.range(300).select(F.col("id").alias("lesson_id"), none.alias("program"), none.alias("subcommand"), (F.col("id") % 2 == 0).alias("forced"), text.alias("text"))
+    first, made = learning.learn(lessons, spark.createDataFrame([], learning.RULES), 1)
+    assert made.filter("reason is null").count() == first.count() == 300
+    assert made.filter("forced").count() == 150
+    more = lessons.unionByName(lessons.withColumns({"lesson_id": F.col("lesson_id") + 300, "text": F.replace("text", F.lit("notice"), F.lit("remark"))}))
+    known = first.filter("forced").drop("state")
+    assert {int(r["lesson_id"]) for r in learning.learn(more, known, 2)[1].collect()} == {k for k in range(600) if k % 2 or k >= 300}
+    assert "FlatMapGroupsIn" not in plan_of(learning.proposals(learning.parsed(lessons), known))
