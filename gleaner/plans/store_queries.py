@@ -9,7 +9,7 @@ from gleaner.operators import learning, ledger, lesson_sources, reduce, store
 from gleaner.sources import rule_files
 from gleaner.sources.blobs import BlobStore
 from gleaner.sources.ledger_sink import LedgerSink
-from gleaner.sources.scratch import scratch_path
+from gleaner.sources.scratch import materialize, scratch_path
 from gleaner.sources.tables import read, usage
 from gleaner.streaming import events as E
 
@@ -167,7 +167,7 @@ def _asked(spark, sf_dir):  # noqa: ANN001, ANN202
 def learn_from_source(spark, sf_dir):  # noqa: ANN001, ANN201
     """Lessons that would teach to drop a line which is critical in the original they are about."""
     asked, events = _asked(spark, sf_dir), _events(spark, sf_dir)
-    about = lesson_sources.resolved(asked, events)
+    about = materialize(lesson_sources.resolved(asked, events), "lesson-sources")  # read for the lessons and for their originals
     raw = F.concat(F.lit("notice of a thing\n"), F.lit("the build has failed here\n"))
     originals = events.filter("capsule_id is not null").select(F.col("capsule_id").alias("id")).distinct().withColumn("raw", raw)
     text = F.lit("<trash>the build has failed here</trash>\nother line")

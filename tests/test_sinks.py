@@ -151,3 +151,26 @@ def test_lesson_sources(spark):
     capsules = spark.createDataFrame([("c1y", "fine\nfatal: bad\n"), ("c2", None)], "id string, raw string")
     lines = {(r["lesson_id"], r["ln"], r["line"]) for r in lesson_sources.counter_examples(lesson_sources.resolved(asked, events), capsules).collect()}
     assert lines == {(1, 2, "fatal: bad"), (2, 2, "fatal: bad"), (7, 2, "fatal: bad")}
+
+
+def test_a_prefix_that_many_lessons_name_is_looked_up_once(spark):
+    """Lessons and events of one prefix do not meet in pairs: 4,000 of each would be 16 million rows."""
+    k = F.col("id")
+    events = spark.range(4000).select(F.format_string("e%06d", k).alias("id"), F.lit("s").alias("session_id"), (k * 7 % 4000).alias("ts_millis"), F.lit("c1-x").alias("capsule_id"), F.lit("git log").alias("command"))
+    asked = spark.range(4000).select(k.alias("lesson_id"), F.lit(False).alias("last"), F.lit(None).cast("string").alias("event"), F.lit("cap://c1-").alias("capsule"))
+    wanted = asked.select("lesson_id", F.lit("c1-").alias("needle"))
+    rows = events.withColumns({"_session": F.lit(0), "_at": F.struct("ts_millis", "id")})
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    watched = rows.mapInArrow(count, rows.schema)
+    found = lesson_sources._by_prefix(watched, "capsule_id", wanted)
+    joined = [n for n in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in n or "Join" in n]
+    assert "Join" in joined[0]  # the lessons meet what was aggregated by prefix
+    assert {r["event"]["id"] for r in found.collect()} == {"e000000"} and seen.value == 4000
+    got = lesson_sources.resolved(asked, events)
+    assert got.filter("event_id = 'e000000' and program = 'git'").count() == 4000
