@@ -113,12 +113,13 @@ def reference() -> Column:
 def repeat_candidates(pairs: DataFrame) -> DataFrame:
     """run_id, output: the text that replaces a repeated output, a pointer to the run before (rows of `previous_run`).
 
-    With `repeats` it says how many runs before that were the same; with `text` it carries the critical lines.
+    With `repeats` it says how many runs before that were the same; with `text` it carries the critical lines, which a column
+    `critical` may hold already.
     """
     more = F.lit("")
     if "repeats" in pairs.columns:
         more = F.when(F.col("repeats") > 0, F.concat(F.lit(", "), F.col("repeats").cast("string"), F.lit(" identical run(s) before that"))).otherwise("")
-    kept = critical_region(F.col("text")) if "text" in pairs.columns else F.lit("")
+    kept = F.col("critical") if "critical" in pairs.columns else critical_region(F.col("text")) if "text" in pairs.columns else F.lit("")
     text = F.concat(F.lit("[repeat] identical to "), reference(), F.lit(" ("), age_text(F.col("age_millis")), more, F.lit(")\n"), kept)
     return pairs.filter("is_repeat").select("run_id", text.alias("output"))
 
@@ -128,20 +129,31 @@ def delta_candidates(changed: DataFrame) -> DataFrame:
 
     Lines are compared without trailing blanks; the counts are those of `delta_lines`. A delta is made only if something
     stayed and less was added than stayed. Critical lines that are not new come behind the new ones. Lines of both sides
-    meet by (run_id, line), so a long text is spread; what is gathered for a run is what its output shows.
+    meet by (pair, line), so a long text is spread; what is gathered for a pair is what its output shows.
     """
-    side = lambda c, new: changed.select("run_id", F.lit(new).alias("new"), F.posexplode(lines(F.col(c))).alias("at", "line"))
+    pairs = changed.withColumn("pair", F.col("run_id"))
+    return delta_texts(pairs.filter(F.col("text") != F.col("old")), delta_bodies(pairs))
+
+
+def delta_texts(changed: DataFrame, bodies: DataFrame) -> DataFrame:
+    """run_id, output: the deltas of runs (run_id, previous_id, age_millis, pair) whose pair of texts has one in `delta_bodies`."""
+    head = F.concat(F.lit("[delta] vs "), reference(), F.lit(" ("), age_text(F.col("age_millis")), F.lit(")\n"))
+    return changed.select("run_id", "previous_id", "age_millis", "pair").join(bodies, "pair").select("run_id", F.concat(head, F.col("body")).alias("output"))
+
+
+def delta_bodies(pairs: DataFrame) -> DataFrame:
+    """pair, body: the counts and the lines that a delta shows, for each pair of texts (pair, text, old) that is worth one."""
+    side = lambda c, new: pairs.select("pair", F.lit(new).alias("new"), F.posexplode(lines(F.col(c))).alias("at", "line"))
     rows = side("text", True).unionByName(side("old", False)).withColumn("_key", F.rtrim("line"))
-    has = lambda new: F.max(F.col("new") == F.lit(new)).over(Window.partitionBy("run_id", "_key"))
+    has = lambda new: F.max(F.col("new") == F.lit(new)).over(Window.partitionBy("pair", "_key"))
     rows = rows.withColumn("_both", has(True) & has(False))
     added = F.col("new") & ~F.col("_both")
     kept = F.col("new") & F.col("_both") & is_critical(F.col("line"))
-    some = rows.filter(added | kept).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(kept.alias("kept"), "at", "line"))).alias("l"))
-    counts = rows.groupBy("run_id").agg(
+    some = rows.filter(added | kept).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct(kept.alias("kept"), "at", "line"))).alias("l"))
+    counts = rows.groupBy("pair").agg(
         F.count_if(F.col("new") & F.col("_both")).alias("unchanged"), F.count_if(added).alias("added"), F.count_if(~F.col("new") & ~F.col("_both")).alias("removed")
     )
-    worth = delta_worth(counts).filter("worth").join(changed.filter(F.col("text") != F.col("old")).select("run_id", "previous_id", "age_millis"), "run_id").join(some, "run_id", "left")
+    worth = delta_worth(counts).filter("worth").join(some, "pair", "left")
     count = lambda c: F.concat(F.lit(f"{c}="), F.col(c).cast("string"))
-    head = F.concat(F.lit("[delta] vs "), reference(), F.lit(" ("), age_text(F.col("age_millis")), F.lit(")\n"), count("unchanged"), F.lit(" "), count("added"), F.lit(" "), count("removed"), F.lit("\n"))
     body = F.coalesce(F.array_join(F.transform("l", lambda x: F.concat(x.line, F.lit("\n"))), ""), F.lit(""))
-    return worth.select("run_id", F.concat(head, body).alias("output"))
+    return worth.select("pair", F.concat(count("unchanged"), F.lit(" "), count("added"), F.lit(" "), count("removed"), F.lit("\n"), body).alias("body"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import content_hash, json_minify, token_estimate
+from gleaner.functions.text import content_hash, critical_region, json_minify, token_estimate
 from gleaner.operators import detect, filtering, firewall, history, ir, json_summary, logs, redact, reports, shell
 from gleaner.sources.scratch import materialize
 from gleaner.sources.tables import exploded_lines
@@ -162,7 +162,7 @@ def reduce_runs(
     A run whose last one within the time gave the same redacted text is answered by a pointer to it (`repeat.suppress`); one
     that gave mostly the same lines by the lines that are new (`delta.lines`). Both carry the critical lines, pass the
     firewall like any other candidate, and win where they are shortest; of equals they come first. Texts of past runs are
-    met by their hash, and only the texts of deltas are taken apart. `fired` (run_id, key) names the learned rules that
+    met by their hash, and only the texts of deltas are taken apart, each pair of texts once. `fired` (run_id, key) names the learned rules that
     took part in a run: only runs with the same ones are compared.
 
     A null command has no past; a null text is empty. Returns run_id, hash, content_type, transformer, output,
@@ -170,28 +170,32 @@ def reduce_runs(
     """
     own = runs.select("run_id", "session_id", "command", "ts_millis", F.coalesce("text", F.lit("")).alias("text")).withColumns({"hash": content_hash(F.col("text")), "of_command": F.col("command").isNotNull()})
     texts = materialize(_reduced(own.withColumn("doc_id", F.col("run_id")), mode, pii, compilers), "reduce-texts")
-    clean = materialize(texts.select("hash", "clean").dropDuplicates(["hash"]), "reduce-contents")
-    named = own.drop("text", "of_command").join(clean.select("hash", content_hash(F.col("clean")).alias("source_hash")), "hash")
-    out = own.select("run_id", "hash", "of_command").join(texts.drop("clean", "secrets"), ["hash", "of_command"]).drop("of_command")
+    clean = texts.select("hash", "clean").dropDuplicates(["hash"]).select(F.col("hash").alias("raw_hash"), content_hash(F.col("clean")).alias("hash"), F.col("clean").alias("text"))
+    clean = materialize(clean, "reduce-contents")
+    named = own.drop("text", "of_command").withColumnRenamed("hash", "raw_hash").join(clean.drop("text"), "raw_hash")
+    named = materialize(named, "reduce-runs")
+    out = named.select("run_id", F.col("raw_hash").alias("hash"), F.col("command").isNotNull().alias("of_command")).join(texts.drop("clean", "secrets"), ["hash", "of_command"]).drop("of_command")
     if mode == "observe":
         return out
-    named = named.withColumnRenamed("hash", "raw_hash").withColumnRenamed("source_hash", "hash")
-    named = materialize(named, "reduce-runs")
     past = history.previous_run(named.filter("command is not null"), within)
     if fired is not None:
         key = lambda c: fired.select(F.col("run_id").alias(c), F.col("key").alias(f"_{c}"))
         past = past.join(key("run_id"), "run_id", "left").join(key("previous_id"), "previous_id", "left")
         past = past.filter(F.coalesce("_run_id", F.lit("")) == F.coalesce("_previous_id", F.lit(""))).drop("_run_id", "_previous_id")
     past = materialize(past, "reduce-past")
-    clean = clean.withColumnRenamed("hash", "raw_hash")
-    again = past.filter("is_repeat").join(clean, "raw_hash")
-    repeats = history.repeat_candidates(again.withColumnRenamed("clean", "text"))
-    before = named.select(F.col("run_id").alias("previous_id"), F.col("raw_hash").alias("_old")).join(clean.withColumnsRenamed({"raw_hash": "_old", "clean": "old"}), "_old").drop("_old")
-    changed = past.filter("not is_repeat").join(clean.withColumnRenamed("clean", "text"), "raw_hash").join(before, "previous_id")
-    deltas = history.delta_candidates(materialize(changed.select("run_id", "previous_id", "age_millis", "text", "old"), "reduce-deltas"))
+    # What runs with a past need of their texts is made once for each text, and each pair of texts is compared once.
+    known = firewall.facts(clean.join(past.select("raw_hash").distinct(), "raw_hash", "left_semi")).withColumn("critical", critical_region(F.col("text")))
+    known = materialize(known.select("raw_hash", "tokens_before", "must_stay", "critical"), "reduce-known")
+    repeats = history.repeat_candidates(past.filter("is_repeat").join(known.select("raw_hash", "critical"), "raw_hash"))
+    changed = past.filter("not is_repeat")
+    contents = clean.dropDuplicates(["hash"]).select("hash", "text")
+    pairs = changed.select("hash", "previous_hash").distinct().join(contents, "hash").join(contents.toDF("previous_hash", "old"), "previous_hash")
+    pairs = pairs.withColumn("pair", F.concat("hash", "previous_hash"))
+    bodies = materialize(history.delta_bodies(materialize(pairs, "reduce-deltas")), "reduce-bodies")
+    deltas = history.delta_texts(changed.withColumn("pair", F.concat("hash", "previous_hash")), bodies)
     both = repeats.select("run_id", F.lit("repeat.suppress").alias("transformer"), "output").unionByName(deltas.select("run_id", F.lit("delta.lines").alias("transformer"), "output"))
-    full = past.select("run_id", "raw_hash").join(clean.withColumnRenamed("clean", "text"), "raw_hash").drop("raw_hash")
-    both = both.join(firewall.facts(full), "run_id").withColumns({"lossy": F.lit(False), "reparse": F.lit("none"), "min_gain": F.lit(0.0)})
+    full = past.select("run_id", "raw_hash").join(known.drop("critical"), "raw_hash").drop("raw_hash").withColumn("text", F.lit(None).cast("string"))  # only its facts count here
+    both = both.join(full, "run_id").withColumns({"lossy": F.lit(False), "reparse": F.lit("none"), "min_gain": F.lit(0.0)})
     won = firewall.review(both, mode).filter("verdict = 'accepted'").select("run_id", F.col("transformer").alias("_name"), F.col("output").alias("_text"), F.col("tokens_after").alias("_tokens"))
     out = out.join(won, "run_id", "left")
     better = F.col("_text").isNotNull() & (F.col("transformer").isNull() | (F.octet_length("_text") <= F.octet_length("output")))

@@ -108,3 +108,17 @@ def test_damaged_forms_are_refused(spark):
     got = {r["doc_id"]: (r["verdict"], r["final"]) for r in firewall.review(df, token_ir=True).collect()}
     assert {k: v for k, (v, _) in got.items()} == {1: "accepted", 2: "reparse_failed", 3: "reparse_failed", 4: "accepted", 5: "transformer_error"}
     assert got[2][1] == got[5][1] == "word " * 90
+
+
+def test_each_pair_of_texts_is_compared_once(spark, monkeypatch):
+    """Runs of few contents: what is compared grows with the pairs of contents, not with the runs."""
+    seen = []
+    bodies = history.delta_bodies
+    monkeypatch.setattr(history, "delta_bodies", lambda pairs: seen.append(pairs.count()) or bodies(pairs))
+    texts = ["".join(f"line {w}\n" for w in (*("checked part " + c for c in "abcdefghijklmnopqrst"), x)) for x in ("one", "two")]
+    runs = [(k, "s", "make", k * 1000, texts[k % 2]) for k in range(200)]
+    df = spark.createDataFrame(runs, "run_id long, session_id string, command string, ts_millis long, text string")
+    got = {r["run_id"]: (r["transformer"], r["output"]) for r in reduce.reduce_runs(df, compilers=()).collect()}
+    assert seen == [2]
+    assert got[0] == (None, texts[0])
+    assert all(got[k] == ("delta.lines", f"[delta] vs cap://{k - 1} (just now)\nunchanged=20 added=1 removed=1\nline {('one', 'two')[k % 2]}\n") for k in range(1, 200))
