@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import templates as T
+from gleaner.sources.scratch import materialize
 
 #: The tags of a lesson, in two spellings.
 TAGS = {"trash": "trash", "filter-trash": "trash", "fold": "fold", "filter-fold": "fold", "only": "only", "filter-only": "only", "keep": "keep", "filter-keep": "keep"}
@@ -110,6 +111,7 @@ def generalised(lines: DataFrame) -> DataFrame:
     """
     shapes = lines.select("program", "subcommand", "line", T.canonical(T.segments(F.col("line"))).alias("c")).filter(F.col("c").isNotNull())
     counted = shapes.groupBy("program", "subcommand", "c").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    counted = materialize(counted, "lesson-shapes")  # templates are made once, for the numbers and for the leading shapes
     order = Window.partitionBy("program", "subcommand").orderBy(F.desc("n"), "c")
     sizes = counted.groupBy("program", "subcommand").agg(F.greatest(F.count("*") - MAX_SHAPES, F.lit(0)).alias("left_out"))
     distinct = counted.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= MAX_SHAPES)

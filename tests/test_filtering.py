@@ -136,3 +136,17 @@ def test_lessons_are_read_one_behind_the_other(spark):
     known = first.filter("forced").drop("state")
     assert {int(r["lesson_id"]) for r in learning.learn(more, known, 2)[1].collect()} == {k for k in range(600) if k % 2 or k >= 300}
     assert "FlatMapGroupsIn" not in plan_of(learning.proposals(learning.parsed(lessons), known))
+
+
+def test_templates_of_marked_lines_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("p", None, f"notice the package w{k % 3}x was skipped") for k in range(90)], "program string, subcommand string, line string")
+    got = lessons.generalised(rows.mapInArrow(count, rows.schema)).collect()
+    assert [(r["canonical"], r["left_out"]) for r in got] == [("notice the package {*} was skipped", 0)]
+    assert seen.value == 90
