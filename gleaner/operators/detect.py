@@ -47,12 +47,13 @@ def detect(text: Column, name: Column | None = None) -> Column:
 
     # A text that matches nowhere matches in no line, so most texts are looked at once and not line by line.
     anywhere = lambda pattern: head.rlike("(?m)" + pattern)
-    first_lines = F.split(head, "\r?\n", TOP + 1)
 
-    def sniff(top: Column) -> Column:
-        return let(F.filter(top, lambda x: ~is_blank(x)), lambda top_filled: by_lines(top, top_filled))
+    def sniff(first_lines: Column) -> Column:
+        last_whole = F.when((F.size(first_lines) <= TOP) & (F.element_at(first_lines, -1) == ""), F.size(first_lines) - 1).otherwise(F.least(F.size(first_lines), F.lit(TOP)))
+        filled = lambda top: let(F.filter(top, lambda x: ~is_blank(x)), lambda top_filled: by_lines(first_lines, top, top_filled))
+        return let(F.slice(first_lines, 1, last_whole), filled)
 
-    def by_lines(top: Column, top_filled: Column) -> Column:
+    def by_lines(first_lines: Column, top: Column, top_filled: Column) -> Column:
         return let(F.slice(F.when((F.size(top_filled) >= 50) | (F.size(first_lines) <= TOP), top_filled).otherwise(F.filter(lines(head), lambda x: ~is_blank(x))), 1, 50), lambda filled: verdicts(top, top_filled, filled))
 
     def verdicts(top: Column, top_filled: Column, filled: Column) -> Column:
@@ -70,8 +71,7 @@ def detect(text: Column, name: Column | None = None) -> Column:
             .otherwise(verdict("plain_text", "low"))
         )
 
-    last_whole = F.when((F.size(first_lines) <= TOP) & (F.element_at(first_lines, -1) == ""), F.size(first_lines) - 1).otherwise(F.least(F.size(first_lines), F.lit(TOP)))
-    sniffed = let(F.slice(first_lines, 1, last_whole), sniff)
+    sniffed = let(F.split(head, "\r?\n", TOP + 1), sniff)  # once a text
     found = (
         F.when(F.coalesce(trimmed, F.lit("")) == "", verdict("plain_text", "high"))
         .when(first.isin("{", "[") & F.try_parse_json(text).isNotNull(), verdict("json", "high"))

@@ -80,8 +80,9 @@ def review(candidates: DataFrame, mode: str = "safe", min_gain: float = MIN_GAIN
     return rows.withColumn("final", F.when(F.col("verdict") == "accepted", F.col("output")).otherwise(F.col("text")))
 
 
-def smallest(reviewed: DataFrame) -> DataFrame:
-    """The accepted candidate with the fewest bytes, the first on ties (doc_id, ord)."""
+def smallest(reviewed: DataFrame, counted: bool = False) -> DataFrame:
+    """The accepted candidate with the fewest bytes, the first on ties (doc_id, ord, output, with `counted` also tokens_after)."""
     accepted = reviewed.filter(F.col("verdict") == "accepted")
-    best = F.min_by(F.struct("ord", "output"), F.struct(F.octet_length("output"), "ord"))
-    return accepted.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.ord", "b.output")
+    names = ("ord", "output", "tokens_after") if counted else ("ord", "output")
+    best = F.min_by(F.struct(*names), F.struct(F.octet_length("output"), "ord"))
+    return accepted.groupBy("doc_id").agg(best.alias("b")).select("doc_id", *[f"b.{n}" for n in names])

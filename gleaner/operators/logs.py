@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import clip, is_blank, log_level, log_template, severity
@@ -16,11 +16,10 @@ def clusters(lines: DataFrame) -> DataFrame:
     One aggregation with map-side partials; the first line comes from the least line number, never from row order.
     """
     rows = lines.filter(~is_blank(F.col("line"))).withColumn("template", log_template(F.col("line")))
-    rows = rows.withColumn("level", log_level(F.col("line")))
-    first = F.min(F.struct("ln", F.col("line").alias("line"), F.col("level").alias("level")))
+    first = F.min(F.struct("ln", "line"))
     out = rows.groupBy("doc_id", "template").agg(F.count("*").alias("n"), F.max("ln").alias("last_line"), first.alias("f"))
     return out.select(
-        "doc_id", "template", "n", F.col("f.ln").alias("first_line"), "last_line", clip(F.trim("f.line"), 400).alias("example"), F.col("f.level").alias("level")
+        "doc_id", "template", "n", F.col("f.ln").alias("first_line"), "last_line", clip(F.trim("f.line"), 400).alias("example"), log_level(F.col("f.line")).alias("level")
     )
 
 
@@ -36,15 +35,21 @@ def shown(found: DataFrame, limit: int = MAX_CLUSTERS) -> DataFrame:
     return ranked.filter(~hidden)
 
 
+def pays(lines: str, templates: str) -> Column:
+    """Whether clustering pays: enough lines, and at most half as many templates."""
+    return (F.col(lines) >= MIN_LINES) & (F.col(templates) * 2 <= F.col(lines))
+
+
 def compilable(found: DataFrame) -> DataFrame:
-    """Documents for which clustering pays: enough lines, and less than half as many templates."""
+    """Documents for which clustering pays."""
     d = found.groupBy("doc_id").agg(F.sum("n").alias("lines"), F.count("*").alias("templates"))
-    return d.filter((F.col("lines") >= MIN_LINES) & (F.col("templates") * 2 <= F.col("lines")))
+    return d.filter(pays("lines", "templates"))
 
 
 def render(found: DataFrame) -> DataFrame:
-    """One text in the intermediate form per document that clustering pays for."""
-    d = compilable(found)
+    """One text in the intermediate form per document that clustering pays for. The clusters are made once."""
+    doc = Window.partitionBy("doc_id")
+    found = found.withColumns({"_lines": F.sum("n").over(doc), "_templates": F.count("*").over(doc)}).filter(pays("_lines", "_templates"))
     head = F.col("rank") <= MAX_CLUSTERS
     body = F.concat(
         F.lit("@section t"), F.col("first_line").cast("string"), F.lit(" count="), F.col("n").cast("string"), F.lit(" lines="),
@@ -54,17 +59,17 @@ def render(found: DataFrame) -> DataFrame:
         F.when((F.col("n") > 1) & (F.col("template") != F.col("example")), F.concat(F.lit("\n  template: "), clip(F.col("template"), 300))).otherwise(""),
         F.lit("\n"),
     )
-    rows = shown(found).filter(head).select("doc_id", F.struct("rank", body.alias("body")).alias("s"), "templates_not_shown", "lines_not_shown")
+    rows = shown(found).filter(head).select("doc_id", F.struct("rank", body.alias("body")).alias("s"), "templates_not_shown", "lines_not_shown", "_lines", "_templates")
     # at most MAX_CLUSTERS sections a document are gathered
     docs = rows.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list("s")).alias("s"), F.max("templates_not_shown").alias("tn"), F.max("lines_not_shown").alias("lnn")
+        F.array_sort(F.collect_list("s")).alias("s"), F.max("templates_not_shown").alias("tn"), F.max("lines_not_shown").alias("lnn"), F.max("_lines").alias("lines"), F.max("_templates").alias("templates"),
     )
     more = F.when(F.col("tn") > 0, F.concat(F.lit("templates_not_shown: "), F.col("tn").cast("string"), F.lit("\nlines_not_shown: "), F.col("lnn").cast("string"), F.lit("\n"))).otherwise("")
     text = F.concat(
         F.lit("@log cluster lines="), F.col("lines").cast("string"), F.lit("\ntemplates: "), F.col("templates").cast("string"), F.lit("\n"), more,
         F.array_join(F.transform("s", lambda x: x.body), ""),
     )
-    return docs.join(d, "doc_id").select("doc_id", text.alias("output"))
+    return docs.select("doc_id", text.alias("output"))
 
 
 def recurring_shapes(lines: DataFrame, scope: str, run: str, min_runs: int = 2) -> DataFrame:

@@ -27,8 +27,10 @@ PII_RULES = (
 #: What a text must hold for a rule to match at all; a look for it costs far less than the rule. Other rules have no such part.
 NEEDS = {
     "aws_access_key": ("AKIA", "ASIA"), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack_token": ("xox",), "openai_key": ("sk-",), "google_key": ("AIza",),
-    "private_key": ("PRIVATE KEY-----",), "jwt": ("eyJ",), "connection_string": ("://",), "email": ("@",),
+    "private_key": ("PRIVATE KEY-----",), "jwt": ("eyJ",), "connection_string": ("://",), "email": ("@",), "auth_header": (":", "="), "assigned_secret": (":", "="),
 }
+#: The same as a pattern that is found faster than the rule's.
+LOOKS = {"ipv4": "[0-9][.][0-9]"}
 #: Bytes of a match behind its secret; a match of any other rule ends with the secret.
 BEHIND = {"connection_string": 1}
 #: Words of values that are known placeholders, and characters of code.
@@ -52,6 +54,16 @@ def _harmless(kind: str, value: Column) -> Column:
     return out | value.rlike(CODE) if kind == "assigned_secret" else out
 
 
+def _may(text: Column, kind: str, pattern: str) -> Column:
+    """Whether a rule matches somewhere."""
+    may = F.lit(kind not in NEEDS)
+    for part in NEEDS.get(kind, ()):
+        may = may | text.contains(part)
+    if kind in LOOKS:
+        may = may & text.rlike(LOOKS[kind])
+    return may & text.rlike("(?U)" + pattern)
+
+
 def _places(text: Column, number: int, kind: str, pattern: str, group: int) -> Column:
     """The places of one rule, in bytes: matches and the pieces between them alternate, so running lengths give the ends."""
     p = F.lit("(?U)" + pattern)
@@ -67,10 +79,7 @@ def _places(text: Column, number: int, kind: str, pattern: str, group: int) -> C
         return let(ends, lambda e: F.transform(m["value"], lambda v, i: one(v, i, e)))
 
     found = let(both, placed)
-    may = F.lit(kind not in NEEDS)
-    for part in NEEDS.get(kind, ()):
-        may = may | text.contains(part)
-    return F.when(may & text.rlike("(?U)" + pattern), F.filter(found, lambda s: ~_harmless(kind, s["value"]))).otherwise(_none(PLACE))
+    return F.when(_may(text, kind, pattern), F.filter(found, lambda s: ~_harmless(kind, s["value"]))).otherwise(_none(PLACE))
 
 
 def places(text: Column, pii: bool = False) -> Column:
@@ -118,10 +127,15 @@ def _replaced(text: Column, kept: Column) -> Column:
 def redaction(text: Column, pii: bool = False) -> Column:
     """A text's redaction: text, hits and mapping. A null text stays null; one without secrets stays as it is.
 
-    A text costs a scan for each rule; what is done with hits takes time by the square of their number in a text.
+    A text costs a scan for each rule; what is done with hits takes time by the square of their number in a text. The scans of
+    texts without any match are compiled; places are looked for by lambdas, which Spark interprets.
     """
+    some = F.lit(False)
+    for kind, pattern, _ in SECRET_RULES + (PII_RULES if pii else ()):
+        some = some | _may(text, kind, pattern)
     plain = lambda t: F.struct(t.alias("text"), F.array().cast(HITS).alias("hits"), F.create_map().cast("map<string,string>").alias("mapping"))
-    return let(text, lambda t: let(places(t, pii), lambda kept: F.when(F.size(kept) > 0, _replaced(t, kept)).otherwise(plain(t))))
+    made = let(text, lambda t: let(places(t, pii), lambda kept: F.when(F.size(kept) > 0, _replaced(t, kept)).otherwise(plain(t))))
+    return F.when(some, made).otherwise(plain(text))
 
 
 def redacted(docs: DataFrame, pii: bool = False, text_col: str = "text") -> DataFrame:

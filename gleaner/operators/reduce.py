@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import content_hash, critical_region, json_minify, token_estimate
+from gleaner.functions.text import content_hash, critical_region, json_minify
 from gleaner.operators import detect, filtering, firewall, history, ir, json_summary, logs, redact, reports, shell
 from gleaner.sources.scratch import materialize
 from gleaner.sources.tables import exploded_lines
@@ -45,6 +45,11 @@ def _has(*needles: str) -> Column:
     return out
 
 
+def _many_lines() -> Column:
+    """Whether a text has line ends for as many lines as clustering needs."""
+    return F.substring_index("text", "\n", logs.MIN_LINES - 1) != F.col("text")
+
+
 def _tests(totals: Callable, failures: Callable, framework: str) -> Callable[[Source], DataFrame]:
     def run(source: Source) -> DataFrame:
         return reports.render_tests(totals(source.lines), failures(source.lines), framework)
@@ -93,20 +98,25 @@ COMPILERS = (
     Compiler("git.log", lambda: F.col("text").rlike("(?m)^commit [0-9a-f]{7,40}"), lambda s: reports.render_log(reports.git_log(s.lines)), reparse=IR),
     Compiler("json.structural", lambda: F.col("content_type") == "json", _minified, reparse="json_equal"),
     Compiler("json.summary", lambda: F.col("content_type") == "json", _summary, lossy=True, reparse=IR),
-    Compiler("log.cluster", lambda: F.col("content_type").isin("application_log", "plain_text", "unknown"), lambda s: logs.render(logs.clusters(s.lines)), lossy=True, reparse=IR),
+    Compiler("log.cluster", lambda: F.col("content_type").isin("application_log", "plain_text", "unknown") & _many_lines(), lambda s: logs.render(logs.clusters(s.lines)), lossy=True, reparse=IR),
     Compiler("shell.grep", lambda: F.col("text").rlike(r"(?m)^[^:\n]+:[0-9]+:"), lambda s: shell.render_grep(s.lines)),
     Compiler("shell.generic", lambda: F.expr("of_command and instr(text, '\n') between 1 and char_length(text) - 1"), _collapsed),
 )
 
 
+def prepared(docs: DataFrame, compilers: tuple[Compiler, ...] = COMPILERS) -> DataFrame:
+    """Documents with their facts and `_wants`, a bit for each compiler that applies: what all candidates need of a text, made once."""
+    wants = sum((F.when(c.applies(), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, c in enumerate(compilers)), F.lit(0).cast("long"))
+    return materialize(firewall.facts(docs).withColumn("_wants", wants), "reduce-facts")
+
+
 def candidates(docs: DataFrame, compilers: tuple[Compiler, ...] = COMPILERS) -> DataFrame:
     """All proposals for documents (doc_id, text, content_type, of_command): each compiler sees only what it applies to.
 
-    Where compilers apply is found in one pass, and lines are made once, for all of them. Outputs come together before
-    they meet the texts and their facts, so these are moved once.
+    Where compilers apply is found in one pass (`prepared`, unless it was called before), and lines are made once, for all of
+    them. Outputs come together before they meet the texts and their facts, so these are moved once.
     """
-    wants = sum((F.when(c.applies(), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, c in enumerate(compilers)), F.lit(0).cast("long"))
-    docs = materialize(firewall.facts(docs).withColumn("_wants", wants), "reduce-facts")
+    docs = docs if "_wants" in docs.columns else prepared(docs, compilers)
     rows = materialize(exploded_lines(docs.filter("_wants <> 0"), ("doc_id", "_wants")), "reduce-lines")
     out = None
     for k, c in enumerate(compilers):
@@ -140,17 +150,16 @@ def _reduced(own: DataFrame, mode: str, pii: bool, compilers: tuple[Compiler, ..
     once = own.groupBy("hash", "of_command").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     clean = redact.redacted(once, pii).select("doc_id", "hash", "of_command", F.col("redaction.text").alias("text"), F.size("redaction.hits").alias("secrets"))
     clean = clean.withColumn("content_type", detect.detect(F.col("text")).getField("content_type"))
-    clean = materialize(clean, "reduce-clean")  # every compiler reads it
-    best = firewall.smallest(firewall.review(candidates(clean, compilers), mode, token_ir=True)) if compilers and mode != "observe" else None
+    clean = prepared(clean, compilers)  # every compiler reads it
+    best = firewall.smallest(firewall.review(candidates(clean, compilers), mode, token_ir=True), counted=True) if compilers and mode != "observe" else None
     names = F.array(*[F.lit(c.name) for c in compilers]).cast("array<string>")
     if best is None:
-        out = clean.withColumn("ord", F.lit(None).cast("int")).withColumn("output", F.lit(None).cast("string"))
+        out = clean.withColumns({"ord": F.lit(None).cast("int"), "output": F.lit(None).cast("string"), "tokens_after": F.lit(None).cast("bigint")})
     else:
         out = clean.join(best, "doc_id", "left")
-    final = F.coalesce("output", "text")
     return out.select(
-        "hash", "of_command", "content_type", "secrets", F.when(F.col("ord").isNotNull(), F.get(names, F.col("ord"))).alias("transformer"), final.alias("output"),
-        token_estimate(F.col("text")).alias("tokens_before"), token_estimate(final).alias("tokens_after"), F.col("text").alias("clean"),
+        "hash", "of_command", "content_type", "secrets", F.when(F.col("ord").isNotNull(), F.get(names, F.col("ord"))).alias("transformer"), F.coalesce("output", "text").alias("output"),
+        "tokens_before", F.coalesce("tokens_after", "tokens_before").alias("tokens_after"), F.col("text").alias("clean"),
     )
 
 
