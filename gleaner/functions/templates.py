@@ -52,14 +52,15 @@ def tokens(line: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(line, r"(?U)\s+", " ")), " "), lambda t: t != "")
 
 
-def segments(line: Column) -> Column:
+def segments(line: Column, sizes: list[int] | None = None) -> Column:
     """The template of a line: array of (cls, lit), null for blank lines and lines of more than 64 tokens.
 
-    A literal keeps its text in `lit`; a class leaves it empty.
+    A literal keeps its text in `lit`; a class leaves it empty. With `sizes`, lines of other numbers of tokens have none either.
     """
+    wanted = lambda n: (n > 0) & (n <= MAX_TOKENS) & (F.lit(True) if sizes is None else n.isin(*sizes))
     one = lambda c, t: F.struct(F.coalesce(c, F.lit("")).alias("cls"), F.when(c.isNull(), t).otherwise("").alias("lit"))
     seg = lambda t: let(token_class(t), lambda c: one(c, t))
-    made = lambda ts: F.when((F.size(ts) > 0) & (F.size(ts) <= MAX_TOKENS), F.transform(ts, seg))
+    made = lambda ts: F.when(wanted(F.size(ts)), F.transform(ts, seg))
     return let(tokens(line), made)
 
 

@@ -40,9 +40,12 @@ def templates(rules: DataFrame) -> DataFrame:
     return each.select(ident.alias("id"), "program", "subcommand", "pattern", wild.alias("wild"), "action", F.coalesce("summary", F.lit("")).alias("summary"))
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """Lines with what all rules need: their template, whether they are critical or blank, and the count of filled lines so far."""
-    rows = lines.withColumns({"_segs": T.segments(F.col("line")), "critical": is_critical(F.coalesce("line", F.lit(""))), "_blank": is_blank(F.coalesce("line", F.lit("")))})
+def numbered(lines: DataFrame, sizes: list[int] | None = None) -> DataFrame:
+    """Lines with what all rules need: their template, whether they are critical or blank, and the count of filled lines so far.
+
+    With `sizes`, only lines of so many tokens have a template: rules of these sizes can match no others.
+    """
+    rows = lines.withColumns({"_segs": T.segments(F.col("line"), sizes), "critical": is_critical(F.coalesce("line", F.lit(""))), "_blank": is_blank(F.coalesce("line", F.lit("")))})
     so_far = Window.partitionBy("doc_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_k", F.sum(F.when(F.col("_blank"), 0).otherwise(1)).over(so_far))
 
@@ -102,12 +105,14 @@ def decided(lines: DataFrame, rules: DataFrame, scoped: bool = False, protect_er
     A whitelist holds for every text in its scope, whether it names a line there or not. Lines are numbered within a text;
     a null line is blank. With `scoped`, lines have program and subcommand.
     """
-    rows = materialize(numbered(lines), "filter-lines")
-    each = templates(rules)
+    each = materialize(templates(rules), "filter-rules")
+    sizes = [r[0] for r in each.filter("size(pattern) > 0").select(F.size("pattern")).distinct().collect()]  # at most MAX_TOKENS
+    rows = materialize(numbered(lines, sizes), "filter-lines")
     places = materialize(runs(rows, each.filter(F.col("action").isin(*REMOVES)), scoped), "filter-places")
     took = chosen(places, protect_errors).select("doc_id", F.col("start").alias("ln"), F.struct("end", "rule", "height", "action", "summary").alias("_run"))
     naming = each.filter("action = 'keep' and id.height = 1")
     kept = R.covering(rows, naming, ["doc_id", "ln", "rule_id"], scoped).groupBy("doc_id", "ln").agg(F.min("rule_id.rule").alias("keep"))
+    rows = rows.drop("_segs")
     out = rows.join(took, ["doc_id", "ln"], "left").join(kept, ["doc_id", "ln"], "left")
     doc = Window.partitionBy("doc_id").orderBy("ln")
     own = F.last("_run", ignorenulls=True).over(doc.rowsBetween(Window.unboundedPreceding, 0))

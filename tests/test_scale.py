@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
-from gleaner.operators import logs, redact, reduce
+from gleaner.operators import filtering, logs, redact, reduce, rules
 from gleaner.sources.tables import exploded_lines
 
 
@@ -46,3 +46,13 @@ def test_redaction_looks_only_at_texts_that_may_hold_something(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
     got = [r[0] for r in redact.redacted(df, pii=True).orderBy("doc_id").select("redaction.text").collect()]
     assert [t == g for t, g in zip(texts, got, strict=True)] == [True, True, False, True, False, True]
+
+
+def test_templates_are_made_of_lines_that_rules_can_match(spark):
+    docs = spark.createDataFrame([(1, "one two three\n\none two\nfour 12 kb and more\nx"), (2, None)], "doc_id long, text string")
+    table = rules.rule_table(spark, [("r1", None, None, "one two", "drop", ""), ("r2", None, None, "four 1 kb {*} more", "fold", "sizes")])
+    rows = filtering.numbered(exploded_lines(docs), [2, 5])
+    assert [r["_segs"] is not None for r in rows.orderBy("doc_id", "ln").collect()] == [False, False, True, True, False]
+    fates, _ = filtering.decided(exploded_lines(docs), table)
+    assert [(r["ln"], r["rule"], r["state"]) for r in fates.orderBy("ln").collect()] == [(1, None, "stay"), (2, None, "stay"), (3, "r1", "cut"), (4, "r2", "cut"), (5, None, "stay")]
+    assert "_segs" not in fates.columns
