@@ -205,16 +205,18 @@ def git_diff(lines: DataFrame) -> DataFrame:
 
     `---` and `+++` are headers only before a file's first hunk, so a removed line `-- x` counts.
     """
-    rows = blocks(lines, F.col("line").rlike(DIFF_HEADER))
-    file = Window.partitionBy("doc_id", "block").orderBy("ln")
-    rows = rows.withColumn("_hunk", F.max(F.col("line").startswith("@@")).over(file))
+    opens = F.col("line").rlike(DIFF_HEADER)
+    hunk = F.when(opens, False).when(F.col("line").startswith("@@"), True)
+    # What a line takes from the lines before it comes from one window, so the lines of a document are sorted once.
+    carried = {"_path": F.last(got(DIFF_HEADER, 2), ignorenulls=True).over(by_doc()), "_hunk": F.coalesce(F.last(hunk, ignorenulls=True).over(by_doc()), F.lit(False))}
+    rows = blocks(lines.withColumns(carried), opens)
     inside = F.col("_hunk") & ~F.col("line").startswith("@@")
     first = F.substring("line", 1, 1)
     added, removed = inside & (first == "+"), inside & (first == "-")
     kept = F.when(added | removed | F.col("line").startswith("@@"), F.col("line"))
     flag = lambda p: F.max(F.col("line").rlike(p))
-    return rows.groupBy("doc_id", "block").agg(
-        F.min_by(got(DIFF_HEADER, 2), "ln").alias("path"), F.count_if(added).alias("added"), F.count_if(removed).alias("removed"),
+    return rows.groupBy("doc_id", "block", F.col("_path").alias("path")).agg(
+        F.count_if(added).alias("added"), F.count_if(removed).alias("removed"),
         F.count_if(inside & ~added & ~removed).alias("context"), flag("^(Binary files |GIT binary patch)").alias("binary"), flag("^new file mode").alias("new_file"),
         flag("^deleted file mode").alias("deleted"), F.max(got("^rename from (.+)$")).alias("renamed_from"), F.count(kept).alias("changed"),
         first_of(kept, MAX_CHANGED).alias("kept"),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
-from gleaner.operators import filtering, logs, redact, reduce, rules
+from gleaner.operators import filtering, logs, redact, reduce, reports, rules
 from gleaner.sources.tables import exploded_lines
 
 
@@ -56,3 +56,11 @@ def test_templates_are_made_of_lines_that_rules_can_match(spark):
     fates, _ = filtering.decided(exploded_lines(docs), table)
     assert [(r["ln"], r["rule"], r["state"]) for r in fates.orderBy("ln").collect()] == [(1, None, "stay"), (2, None, "stay"), (3, "r1", "cut"), (4, "r2", "cut"), (5, None, "stay")]
     assert "_segs" not in fates.columns
+
+
+def test_a_diff_sorts_its_lines_once(spark):
+    text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n+in\n-out\n-- x\n same\ndiff --git a/y b/y\n+no hunk yet\n@@ -2 +2 @@\n+in"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    made = reports.git_diff(exploded_lines(docs)).select("path", "added", "removed", "context")
+    assert plan(made).count("Window [") == 1
+    assert sorted(tuple(r) for r in made.collect()) == [("x", 1, 2, 1), ("y", 1, 0, 0)]
