@@ -62,5 +62,5 @@ def test_a_diff_sorts_its_lines_once(spark):
     text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n+in\n-out\n-- x\n same\ndiff --git a/y b/y\n+no hunk yet\n@@ -2 +2 @@\n+in"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     made = reports.git_diff(exploded_lines(docs)).select("path", "added", "removed", "context")
-    assert plan(made).count("Window [") == 1
+    assert made._jdf.queryExecution().executedPlan().toString().count(" Sort [") == 1
     assert sorted(tuple(r) for r in made.collect()) == [("x", 1, 2, 1), ("y", 1, 0, 0)]
