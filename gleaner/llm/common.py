@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import let
-from gleaner.sources.scratch import materialize, materialize_by, remove, scratch_path, shared_dir
+from gleaner.sources.scratch import materialize, materialize_by, remove, scratch_path, shared_dir, temporary
 
-__all__ = ["SPACE", "WORD", "free_names", "let", "materialize", "materialize_by", "partitions", "remove", "scratch_path", "shared_dir", "table", "words_of"]
+__all__ = ["SPACE", "WORD", "free_names", "let", "materialize", "materialize_by", "partitions", "remove", "scratch_path", "shared_dir", "table", "temporary", "words_of"]
 
 #: White space of the word contract: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"

@@ -9,16 +9,18 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, materialize_by, remove, table
+from .common import free_names, materialize, materialize_by, remove, table, temporary
 
 #: Cells with more fingerprints than this are not paired; their members are linked through one-bit segments instead.
 CELL_PAIRS = 64
 #: Shingles sorted by count are those that so many of a task's rows have, and the most frequent of them. The rest are sorted
 #: by hash: these bounds decide on the cost of the search for similar sets, and on no result. Hashes that a task holds to count.
 OFTEN, ORDERED, HELD = 3, 1 << 19, 4_000_000
+#: Cells of sets with this number of members or fewer make all their pairs at once. It decides on the cost, and on no result.
+SMALL = 16
 #: Bits of the fingerprints that joins compare. They decide on the cost, and on no result.
 FOLDED = 512
 #: Rounds of drawn members at most, draws in each, the pairs for each member from which on they pay, and the members for each
@@ -99,14 +101,14 @@ def links(marks: DataFrame, bits: int = 4, cell_pairs: int = CELL_PAIRS) -> Data
     point = marks.select("fp", popcounts(F.col("fp"), bits).alias("cell"))
     dealt = point.select("fp", F.explode(ball(F.col("cell"), bits)).alias("cell"))
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2
-    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    cells = materialize(cells, "simhash-cells")
-    two = cells.filter("n = 2").filter(near("a", "b")).select("a", "b")
-    more = materialize(dealt.join(cells.filter("n > 2").select("cell", "n"), "cell"), "simhash-crowd")
-    few = more.filter(F.col("n") <= cell_pairs).select("cell", "fp")
+    cell = Window.partitionBy("cell")  # the points move once: counts and members come from the same deal
+    dealt = dealt.select("fp", "cell", F.count("*").over(cell).alias("n"), F.min("fp").over(cell).alias("a"), F.max("fp").over(cell).alias("b"))
+    more = materialize(dealt.filter("n > 1").filter((F.col("n") > 2) | ((F.col("fp") == F.col("a")) & near("a", "b"))), "simhash-crowd")
+    two = more.filter("n = 2").select("a", "b")
+    few = more.filter((F.col("n") > 2) & (F.col("n") <= cell_pairs)).select("cell", "fp")
     left, right = few.withColumnRenamed("fp", "a"), few.withColumnRenamed("fp", "b")
     pairs = left.join(right, (left.cell == right.cell) & (F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
-    crowd = more.filter(F.col("n") > cell_pairs).select("fp").distinct()
+    crowd = more.filter((F.col("n") > 2) & (F.col("n") > cell_pairs)).select("fp").distinct()
     fine = crowd.select("fp", F.explode(flips(F.col("fp"))).alias("cell"))
     least = fine.groupBy("cell").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
     stars = fine.join(least, "cell").filter(F.col("fp") > F.col("a")).select("a", F.col("fp").alias("b"))
@@ -148,7 +150,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 4, id_col: str
     other. Repeated rows are kept; a null doc_id is never the smallest (a component of null ids only has a null id).
     An empty table gives no rows. Further columns of the input are not read.
     """
-    rows = materialize(fingerprints(docs, width, id_col, text_col), "simhash-rows")
+    return reachable(materialize(fingerprints(docs, width, id_col, text_col), "simhash-rows"), bits)
+
+
+def reachable(rows: DataFrame, bits: int = 4) -> DataFrame:
+    """doc_id, fp and component_id of written rows (doc_id, fp): see `near_duplicates`."""
     marks = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-marks")
     roots = components(links(marks.select("fp"), bits))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
@@ -229,25 +235,27 @@ def verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, width: int, si
 
 
 def frequencies(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: doc_id, the digest `sig` of the shingle set, its fingerprints `bits` and `fold` and its size `n`; and a
-    shingle `h` that many rows have, with the count `n` (the others are null)."""
+    """Rows of two kinds: doc_id, the SimHash `fp`, the digest `sig` of the shingle set, its fingerprints `bits` and `fold` and its
+    size `n`; and a shingle `h` that many rows have, with the count `n` (the others are null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def often(sets: list[np.ndarray]) -> pa.RecordBatch:
             found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
             found, n = found[n >= OFTEN].view(np.int64), n[n >= OFTEN]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), *[pa.nulls(len(n), pa.binary())] * 2, pa.nulls(len(n), pa.list_(pa.int64())), pa.array(found), pa.array(n, pa.int64())], names)
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(n), pa.int64())] * 2, *[pa.nulls(len(n), pa.binary())] * 2, pa.nulls(len(n), pa.list_(pa.int64())), pa.array(found), pa.array(n, pa.int64())], names)
 
-        names, held, size = ["doc_id", "sig", "bits", "fold", "h", "n"], [], 0
+        names, held, size = ["doc_id", "fp", "sig", "bits", "fold", "h", "n"], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 cut = batch.slice(at, 256)
-                sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in cut.column(1)]
+                hashes = [shingle_hashes(t.as_py(), width) for t in cut.column(1)]
+                fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+                sets = [np.unique(h) for h in hashes]
                 sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 lengths = pa.array([len(s) for s in sets], pa.int64())
                 bits = pa.array([parities(s) for s in sets], pa.binary())
                 fold = pa.array([folded(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(sigs, pa.binary()), bits, fold, pa.nulls(len(sets), pa.int64()), lengths], names)
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary()), bits, fold, pa.nulls(len(sets), pa.int64()), lengths], names)
                 held += sets
                 size += sum(map(len, sets))
                 if size >= HELD:
@@ -256,7 +264,7 @@ def frequencies(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
         yield often(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, sig binary, bits binary, fold array<long>, h long, n long")
+    return rows.mapInArrow(run, "doc_id long, fp long, sig binary, bits binary, fold array<long>, h long, n long")
 
 
 def prefixes(docs: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
@@ -290,43 +298,55 @@ def prefixes(docs: DataFrame, often: dict[str, np.ndarray], width: int, similari
     return rows.mapInArrow(run, "node long, sp long, h long")
 
 
-def similar_roots(nodes: DataFrame, marks: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def similar_roots(nodes: DataFrame, marks: DataFrame, alike: DataFrame, often: dict[str, np.ndarray], width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """(node, root) for every row of `nodes` with a link: components of all pairs of the similarity or more.
 
-    `marks` has the fingerprints and the size of every node's set (node, bits, fold, size).
+    `marks` has the fingerprints and the size of every node's set (node, bits, fold, size), `alike` pairs (a, b) whose SimHash
+    fingerprints are linked: those are candidates, and what their fingerprints do not bring together is found in cells.
 
     Sets that share a shingle of their prefixes are in one cell, and every pair of the similarity is in a cell where the
-    rest of both sets is long enough for the common part that it needs: no pair is missed. First the members of a cell
-    are verified against its first one. Pairs inside a component add nothing, so a cell whose members are all in one is
-    done, however large. While the pairs of different components are many, the members are verified against a few drawn
-    anew in each round, which soon joins what belongs together; of the components that are left, all pairs are verified.
-    The joins make only pairs that the folded fingerprints, a lower bound, leave a chance of the similarity.
+    rest of both sets is long enough for the common part that it needs, which the smaller set's can only be at its first
+    places: cells without such a member are left out, and no pair is missed. First the members of a cell are verified
+    against its first one. Pairs inside a component add nothing, so a cell whose members are all in one is done, however
+    large. Small cells make all other pairs. In large ones, while the pairs of different components are many, the members
+    are verified against a few drawn anew in each round, which soon joins what belongs together; of the components that are
+    left, all pairs are verified. The joins make only pairs that the folded fingerprints, a lower bound, leave a chance.
     """
-    first = materialize(prefixes(nodes, often, width, similarity, id_col, text_col), "similar-prefixes")
-    cells = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(first.join(cells, "h"), "similar-members")
-    remove(nodes.sparkSession, first._scratch)
-
-    def possible(x: str, y: str) -> Column:
-        size = lambda c: F.shiftright(c, 31)
-        rest = F.least(size(x) - F.col(x).bitwiseAND((1 << 31) - 1), size(y) - F.col(y).bitwiseAND((1 << 31) - 1))
+    size, place = (lambda c: F.shiftright(c, 31)), (lambda c: c.bitwiseAND((1 << 31) - 1))
+
+    def possible(x: Column, y: Column) -> Column:
+        rest = F.least(size(x) - place(x), size(y) - place(y))
         common = similarity / (1 + similarity) * (size(x) + size(y)) - 1e-9
         return (rest >= common) & (F.least(size(x), size(y)) >= similarity * F.greatest(size(x), size(y)) - 1e-9)
 
     def near(x: str, y: str, xs: str, ys: str) -> Column:
         apart = reduce(Column.__add__, [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(FOLDED // 64)])
-        return apart <= (1 - similarity) / (1 + similarity) * (F.shiftright(xs, 31) + F.shiftright(ys, 31)) + 1e-9
+        return apart <= (1 - similarity) / (1 + similarity) * (size(F.col(xs)) + size(F.col(ys))) + 1e-9
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    heads = members.groupBy("h").agg(F.min("node").alias("x"), F.min_by("sp", "node").alias("xs"))
-    stars = members.join(heads, "h").filter((F.col("x") != F.col("node")) & possible("xs", "sp")).select(*pair("x", "node"))
-    roots = components(verified(stars, marks, nodes, width, similarity, id_col, text_col))
-
-    links = None
-    crowded = materialize(members.filter("n > 2").join(marks.select("node", "fold"), "node"), "similar-crowded")
+    check = lambda pairs: verified(pairs, marks, nodes, width, similarity, id_col, text_col)
+    both_ways = lambda roots: roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    again = lambda roots, more: components(roots.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more).distinct())
+
+    cell = Window.partitionBy("h")  # the prefixes move once: counts, first members and the members themselves come from one deal
+    early = place(F.col("sp")) <= size(F.col("sp")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    first = prefixes(nodes, often, width, similarity, id_col, text_col).repartition("h")
+    first = first.select("*", F.count("*").over(cell).alias("n"), F.max(early).over(cell).alias("_early"), F.min("node").over(cell).alias("x"), F.min_by("sp", "node").over(cell).alias("xs"))
+    members = materialize(first.filter("n > 1 and _early").select("h", "n", "node", "sp", "x", "xs"), "similar-members")
+    stars = members.filter((F.col("x") != F.col("node")) & possible(F.col("xs"), F.col("sp"))).select(*pair("x", "node"))
+    roots = components(check(stars.unionByName(alike)))
+
+    named = members.filter("n > 2").select("h", "n", "node", "sp").join(both_ways(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = materialize(named, "similar-named")
+    items = named.filter(F.col("n") <= SMALL).groupBy("h").agg(F.collect_list(F.struct("node", "root", "sp")).alias("items")).select("items", F.explode("items").alias("p"))
+    others = F.filter("items", lambda q: (q["node"] > F.col("p.node")) & (q["root"] != F.col("p.root")) & possible(q["sp"], F.col("p.sp")))
+    small = items.select("p", F.explode(others).alias("q")).select(*pair("p.node", "q.node"))
+    roots = again(roots, check(small))
+
+    links, used = None, []
+    crowded = materialize(named.filter(F.col("n") > SMALL).select("h", "node", "sp").join(marks.select("node", "fold"), "node"), "similar-crowded")
     for turn in range(TURNS + 1):
-        labels = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-        crowd = crowded.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        crowd = crowded.join(both_ways(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         crowd = materialize(crowd.select("h", "root", F.col("node").alias("x"), F.col("sp").alias("xs"), F.col("fold").alias("xf")), "similar-crowd")
         parts = crowd.groupBy("h", "root").agg(F.count("*").alias("n"))
         parts = parts.groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"))
@@ -343,40 +363,49 @@ def similar_roots(nodes: DataFrame, marks: DataFrame, often: dict[str, np.ndarra
             draw = lambda by: mixed.groupBy("h").agg(F.min_by("root", by).alias("_root"), F.min_by("x", by).alias("y"), F.min_by("xs", by).alias("ys"), F.min_by("xf", by).alias("yf"))  # noqa: B023, E731
             left = reduce(DataFrame.unionByName, [draw(F.xxhash64("h", "x", F.lit(turn), F.lit(k))) for k in range(DRAWS)])
             once = F.lit(True)
-        pairs = mixed.join(left, "h").filter((F.col("root") != F.col("_root")) & once & possible("xs", "ys") & near("xf", "yf", "xs", "ys")).select(*pair("x", "y"))
-        more = verified(pairs, marks, nodes, width, similarity, id_col, text_col)
+        chance = possible(F.col("xs"), F.col("ys")) & near("xf", "yf", "xs", "ys")
+        more = check(mixed.join(left, "h").filter((F.col("root") != F.col("_root")) & once & chance).select(*pair("x", "y")))
         links = more.count()
-        roots = components(roots.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more).distinct())
-        for used in (crowd, parts, mixed):
-            remove(nodes.sparkSession, used._scratch)
+        roots = again(roots, more)
+        for path in (*used, crowd._scratch):
+            remove(nodes.sparkSession, path)
+        used = [mixed._scratch]
         if last:
             return roots
+        crowded = mixed.select("h", F.col("x").alias("node"), F.col("xs").alias("sp"), F.col("xf").alias("fold"))  # components only grow: the other cells are done
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id; of repeated rows, one.
 
     Groups are the components of all pairs whose sets of word shingles have a Jaccard similarity of `similarity` or more;
-    rows of one set are one node. Null, empty and wordless texts are one group. Rows with a null id stay only in groups
-    without any id, one in each. An empty table stays empty. The columns are those of `docs`, whatever their names.
+    rows of one set are one node. Rows that `near_duplicates` brings together by their SimHash fingerprints are verified on
+    their sets; cells of common shingles find the pairs whose fingerprints lie further apart. Null, empty and wordless texts
+    are one group. Rows with a null id stay only in groups without any id, one in each. An empty table stays empty. The
+    columns are those of `docs`, whatever their names.
     """
     row = free_names(docs, "_row")[0]
     # The texts move once, into buckets of the row number; the joins that choose rows below move numbers only.
     numbered = materialize_by(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs", row)
-    found = materialize(frequencies(numbered, width, row, text_col), "simhash-sets")
-    rows = found.filter("sig is not null").select("doc_id", "sig")
-    marks = materialize(rows.groupBy("sig").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    prints = found.filter("sig is not null").select(F.col("doc_id").alias("node"), "bits", "fold", F.col("n").alias("size"))
-    top = found.filter("sig is null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDERED).toPandas().sort_values("h")
-    often = {"h": top["h"].to_numpy(np.int64), "n": top["n"].to_numpy(np.int64)}
-    distinct = numbered.join(marks.select(F.col("node").alias(row)).hint("shuffle_hash"), row, "left_semi")
-    roots = similar_roots(distinct, prints, often, width, similarity, row, text_col)
-    nodes = marks.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
-    ids = numbered.select(F.col(row).alias("doc_id"), F.col(id_col).alias("_id"))
-    best = rows.join(nodes, "sig").select("doc_id", "root").join(ids, "doc_id").groupBy("root").agg(
-        F.min_by("doc_id", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id"))).alias(row)
-    )
-    return numbered.join(best.select(row).hint("shuffle_hash"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    with temporary(docs.sparkSession) as kept:
+        found = materialize(frequencies(numbered, width, row, text_col), "simhash-sets")
+        rows = found.filter("sig is not null").select("doc_id", "sig")
+        marks = found.filter("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "fp")).alias("_m"))
+        marks = materialize(marks.select("sig", F.col("_m.doc_id").alias("node"), "_m.fp"), "simhash-nodes")
+        prints = found.filter("sig is not null").select(F.col("doc_id").alias("node"), "bits", "fold", F.col("n").alias("size"))
+        top = found.filter("sig is null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDERED).toPandas().sort_values("h")
+        often = {"h": top["h"].to_numpy(np.int64), "n": top["n"].to_numpy(np.int64)}
+        distinct = numbered.join(marks.select(F.col("node").alias(row)).hint("shuffle_hash"), row, "left_semi")
+        alike = reachable(marks.select(F.col("node").alias("doc_id"), "fp")).filter("doc_id != component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+        roots = similar_roots(distinct, prints, alike, often, width, similarity, row, text_col)
+        nodes = marks.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
+        ids = numbered.select(F.col(row).alias("doc_id"), F.col(id_col).alias("_id"))
+        best = rows.join(nodes, "sig").select("doc_id", "root").join(ids, "doc_id").groupBy("root").agg(
+            F.min_by("doc_id", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id"))).alias(row)
+        )
+        best = materialize(best.select(row), "simhash-best")
+        kept.add(best._scratch)
+    return numbered.join(best.hint("shuffle_hash"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +31,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; it is removed when this process ends."""
     path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
     atexit.register(_forget, spark, path)
+    if _open:
+        _open[-1].append(path)
     return path
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[set[str]]:
+    """Scratch tables that are written inside are removed at the end, but for the paths that are added to the set it gives."""
+    kept: set[str] = set()
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        made = _open.pop()
+        if _open:
+            _open[-1].extend(p for p in made if p in kept)
+        for path in made:
+            if path not in kept:
+                _forget(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file system, wherever it is."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
