@@ -174,3 +174,14 @@ def test_a_prefix_that_many_lessons_name_is_looked_up_once(spark):
     assert {r["event"]["id"] for r in found.collect()} == {"e000000"} and seen.value == 4000
     got = lesson_sources.resolved(asked, events)
     assert got.filter("event_id = 'e000000' and program = 'git'").count() == 4000
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_commands_share_states_of_a_stream(spark, tmp_path, buckets):
+    runs = [(k, f"c{k * 7 % 23}", 1_700_000_000_000 + k * 400_000, f"h{k % 3}") for k in range(300)]
+    df = spark.createDataFrame(runs, "run_id long, command string, ms long, hash string")
+    df.select("run_id", "command", F.timestamp_millis("ms").alias("ts"), "hash").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("run_id long, command string, ts timestamp, hash string").parquet(str(tmp_path / "in"))
+    got = {(r["run_id"], r["previous_id"], r["age_millis"]) for r in E.run_once(E.previous_runs(stream, buckets=buckets), f"gleaner_shared_{buckets}", str(tmp_path / "c")).collect()}
+    end = runs[-1][2] - 3_600_000
+    assert got == {(k, k - 23, 23 * 400_000) for k in range(23, 300) if runs[k][2] < end}
