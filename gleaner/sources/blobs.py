@@ -13,6 +13,8 @@ from gleaner.sources.scratch import materialize, remove
 
 SCHEMA = "hash string, content string, bytes bigint"
 BUCKET_CHARS = 2
+#: Up to so many new hashes (a hash is some 100 bytes) are broadcast to the contents, so that contents that are stored do not move.
+FEW = 200_000
 
 
 class BlobStore:
@@ -49,7 +51,7 @@ class BlobStore:
 
     def _place(self, rows: DataFrame, generations: dict[str, int], part: bool) -> None:
         stage = f"{self.path}/_stage-{uuid.uuid4().hex}"
-        rows.repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(stage)
+        rows.write.option("compression", "zstd").partitionBy("bucket").parquet(stage)
         for name in children(self.spark, stage):
             if name.startswith("bucket="):
                 target = f"{self.path}/{name}/g={generations.get(name[7:], 0)}"
@@ -59,14 +61,21 @@ class BlobStore:
     def put(self, new: DataFrame) -> DataFrame:
         """Store contents (hash, content) that are not there yet, once each. Returns the hashes written, with their bytes.
 
-        Only the buckets of the new hashes are looked at, and of those only the hashes. Null contents are not stored.
+        Only the buckets of the new hashes are looked at, and of those only the hashes. Null contents are not stored. Which
+        hashes are new is found without the contents; those move once, into their buckets. `new` is read twice.
         """
-        rows = new.filter("content is not null").select("hash", F.col("content").cast("string").alias("content")).dropDuplicates(["hash"])
-        rows = materialize(rows.select("*", F.octet_length("content").cast("bigint").alias("bytes"), self._bucket().alias("bucket")), "blobs-new")
-        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # bounded by the number of buckets
-        fresh = materialize(rows.join(self.blobs(touched).select("hash"), "hash", "left_anti"), "blobs-fresh")
-        if not fresh.isEmpty():
-            self._place(fresh, self._generations(), part=True)
+        rows = new.filter("content is not null").select("hash", F.col("content").cast("string").alias("content"), self._bucket().alias("bucket"))
+        asked = materialize(rows.groupBy("hash", "bucket").agg(F.min(F.octet_length("content")).cast("bigint").alias("bytes")), "blobs-asked")
+        touched = [r[0] for r in asked.select("bucket").distinct().collect()]  # bounded by the number of buckets
+        fresh = materialize(asked.join(self.blobs(touched).select("hash"), "hash", "left_anti"), "blobs-fresh")
+        n = fresh.count()
+        if n:
+            if n <= FEW:
+                rows = rows.join(F.broadcast(fresh.select("hash")), "hash", "left_semi").select(*rows.columns)
+            dealt = rows.withColumn("_new", F.lit(False)).unionByName(fresh.select("hash", F.lit(None).cast("string").alias("content"), "bucket", F.lit(True).alias("_new")))
+            once = dealt.repartition("bucket").groupBy("bucket", "hash").agg(F.min_by("content", F.octet_length("content")).alias("content"), F.bool_or("_new").alias("_new"))
+            once = once.filter("_new and content is not null").select("hash", "content", F.octet_length("content").cast("bigint").alias("bytes"), "bucket")
+            self._place(once, self._generations(), part=True)
         return fresh.select("hash", "bytes")
 
     def remove(self, hashes: DataFrame) -> DataFrame:
@@ -80,7 +89,7 @@ class BlobStore:
         if emptied:
             old = self._generations()
             left = self.blobs(emptied).join(gone.select("hash"), "hash", "left_anti")
-            self._place(left, {b: old[b] + 1 for b in emptied}, part=False)
+            self._place(left.repartition("bucket"), {b: old[b] + 1 for b in emptied}, part=False)
             for b in emptied:
                 remove(self.spark, f"{self.path}/bucket={b}/g={old[b]}")
         return gone.select("hash", "bytes")

@@ -185,3 +185,20 @@ def test_commands_share_states_of_a_stream(spark, tmp_path, buckets):
     got = {(r["run_id"], r["previous_id"], r["age_millis"]) for r in E.run_once(E.previous_runs(stream, buckets=buckets), f"gleaner_shared_{buckets}", str(tmp_path / "c")).collect()}
     end = runs[-1][2] - 3_600_000
     assert got == {(k, k - 23, 23 * 400_000) for k in range(23, 300) if runs[k][2] < end}
+
+
+def test_contents_are_written_into_the_store_only(spark, tmp_path):
+    import os
+
+    from gleaner.sources import scratch
+
+    place = scratch.shared_dir(spark).removeprefix("file://") + "/gleaner"
+    had = set(os.listdir(place)) if os.path.isdir(place) else set()
+    docs = spark.createDataFrame([(f"{k % 30:02x}" + "0" * 62, os.urandom(20_000).hex() if k < 30 else "short") for k in range(40)], "hash string, content string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs, held = spark.read.parquet(str(tmp_path / "docs")), BlobStore(spark, str(tmp_path / "store"))
+    assert sorted(r["bytes"] for r in held.put(docs).collect()) == [5] * 10 + [40_000] * 20
+    assert {r["hash"][:2]: r["bytes"] for r in held.blobs().filter("bytes = octet_length(content)").collect()} == {f"{k:02x}": 5 if k < 10 else 40_000 for k in range(30)}
+    assert held.put(docs).count() == 0
+    made = [f"{d}/{f}" for n in set(os.listdir(place)) - had for d, _, names in os.walk(f"{place}/{n}") for f in names]
+    assert sum(map(os.path.getsize, made)) < 100_000
