@@ -20,12 +20,14 @@ CLASS_PATTERNS = (
     ("n", r"^[-+]?[0-9.,_]*[0-9][0-9.,_]*%?$"),
 )
 DATE_PREFIX = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+#: What a token of any class holds: a digit, or a mark of an address, a path or a uuid.
+MARKED = r"[0-9/\\.:+-]"
 TRAILING = r"[,:;)\]}.\"'!?]+$"
 
 
 def token_class(token: Column) -> Column:
     """url, uuid, t, size, ver, hex, n or path; null for a literal. Trailing punctuation does not count."""
-    return let(F.regexp_replace(token, TRAILING, ""), _class_of)
+    return F.when(token.rlike(MARKED), let(F.regexp_replace(token, TRAILING, ""), _class_of))  # most words hold no mark
 
 
 def _class_of(t: Column) -> Column:
@@ -42,7 +44,7 @@ def _class_of(t: Column) -> Column:
     )
     plain_uuid = F.when(t.rlike(p["uuid"]), "uuid")
     return (
-        F.when(t == "", None)
+        F.when(~t.rlike(MARKED), None)  # a word with a mark behind it; the empty token too
         .when(t.rlike(p["url"]), "url")
         .otherwise(F.coalesce(F.when(t.rlike("[0-9]"), numeric).otherwise(plain_uuid), F.when(path, "path")))
     )

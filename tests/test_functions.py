@@ -113,3 +113,13 @@ def test_ids_sort_by_time_and_give_it_back(spark):
 def test_streams_are_combined(spark):
     c = X.combine_streams(F.col("c0"), F.col("c1"))
     assert one(spark, c, "out  ", "err") == "out\nerr" and one(spark, c, "", "err") == "err" and one(spark, c, "out", None) == "out"
+
+
+def test_words_without_marks_are_tried_for_no_class(spark):
+    from gleaner.functions import templates as T
+
+    words = ["plain", "word.", "a-b", "a.b", "x/y", "git+ssh", "12", "Zürich,", "", "...", "deadbeef", "https://a", "aaaaaaaa-bbbb-cccc-dddd-eeeeeeeeeeee", "a\\b", "v1.2.3)", "C:", "日本", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r["w"]: r["c"] for r in df.select("w", T.token_class(F.col("w")).alias("c")).collect()}
+    assert {w: c for w, c in got.items() if c} == {"12": "n", "a.b": "path", "x/y": "path", "git+ssh": "url", "https://a": "url", "aaaaaaaa-bbbb-cccc-dddd-eeeeeeeeeeee": "uuid", "a\\b": "path", "v1.2.3)": "ver"}
+    assert T.MARKED == r"[0-9/\\.:+-]"
