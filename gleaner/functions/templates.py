@@ -22,6 +22,7 @@ CLASS_PATTERNS = (
 DATE_PREFIX = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 #: What a token of any class holds: a digit, or a mark of an address, a path or a uuid.
 MARKED = r"[0-9/\\.:+-]"
+SHORT_NUMBER = r"^[0-9]{1,6}$"
 TRAILING = r"[,:;)\]}.\"'!?]+$"
 
 
@@ -33,7 +34,7 @@ def token_class(token: Column) -> Column:
 def _class_of(t: Column) -> Column:
     p = dict(CLASS_PATTERNS)
     digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
-    path = (F.octet_length(t) >= 3) & (t.contains("/") | t.contains("\\") | t.rlike(r"^.*[A-Za-z0-9].*\.[A-Za-z0-9]{1,6}$"))
+    path = (F.octet_length(t) >= 3) & (t.contains("/") | t.contains("\\") | t.contains(".") & t.rlike(r"^.*[A-Za-z0-9].*\.[A-Za-z0-9]{1,6}$"))
     numeric = (  # all of these hold a digit, so most words skip them
         F.when(t.rlike(p["uuid"]), "uuid")
         .when((t.rlike(p["t"]) & (digits >= 3)) | t.rlike(DATE_PREFIX), "t")
@@ -45,13 +46,14 @@ def _class_of(t: Column) -> Column:
     plain_uuid = F.when(t.rlike(p["uuid"]), "uuid")
     return (
         F.when(~t.rlike(MARKED), None)  # a word with a mark behind it; the empty token too
+        .when(t.rlike(SHORT_NUMBER), "n")  # what most marked words are, and nothing else can be
         .when(t.rlike(p["url"]), "url")
         .otherwise(F.coalesce(F.when(t.rlike("[0-9]"), numeric).otherwise(plain_uuid), F.when(path, "path")))
     )
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(F.trim(F.regexp_replace(line, r"(?U)\s+", " ")), " "), lambda t: t != "")
+    return F.filter(F.split(line, r"(?U)\s+"), lambda t: t != "")
 
 
 def segments(line: Column, sizes: list[int] | None = None) -> Column:
@@ -61,7 +63,8 @@ def segments(line: Column, sizes: list[int] | None = None) -> Column:
     """
     wanted = lambda n: (n > 0) & (n <= MAX_TOKENS) & (F.lit(True) if sizes is None else n.isin(*sizes))
     one = lambda c, t: F.struct(F.coalesce(c, F.lit("")).alias("cls"), F.when(c.isNull(), t).otherwise("").alias("lit"))
-    seg = lambda t: let(token_class(t), lambda c: one(c, t))
+    literal = lambda t: F.struct(F.lit("").alias("cls"), t.alias("lit"))
+    seg = lambda t: F.when(t.rlike(MARKED), let(token_class(t), lambda c: one(c, t))).otherwise(literal(t))
     made = lambda ts: F.when(wanted(F.size(ts)), F.transform(ts, seg))
     return let(tokens(line), made)
 

@@ -42,7 +42,7 @@ def lines(text: Column) -> Column:
 
 
 def is_blank(line: Column) -> Column:
-    return F.length(F.regexp_replace(line, r"(?U)\s+", "")) == 0
+    return ~line.rlike(r"(?U)\S")
 
 
 def token_estimate(text: Column) -> Column:

@@ -31,7 +31,7 @@ def applies(program: Column, subcommand: Column) -> Column:
 
 
 def covering(rows: DataFrame, rules: DataFrame, names: list[str], scoped: bool = False) -> DataFrame:
-    """All pairs of a line (`_segs` its template) and a rule that matches it, as the columns `names` of both.
+    """All pairs of a line (`_segs` its template, `_key` the template's key if it was made before) and a rule that matches it, as the columns `names` of both.
 
     Rules without wildcards meet lines by a hash join on the template's key. Those with wildcards meet them by the number
     of tokens and the place and text of their longest literal: a line is looked up once for each place that rules of its
@@ -44,7 +44,8 @@ def covering(rows: DataFrame, rules: DataFrame, names: list[str], scoped: bool =
     )
     scope = applies(F.col("program"), F.col("subcommand")) if scoped else F.lit(True)
     plain = rules.filter(~F.col("wild")).withColumn("_key", T.join_key(F.col("pattern"))).drop("wild")
-    hits = rows.withColumn("_key", T.join_key(F.col("_segs"))).join(side(plain), "_key").filter(scope).select(*names)
+    keyed = rows if "_key" in rows.columns else rows.withColumn("_key", T.join_key(F.col("_segs")))
+    hits = keyed.join(side(plain), "_key").filter(scope).select(*names)
     places = F.array_max(F.transform("pattern", lambda s, i: F.struct(F.when(s.cls == "", F.char_length(s.lit)).otherwise(-1).alias("n"), (-i).alias("i"))))
     wild = rules.filter("wild").withColumn("_size", F.size("pattern")).withColumn("_at", F.when(places.n >= 0, -places.i).otherwise(-1))
     literal = lambda segs: F.when(F.col("_at") >= 0, F.get(segs, F.col("_at")).getField("lit")).otherwise("")

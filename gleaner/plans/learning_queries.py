@@ -179,10 +179,8 @@ def learn_then_filter(spark, sf_dir):  # noqa: ANN001, ANN201
   SELECT w, kind, docs::BIGINT AS docs, lines::BIGINT AS lines, runs::BIGINT AS runs, protected::BIGINT AS protected FROM a WHERE docs + protected > 0""")
 def learned_accounting(spark, sf_dir):  # noqa: ANN001, ANN201
     """What each learned rule took of those texts, and how often a failure was kept from one that was forced."""
-    from gleaner.sources.tables import exploded_lines
-
     table = _taught(spark, sf_dir)
-    used = filtering.accounting(*filtering.decided(exploded_lines(_nation_texts(spark, sf_dir)), table))
+    used = filtering.accounting(*filtering.decided(filtering.dealt_lines(_nation_texts(spark, sf_dir)), table))
     kind = F.when(F.size("lines") > 1, "block").when(F.col("action") == "fold", "fold").when(F.col("source").startswith("fatal"), "failure").otherwise("line")
     word = F.regexp_extract(F.array_join("lines", " "), r"(?:banner|package )([A-Z_0-9]+)", 1)
     named = table.select(F.col("id").alias("rule_id"), kind.alias("kind"), word.alias("w"))

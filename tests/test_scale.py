@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from gleaner.functions import templates as T
 from gleaner.functions import text as X
-from gleaner.operators import filtering, logs, redact, reduce, reports, rules
+from gleaner.operators import filtering, learning, lessons, logs, redact, reduce, reports, rules
 from gleaner.sources.tables import exploded_lines
 
 
@@ -64,3 +65,45 @@ def test_a_diff_sorts_its_lines_once(spark):
     made = reports.git_diff(exploded_lines(docs)).select("path", "added", "removed", "context")
     assert made._jdf.queryExecution().executedPlan().toString().count(" Sort [") == 1
     assert sorted(tuple(r) for r in made.collect()) == [("x", 1, 2, 1), ("y", 1, 0, 0)]
+
+
+def test_texts_are_dealt_before_their_lines_are_made(spark):
+    docs = spark.range(4).select(F.col("id").alias("doc_id"), F.lit("one two\n\nthree 4").alias("text")).coalesce(1)
+    tree = filtering.numbered(filtering.dealt_lines(docs), [2])._jdf.queryExecution().executedPlan().toString()
+    assert tree.count("Exchange hash") == 1
+    assert tree.index("Window ") < tree.index("Generate ") < tree.index("Exchange hash")
+
+
+def test_rules_that_share_lines_meet_them_once(spark, monkeypatch):
+    """A line that all blocks have brings together no pair for each of them; the fate of lines is found once."""
+    pairs = []
+    covering = rules.covering
+
+    def counted(*args, **kwargs):
+        out = covering(*args, **kwargs)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(rules, "covering", counted)
+    word = lambda k: chr(97 + k) * 12
+    rows = [(f"b{k}", "git", None, "drop", None, ["=====", f"the banner {word(k)}", "====="], 1, "", False, True, 0) for k in range(20)]
+    rows += [(f"f{k}", None, None, "fold", "old", [f"warning package {word(k)} {{n}}"], 1, "", False, True, 0) for k in range(20)]
+    rows.append(("x", None, None, "drop", None, ["fatal error in", "====="], 1, "", False, True, 0))
+    text = lambda k: f"=====\n\nthe banner {word(k)}\n=====\nwarning package {word(k)} 1\nwarning package {word(k)} 2\nfatal error in\n=====\nend\n"
+    docs = spark.createDataFrame([(k, "GIT" if k < 8 else "make", None, text(k % 4)) for k in range(10)], "doc_id long, program string, subcommand string, text string")
+    fates, places = filtering.decided(filtering.dealt_lines(docs, ("doc_id", "program", "subcommand")), spark.createDataFrame(rows, learning.RULES), scoped=True)
+    assert sum(pairs) == 10 * 7  # one for each line that some rule has
+    used = filtering.accounting(fates, places)
+    assert "Window" not in plan(used)
+    got = {r["rule_id"]: (r["docs"], r["lines"], r["runs"], r["protected"]) for r in used.collect()}
+    blocks, folds = {f"b{k}": (2, 6, 2, 0) for k in range(4)}, {f"f{k}": (n, 2 * n, n, 0) for k, n in enumerate((3, 3, 2, 2))}
+    assert got == blocks | folds | {"x": (0, 0, 0, 10)}
+
+
+def test_short_ways_of_templates_give_the_same_classes(spark):
+    words = "1 123456 1234567 12, 12kb 1.2.3 a.b .... ---- ==== x/y c:\\d 12:30:01 2024-01-02 v1.2.3 0xabcdef1 50% 1,000 deadbee1 http://x a-b end. \u3000w 7) () ٣".split(" ")
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("t", X.is_blank(F.col("t")), T.canonical(T.segments(F.col("t")))).collect()}
+    assert got == {w: (not w.strip(), learning.text_of(lessons.shape(w))) for w in words}
+    blank = spark.createDataFrame([("",), (" \t",), ("\u2003\u3000",), (" a",), (None,)], "t string")
+    assert [tuple(r) for r in blank.select(X.is_blank(F.col("t")), F.size(T.tokens(F.col("t")))).collect()] == [(True, 0), (True, 0), (True, 0), (False, 1), (None, None)]
