@@ -22,11 +22,13 @@ LOG_MASKS = (
 )
 #: Fixed value: words that name a log level.
 LEVEL = r"\b(TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|FATAL|CRITICAL|PANIC)\b"
-#: Fixed value: what makes a line critical.
+#: Where a word of ASCII characters ends, as `\b` in SQL; Java's own knows letters like ñ too.
+WORD_END = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+#: Fixed value: what makes a line critical. The long s and the sign of the kelvin fold as in SQL.
 CRITICAL = (
-    r"(\b(error|failed|failure|fail:|panic|panicked|exception|traceback|assert\w*|fatal|cannot|denied|refused|"
-    r"timed?[ _-]?out|expected|actual|exit(?:ed)?[ _-]?(?:code|status))\b|\bERR!)"
-)
+    r"(?<!\w)(?:(?:error|failed|failure|fail:|panic|panicked|exception|traceback|assert\w*|fatal|cannot|denied|refused|"
+    r"timed?[ _-]?out|expected|actual|exit(?:ed)?[ _-]?(?:code|status))" + WORD_END + "|ERR!)"
+).replace("s", "[sſ]").replace("k", "[k\u212a]")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -29,7 +29,7 @@ RULES = "id string, program string, subcommand string, action string, caption st
 BATCH = 4096
 _TEXT = ("lesson_id", "program", "subcommand", "action", "caption")
 PROPOSALS = pa.schema([*((c, pa.string()) for c in _TEXT), ("lines", pa.list_(pa.string())), ("examples", pa.int64()), ("source", pa.string()), ("forced", pa.bool_()), ("reason", pa.string()), ("detail", pa.string())])
-_CRITICAL = re.compile("(?i)" + CRITICAL)
+_CRITICAL = re.compile("(?i)" + CRITICAL, re.ASCII)
 _CLASSES = [*dict(T.CLASS_PATTERNS), "path", "t"]
 
 

@@ -10,11 +10,12 @@ from gleaner.functions.text import is_blank, is_critical, token_estimate
 from gleaner.operators.rules import covering
 
 
-def suggestions(lines: DataFrame, min_runs: int = 2, rules: DataFrame | None = None) -> DataFrame:
+def suggestions(lines: DataFrame, min_runs: int = 2, rules: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """Shapes of uncritical lines (scope, run, ln, line) that at least `min_runs` runs of a scope share.
 
     Adds how many runs the scope has (`of_runs`), lines, tokens and the first example. Shapes that a line rule
     matches, wildcards or not, are left out, whatever its scope. First by run, then by shape, so no key is hot.
+    `runs` (scope, a row for each run) counts runs without lines as well; without it, runs are those that `lines` has.
     """
     rows = lines.filter(~is_blank(F.col("line")) & ~is_critical(F.col("line")))
     rows = rows.select("scope", "run", "ln", "line", T.segments(F.col("line")).alias("segs")).filter("segs is not null")
@@ -28,7 +29,8 @@ def suggestions(lines: DataFrame, min_runs: int = 2, rules: DataFrame | None = N
     found = by_run.groupBy("scope", "shape").agg(
         F.count("*").alias("runs"), F.sum("n").alias("lines"), F.sum("tok").alias("tokens"), F.min(F.struct("run", "first")).getField("first").getField("line").alias("example")
     )
-    scopes = lines.groupBy("scope", "run").agg(F.lit(1).alias("_one")).groupBy("scope").agg(F.count("*").alias("of_runs"))
+    runs = lines.groupBy("scope", "run").agg(F.lit(1).alias("_one")) if runs is None else runs
+    scopes = runs.groupBy("scope").agg(F.count("*").alias("of_runs"))
     return found.filter(F.col("runs") >= min_runs).join(scopes, "scope")
 
 

@@ -360,8 +360,8 @@ _SHAPES = f"""WITH {S.LINES}, s AS (SELECT source AS scope, doc_id AS run, ln, l
 @query(f"""{_SHAPES}
   SELECT scope, shape, runs, lines, tokens, example, of_runs FROM g JOIN o USING (scope) WHERE runs >= 2""")
 def suggest_shapes(spark, sf_dir):  # noqa: ANN001, ANN201
-    rows = exploded_lines(read(spark, sf_dir, "documents"), ("doc_id", "source"))
-    return suggest.suggestions(rows.withColumnsRenamed({"source": "scope", "doc_id": "run"}))
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("scope"), F.col("doc_id").alias("run"), "text")
+    return suggest.suggestions(exploded_lines(docs, ("run", "scope")), runs=docs.select("scope"))
 
 
 @query(f"""{_SHAPES}, r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY tokens DESC, encode(shape)) AS k FROM g WHERE runs >= 2)

@@ -61,3 +61,16 @@ def test_repeats_within_a_time_are_dropped_from_a_stream(spark, tmp_path):
     got = E.run_once(stream, "gleaner_repeats", str(tmp_path / "c")).count()
     everything = spark.read.parquet(f"{DATA}/events.parquet")
     assert everything.select("user_id", "event_type").distinct().count() <= got <= everything.count()
+
+
+def test_shapes_of_lines_beside_other_letters_and_of_empty_texts(spark, tmp_path):
+    """Words end at ASCII characters, letters fold as in SQL, and a text without lines is a run."""
+    odd = ["so ñerr!! x", "an éerror y", "errorñ and z", "a fail: x", "a fail:x", "paſst aſſert", "tracK tracebacK", "faıled faİled", "exit code", "_error_ 1", "x ERR! y"]
+    texts = [(k, "en", "s" if k % 2 else "t", text) for k, text in enumerate(["\n".join(odd)] * 4 + ["", "", "so ñerr!! x"])]
+    spark.createDataFrame(texts, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("suggest_shapes", "suggest_drafts"):
+        got, expected = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()
+        assert rows(got) == rows(expected)
+    assert len(registry.QUERIES["suggest_shapes"](spark, str(tmp_path)).toPandas()) > 3
