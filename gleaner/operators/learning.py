@@ -74,10 +74,6 @@ def refusal(shapes: list[tuple], sources: list[str], kept: list[tuple], forced:
     return None
 
 
-def text_of(shape: tuple) -> str:
-    return " ".join("{" + c + "}" if c else w for c, w in shape)
-
-
 def by_shape(rows: list[str], kept: list[tuple]) -> list[tuple[tuple, str, int]]:
     """(shape, first line, examples) of lines, merged where one place differs and no kept line would match."""
     count, first = Counter(L.shape(r) for r in rows), {}
@@ -119,7 +115,7 @@ def taught(rows: list[Row]) -> list[tuple]:
         found.append(("drop", None, [], more, "", "left_out"))
     for shape, source, n in by_shape(open_, kept):
         reason = refusal([shape], [source], kept, forced)
-        found.append(("drop", None, [text_of(shape)] if shape else [], n, source, reason))
+        found.append(("drop", None, [L.text_of(shape)] if shape else [], n, source, reason))
         if reason is None:
             new.append(shape)
     for run in by_run(rows, "trash"):
@@ -128,7 +124,7 @@ def taught(rows: list[Row]) -> list[tuple]:
         if len(lines) < 2 or 2 * sum(left) <= len(lines):  # line rules do for most of it
             continue
         reason = refusal(shapes, lines, kept, forced)
-        found.append(("drop", None, list(map(text_of, shapes)), 1, lines[0], reason))
+        found.append(("drop", None, list(map(L.text_of, shapes)), 1, lines[0], reason))
         if reason is None:  # the block takes the lines, so they are refused no more
             found = [f for f in found if f[5] is None or f[4] not in lines]
     for run in by_run(rows, "fold"):
@@ -138,13 +134,13 @@ def taught(rows: list[Row]) -> list[tuple]:
             continue
         made = [(s, x, n, refusal([s], [x], kept, forced)) for s, x, n in by_shape(lines, kept)]
         if any(r is None for *_, r in made) or len(lines) < 2:
-            found += [("fold", caption, [text_of(s)] if s else [], n, x, r) for s, x, n, r in made]
+            found += [("fold", caption, [L.text_of(s)] if s else [], n, x, r) for s, x, n, r in made]
         else:
             shapes = [L.shape(x) for x in lines]
-            found.append(("fold", caption, list(map(text_of, shapes)), 1, lines[0], refusal(shapes, lines, kept, forced)))
+            found.append(("fold", caption, list(map(L.text_of, shapes)), 1, lines[0], refusal(shapes, lines, kept, forced)))
     for shape, source, n in by_shape([r.line for r in rows if r.kind == "only"], []):
-        found.append(("keep", None, [text_of(shape)] if shape else [], n, source, refusal([shape], [source], [], True)))
-    lines = [text_of(k) for k in kept]
+        found.append(("keep", None, [L.text_of(shape)] if shape else [], n, source, refusal([shape], [source], [], True)))
+    lines = [L.text_of(k) for k in kept]
     return [(*f, met(f[2], lines, first) if f[5] == "matches_kept" else None) for f in found]
 
 

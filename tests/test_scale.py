@@ -107,3 +107,46 @@ def test_short_ways_of_templates_give_the_same_classes(spark):
     assert got == {w: (not w.strip(), learning.text_of(lessons.shape(w))) for w in words}
     blank = spark.createDataFrame([("",), (" \t",), ("\u2003\u3000",), (" a",), (None,)], "t string")
     assert [tuple(r) for r in blank.select(X.is_blank(F.col("t")), F.size(T.tokens(F.col("t")))).collect()] == [(True, 0), (True, 0), (True, 0), (False, 1), (None, None)]
+
+
+def test_all_shapes_of_a_scope_are_merged(spark):
+    """No shape is left out, whatever their number; a scope's shapes are merged in sets that cannot meet, as if at once."""
+    word = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:04}")
+    line = "2024-01-02 03:04:05 INFO user={} event=view id={}".format
+    rows = [("p", line(word(k % 300), word(k))) for k in range(600)] + [("p", "wholly other line"), ("p", line(word(999), word(9999)))]
+    rows += [("q", f"the {'abc'[k % 3]}x {'abcde'[k % 5]}y {'abcd'[k % 4]}z was said here again {{n}}") for k in range(60)] + [("q", "the ax ay az was said here again 5")]
+    df = spark.createDataFrame([(p, None, x) for p, x in rows], "program string, subcommand string, line string")
+    got = lessons.generalised(df, most=None).collect()
+    expected = [(p, lessons.text_of(s)) for p in "pq" for s in lessons.generalise([lessons.shape(x) for q, x in rows if p == q], most=None)]
+    assert sorted((r["program"], r["canonical"]) for r in got) == sorted(expected) and len(got) > 300
+    assert {r["left_out"] for r in got} == {0}
+    assert sum(r["canonical"].endswith("{*}") for r in got if r["program"] == "p") == 300
+
+
+def test_merged_shapes_are_those_of_trying_every_pair():
+    import random
+
+    def slowly(shapes, kept):
+        found = sorted(set(shapes))
+        while pair := next(((a, b, m) for k, a in enumerate(found) for b in found[k + 1 :] if len(a) == len(b) and (m := lessons.joined(a, b, kept))), None):
+            found = sorted({*(s for s in found if s not in pair[:2]), pair[2]})
+        return found
+
+    deal = random.Random(7)
+    words = [("", "alpha"), ("", "be"), ("", "gamma"), ("n", ""), ("hex", "")]
+    for n in (2, 3, 4, 5, 6, 7) * 4:
+        shapes = [tuple(deal.choice(words) for _ in range(n + deal.randrange(2))) for _ in range(100)]
+        kept = shapes[: deal.randrange(3)]
+        assert lessons.generalise(shapes, kept) == slowly(shapes, kept)
+
+
+def test_sets_of_places_hold_what_may_meet():
+    from itertools import combinations
+
+    for n, varying, classes, most in ((6, 0b101000, 0b000011, 128), (12, 0b1111111111, 0, 128), (9, 0b111111111, 0, 128), (64, (1 << 64) - 1, 0, 128), (4, 0b1, 0b1110, 128)):
+        sets = lessons.places(varying, classes, n)
+        assert len(sets) <= most
+        wild = min(n // 2, n - 2) - (classes & ~varying).bit_count()
+        at = [1 << k for k in range(n) if varying >> k & 1]
+        differ = [sum(d) for d in combinations(at, min(wild, len(at)))] if 0 < wild and len(at) < 20 else []
+        assert all(any(not s & d for s in sets) for d in differ) and bool(sets) == (wild > 0)
